@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +47,17 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow() with this package at hand in the Python workers."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_has_stratagrade", False):
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp()) / "stratagrade.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted((root / "stratagrade").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        context.addPyFile(str(archive))  # the driver serves it to the executors
+        context._has_stratagrade = True
+    return df.mapInArrow(run, schema)

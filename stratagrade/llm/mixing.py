@@ -68,10 +68,12 @@ def _bucket(buckets: int) -> Column:
     return F.floor(F.col("_key") / (F.col("_key") + 1) * buckets)
 
 
-def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, buckets: int = 1 << 14) -> DataFrame:
+def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, buckets: int = 1 << 14, broadcast_sources: int = 100_000) -> DataFrame:
     """A row for each source: source, source_size, target, epochs, and where the
     fractional selection ends: rows with a key below `edge` are taken whole, those
-    at it (one row, or repeats of it) give `edge_words` words each."""
+    at it (one row, or repeats of it) give `edge_words` words each.  The plan is
+    broadcast to the rows if it has no more than `broadcast_sources` of them; else
+    the join shuffles, and Spark splits a hot source's partition."""
     slim = _keyed(docs.select("doc_id", "source", "text"), seed).select("source", "_size", "_key")
     slim = materialize(slim.withColumn("_bucket", _bucket(buckets)), "mix-keys")
     cells = slim.groupBy("source", "_bucket").agg(F.sum("_size").alias("_cell"))
@@ -100,7 +102,8 @@ def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float
         .where((F.col("_sum") > F.col("_left")) & (F.col("_sum") - F.col("_words") <= F.col("_left")))
         .select("source", F.col("_key").alias("edge"), F.floor((F.col("_left") - F.col("_sum") + F.col("_words")) / F.col("_rows")).alias("edge_words"))
     )
-    return sources.alias("a").join(at_edge.alias("b"), same, "left").select("a.source", "source_size", "target", "epochs", "edge", "edge_words")
+    out = materialize(sources.alias("a").join(at_edge.alias("b"), same, "left").select("a.source", "source_size", "target", "epochs", "edge", "edge_words"), "mix-plan")
+    return F.broadcast(out) if out.count() <= broadcast_sources else out
 
 
 def mix(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:

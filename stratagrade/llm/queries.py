@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import licenses, mixing, orc_tokens, rules, sharding, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,64 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(documents(spark, sf_dir))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)
+), c AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g
+), r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM c WHERE n > 1) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+    len(regexp_extract_all(line, '[|\x{bb}\x{2022}\x{203a}]')) AS bars, len(regexp_extract_all(line, '[!?]{2,}')) AS shouts
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+), f AS (
+  SELECT *, words > 0 AND (
+    greatest(symbols - bars, shouts) * 10 > words * 3
+    OR words < 3 AND NOT regexp_matches(line, '[.!?:;,\x{2026}\x{3002}\x{ff01}\x{ff1f}"''\x{201d}\x{bb})\]][\x09-\x0D\x20]*$')
+    OR bars >= 2 AND bars * 4 >= words
+    OR words <= 4 AND regexp_matches(line, '(?i)^[^\p{L}]*(MENU)[^\p{L}]*$')
+    OR words <= 40 AND regexp_matches(line, '(?i)BOILERPLATE')) AS fails FROM l
+), s AS (
+  SELECT doc_id, sum(symbols) AS n_symbols, count(*) FILTER (WHERE words > 0) - count(DISTINCT CASE WHEN words > 0 THEN line END) AS n_dup, sum(CASE WHEN fails THEN words ELSE 0 END) AS lost
+  FROM f GROUP BY doc_id
+), b AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, lost FROM d JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost * 100 <= n_words * 50 AS kept FROM b
+""".replace("MENU", "|".join(rules.MENU)).replace("BOILERPLATE", "|".join(rules.BOILERPLATE))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.tokens_round_trip(documents(spark, sf_dir), tokenizer=_vocabulary(), end_id=2)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.length_histogram(documents(spark, sf_dir), tokenizer=_vocabulary()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_shard_documents)}
+    found = (op1_mix_sources, op3_quality_rules, op4_shard_documents, op5_license_scan, op7_orc_tokens, op9_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL}
