@@ -49,9 +49,9 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow() with this package at hand in the Python workers."""
-    context = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Put this package at hand in the Python workers."""
+    context = spark.sparkContext
     if not getattr(context, "_has_stratagrade", False):
         root = Path(__file__).resolve().parents[2]
         archive = Path(tempfile.mkdtemp()) / "stratagrade.zip"
@@ -60,4 +60,9 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
                 z.write(p, p.relative_to(root))
         context.addPyFile(str(archive))  # the driver serves it to the executors
         context._has_stratagrade = True
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow() with this package at hand in the Python workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)

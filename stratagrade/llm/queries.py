@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, orc_tokens, rules, sharding, token_counts
+from . import language_model, licenses, mixing, orc_tokens, quality_model, rules, sharding, tiling, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(documents(spark, sf_dir))
 
@@ -101,12 +105,23 @@ def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.tokens_round_trip(documents(spark, sf_dir), tokenizer=_vocabulary(), end_id=2)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(documents(spark, sf_dir), tokenizer=_vocabulary()))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.coverage(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op3_quality_rules, op4_shard_documents, op5_license_scan, op7_orc_tokens, op9_token_counts)
+    found = (
+        op1_mix_sources, op2_quality_classifier, op3_quality_rules, op4_shard_documents, op5_license_scan,
+        op7_orc_tokens, op8_language_model, op9_token_counts, op10_decontaminate,
+    )
     return {f.__name__: f for f in found}
 
 
