@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, licenses, mixing, orc_tokens, quality_model, rules, sharding, tiling, token_counts
+from . import language_model, licenses, mixing, orc_tokens, quality_model, rules, sharding, similarity_join, tiling, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.link(documents(spark, sf_dir), words=4, similarity=(85, 100))
+
+
 def _vocabulary() -> str:
     import public_tokenizers
 
@@ -120,7 +124,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_quality_classifier, op3_quality_rules, op4_shard_documents, op5_license_scan,
-        op7_orc_tokens, op8_language_model, op9_token_counts, op10_decontaminate,
+        op6_ngram_join, op7_orc_tokens, op8_language_model, op9_token_counts, op10_decontaminate,
     )
     return {f.__name__: f for f in found}
 

@@ -155,5 +155,6 @@ def mult(k: int) -> int:
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of the slices values[at[i]:at[i+1]] (0 for empty ones)."""
-    total = np.concatenate(([0], np.cumsum(values, dtype=values.dtype if values.dtype.kind != "f" else np.float64)))
+    total = np.cumsum(values, dtype=values.dtype)
+    total = np.concatenate((np.zeros(1, total.dtype), total))
     return total[at[1:]] - total[at[:-1]]
