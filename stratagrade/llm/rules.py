@@ -49,6 +49,34 @@ def _lines(text) -> F.Column:
     return F.transform(measured, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), x["symbols"].alias("symbols"), fails(x).alias("fails")))
 
 
+def _let(value: F.Column, body) -> F.Column:
+    """body(value), with the value computed once for each row: a lambda's variable is
+    not copied into other expressions by the optimizer, as a projection's may be."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _pairs(x: F.Column, f) -> F.Column:
+    """f of each element and the next."""
+    n = F.greatest(F.size(x) - 1, F.lit(0))
+    return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(2), n), f)
+
+
+def _repeated(w: F.Column) -> F.Column:
+    """The number of words in WINDOW-word windows that occur twice or more."""
+    double = lambda h, k: F.zip_with(h, F.slice(h, F.lit(k + 1), F.greatest(F.size(h) - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+    def covered(starts):  # sorted
+        return F.aggregate(_pairs(starts, lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(WINDOW).cast("long"), lambda s, x: s + x)
+
+    def count(h):
+        placed = lambda: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        starts = lambda s: F.sort_array(F.array_distinct(F.flatten(F.array_compact(_pairs(s, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(placed(), lambda s: _let(starts(s), covered))).otherwise(F.lit(0).cast("long"))
+
+    ones = F.transform(w, lambda x: F.xxhash64(x))
+    return _let(ones, lambda h1: _let(double(h1, 1), lambda h2: _let(double(h2, 2), lambda h4: _let(F.slice(double(h4, 4), F.lit(1), F.greatest(F.size(h4) - (WINDOW - 1), F.lit(0))), count))))
+
+
 def measure(docs: DataFrame, *, most_lost: int = 50, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """`docs` with a struct column `__rules`: n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, words_lost, base_failed, kept, clean_text (the lines
@@ -57,38 +85,30 @@ def measure(docs: DataFrame, *, most_lost: int = 50, least_words: int = 20, most
     A null or empty text has no words and fails; repeated rows are judged alike; an
     empty table stays empty; columns of any other names pass through untouched.
     """
-    e = F.expr
-    out = docs.select("*", F.coalesce("text", F.lit("")).alias("__text"))
-    out = out.withColumn("__w", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0))).withColumn("__l", _lines(F.col("__text")))
-    out = out.withColumn("__n", F.size("__w")).withColumn("__h1", e("transform(__w, x -> xxhash64(x))"))
-    for k in (1, 2, 4):  # hashes of 2, 4, 8 words; those past the end are cut off below
-        out = out.withColumn(f"__h{2 * k}", e(f"zip_with(__h{k}, slice(__h{k}, {k + 1}, greatest(__n - {k}, 0)), (a, b) -> xxhash64(a, b))"))
-    out = out.withColumn("__h", e(f"slice(__h{WINDOW}, 1, greatest(__n - {WINDOW - 1}, 0))"))
-    out = out.withColumn("__s", e("CASE WHEN size(array_distinct(__h)) < size(__h) THEN sort_array(transform(__h, (x, i) -> struct(x AS h, i AS i))) END"))
-    out = out.withColumn(
-        "__d",
-        e(
-            "sort_array(array_distinct(flatten(array_compact(zip_with(slice(__s, 1, size(__s) - 1), slice(__s, 2, size(__s) - 1),"
-            " (a, b) -> CASE WHEN a.h = b.h THEN array(a.i, b.i) END)))))"
-        ),
-    )
-    gaps = "zip_with(slice(__d, 1, size(__d) - 1), slice(__d, 2, size(__d) - 1), (a, b) -> least(b - a, {w}))"
-    out = out.withColumn("__r", e(f"CASE WHEN __s IS NULL THEN 0L ELSE aggregate({gaps.format(w=WINDOW)}, {WINDOW}L, (s, x) -> s + x) END"))
-    out = out.withColumn("__p", e("filter(__l, x -> x.words > 0)"))
-    lost = e("aggregate(__p, 0L, (s, x) -> s + if(x.fails, x.words, 0))")
-    rules = F.struct(
-        F.col("__n").cast("long").alias("n_words"),
-        F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        e("aggregate(__l, 0L, (s, x) -> s + x.symbols)").alias("n_symbols"),
-        (F.size("__p") - F.size(F.array_distinct(e("transform(__p, x -> x.line)")))).cast("long").alias("n_dup_lines"),
-        F.col("__r").alias("n_repeat_words"),
-        lost.alias("words_lost"),
-        ((F.col("__n") < least_words) | (F.col("__r") * 100 > F.col("__n").cast("long") * most_repeated)).alias("base_failed"),
-        e("array_join(transform(filter(__l, x -> NOT x.fails), x -> x.line), '\\n')").alias("clean_text"),
-    )
-    out = out.withColumn("__rules", rules)
-    kept = ~F.col("__rules.base_failed") & (F.col("__rules.words_lost") * 100 <= F.col("__rules.n_words") * most_lost)
-    return out.select([F.col(f"`{c}`") for c in docs.columns] + [F.col("__rules").withField("kept", kept).alias("__rules")])
+    text = F.coalesce("text", F.lit(""))
+    total = lambda x, f: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + f(v))
+
+    def from_words(w):
+        return F.struct(F.size(w).cast("long").alias("n"), F.char_length(F.array_join(w, "")).cast("long").alias("chars"), _repeated(w).alias("repeated"))
+
+    def from_lines(l):
+        full = F.filter(l, lambda x: x["words"] > 0)
+        return _let(full, lambda p: F.struct(
+            total(l, lambda x: x["symbols"]).alias("symbols"),
+            (F.size(p) - F.size(F.array_distinct(F.transform(p, lambda x: x["line"])))).cast("long").alias("dup"),
+            total(p, lambda x: F.when(x["fails"], x["words"]).otherwise(0)).alias("lost"),
+            F.array_join(F.transform(F.filter(l, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("clean"),
+        ))
+
+    def judged(w, l):
+        failed = (w["n"] < least_words) | (w["repeated"] * 100 > w["n"] * most_repeated)
+        return F.struct(
+            w["n"].alias("n_words"), w["chars"].alias("word_chars"), l["symbols"].alias("n_symbols"), l["dup"].alias("n_dup_lines"), w["repeated"].alias("n_repeat_words"),
+            l["lost"].alias("words_lost"), failed.alias("base_failed"), (~failed & (l["lost"] * 100 <= w["n"] * most_lost)).alias("kept"), l["clean"].alias("clean_text"),
+        )
+
+    words = _let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), from_words)
+    return docs.withColumn("__rules", _let(words, lambda w: _let(_let(_lines(text), from_lines), lambda l: judged(w, l))))
 
 
 def verdicts(docs: DataFrame, **limits) -> DataFrame:
