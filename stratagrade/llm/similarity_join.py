@@ -35,8 +35,8 @@ from .textvec import LOWER, chunks, hashed, mix, sums, windows
 
 _U = np.uint64
 CELLS, CHUNKS = 1 << 20, 64
-MOST_K = 4
-VERIFY = 20.0  # cost of verifying a pair, in postings
+MOST_K = 6
+RARE = 0.1  # other classes expected at a shingle that doesn't stand out
 BITMAP = 24
 
 
@@ -108,7 +108,7 @@ def _ranks(profile: DataFrame) -> np.ndarray:
     return rank
 
 
-_POSTINGS = "token long, fp long, n int, k int, pos int"
+_POSTINGS = "token long, fp long, place long"  # place: n, k and pos in one number
 
 
 def prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
@@ -117,10 +117,11 @@ def prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndar
     level = rank[(s >> _U(44)).astype(np.int64)]
     order = np.lexsort((s, level))
     least = -(-num * n // den)  # what any partner shares with it
-    others = np.cumsum(np.where(level == 0, 0.0, np.exp2(level / 4.0))[order])
+    others = np.cumsum(np.where(level == 0, RARE, np.exp2(level / 4.0))[order])
     k = np.arange(1, min(MOST_K, least) + 1)
     length = n - least + k
-    best = int(k[np.argmin(length + others[length - 1] * (1 + VERIFY / k))])
+    verify = 5 + n / 4  # a set against a posting, by size
+    best = int(k[np.argmin(length + others[length - 1] * (1 + verify / k))])
     return s[order[: n - least + best]], best
 
 
@@ -130,34 +131,51 @@ def _posted(n: int, num: int, den: int, rank):
         for batch in batches:
             for texts in chunks(batch.column(0)):
                 sets = shingle_sets(texts, n)
-                token, fps, size, ks, pos = [], [], [], [], []
+                token, fps, place = [], [], []
                 for s, fp in zip(sets, fingerprints(sets).tolist(), strict=True):
                     if len(s) and fp not in seen:
                         seen.add(fp)
                         p, k = prefix(s, rank.value, num, den)
                         token.append(p)
                         fps.append(np.full(len(p), fp))
-                        size.append(np.full(len(p), len(s), np.int32))
-                        ks.append(np.full(len(p), k, np.int32))
-                        pos.append(np.arange(len(p), dtype=np.int32))
+                        place.append((len(s) << 36) + (k << 32) + np.arange(len(p)))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in token], fps, size, ks, pos)], ["token", "fp", "n", "k", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in token], fps, place)], ["token", "fp", "place"])
 
     return run
 
 
+def _need(n, m, num: int, den: int) -> F.Column:
+    """How many shingles linked sets of n and m have in common at least."""
+    both = (F.col(n) if isinstance(n, str) else n) + (F.col(m) if isinstance(m, str) else m)
+    return F.floor((both.cast("long") * num + (num + den - 1)) / (num + den))
+
+
 def _bounds(a: str, b: str, num: int, den: int) -> F.Column:
     """Whether two postings of one shingle can belong to a linked pair, and to its
     first k shared shingles: by position, and by how much can be common, before the
     shingle (`i`: shingles before it that any other class has) and after."""
     x = lambda t, c: F.col(f"{t}.{c}")
-    need = F.ceil((x(a, "n") + x(b, "n")) * num / (num + den) - 1e-9)
+    need = _need(x(a, "n"), x(b, "n"), num, den)
     k = F.least(x(a, "k"), x(b, "k"))
     tight = lambda t: x(t, "pos") <= x(t, "n") - need + k - 1
     common = F.least(x(a, "i"), x(b, "i")) + F.least(x(a, "n") - x(a, "pos"), x(b, "n") - x(b, "pos"))
     return tight(a) & tight(b) & (common >= need)
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: two sets of a thousand have a chance of one in
+    a hundred million to agree by accident anywhere."""
+    s = s[np.concatenate(([True], s[1:] >> _U(16) != s[:-1] >> _U(16)))]
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view("<u8")
+
+
 def _emitted(n: int, bitmap):
     def run(batches):
         seen: set[int] = set()
@@ -172,7 +190,7 @@ def _emitted(n: int, bitmap):
                     fp = int(fps[i])
                     if len(sets[i]) and fp not in seen:
                         seen.add(fp)
-                        out.append((fp, sets[i].tobytes()))
+                        out.append((fp, _packed(sets[i])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["fp", "grams"])
 
@@ -184,8 +202,7 @@ def _compared(num: int, den: int):
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("a_grams"), batch.column("b_grams"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((_unpacked(x.as_buffer()), _unpacked(y.as_buffer())))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 linked.append(den * common >= num * (len(both) - common))
@@ -200,7 +217,7 @@ def _verified(text: DataFrame, pairs: DataFrame, n: int, num: int, den: int, tag
     a bitmap of fixed size; what passes it by chance falls out of the joins."""
     cell = F.col("fp").bitwiseAND((1 << BITMAP) - 1)
     named = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))
-    words = named.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(fp & 63 as int))")).alias("bits"))
+    words = named.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits"))
     bitmap = np.zeros(1 << (BITMAP - 6), np.uint64)
     for batch in words.toArrow().to_batches():  # 2 ** 18 rows at most
         bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
@@ -241,16 +258,19 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     rank = spark.sparkContext.broadcast(_ranks(profile))
     posted = materialize(map_arrow(text, _posted(n, num, den, rank), _POSTINGS), "join-posted")
     shared = posted.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token")
-    postings = posted.join(shared, "token", "left_semi").groupBy("token", "fp").agg(*[F.min(c).alias(c) for c in ("n", "k", "pos")])
-    postings = materialize(postings.withColumn("i", (F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1).cast("int")), "join-postings")
+    postings = posted.join(shared, "token", "left_semi").groupBy("token", "fp").agg(F.min("place").alias("place"))
+    place = F.col("place")
+    n_k_pos = [F.shiftright(place, 36).cast("int").alias("n"), F.shiftright(place, 32).bitwiseAND(15).cast("int").alias("k"), place.bitwiseAND((1 << 32) - 1).cast("int").alias("pos")]
+    postings = materialize(postings.select("token", "fp", *n_k_pos).withColumn("i", (F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1).cast("int")), "join-postings")
     discard(posted)
 
     # centres
     key = F.struct((F.col("pos") - F.col("i")).alias("lone"), F.xxhash64("fp").alias("h"), "fp", "n", "k", "pos", "i")
     centre = postings.groupBy("token").agg(F.min(key).alias("c")).select("token", "c.*")
     near = postings.alias("p").join(centre.alias("c"), "token").where((F.col("p.fp") != F.col("c.fp")) & _bounds("p", "c", num, den))
-    near = near.groupBy(F.col("p.fp").alias("a"), F.col("c.fp").alias("b")).agg(F.count("*").alias("n"))
-    best = materialize(near.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "join-centres")
+    near = near.groupBy(F.col("p.fp").alias("a"), F.col("c.fp").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("p.k", "c.k")).alias("k"))
+    best = near.where("n >= k").groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
+    best = materialize(best.select("a", F.col("best.b").alias("b")), "join-centres")
     starred = _verified(text, best, n, num, den, "join-star")
     up = starred.select("a", "b")
     part = up.alias("x").join(up.alias("y"), F.col("x.b") == F.col("y.a"), "left").select(F.col("x.a").alias("fp"), F.coalesce("y.b", "x.b").alias("part"))
@@ -262,12 +282,13 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     main = by_part.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.part").alias("main"))
     several = materialize(placed.join(main, "token"), "join-several")
     left = several.where("part <> main")  # pairs within the main part need nothing
+    of = lambda c, greater=False: F.when(F.col("q.fp" if greater else "p.fp") < F.col("p.fp" if greater else "q.fp"), F.col(f"p.{c}")).otherwise(F.col(f"q.{c}"))
     pairs = (
         left.alias("p").join(several.alias("q"), "token")
         .where((F.col("p.part") != F.col("q.part")) & ((F.col("q.part") == F.col("q.main")) | (F.col("p.fp") < F.col("q.fp"))) & _bounds("p", "q", num, den))
         .groupBy(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("p.k", "q.k")).alias("k"))
-        .where("shared >= k").select("a", "b")
+        .agg(F.count("*").alias("shared"), F.min(F.least("p.k", "q.k")).alias("k"), F.max(of("pos")).alias("p"), F.max(of("pos", True)).alias("q"), F.min(of("n")).alias("n"), F.min(of("n", True)).alias("m"))
+        .where("shared >= k").where(F.col("shared") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1 >= _need("n", "m", num, den)).select("a", "b")
     )
     pairs = materialize(pairs.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-pairs")
     rest = _verified(text, pairs, n, num, den, "join-rest")
