@@ -1,9 +1,480 @@
-"""All registered queries."""
+"""Every operator over the test tables, with its DuckDB twin.
 
+The tables hold no column catalogue, so one is derived: from `part` a catalogue
+(database, table, field, leaf with a code, grade), from `documents` a guide, from
+`events` grouped records.  Both engines derive them alike.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions.order import ROW
+from ..operators import chat, corpus, records, split, standards
+from ..schemas import CANONICAL, DEVELOPER_PROMPT, DOMAINS, EMPTY_LABEL, GENERIC_DOMAIN, METADATA, NA_TOKENS, PROMPT_HEAD, PROMPT_LABELS, TYPE_OF
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# SQL twins of the expressions ------------------------------------------------------
+
+
+def s_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def s_clean(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{tx.SPACES}+', ' ', 'g'))"
+
+
+def s_label(x: str) -> str:
+    return rf"trim(regexp_replace({s_clean(x)}, ' *[(\[（【] *[A-Za-z]+\p{{Nd}}*(?:-\p{{Nd}}+)* *[)\]）】] *$', ''))"
+
+
+def s_uuid5(x: str) -> str:
+    h = f"sha1(unhex('{tx.URL_NAMESPACE}') || encode({x}))"
+    return (
+        f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || translate(substr({h}, 17, 1), '0123456789abcdef', '{'89ab' * 4}')"
+        f" || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+    )
+
+
+def s_document_id(dataset: str, label: str, content: str) -> str:
+    return f"{dataset} || '-' || substr(sha256({dataset} || chr(31) || {label} || chr(31) || {content}), 1, 24)"
+
+
+S_TYPE_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in TYPE_OF.items()) + "}"
+S_RAW = """
+  SELECT p_partkey - 1 AS _row, p_brand AS database_name, p_type AS table_name, CASE WHEN p_size % 13 = 0 THEN NULL ELSE p_name END AS field_name,
+    p_name || '（A' || p_size || '）' AS leaf, 'L' || (p_size % 4 + 1) AS grade, CASE WHEN p_size % 3 = 0 THEN p_name || '_x' END AS aug1, CASE WHEN p_size % 5 = 0 THEN p_name || '_y' ELSE '  ' END AS aug2
+  FROM part
+"""
+S_CATALOGUE = f"""
+  SELECT _row, {s_clean("database_name")} AS database_name, {s_clean("table_name")} AS table_name, {s_clean("field_name")} AS field_name, {s_label("leaf")} AS category_leaf_level,
+    {s_clean("grade")} AS sensitivity_level, {s_clean("aug1")} AS augmented_column_name1, {s_clean("aug2")} AS augmented_column_name2
+  FROM ({S_RAW}) WHERE {s_clean("field_name")} <> ''
+"""
+S_FIRST = f"SELECT * FROM ({S_CATALOGUE}) QUALIFY row_number() OVER (PARTITION BY database_name, table_name, field_name ORDER BY _row) = 1"
+S_EXPANDED = f"""
+  SELECT _row, 0 AS _pos, database_name, table_name, field_name, field_name AS source_field, '' AS augmentation, 'original' AS label_status, category_leaf_level, sensitivity_level FROM ({S_FIRST})
+  UNION ALL SELECT _row, 1, database_name, table_name, augmented_column_name1, field_name, 'augmented_column_name1', 'synthesized', category_leaf_level, sensitivity_level FROM ({S_FIRST}) WHERE augmented_column_name1 <> ''
+  UNION ALL SELECT _row, CASE WHEN augmented_column_name1 <> '' THEN 2 ELSE 1 END, database_name, table_name, augmented_column_name2, field_name, 'augmented_column_name2', 'synthesized', category_leaf_level, sensitivity_level
+    FROM ({S_FIRST}) WHERE augmented_column_name2 <> ''
+"""
+
+
+# The derived tables ----------------------------------------------------------------
+
+MAPPING = {"db name": "database_name", "表名": "table_name", "field.name": "field_name", "leaf": "level_4", "grade": "data_level"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, name = F.col("p_size"), F.col("p_name")
+    return table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") - 1).alias(ROW), F.col("p_brand").alias("db name"), F.col("p_type").alias("表名"), F.when(size % 13 != 0, name).alias("field.name"),
+        F.concat(name, F.lit("（A"), size, F.lit("）")).alias("leaf"), F.concat(F.lit("L"), size % 4 + 1).alias("grade"),
+        F.when(size % 3 == 0, F.concat(name, F.lit("_x"))).alias("augmented_column_name1"), F.when(size % 5 == 0, F.concat(name, F.lit("_y"))).otherwise("  ").alias("augmented_column_name2"),
+    )
+
+
+def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.convert_schema(raw(spark, sf_dir), records.check_mapping(MAPPING))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.normalize_columns(records.clean_columns(bound(spark, sf_dir)).where(F.col("field_name") != ""))
+
+
+SHOWN = (ROW, "database_name", "table_name", "field_name", "category_leaf_level", "sensitivity_level")
+
+
+def guide(spark: SparkSession, sf_dir: str, by_normalized: bool = False) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW), "source", "lang", "text")
+    label = F.when(F.col(ROW) % 17 == 0, "(A3)").when(F.col(ROW) % 19 == 0, " ").otherwise(F.concat("source", F.lit(" ("), F.upper("lang"), F.lit("1)")))
+    return corpus.guide_rows(docs, label, F.col("text"), by_normalized=by_normalized)
+
+
+S_GUIDE_LABEL = "CASE WHEN doc_id % 17 = 0 THEN '(A3)' WHEN doc_id % 19 = 0 THEN ' ' ELSE source || ' (' || upper(lang) || '1)' END"
+
+
+def s_guide(test: str) -> str:
+    return f"""SELECT doc_id, doc_id + 2 AS source_row, raw_label, {s_label("raw_label")} AS label, content FROM (
+      SELECT doc_id, {s_clean(S_GUIDE_LABEL)} AS raw_label, {s_clean("text")} AS content FROM documents) WHERE {test} <> '' AND content <> ''"""
+
+
+# Text, labels, types, identifiers ---------------------------------------------------
+
+
+@query(f"SELECT doc_id, {s_clean('text')} AS text FROM documents")
+def q_clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
+
+
+@query(f"""SELECT p_partkey, {s_label("p_name || '（A' || p_size || '）'")} AS label, {s_label("p_name || ' (VIN) [B-' || p_size || '】'")} AS other FROM part""")
+def q_normalize_label(spark, sf_dir):
+    other = F.concat("p_name", F.lit(" (VIN) [B-"), "p_size", F.lit("】"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.normalize_label(F.concat("p_name", F.lit("（A"), "p_size", F.lit("）"))).alias("label"), tx.normalize_label(other).alias("other"))
+
+
+S_DECLARED = "CASE p_size % 6 WHEN 0 THEN 'varchar(' || p_size || ')' WHEN 1 THEN 'INT UNSIGNED' WHEN 2 THEN ' timestamp(6) with time zone' WHEN 3 THEN 'Number(10,2)' WHEN 4 THEN 'character varying(20)' ELSE '' END"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN t = '' THEN '' ELSE coalesce({S_TYPE_MAP}[regexp_split_to_array(t, '[\\s(]')[1]], upper(t)) END AS field_type
+  FROM (SELECT p_partkey, lower({s_clean(S_DECLARED)}) AS t FROM part)""")
+def q_normalize_type(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tx.normalize_type(F.expr(S_DECLARED)).alias("field_type"))
+
+
+@query(f"SELECT p_partkey, regexp_replace(regexp_replace(lower({s_clean('p_type')}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM part")
+def q_normalize_name(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tx.normalize_name(F.col("p_type")).alias("name"))
+
+
+S_LEVEL = "CASE p_size % 4 WHEN 0 THEN '1' WHEN 1 THEN ' level2 ' WHEN 2 THEN 'l3' ELSE 'LEVEL4' END"
+
+
+@query("SELECT p_partkey, 'L' || (p_size % 4 + 1) AS level FROM part")
+def q_normalize_level(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tx.normalize_level(F.expr(S_LEVEL)).alias("level"))
+
+
+S_IDENTITY = "concat_ws(chr(31), 'part.csv', database_name, table_name, field_name, source_field, augmentation, '', '', '', category_leaf_level, sensitivity_level)"
+
+
+@query(f"SELECT _row, _pos::INTEGER AS _pos, {s_uuid5(S_IDENTITY)} AS id FROM ({S_EXPANDED})")
+def q_record_id(spark, sf_dir):
+    made = records.to_records(records.expand_augmented(records.first_per_identity(catalogue(spark, sf_dir))), "part.csv", "part")
+    return made.select(ROW, "_pos", "id")
+
+
+@query(f"SELECT doc_id, {s_document_id(s_text('guide'), 'source', s_clean('text'))} AS id FROM documents")
+def q_document_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.document_id(F.lit("guide"), F.col("source"), tx.clean_text(F.col("text"))).alias("id"))
+
+
+# The row pipeline ------------------------------------------------------------------
+
+
+@query(f"""SELECT _row, {", ".join({"database_name": "database_name", "table_name": "table_name", "field_name": "field_name", "category_leaf_level": "leaf", "sensitivity_level": "grade"}.get(c, "''") + " AS " + c for c in CANONICAL)},
+  aug1 AS augmented_column_name1, aug2 AS augmented_column_name2 FROM ({S_RAW})""")
+def q_schema_map(spark, sf_dir):
+    return bound(spark, sf_dir)
+
+
+@query(f"SELECT {', '.join(SHOWN)} FROM ({S_CATALOGUE})")
+def q_filter_missing(spark, sf_dir):
+    return catalogue(spark, sf_dir).select(*SHOWN)
+
+
+@query(f"""SELECT _row + 2 AS source_row FROM ({S_RAW}) WHERE {s_clean("field_name")} = '' ORDER BY 1 LIMIT 10""")
+def q_missing_examples(spark, sf_dir):
+    rows = records.clean_columns(bound(spark, sf_dir)).where(F.col("field_name") == "")
+    return rows.orderBy(ROW).limit(10).select((F.col(ROW) + 2).alias("source_row"))
+
+
+@query(f"SELECT database_name, table_name, field_name, min(_row) AS _row FROM ({S_CATALOGUE}) GROUP BY ALL HAVING count(DISTINCT category_leaf_level || chr(31) || sensitivity_level) > 1")
+def q_conflicts(spark, sf_dir):
+    return records.conflicts(catalogue(spark, sf_dir))
+
+
+@query(f"SELECT {', '.join(SHOWN)} FROM ({S_FIRST})")
+def q_first_per_identity(spark, sf_dir):
+    return records.first_per_identity(catalogue(spark, sf_dir)).select(*SHOWN)
+
+
+@query(f"SELECT {', '.join(SHOWN)} FROM ({S_CATALOGUE}) QUALIFY row_number() OVER (PARTITION BY database_name, table_name, field_name, category_leaf_level, sensitivity_level ORDER BY _row) = 1")
+def q_first_per_identity_labels(spark, sf_dir):
+    return records.first_per_identity(catalogue(spark, sf_dir), with_labels=True).select(*SHOWN)
+
+
+@query(f"SELECT _row, min(_row) OVER (PARTITION BY database_name, table_name, field_name) AS first_row FROM ({S_CATALOGUE})")
+def q_duplicate_of(spark, sf_dir):
+    return corpus.duplicate_of(catalogue(spark, sf_dir), "database_name", "table_name", "field_name", order=ROW).select(ROW, "first_row")
+
+
+@query(f"SELECT _row, _pos::INTEGER AS _pos, field_name, source_field, augmentation, label_status FROM ({S_EXPANDED})")
+def q_augment(spark, sf_dir):
+    return records.expand_augmented(records.first_per_identity(catalogue(spark, sf_dir))).select(ROW, "_pos", "field_name", "source_field", "augmentation", "label_status")
+
+
+@query(f"""SELECT _row, _pos::INTEGER AS _pos, {s_uuid5(S_IDENTITY)} AS id, 'part' AS domain, label_status, database_name, table_name, field_name, '' AS value, category_leaf_level, sensitivity_level FROM ({S_EXPANDED})""")
+def q_nested_record(spark, sf_dir):
+    made = records.to_records(records.expand_augmented(records.first_per_identity(catalogue(spark, sf_dir))), "part.csv", "part")
+    return made.select(ROW, "_pos", "id", "domain", "label_status", "metadata.database_name", "metadata.table_name", "metadata.field_name", "metadata.value", "classification.category_leaf_level", "grading.sensitivity_level")
+
+
+@query(f"SELECT p_partkey, CASE WHEN v IS NULL OR v IN ({', '.join(map(s_text, NA_TOKENS))}) THEN '' ELSE v END AS cell FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'NA' WHEN 1 THEN '#N/A' WHEN 2 THEN NULL ELSE p_name END AS v FROM part)")
+def q_missing_cells(spark, sf_dir):
+    v = F.expr("CASE p_size % 4 WHEN 0 THEN 'NA' WHEN 1 THEN '#N/A' WHEN 2 THEN NULL ELSE p_name END")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.missing_to_empty(v).alias("cell"))
+
+
+# Corpora ---------------------------------------------------------------------------
+
+
+@query(f"SELECT source_row, raw_label, label, content FROM ({s_guide('raw_label')})")
+def q_guide_filter_raw(spark, sf_dir):
+    return guide(spark, sf_dir).where("missing = ''").select("source_row", "raw_label", "label", "content")
+
+
+@query(f"SELECT source_row, raw_label, label, content FROM ({s_guide('label')})")
+def q_guide_filter_normalized(spark, sf_dir):
+    return guide(spark, sf_dir, True).where("missing = ''").select("source_row", "raw_label", "label", "content")
+
+
+@query(f"""SELECT source_row, {s_document_id("'guide'", "label", "content")} AS id, content AS text, label AS level_4, CASE WHEN label <> raw_label THEN raw_label END AS source_level_4
+  FROM ({s_guide("raw_label")}) QUALIFY row_number() OVER (PARTITION BY label, content ORDER BY source_row) = 1""")
+def q_corpus_documents(spark, sf_dir):
+    return corpus.documents(guide(spark, sf_dir), "guide", "documents").select("source_row", "id", "text", "metadata.level_4", "metadata.source_level_4")
+
+
+@query(f"SELECT source_row, min(source_row) OVER (PARTITION BY label, content) AS first_row FROM ({s_guide('raw_label')}) QUALIFY first_row < source_row")
+def q_corpus_duplicates(spark, sf_dir):
+    return corpus.duplicate_of(guide(spark, sf_dir).where("missing = ''"), "label", "content").where("first_row < source_row").select("source_row", "first_row")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT label, content FROM ({s_guide("raw_label")})), l AS (SELECT label, count(*) AS n FROM d GROUP BY label)
+  SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM l) AS unique_labels, (SELECT count(*) FROM l WHERE n > 1) AS labels_with_multiple,
+    min(length(content))::BIGINT AS min_length, max(length(content))::BIGINT AS max_length, sum(length(content))::BIGINT AS total_length FROM d""")
+def q_corpus_stats(spark, sf_dir):
+    return corpus.corpus_statistics(corpus.first_rows(guide(spark, sf_dir).where("missing = ''"), "label", "content"))
+
+
+S_CUSTOMER = "'c' || (c_custkey % 300)"
+S_FIELDS = {"category_root_level": "c_mktsegment", "category_branch_level": "CASE WHEN c_custkey % 300 < 100 THEN 'B' || (c_custkey % 300) ELSE ' ' END", "category_subbranch_level": "''", "sensitivity_level": "'N' || c_nationkey"}
+
+
+def _index(spark, sf_dir):
+    return corpus.leaf_index(table(spark, sf_dir, "customer"), F.expr(f"{S_CUSTOMER} || ' (A1)'"), {f: F.expr(x) for f, x in S_FIELDS.items()})
+
+
+def _guide_rows(spark, sf_dir):
+    own = {"category_root_level": F.lit(""), "category_branch_level": F.lit(""), "category_subbranch_level": F.lit("own"), "sensitivity_level": F.when(F.col("o_orderkey") % 2 == 0, "own").otherwise("")}
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey") % 350).alias("leaf"), *[c.alias(f) for f, c in own.items()])
+
+
+S_INDEX = "SELECT leaf, " + ", ".join(f"list_sort(list(DISTINCT nullif({s_clean(x)}, '')) FILTER (WHERE {s_clean(x)} <> '')) AS {f}" for f, x in S_FIELDS.items()) + f" FROM (SELECT *, {S_CUSTOMER} AS leaf FROM customer) GROUP BY leaf"
+S_FILL = {"category_root_level": "''", "category_branch_level": "''", "category_subbranch_level": "'own'", "sensitivity_level": "CASE WHEN o_orderkey % 2 = 0 THEN 'own' ELSE '' END"}
+
+
+@query("SELECT o_orderkey, o.leaf, " + ", ".join(f"CASE WHEN {own} = '' AND coalesce(len(i.{f}), 0) = 1 THEN i.{f}[1] ELSE {own} END AS {f}" for f, own in S_FILL.items())
+       + f" FROM (SELECT *, 'c' || (o_custkey % 350) AS leaf FROM orders) o LEFT JOIN ({S_INDEX}) i ON o.leaf = i.leaf")
+def q_hierarchy_fallback(spark, sf_dir):
+    return corpus.fill_hierarchy(_guide_rows(spark, sf_dir), _index(spark, sf_dir)).drop("ambiguous")
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey, '{f}' AS field, array_to_string(i.{f}, ',') AS candidates FROM orders o JOIN ({S_INDEX}) i ON 'c' || (o_custkey % 350) = i.leaf WHERE {own} = '' AND len(i.{f}) > 1" for f, own in S_FILL.items()))
+def q_ambiguous(spark, sf_dir):
+    filled = corpus.fill_hierarchy(_guide_rows(spark, sf_dir), _index(spark, sf_dir))
+    return filled.select("o_orderkey", F.inline("ambiguous")).select("o_orderkey", "field", F.array_join("values", ",").alias("candidates"))
+
+
+def _two_sets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat("source", F.col("doc_id") % 7).alias("label")), docs.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_semi").select(F.concat("source", F.col("doc_id") % 9).alias("label"))
+
+
+S_SETS = "WITH a AS (SELECT DISTINCT source || (doc_id % 7) AS label FROM documents), b AS (SELECT DISTINCT source || (doc_id % 9) AS label FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))"
+
+
+@query(f"{S_SETS} SELECT label FROM a INTERSECT SELECT label FROM b")
+def q_label_overlap(spark, sf_dir):
+    return corpus.label_overlap(*_two_sets(spark, sf_dir))
+
+
+@query(f"{S_SETS} SELECT 'left' AS only_in, label FROM a WHERE label NOT IN (SELECT label FROM b) UNION ALL SELECT 'right', label FROM b WHERE label NOT IN (SELECT label FROM a)")
+def q_label_gaps(spark, sf_dir):
+    a, b = _two_sets(spark, sf_dir)
+    return corpus.label_gap(a, b).select(F.lit("left").alias("only_in"), "label").unionByName(corpus.label_gap(b, a).select(F.lit("right").alias("only_in"), "label"))
+
+
+@query(f"""SELECT source_row, {s_document_id("'guide'", "label", "content")} AS id, content AS data_description_and_example, 'Guide' AS dataset, label AS category_leaf_level, '' AS category_subbranch_level,
+  '' AS category_branch_level, '' AS category_root_level, '' AS sensitivity_level, 'ref' AS reference_standard FROM ({s_guide("label")}) QUALIFY row_number() OVER (PARTITION BY label, content ORDER BY source_row) = 1""")
+def q_flat_corpus(spark, sf_dir):
+    rows = corpus.first_rows(guide(spark, sf_dir, True).where("missing = ''"), "label", "content").withColumnRenamed("label", "leaf")
+    blank = {f: F.lit("") for f in ("category_root_level", "category_branch_level", "category_subbranch_level", "sensitivity_level")}
+    return corpus.flat_records(rows.withColumns(blank), "Guide", "ref")
+
+
+# Splits and reports ----------------------------------------------------------------
+
+
+@query("SELECT event_type, user_id % 4 AS part, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY ALL")
+def q_strata(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 4).alias("part")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("SELECT user_id, event_type AS value, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT user_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END, count(*) FROM events GROUP BY ALL")
+def q_group_counters(spark, sf_dir):
+    entries = F.array(F.col("event_type"), F.when(F.col("value") > 50, "high").otherwise("low"))
+    return table(spark, sf_dir, "events").select("user_id", F.explode(entries).alias("value")).groupBy("user_id", "value").agg(F.count("*").alias("n"))
+
+
+def s_quota(sizes: str, keys: str) -> str:
+    x = [f"total::DOUBLE * {r}::DOUBLE" for r in ("0.8", "0.1", "0.1")]
+    return f"""WITH z AS (SELECT *, {", ".join(f"floor({e})::BIGINT AS f{i}, {e} - floor({e}) AS r{i}" for i, e in enumerate(x))} FROM ({sizes})),
+      y AS (SELECT *, total - f0 - f1 - f2 AS rest FROM z),
+      g AS (SELECT {keys}, total,
+        f0 + ((CASE WHEN r1 > r0 THEN 1 ELSE 0 END + CASE WHEN r2 > r0 THEN 1 ELSE 0 END) < rest)::INT AS a,
+        f1 + ((CASE WHEN r0 >= r1 THEN 1 ELSE 0 END + CASE WHEN r2 > r1 THEN 1 ELSE 0 END) < rest)::INT AS b,
+        f2 + ((CASE WHEN r0 >= r2 THEN 1 ELSE 0 END + CASE WHEN r1 >= r2 THEN 1 ELSE 0 END) < rest)::INT AS c FROM y)
+      SELECT {keys}, total, a + (a = 0 AND b + c > 0)::INT AS n_train, b - (a = 0 AND b >= c AND b > 0)::INT AS n_val, c - (a = 0 AND b < c)::INT AS n_test FROM g"""
+
+
+S_SIZES = "SELECT user_id, count(*) AS total FROM events GROUP BY user_id"
+
+
+@query(s_quota(S_SIZES, "user_id"))
+def q_quota(spark, sf_dir):
+    return split.quotas(table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total")))
+
+
+def _hash_split(spark, sf_dir):
+    return split.split_by_hash(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), ["event_type"], "event_id", seed=42)
+
+
+S_HASH_SPLIT = f"""SELECT event_id, event_type, user_id, CASE WHEN place < n_train THEN 'train' WHEN place < n_train + n_val THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) - 1 AS place FROM events) JOIN ({s_quota("SELECT event_type, count(*) AS total FROM events GROUP BY event_type", "event_type")}) USING (event_type)"""
+
+
+@query(S_HASH_SPLIT)
+def q_split_hash(spark, sf_dir):
+    return _hash_split(spark, sf_dir)
+
+
+S_FIELD_ROWS = f"SELECT split, 'type' AS field, event_type AS value FROM ({S_HASH_SPLIT}) UNION ALL SELECT split, 'user', CASE WHEN user_id % 10 = 0 THEN '{EMPTY_LABEL}' ELSE 'u' || user_id END FROM ({S_HASH_SPLIT})"
+
+
+def _counts(spark, sf_dir):
+    fields = {"type": F.col("event_type"), "user": F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat(F.lit("u"), "user_id"))}
+    return split.label_counts(_hash_split(spark, sf_dir), fields)
+
+
+@query(f"SELECT field, split, value, count(*) AS n FROM ({S_FIELD_ROWS}) GROUP BY ALL")
+def q_split_report(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query(f"SELECT split, count(*) AS n FROM ({S_HASH_SPLIT}) GROUP BY split")
+def q_split_sizes(spark, sf_dir):
+    return _hash_split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH c AS (SELECT field, value, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'val') AS b, count(*) FILTER (WHERE split = 'test') AS c FROM ({S_FIELD_ROWS}) WHERE value <> '{EMPTY_LABEL}' GROUP BY ALL)
+  SELECT 'labels_missing_from_train' AS type, field, value AS label FROM c WHERE a = 0 UNION ALL SELECT 'train_labels_missing_from_val', field, value FROM c WHERE a > 0 AND b = 0
+  UNION ALL SELECT 'train_labels_missing_from_test', field, value FROM c WHERE a > 0 AND c = 0""")
+def q_split_warnings(spark, sf_dir):
+    return split.label_gaps(_counts(spark, sf_dir))
+
+
+@query()
+def q_split_stratified(spark, sf_dir):
+    return split.split_stratified(table(spark, sf_dir, "events").select("event_id", "event_type"), [F.col("event_type")], "event_id")
+
+
+@query()
+def q_split_group(spark, sf_dir):
+    return split.split_grouped(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), F.col("user_id"), {"type": F.col("event_type")}, "event_id")
+
+
+S_PROPS = "CASE event_id % 5 WHEN 0 THEN '{\"a\":{\"g\":\" \"}}' WHEN 1 THEN '{\"a\":{\"g\":null}}' WHEN 2 THEN '{\"a\":{}}' ELSE '{\"a\":{\"g\":\"x' || event_type || '\"}}' END"
+
+
+@query("SELECT event_id, 'x' || event_type AS g FROM events WHERE event_id % 5 IN (3, 4)")
+def q_missing_group(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.get_json_object(F.expr(S_PROPS), "$.a.g").alias("g"))
+    return rows.where(split.has_group(F.col("g")))
+
+
+@query("SELECT doc_id, coalesce(CAST(quality AS VARCHAR), '') AS quality FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(CAST(quality AS VARCHAR), '') <> ''")
+def q_labeled(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    quality = F.coalesce(F.col("quality").cast("string"), F.lit(""))
+    return rows.select("doc_id", quality.alias("quality")).where(chat.is_labeled([F.col("quality"), F.lit(" ")]))
+
+
+@query("SELECT count(*) AS input_records, count(quality) AS exported_records, count(*) - count(quality) AS skipped_unlabeled FROM documents LEFT JOIN labels USING (doc_id)")
+def q_export_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    labeled = chat.is_labeled([F.coalesce(F.col("quality").cast("string"), F.lit(""))])
+    return rows.agg(F.count("*").alias("input_records"), F.count_if(labeled).alias("exported_records"), F.count_if(~labeled).alias("skipped_unlabeled"))
+
+
+# Prompts and chat ------------------------------------------------------------------
+
+S_META = {"database_name": "p_brand", "table_name": "p_type", "field_name": "p_name", "field_type": "CASE WHEN p_size % 2 = 0 THEN 'INTEGER' ELSE ' ' END"}
+
+
+@query(f"SELECT p_partkey, concat_ws(chr(10), '{PROMPT_HEAD}', " + ", ".join(f"CASE WHEN trim({S_META[f]}) <> '' THEN '{PROMPT_LABELS[f]}：' || trim({S_META[f]}) END" for f in METADATA if f in S_META) + ") AS prompt FROM part")
+def q_prompt(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tx.prompt({f: F.expr(S_META.get(f, "''")) for f in METADATA}).alias("prompt"))
+
+
+@query(f"""SELECT _row, '{{"classification":{{"category_root_level":"","category_branch_level":"","category_subbranch_level":"","category_leaf_level":"' || category_leaf_level || '"}},"grading":{{"sensitivity_level":"' || sensitivity_level || '"}}}}' AS reference_answer_json,
+  {s_text(DEVELOPER_PROMPT)} AS developer, concat_ws(chr(10), '{PROMPT_HEAD}', '{PROMPT_LABELS["database_name"]}：' || database_name, '{PROMPT_LABELS["table_name"]}：' || table_name, '{PROMPT_LABELS["field_name"]}：' || field_name) AS prompt
+  FROM ({S_FIRST}) WHERE category_leaf_level <> ''""")
+def q_chat_records(spark, sf_dir):
+    first = records.first_per_identity(catalogue(spark, sf_dir))
+    made = records.to_records(records.expand_augmented(first.drop("augmented_column_name1", "augmented_column_name2")), "part.csv", "part")
+    chats = chat.chat_records(made.withColumn("pos", F.col(ROW)))
+    return chats.select(F.col("pos").alias(ROW), "reference_answer_json", F.col("messages")[0]["content"].alias("developer"), F.col("messages")[1]["content"].alias("prompt"))
+
+
+@query("""SELECT conv_id, to_json(list(struct_pack(role := role, content := text) ORDER BY turn)) AS messages FROM conversations GROUP BY conv_id""")
+def q_chat_messages(spark, sf_dir):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    return rows.select("conv_id", F.to_json(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).alias("messages"))
+
+
+# Standards -------------------------------------------------------------------------
+
+
+@query("SELECT p_type AS description, arg_max(CASE WHEN p_size % 7 = 0 THEN p_brand ELSE p_name END, p_partkey) AS category, min(p_partkey) AS first_at FROM part GROUP BY p_type")
+def q_last_wins(spark, sf_dir):
+    fourth = F.when(F.col("p_size") % 7 == 0, standards.ABSENT).otherwise(F.col("p_name"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(ROW), F.col("p_type").alias("description"), standards.fall_back(fourth, F.col("p_brand")).alias("category"))
+    return standards.last_entries(rows, "description", "category")
+
+
+@query("""SELECT e.p_name AS expanded, s.description, s.category FROM part e JOIN (SELECT p_type AS description, min(p_brand) AS category FROM part WHERE p_size < 25 GROUP BY p_type) s ON e.p_type = s.description""")
+def q_expansion_join(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    known = parts.where("p_size < 25").groupBy(F.col("p_type").alias("description")).agg(F.min("p_brand").alias("category"))
+    return standards.expanded_standards(parts.select(F.col("p_name").alias("expanded"), F.col("p_type").alias("description")), known).select("expanded", "description", "category")
+
+
+S_NATION = "CASE n_nationkey % 5 WHEN 0 THEN ' Finance ' WHEN 1 THEN 'INFRA' WHEN 2 THEN 'education' ELSE n_name END"
+
+
+@query(f"SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN 'given' ELSE coalesce(MAP {{{', '.join(f'{s_text(k)}: {s_text(v)}' for k, v in DOMAINS.items())}}}[lower(trim({S_NATION}))], {s_text(GENERIC_DOMAIN)}) END AS domain FROM nation")
+def q_domain_lookup(spark, sf_dir):
+    override = F.when(F.col("n_nationkey") % 6 == 0, " given ").otherwise(" ")
+    return table(spark, sf_dir, "nation").select("n_nationkey", tx.domain_description(F.expr(S_NATION), override).alias("domain"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
