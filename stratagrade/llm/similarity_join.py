@@ -34,7 +34,7 @@ from .cluster import discard, map_arrow, materialize
 from .textvec import LOWER, chunks, hashed, mix, sums, windows
 
 _U = np.uint64
-CELLS, CHUNKS = 1 << 20, 64
+CELLS, CHUNKS, CELL_SHIFT = 1 << 21, 128, 64 - 21
 MOST_K = 6
 RARE = 0.1  # other classes expected at a shingle that doesn't stand out
 BITMAP = 24
@@ -70,7 +70,7 @@ def _profiled(n: int):
             for texts in chunks(batch.column(1)):
                 sets = shingle_sets(texts, n)
                 size = np.array([len(s) for s in sets], np.int64)
-                cells += np.bincount((np.concatenate(sets) >> _U(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(cells, (np.concatenate(sets) >> _U(CELL_SHIFT)).astype(np.int64), np.uint32(1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(texts.first, len(texts)), pa.array(size), pa.array(fingerprints(sets), mask=size == 0), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                     ["doc_id", "n_shingles", "fp", "chunk", "cells"],
@@ -104,7 +104,7 @@ def _ranks(profile: DataFrame) -> np.ndarray:
     noise = float(np.median(cells))
     excess = np.maximum(cells - noise, 1)
     rank = np.round(4 * np.log2(excess)).clip(1, 250).astype(np.uint8)
-    rank[excess < 4 * np.sqrt(noise) + 2] = 0
+    rank[excess < 2 * np.sqrt(noise) + 2] = 0
     return rank
 
 
@@ -114,7 +114,7 @@ _POSTINGS = "token long, fp long, place long"  # place: n, k and pos in one numb
 def prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
     """The chosen prefix of a sorted set, in the global order, and its k."""
     n = len(s)
-    level = rank[(s >> _U(44)).astype(np.int64)]
+    level = rank[(s >> _U(CELL_SHIFT)).astype(np.int64)]
     order = np.lexsort((s, level))
     least = -(-num * n // den)  # what any partner shares with it
     others = np.cumsum(np.where(level == 0, RARE, np.exp2(level / 4.0))[order])
