@@ -6,13 +6,15 @@ keys -ln(u) / w (u: uniform from the document's id and text, w: its quality
 weight), as far as the running sum of sizes reaches.  The document at the edge
 gives as many of its first words as still fit.
 
-The sources need no task of their own: the keys are cut into buckets, bucket totals
-say in which bucket a source's budget ends, and only that bucket's rows are ordered
-one by one.
+The sources need no task of their own: the keys are cut into buckets, and those into
+finer ones; totals say in which of each a source's budget ends, and only the rows of
+one fine bucket are ordered one by one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,29 +70,36 @@ def _bucket(buckets: int) -> Column:
     return F.floor(F.col("_key") / (F.col("_key") + 1) * buckets)
 
 
+def _edge(cells: DataFrame, budgets: DataFrame, at: str) -> DataFrame:
+    """Where each source's budget ends: cells(source, at, _cell), budgets(source, _left)
+    -> source, at, _left (what remains of the budget before that cell)."""
+    upto = F.sum("_cell").over(Window.partitionBy("source").orderBy(at))
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    before = F.col("_sum") - F.col("_cell")
+    both = cells.withColumn("_sum", upto).alias("a").join(budgets.select("source", "_left").alias("b"), same)
+    return both.where((F.col("_sum") > F.col("_left")) & (before <= F.col("_left"))).select("a.source", f"a.{at}", (F.col("_left") - before).alias("_left"))
+
+
 def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, buckets: int = 1 << 14, broadcast_sources: int = 100_000) -> DataFrame:
     """A row for each source: source, source_size, target, epochs, and where the
     fractional selection ends: rows with a key below `edge` are taken whole, those
     at it (one row, or repeats of it) give `edge_words` words each.  The plan is
     broadcast to the rows if it has no more than `broadcast_sources` of them; else
     the join shuffles, and Spark splits a hot source's partition."""
+    side = max(1, math.isqrt(buckets))
     slim = _keyed(docs.select("doc_id", "source", "text"), seed).select("source", "_size", "_key")
-    slim = materialize(slim.withColumn("_bucket", _bucket(buckets)), "mix-keys")
-    cells = slim.groupBy("source", "_bucket").agg(F.sum("_size").alias("_cell"))
-    sources = source_targets(cells.groupBy("source").agg(F.sum("_cell").alias("source_size")), weights, share, most)
+    slim = materialize(slim.withColumn("_bucket", _bucket(side * side)).withColumn("_coarse", F.floor(F.col("_bucket") / side)), "mix-keys")
+    coarse = slim.groupBy("source", "_coarse").agg(F.sum("_size").alias("_cell"))
+    sources = source_targets(coarse.groupBy("source").agg(F.sum("_cell").alias("source_size")), weights, share, most)
     sources = materialize(
         sources.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
-        .withColumn("_budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))),
+        .withColumn("_left", F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))),
         "mix-sources",
     )
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    running = Window.partitionBy("source").orderBy("_bucket")
-    edges = (
-        cells.withColumn("_sum", F.sum("_cell").over(running)).alias("a")
-        .join(sources.alias("b"), same)
-        .where((F.col("_sum") > F.col("_budget")) & (F.col("_sum") - F.col("_cell") <= F.col("_budget")))
-        .select("a.source", "a._bucket", (F.col("_budget") - F.col("_sum") + F.col("_cell")).alias("_left"))
-    )
+    wide = _edge(coarse, sources, "_coarse")
+    inside = slim.alias("a").join(wide.alias("b"), same & (F.col("a._coarse") == F.col("b._coarse"))).select("a.source", "_bucket", "_size")
+    edges = _edge(inside.groupBy("source", "_bucket").agg(F.sum("_size").alias("_cell")), wide, "_bucket")
     keys = (
         slim.alias("a").join(edges.alias("b"), same & (F.col("a._bucket") == F.col("b._bucket")))
         .where("_size > 0")
