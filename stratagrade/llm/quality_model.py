@@ -99,11 +99,10 @@ def train(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 5,
             chosen = order[at : at + batch]
             ids = np.concatenate([bags[i][0] for i in chosen])
             part = np.concatenate([bags[i][1] for i in chosen])
-            row = np.repeat(np.arange(len(chosen)), [len(bags[i][0]) for i in chosen])
+            size = np.array([len(bags[i][0]) for i in chosen])
+            row = np.repeat(np.arange(len(chosen)), size)
             hidden = np.zeros((len(chosen), dim), np.float32)
-            weighted = vectors[ids] * part[:, None]
-            for k in range(dim):
-                hidden[:, k] = np.bincount(row, weighted[:, k], len(chosen))
+            hidden[size > 0] = np.add.reduceat(vectors[ids] * part[:, None], (np.cumsum(size) - size)[size > 0], axis=0) if len(ids) else 0
             logit = hidden @ output + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -113,7 +112,11 @@ def train(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 5,
             back = wrong @ output.T
             output -= step * hidden.T @ wrong
             bias -= step * wrong.sum(0)
-            np.subtract.at(vectors, ids, (step * gain) * part[:, None] * back[row])
+            by_id = np.argsort(ids)
+            ids = ids[by_id]
+            if len(ids):
+                first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+                vectors[ids[first]] -= (step * gain) * np.add.reduceat(part[by_id, None] * back[row[by_id]], first, axis=0)
     difference = output[:, 1] - output[:, 0]
     return Model((vectors @ difference).astype(np.float32), float(bias[1] - bias[0]))
 
