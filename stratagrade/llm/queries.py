@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import language_model, licenses, mixing, orc_tokens, quality_model, rules, sharding, similarity_join, tiling, token_counts
 
