@@ -4,23 +4,23 @@ Counts of words and word pairs over all training documents are summed by segment
 their hash, each segment in one task.  A count c is quantised to 1 + floor(log2 c)
 levels, and the keys (n-gram, 1) to (n-gram, level) go into the segment's part of a
 Bloom filter; a look-up probes levels until one is missing.  The parts together are
-the model: they hold every n-gram, at `bits_per_key` as long as the whole stays under
-`most_bits` (beyond, it fills up and errs more often, always towards larger counts).
-That bound is what is broadcast.
+the model: they hold every n-gram at `bits_per_key`, however many there are, and stay
+where they are.  Documents are cut into blocks; each block asks the segments for its
+distinct n-grams and is scored from their answers.
 
 P(w | v) = (c(v w) + m P(w)) / (c(v) + m),  P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 with quantised counts, the first word's v being the start of a text.
 
 The base score needs exact word counts.  The most frequent words (a bounded number)
-are broadcast with theirs; the others are joined by segment of the hash.
+are broadcast with theirs; the others are asked for like n-grams.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,6 +34,8 @@ END = mix(np.array([0x454E44], np.uint64), 9)[0]
 START = mix(np.array([0x53544152], np.uint64), 9)[0]
 WORD, PAIR = 1, 2
 FLUSH = 1_500_000
+#: Tokens of a block of documents that is scored at once.
+BLOCK = 1_000_000
 LEVELS = 48
 #: What a level stands for: the middle of its counts on a log scale.
 VALUE = np.concatenate(([0.0, 1.0], 2.0 ** np.arange(1, LEVELS) * 1.4))
@@ -134,12 +136,13 @@ def _probe_places(keys: np.ndarray, level: int, size: np.ndarray | int) -> tuple
     return word.astype(np.int64), one << (g & _U(63)) | one << (g >> _U(6) & _U(63)) | one << (g >> _U(12) & _U(63)) | one << (g >> _U(18) & _U(63))
 
 
-_SEGMENTS = "kind int, segment int, keys binary, counts binary, n long, total long"
+_SEGMENTS = "kind int, segment int, keys binary, counts binary, levels binary, n long, total long"
 
 
-def _segment(bits: int, bits_per_key: float, most_words: int):
-    """Exact counts of a segment of words, or the filter words of one of pairs; both
-    kinds give filter words too."""
+def _segment(bits: int, bits_per_key: float, most_words: int | None = None):
+    """Filter words of a segment (`most_words` at most, if given; score() gives no
+    bound), and of one of words also the exact counts and the levels that the filter
+    gives."""
 
     def run(key, table):
         kind = key[0].as_py()
@@ -148,24 +151,27 @@ def _segment(bits: int, bits_per_key: float, most_words: int):
         counts = np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column("counts")]).astype(np.int64)
         keys, counts = _summed(keys, counts)
         level = 1 + np.floor(np.log2(counts)).astype(np.int64)
-        size = int(min(most_words, max(1, -(-level.sum() * bits_per_key // 64))))
+        size = int(max(1, -(-level.sum() * bits_per_key // 64)))
+        size = size if most_words is None else min(most_words, size)
         bloom = np.zeros(size, np.uint64)
         stem = keys if kind == PAIR else keys << _U(bits) & ~_U((1 << 24) - 1)  # both kinds by the same 40 bits
         for j in range(1, int(level.max()) + 1):
             word, mask = _probe_places(stem[level >= j], j + LEVELS * (kind == WORD), size)
             np.bitwise_or.at(bloom, word, mask)
-        rows = [(kind + 10, bloom.tobytes(), b"", size, 0)]
+        rows = [(kind + 10, bloom.tobytes(), b"", b"", size, 0)]
         if kind == WORD:
-            rows.append((WORD, keys.tobytes(), counts.tobytes(), len(keys), int(counts.sum())))
+            held = one_segment(bits, kind, bloom).levels(WORD, keys).astype(np.uint8)
+            rows.append((WORD, keys.tobytes(), counts.tobytes(), held.tobytes(), len(keys), int(counts.sum())))
         n = len(rows)
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()), *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.binary()), (2, pa.binary()), (3, pa.int64()), (4, pa.int64())))], [c.split()[0] for c in _SEGMENTS.split(", ")])
+        types = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types, 1))], [c.split()[0] for c in _SEGMENTS.split(", ")])
 
     return run
 
 
 @dataclass
 class Filter:
-    """Filter words of all segments, one kind after the other."""
+    """Filter words of some segments, by kind, and where each segment's stand."""
 
     bits: int
     words: dict[int, np.ndarray]
@@ -188,107 +194,181 @@ class Filter:
         return out
 
 
+def one_segment(bits: int, kind: int, bloom: np.ndarray) -> Filter:
+    """The filter for keys that are all of one segment."""
+    n = 1 << bits
+    return Filter(bits, {kind: bloom}, {kind: np.zeros(n, np.int64)}, {kind: np.full(n, len(bloom))})
+
+
 # Scoring -------------------------------------------------------------------------
 
 
+_BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, starts binary, words binary, codes binary"
+
+
+def _blocks(batches):
+    """Documents in blocks: hashes of the block's distinct words, the frequent first,
+    and for each token which of them it is (planes of bytes, compressed)."""
+    block = TaskContext.get().partitionId() << 32
+    ids, held_out, parts, sizes, held = [], [], [], [], 0
+
+    def emit():
+        words, codes, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        planes = rank[codes].view(np.uint8).reshape(-1, 4).T
+        starts = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
+        blobs = [starts.tobytes()], [words[order].tobytes()], [zlib.compress(planes.tobytes(), 1)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array([sum(ids, [])], pa.list_(pa.int64())), pa.array([sum(held_out, [])], pa.list_(pa.bool_())), *(pa.array(b, pa.binary()) for b in blobs)],
+            [c.split()[0] for c in _BLOCKS.split(", ")],
+        )
+
+    for batch in batches:
+        for texts in chunks(batch.column(1)):
+            token, at = tokens(texts)
+            rows = slice(texts.first, texts.first + len(texts))
+            ids.append(batch.column(0)[rows].to_pylist())
+            held_out.append(batch.column(2)[rows].to_pylist())
+            parts.append(token)
+            sizes.append(np.diff(at))
+            held += len(token)
+            if held > BLOCK:
+                yield emit()
+                block, ids, held_out, parts, sizes, held = block + 1, [], [], [], [], 0
+    if parts:
+        yield emit()
+
+
 @dataclass
 class Scorer:
-    filter: Filter
     frequent: np.ndarray  # sorted hashes
     frequent_counts: np.ndarray
+    frequent_levels: np.ndarray
     total: int  # N
     distinct: int  # V
     texts: int  # training texts
     smoothing: float
 
-    def prepare(self) -> None:
-        if not hasattr(self, "index"):
-            self.index = pd.Index(self.frequent)
-            self.divisor = self.total + 0.5 * (self.distinct + 1)
-
-    def model_log10(self, token: np.ndarray, at: np.ndarray) -> np.ndarray:
-        code, distinct = pd.factorize(token)
-        count = VALUE[self.filter.levels(WORD, distinct)]
-        single = ((count + 0.5) / self.divisor)[code]
-        count = count[code]
-        prior = np.empty(len(token))
-        prior[1:] = count[:-1]
-        prior[at[:-1]] = self.texts
-        pair = VALUE[self.filter.levels(PAIR, pair_keys(before(token, at), token))]
-        chance = (pair + self.smoothing * single) / (np.maximum(prior, pair) + self.smoothing)
-        return np.log10(np.minimum(chance, 1.0))
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """Where each word stands among the frequent ones, or -1."""
+        if not len(self.frequent):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == words, at, -1)
 
 
-_SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, segment int, owners binary, keys binary, times binary"
+def _read_block(starts: bytes, words: bytes, codes: bytes):
+    """Offsets, distinct words (sorted), codes of the tokens, distinct pairs (sorted)
+    and codes of the tokens' pairs."""
+    at, words = np.frombuffer(starts, np.int64), np.frombuffer(words, np.uint64)
+    order = np.argsort(words)
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    codes = rank[np.ascontiguousarray(np.frombuffer(zlib.decompress(codes), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]]
+    words = words[order]
+    token = words[codes]
+    return at, words, codes, *np.unique(pair_keys(before(token, at), token), return_inverse=True)
 
 
-def _scored(model, bits: int):
-    """One row for each document, with what the frequent words give, and blobs of the
-    other words by segment."""
+_ASKED = "block long, kind int, segment int, keys binary"
 
-    def rest(parts):
-        owner, key, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key, kind="stable")
-        owner, key, times = owner[order], key[order], times[order]
-        cut = np.searchsorted(key >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(key)])
-        used = [i for i in range(1 << bits) if cut[i] < cut[i + 1]]
-        blobs = [[x[cut[i] : cut[i + 1]].tobytes() for i in used] for x in (owner, key, times)]
-        n = len(used)
-        nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        return pa.RecordBatch.from_arrays([*nothing, pa.array(used, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names)
 
-    names = [c.split()[0] for c in _SCORED.split(", ")]
+def _asked(model, bits: int):
+    """What each block asks of each segment: distinct pairs, and distinct words that
+    are not among the frequent ones, in order."""
 
     def run(batches):
         scorer: Scorer = model.value
-        scorer.prepare()
-        uid, parts, held = TaskContext.get().partitionId() << 40, [], 0
-        log = np.log10(scorer.frequent_counts + 0.5)
         for batch in batches:
-            for texts in chunks(batch.column(1)):
-                n = len(texts)
-                token, at = tokens(texts)
-                owner = np.repeat(np.arange(n), np.diff(at))
-                place = scorer.index.get_indexer(token)
-                known = place >= 0
-                base = np.bincount(owner[known], log[place[known]], n)
-                score = np.bincount(owner, scorer.model_log10(token, at), n)
-                if not known.all():
-                    pair = pd.DataFrame({"o": owner[~known] + uid, "k": token[~known]}).value_counts(sort=False)
-                    parts.append((pair.index.get_level_values(0).to_numpy(np.int64), pair.index.get_level_values(1).to_numpy(np.uint64), pair.to_numpy(np.int32)))
-                    held += len(pair)
-                rows = slice(texts.first, texts.first + n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(n)), batch.column(0)[rows], batch.column(2)[rows], pa.array(np.diff(at)), pa.array(np.bincount(owner[known], minlength=n)), pa.array(base), pa.array(score), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3))],
-                    names,
-                )
-                uid += n
-                if held > FLUSH:
-                    yield rest(parts)
-                    parts, held = [], 0
-        if parts:
-            yield rest(parts)
+            for block, *blobs in zip(*(batch.column(c) for c in ("block", "starts", "words", "codes")), strict=True):
+                _, words, _, pairs, _ = _read_block(*(b.as_py() for b in blobs))
+                for kind, keys in ((WORD, words[scorer.place(words) < 0]), (PAIR, pairs)):
+                    cut = np.searchsorted(keys >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                    used = [i for i in range(1 << bits) if cut[i] < cut[i + 1]]
+                    n = len(used)
+                    parts = (keys[cut[i] : cut[i + 1]] for i in used)
+                    packed = [p.tobytes() if kind == WORD else _pack5(p, bits) for p in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], [c.split()[0] for c in _ASKED.split(", ")])
 
     return run
 
 
-def _looked_up(left, right):
-    """Exact counts for the words of one segment: what each document gets from them."""
-    if not left.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], ["uid", "more", "found"])
-    owner, key, times = (np.concatenate([np.frombuffer(b.as_py(), t) for b in left.column(c)]) for c, t in (("owners", np.int64), ("keys", np.uint64), ("times", np.int32)))
-    known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b.as_py(), np.uint64) for b in right.column("keys"))])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b.as_py(), np.int64) for b in right.column("counts"))])
-    count = np.zeros(len(key), np.int64)
-    if len(known):  # sorted: one blob a segment
-        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        count = np.where(known[place] == key, counts[place], 0)
-    code, uid = pd.factorize(owner)
-    return pa.table([pa.array(uid), pa.array(np.bincount(code, np.log10(count + 0.5) * times)), pa.array(np.bincount(code, (count > 0) * times).astype(np.int64))], ["uid", "more", "found"])
+_ANSWERS = "block long, kind int, segment int, levels binary, counts binary"
+
+
+def _answered(bits: int):
+    """Levels, and for words exact counts, of what blocks ask of one segment."""
+
+    def run(key, left, right):
+        kind, segment = key[0].as_py(), key[1].as_py()
+        blocks, levels, counts = left.column("block").to_pylist(), [], []
+        have = {r["row"]: r for r in right.to_pylist()}
+        bloom = np.frombuffer(have[kind + 10]["keys"] if have else b"", np.uint64)
+        held = one_segment(bits, kind, bloom)
+        known, known_counts = (np.frombuffer(have[WORD][c] if WORD in have else b"", t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+        for blob in left.column("keys"):
+            raw = blob.as_py()
+            keys = np.frombuffer(raw, np.uint64) if kind == WORD else _U(segment << 64 - bits) | _unpack5(raw) >> _U(bits)
+            levels.append(held.levels(kind, keys).astype(np.uint8).tobytes())
+            count = np.zeros(len(keys) if kind == WORD else 0, np.int64)
+            if len(count) and len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                count = np.where(known[place] == keys, known_counts[place], 0)
+            counts.append(count.tobytes())
+        n = len(blocks)
+        return pa.table([pa.array(blocks, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(levels, pa.binary()), pa.array(counts, pa.binary())], [c.split()[0] for c in _ANSWERS.split(", ")])
+
+    return run
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(model):
+    """One row for each document of a block, from the block and its answers."""
+
+    def run(_, left, right):
+        scorer: Scorer = model.value
+        block = left.to_pylist()[0]
+        at, words, codes, pairs, pair_codes = _read_block(block["starts"], block["words"], block["codes"])
+        right = right.sort_by("segment")  # what was asked is sorted, so answers by segment are in its order
+        kinds = right.column("kind").to_numpy()
+
+        def got(kind, column, dtype):
+            return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(b.as_py(), dtype) for b in right.column(column).filter(pa.array(kinds == kind)))])
+
+        place = scorer.place(words)
+        asked = place < 0
+        level, exact = np.zeros(len(words), np.uint8), np.zeros(len(words), np.int64)
+        level[asked], exact[asked] = got(WORD, "levels", np.uint8), got(WORD, "counts", np.int64)
+        level[~asked], exact[~asked] = scorer.frequent_levels[place[~asked]], scorer.frequent_counts[place[~asked]]
+        pair_level = got(PAIR, "levels", np.uint8)
+        if len(pair_level) != len(pairs):
+            raise ValueError(f"{len(pairs)} pairs asked, {len(pair_level)} answered")
+
+        divisor = scorer.total + 0.5 * (scorer.distinct + 1)
+        count = VALUE[level]
+        single = ((count + 0.5) / divisor)[codes]
+        count = count[codes]
+        prior = np.empty(len(codes))
+        prior[1:] = count[:-1]
+        prior[at[:-1]] = scorer.texts
+        pair = VALUE[pair_level][pair_codes]
+        chance = (pair + scorer.smoothing * single) / (np.maximum(prior, pair) + scorer.smoothing)
+        n = len(at) - 1
+        owner = np.repeat(np.arange(n), np.diff(at))
+        base = np.bincount(owner, np.log10((exact + 0.5) / divisor)[codes], n)
+        known = np.bincount(owner, (exact > 0)[codes], n).astype(np.int64)
+        score = np.bincount(owner, np.log10(np.minimum(chance, 1.0)), n)
+        return pa.table([pa.array(block["doc_ids"], pa.int64()), pa.array(block["held_out"], pa.bool_()), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(score)], [c.split()[0] for c in _SCORED.split(", ")])
+
+    return run
 
 
 def score(
-    docs: DataFrame, *, held_out_of: int = 5, frequent: int = 200_000, bits_per_key: float = 10.0, most_bits: int = 1 << 29, smoothing: float = 2.0
+    docs: DataFrame, *, held_out_of: int = 5, frequent: int = 200_000, bits_per_key: float = 10.0, smoothing: float = 2.0
 ) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score: one row for each row of `docs`; ids whose crc32 leaves 1 by
@@ -305,29 +385,20 @@ def score(
     bits = max(5, (2 * rows.rdd.getNumPartitions() - 1).bit_length())  # segments grow with the input
     ship(spark)
     counted = map_arrow(rows.where("NOT held_out").select("text"), _counted(bits), _COUNTS)
-    segments = materialize(counted.groupBy("kind", "segment").applyInArrow(_segment(bits, bits_per_key, max(1, (most_bits >> bits) // 64)), _SEGMENTS), "lm-segments")
-    exact = segments.where(F.col("kind") == WORD).select("segment", "keys", "counts", "n", "total")
+    segments = materialize(counted.groupBy("kind", "segment").applyInArrow(_segment(bits, bits_per_key), _SEGMENTS), "lm-segments")
+    exact = segments.where(F.col("kind") == WORD).select("keys", "counts", "levels", "n", "total")
     sums = exact.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
     top = _most_frequent(exact, frequent)
     at = int(np.searchsorted(top[0], END))
     texts = int(top[1][at]) if at < len(top[0]) and top[0][at] == END else 0
-    scorer = Scorer(_collect_filter(segments, bits), *top, int(sums["n"]), int(sums["v"]), texts, smoothing)
+    scorer = Scorer(*top, int(sums["n"]), int(sums["v"]), texts, smoothing)
     model = spark.sparkContext.broadcast(scorer)
-    scored = materialize(map_arrow(rows.select("doc_id", "text", "held_out"), _scored(model, bits), _SCORED), "lm-scored")
-    others = scored.where("segment IS NOT NULL").select("segment", "owners", "keys", "times")
-    more = others.groupBy("segment").cogroup(exact.select("segment", "keys", "counts").groupBy("segment")).applyInArrow(_looked_up, "uid long, more double, found long")
-    more = more.groupBy("uid").agg(F.sum("more").alias("more"), F.sum("found").alias("found"))
-    each = scored.where("segment IS NULL").select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    divisor = float(np.log10(scorer.total + 0.5 * (scorer.distinct + 1)))
-    return each.join(more, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(scorer.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * divisor).alias("base_score"),
-        "score",
-    )
+    blocks = materialize(map_arrow(rows.select("doc_id", "text", "held_out"), _blocks, _BLOCKS), "lm-blocks")
+    asked = map_arrow(blocks, _asked(model, bits), _ASKED)
+    parts = segments.select((F.col("kind") % 10).alias("kind"), "segment", F.col("kind").alias("row"), "keys", "counts")
+    answers = asked.groupBy("kind", "segment").cogroup(parts.groupBy("kind", "segment")).applyInArrow(_answered(bits), _ANSWERS)
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(model), _SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(scorer.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _counts_of_counts(batches):
@@ -340,16 +411,16 @@ def _counts_of_counts(batches):
 def _at_least(least: int):
     def run(batches):
         for batch in batches:
-            for keys, counts in zip(batch.column("keys"), batch.column("counts"), strict=True):
-                k, c = np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64)
+            for blobs in zip(batch.column("keys"), batch.column("counts"), batch.column("levels"), strict=True):
+                k, c, held = (np.frombuffer(b.as_py(), t) for b, t in zip(blobs, (np.uint64, np.int64, np.uint8), strict=True))
                 chosen = (c >= least) | (k == END)
-                yield pa.RecordBatch.from_arrays([pa.array(k[chosen].view(np.int64)), pa.array(c[chosen])], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[chosen].view(np.int64)), pa.array(c[chosen]), pa.array(held[chosen].astype(np.int64))], ["key", "n", "level"])
 
     return run
 
 
-def _most_frequent(exact: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words with their counts, down to the count at which they are `most` at most."""
+def _most_frequent(exact: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with their counts and levels, down to the count at which they are `most` at most."""
     spread = map_arrow(exact.select("counts"), _counts_of_counts, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
     room, least = most, 1
     for r in spread.orderBy(F.col("value").desc()).toLocalIterator():
@@ -357,18 +428,7 @@ def _most_frequent(exact: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
         if room < 0:
             least = r["value"] + 1
             break
-    table = map_arrow(exact.select("keys", "counts"), _at_least(least), "key long, n long").toArrow()
-    keys, counts = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    table = map_arrow(exact.select("keys", "counts", "levels"), _at_least(least), "key long, n long, level long").toArrow()
+    keys, counts, levels = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), table.column("level").to_numpy()
     order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def _collect_filter(segments: DataFrame, bits: int) -> Filter:
-    """The filter's words, at most `most_bits` of each kind in all."""
-    words, start, size = {}, {}, {}
-    for kind in (WORD, PAIR):
-        parts = {r["segment"]: np.frombuffer(r["keys"], np.uint64) for r in segments.where(F.col("kind") == kind + 10).select("segment", "keys").toLocalIterator()}
-        size[kind] = np.array([len(parts.get(i, ())) for i in range(1 << bits)])
-        start[kind] = np.concatenate(([0], np.cumsum(size[kind])))[:-1]
-        words[kind] = np.concatenate([np.zeros(0, np.uint64), *(parts[i] for i in sorted(parts))])
-    return Filter(bits, words, start, size)
+    return keys[order], counts[order], levels[order].astype(np.uint8)

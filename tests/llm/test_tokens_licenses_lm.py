@@ -148,3 +148,39 @@ def test_filter_never_counts_too_little():
     assert (got >= level).all() and (got == level).mean() > 0.9
     strange = held.levels(1, np.setdiff1d(rng.integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64), keys))
     assert (strange > 0).mean() < 0.1
+
+
+def test_filter_grows_with_the_levels(spark, monkeypatch):
+    """The segments that score() makes hold any number of n-grams at bits_per_key."""
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(language_model, "_segment", lambda *a: made.append(_segment(*a)) or made[-1])
+    language_model.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string").coalesce(1)).collect()
+    n, bits = 1 << 22, 5
+    keys = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 40, n + 10_000, dtype=np.uint64) << np.uint64(24)  # the 40 bits after segment 0's
+    table = pa.table({"keys": pa.array([keys[:n].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()], pa.binary()), "counts": pa.array([np.ones(n, np.uint32).tobytes()], pa.binary())})
+    bloom = np.frombuffer(made[0]((pa.scalar(2), pa.scalar(0)), table).to_pylist()[0]["keys"], np.uint64)
+    assert len(bloom) * 64 >= 9.99 * n
+    held = Filter(bits, {2: bloom}, {2: np.zeros(32, np.int64)}, {2: np.full(32, len(bloom))})
+    assert (held.levels(2, keys[:1000] >> np.uint64(bits)) >= 1).all()
+    assert (held.levels(2, keys[n:] >> np.uint64(bits)) > 0).mean() < 0.05
+
+
+def test_scores_by_hand(docs, rows):
+    """Quantised counts in the formula, over many blocks and with nearly no false positives."""
+    token = [(i, [*low(t).encode().split(), None]) for i, t, _ in rows]
+    train = [w for i, w in token if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    word, pair = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([0, *w], w))
+    n, v = sum(word.values()), len(word)
+    held = lambda c: 0 if not c else 1 if c == 1 else 1.4 * 2 ** math.floor(math.log2(c))
+
+    def one(before, x):
+        single = (held(word[x]) + 0.5) / (n + 0.5 * (v + 1))
+        both, prior = held(pair[before, x]), len(train) if before == 0 else held(word[before])
+        return math.log10(min(1.0, (both + 2 * single) / (max(prior, both) + 2)))
+
+    want = Counter((i, round(sum(one(a, b) for a, b in zip([0, *w], w)), 3)) for i, w in token)
+    for frequent in (200_000, 5):
+        got = Counter((r["doc_id"], round(r["score"], 3)) for r in language_model.score(docs.repartition(20), frequent=frequent, bits_per_key=400.0).collect())
+        assert (want - got).total() <= 0.05 * len(rows)
