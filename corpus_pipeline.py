@@ -9,7 +9,7 @@ from stratagrade.llm.cluster import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules reject go; the others keep whole texts."""
+    """Documents that the line-first rules reject go; the others lose the lines that fail."""
     return rules.kept_rows(docs)
 
 

@@ -119,5 +119,13 @@ def verdicts(docs: DataFrame, **limits) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of `docs` that are kept, with their whole texts."""
-    return measure(docs, **limits).where("__rules.kept").drop("__rules")
+    """The rows of `docs` that are kept, without the lines that fail.  Where lines went,
+    `n_chars` (if there is one) is the new length; other columns pass through."""
+    names = [f"`{c}`" for c in docs.columns if c != "__rules"]
+    passed = F.explode(F.filter(F.array("__rules"), lambda r: r["kept"]))  # where() would be pushed down with a copy of the rules
+    kept = measure(docs, **limits).select(*names, passed.alias("__rules"))
+    clean = F.col("__rules.clean_text")
+    changed = {"text": clean}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(clean == F.col("text"), F.col("n_chars")).otherwise(F.char_length(clean)).cast(docs.schema["n_chars"].dataType)
+    return kept.withColumns(changed).drop("__rules")

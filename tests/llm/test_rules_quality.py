@@ -50,6 +50,17 @@ def test_kept_rows(docs, nothing):
     assert rules.verdicts(nothing).count() == 0
 
 
+def test_kept_rows_lose_failing_lines(spark):
+    good = [" ".join(f"plain{i}word{k}" for k in range(12)) + "." for i in range(4)]
+    texts = {1: "\n".join([good[0], "Home | About | Contact | Login", *good[1:], "All rights reserved", "$$$ ### *** %%%"]), 2: "\n".join([good[0], "", *good[1:]]), 3: "Menu"}
+    df = spark.createDataFrame([(i, t, "s", len(t)) for i, t in texts.items()], "doc_id long, text string, source string, n_chars int")
+    clean = {1: "\n".join(good), 2: texts[2]}
+    out = rules.kept_rows(df)
+    assert out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+    assert {r["doc_id"]: tuple(r)[1:] for r in out.collect()} == {i: (t, "s", len(t)) for i, t in clean.items()}
+    assert {r["text"] for r in rules.kept_rows(df.select("doc_id", "text")).collect()} == set(clean.values())
+
+
 def test_plan_is_native_and_without_shuffle(docs):
     plan = docs.sparkSession.createDataFrame([], "doc_id long, text string")
     text = rules.verdicts(plan)._jdf.queryExecution().executedPlan().toString()
