@@ -20,7 +20,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover half of a test item go."""
-    return tiling.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return tiling.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ tile covers are marked first, found by running Karp-Rabin hashes over windows th
 are halved until `min_match`.  The share of an item's words under tiles is its
 coverage, which does not fall when a passage's parts are reordered.
 
+An item of fewer words is its own seed: it is shared as a whole or not at all.
+
 The test items are read in blocks of bounded size, one after the other; documents
 are never shuffled.
 """
@@ -113,54 +115,66 @@ def _near_seeds(words: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
     return np.insert(kept, at, np.arange(1, len(at) + 1, dtype=np.uint64))
 
 
-def _block(rows: list, min_match: int):
-    """Word hashes of the items of a block, and seed -> items."""
-    items, seeds = {}, defaultdict(set)
+def _block(rows: list, min_match: int, short_items: bool):
+    """Word hashes of the items of a block, and for each number of words (min_match
+    first) seed -> items.  A key is (False, id), or (True, place) for a null id."""
+    items, seeds = {}, {min_match: defaultdict(set)}
     column = pa.array([r["text"] for r in rows], pa.string())
     for texts, words, at in words_of(column):
-        grams, gram_at = windows(words, at, min_match)
-        for i in range(len(texts)):
-            key = rows[texts.first + i]["item_id"]
-            mine = words[at[i] : at[i + 1]]
-            if len(mine) >= min_match and key is not None:
-                items.setdefault(key, []).append(mine)
+        length = np.minimum(np.diff(at), min_match)
+        for k in sorted(set(length.tolist()) - {0}):
+            if k < min_match and not short_items:
+                continue
+            grams, gram_at = windows(words, at, k)
+            for i in np.flatnonzero(length == k).tolist():
+                item = rows[texts.first + i]["item_id"]
+                key = (True, texts.first + i) if item is None else (False, item)
+                if k == min_match:
+                    items.setdefault(key, []).append(words[at[i] : at[i + 1]])
                 for g in grams[gram_at[i] : gram_at[i + 1]].tolist():
-                    seeds[g].add(key)
-    return items, {g: sorted(k) for g, k in seeds.items()}
+                    seeds.setdefault(k, defaultdict(set))[g].add(key)
+    return items, {k: {g: sorted(x) for g, x in found.items()} for k, found in seeds.items()}
 
 
 def _tiled(block, min_match: int, schema: pa.Schema):
     def run(batches):
         items, seeds = block.value
-        index = pd.Index(np.array(list(seeds), np.uint64))
-        owners = list(seeds.values())
+        look_up = {k: (pd.Index(np.array(list(x), np.uint64)), list(x.values())) for k, x in seeds.items()}
         for batch in batches:
             found: list = list(batch.column(2).to_pylist())
             for texts, words, at in words_of(batch.column(1)):
-                grams, gram_at = windows(words, at, min_match)
-                hit = index.get_indexer(grams)
-                places = np.flatnonzero(hit >= 0)
-                doc = np.searchsorted(gram_at, places, "right") - 1
-                for d in np.unique(doc).tolist():
-                    mine = places[doc == d] if len(places) < 1000 else places[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-                    wanted = sorted({k for h in np.unique(hit[mine]).tolist() for k in owners[h]})
-                    whole = words[at[d] : at[d + 1]]
-                    near = _near_seeds(whole, mine - gram_at[d], min_match)
-                    for key in wanted:
-                        best = max(((sum(k for _, _, k in tiles(near, x, min_match)), len(x)) for x in items[key]), key=lambda x: x[0] / x[1])
-                        found[texts.first + d] = [*(found[texts.first + d] or []), {"item_id": key, "tiled": best[0], "words": best[1]}]
+                best = defaultdict(dict)  # document -> item -> words under tiles, all words
+                for k, (index, owners) in look_up.items():
+                    grams, gram_at = windows(words, at, k)
+                    hit = index.get_indexer(grams)
+                    places = np.flatnonzero(hit >= 0)
+                    doc = np.searchsorted(gram_at, places, "right") - 1
+                    for d in np.unique(doc).tolist():
+                        mine = places[doc == d] if len(places) < 1000 else places[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
+                        wanted = sorted({x for h in np.unique(hit[mine]).tolist() for x in owners[h]})
+                        if k < min_match:  # the seed is the item
+                            best[d].update((key, (k, k)) for key in wanted if best[d].get(key, (0, 1))[0] < best[d].get(key, (0, 1))[1])
+                            continue
+                        whole = words[at[d] : at[d + 1]]
+                        near = _near_seeds(whole, mine - gram_at[d], min_match)
+                        for key in wanted:
+                            best[d][key] = max(((sum(n for _, _, n in tiles(near, x, min_match)), len(x)) for x in items[key]), key=lambda x: x[0] / x[1])
+                for d, shares in best.items():
+                    more = [{"item_id": None if key[0] else key[1], "tiled": tiled, "words": all_words} for key, (tiled, all_words) in sorted(shares.items())]
+                    found[texts.first + d] = [*(found[texts.first + d] or []), *more]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, schema.field(2).type)], schema=pa.schema([batch.schema.field(0), batch.schema.field(1), schema.field(2)]))
 
     return run
 
 
-def covered(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, block_items: int = 20_000) -> DataFrame:
+def covered(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, short_items: bool = False, block_items: int = 20_000) -> DataFrame:
     """`docs` as a struct column `row`, with `found`: for each test item that shares a
     seed its id, the words under tiles and all its words.
 
-    benchmark(item_id, text): items with fewer than `min_match` words give no
-    evidence and are left out, as are null ids; of items with one id the best counts.
-    They are collected in blocks of `block_items` (with at most 32 MB of text), which
+    benchmark(item_id, text): with `short_items`, items of 1 to `min_match` - 1 words
+    are found where all their words stand in a row; without it they give no evidence
+    and are left out.  Of items with one id the best counts; items with null ids are
+    items of their own.  They are collected in blocks of `block_items` (with at most 32 MB of text), which
     are broadcast one after the other.
 
     A null text is empty and shares nothing; repeated rows are tiled alike; an empty
@@ -173,7 +187,7 @@ def covered(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, block_
     schema, held, size = to_arrow_schema(rows.schema), [], 0
 
     def pass_over(rows: DataFrame) -> DataFrame:
-        return map_arrow(rows, _tiled(spark.sparkContext.broadcast(_block(held, min_match)), min_match, schema), rows.schema)
+        return map_arrow(rows, _tiled(spark.sparkContext.broadcast(_block(held, min_match, short_items)), min_match, schema), rows.schema)
 
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         held.append(r)
@@ -190,8 +204,9 @@ def _contaminated(threshold: float) -> F.Column:
 def coverage(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, contaminated, coverage (the most of any test
     item, 0 if none), best_item (the lowest id with that coverage), tiled_words (its
-    words under tiles), items (ids covered to the threshold, sorted): one row for
-    each row of `docs`.  The rules of covered() hold."""
+    words under tiles), items (ids covered to the threshold, sorted, with a null for
+    each item without one): one row for each row of `docs`.  The rules of covered()
+    hold."""
     found = covered(docs.select("doc_id", "text"), benchmark, **options)
     best = F.array_max(F.transform("found", lambda x: F.struct((x["tiled"] / x["words"]).alias("share"), (-x["item_id"]).alias("id"), x["tiled"].alias("tiled"))))
     out = found.select("row.doc_id", best.alias("best"), F.array_sort(F.transform(_contaminated(threshold), lambda x: x["item_id"])).alias("items"))

@@ -161,6 +161,26 @@ def test_decontamination_edges(spark, docs, rows, nothing):
     assert tiling.clean_rows(docs, bench).columns == docs.columns and tiling.clean_rows(nothing, bench).count() == 0
 
 
+def test_short_items_and_items_without_ids(spark, tmp_path):
+    import __spark_entry__
+
+    items = [(1, "what is it"), (2, "Yes"), (None, "one two three four five six"), (None, "a, b"), (3, "what is it"), (3, "red green blue black white"), (4, None), (None, "...")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = {1: "So: What IS it?", 2: "what it is", 3: "oh yes.", 4: "zero one two three four five six", 5: "a b", 6: "ab yesterday", 7: "red green blue black white", 8: "", 9: "one two three four"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {1: [1, 3], 2: [], 3: [2], 4: [None], 5: [None], 6: [], 7: [3], 8: [], 9: []}
+    for block in (1, 2, 1000):
+        got = {r["doc_id"]: r for r in tiling.coverage(df, bench, short_items=True, block_items=block).collect()}
+        assert {i: sorted(set(r["items"]), key=str) for i, r in got.items()} == want
+        assert all(r["contaminated"] == bool(want[i]) and r["coverage"] == float(bool(want[i])) for i, r in got.items())
+        assert [got[i]["best_item"] for i in (1, 3, 4, 5, 7)] == [1, 2, None, None, 3] and [got[i]["tiled_words"] for i in (1, 3, 4, 5)] == [3, 1, 6, 2]
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"] for r in __spark_entry__.queries()["op10_decontaminate"](spark, str(tmp_path)).where("contaminated").collect()} == {1, 3, 4, 5, 7}
+    assert {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, df, str(tmp_path)).collect()} == {2, 6, 8, 9}
+    assert {r["doc_id"] for r in tiling.clean_rows(df, bench).collect()} == {1, 2, 3, 5, 6, 8, 9}
+
+
 def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     """Each stage's decisions, by hand, on what its predecessor kept."""
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
