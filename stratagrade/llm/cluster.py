@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +50,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs whose results are stored, which it does
+    when the driver collects its garbage; that may otherwise be a long time off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Put this package at hand in the Python workers."""
     context = spark.sparkContext

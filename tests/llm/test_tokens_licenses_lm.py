@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -7,7 +8,6 @@ import numpy as np
 import pytest
 
 from stratagrade.llm import language_model, licenses, orc_tokens, token_counts
-from stratagrade.llm.language_model import Filter, _segment
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -112,14 +112,20 @@ def test_automaton():
             licenses.compile_template(bad, "x")
 
 
-def test_language_model(docs, rows, nothing):
-    for frequent in (200_000, 5):  # all words broadcast, and nearly all joined
-        got = language_model.score(docs, frequent=frequent).collect()
-        token = [(i, [*low(t).encode().split(), None]) for i, t, _ in rows]
-        train = [w for i, w in token if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-        count = Counter(w for ws in train for w in ws)
-        n, v = sum(count.values()), len(count)
-        want = Counter((i, len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 4)) for i, w in token)
+def base_by_hand(rows):
+    token = [(i, [*low(t).encode().split(), None]) for i, t, _ in rows]
+    train = [w for i, w in token if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    return token, train
+
+
+def test_language_model(docs, rows, nothing, monkeypatch):
+    token, train = base_by_hand(rows)
+    count = Counter(w for ws in train for w in ws)
+    n, v = sum(count.values()), len(count)
+    want = Counter((i, len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 4)) for i, w in token)
+    for segment in (language_model.SEGMENT, 2000):
+        monkeypatch.setattr(language_model, "SEGMENT", segment)
+        got = language_model.score(docs).collect()
         assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in got) == want
         assert {r["train_tokens"] for r in got} == {n}
         assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
@@ -133,54 +139,59 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert sum(r["score"] for r in got) > 0.7 * sum(r["base_score"] for r in got)
 
 
-def test_filter_never_counts_too_little():
-    import pyarrow as pa
+def test_texts_that_occur_twice_score_higher(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(80)) for _ in range(300)]
+    got = language_model.score(spark.createDataFrame(list(enumerate(texts + texts[:30])), "doc_id long, text string")).where("NOT held_out").collect()
+    held = {i for i in range(330) if zlib.crc32(str(i).encode()) % 5 == 1}
+    per_word = lambda chosen: [r["score"] / r["n_tokens"] for r in got if chosen(r["doc_id"])]
+    twice, once = per_word(lambda i: i % 300 < 30 and not {i % 300, i % 300 + 300} & held), per_word(lambda i: 30 <= i < 300)
+    assert len(twice) > 20 and min(twice) > max(once)
+
 
+def test_filter_never_counts_too_little():
     rng = np.random.Generator(np.random.PCG64(1))
-    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64) << np.uint64(1))
-    counts = rng.integers(1, 300, len(keys)).astype(np.uint32)
-    table = pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
-    made = _segment(0, 10.0, 1 << 20)((pa.scalar(1), pa.scalar(0)), table).to_pylist()
-    bloom = np.frombuffer(made[0]["keys"], np.uint64)
-    held = Filter(0, {1: bloom}, {1: np.array([0])}, {1: np.array([len(bloom)])})
+    keys = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    counts = rng.integers(1, 300, len(keys))
+    held = language_model.Filter(keys, counts, 10.0)
     level = 1 + np.floor(np.log2(counts)).astype(int)
-    got = held.levels(1, keys)
+    got = held.levels(keys)
     assert (got >= level).all() and (got == level).mean() > 0.9
-    strange = held.levels(1, np.setdiff1d(rng.integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64), keys))
+    strange = held.levels(np.setdiff1d(rng.integers(0, 1 << 48, 5000, dtype=np.uint64), keys))
     assert (strange > 0).mean() < 0.1
+    assert len(language_model.Filter(np.arange(1 << 20, dtype=np.uint64), np.ones(1 << 20, np.int64), 10.0).words) * 64 >= 9.99 * (1 << 20)  # it grows with the levels
 
 
-def test_filter_grows_with_the_levels(spark, monkeypatch):
-    """The segments that score() makes hold any number of n-grams at bits_per_key."""
-    import pyarrow as pa
-
-    made = []
-    monkeypatch.setattr(language_model, "_segment", lambda *a: made.append(_segment(*a)) or made[-1])
-    language_model.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string").coalesce(1)).collect()
-    n, bits = 1 << 22, 5
-    keys = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 40, n + 10_000, dtype=np.uint64) << np.uint64(24)  # the 40 bits after segment 0's
-    table = pa.table({"keys": pa.array([keys[:n].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()], pa.binary()), "counts": pa.array([np.ones(n, np.uint32).tobytes()], pa.binary())})
-    bloom = np.frombuffer(made[0]((pa.scalar(2), pa.scalar(0)), table).to_pylist()[0]["keys"], np.uint64)
-    assert len(bloom) * 64 >= 9.99 * n
-    held = Filter(bits, {2: bloom}, {2: np.zeros(32, np.int64)}, {2: np.full(32, len(bloom))})
-    assert (held.levels(2, keys[:1000] >> np.uint64(bits)) >= 1).all()
-    assert (held.levels(2, keys[n:] >> np.uint64(bits)) > 0).mean() < 0.05
+def test_keys_come_back():
+    rng = np.random.Generator(np.random.PCG64(2))
+    for kind in (1, 2):
+        for n in (1, 2, 1000):
+            keys = np.unique(rng.integers(0, 1 << language_model.width(kind), n, dtype=np.uint64))
+            assert (language_model._unpack(language_model._pack(keys, kind), len(keys), kind) == keys).all()
 
 
-def test_scores_by_hand(docs, rows):
-    """Quantised counts in the formula, over many blocks and with nearly no false positives."""
-    token = [(i, [*low(t).encode().split(), None]) for i, t, _ in rows]
-    train = [w for i, w in token if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    word, pair = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([0, *w], w))
-    n, v = sum(word.values()), len(word)
+def test_scores_by_hand(docs, rows, monkeypatch):
+    """Quantised counts in the formula, over several blocks and segments and with nearly no false positives."""
+    token, train = base_by_hand(rows)
+    marked = lambda w: [0, *w]
+    grams = {k: Counter(tuple(x[i : i + k]) for w in train for x in [marked(w)] for i in range(len(x) - k + 1)) for k in range(2, 6)} | {1: Counter((x,) for w in train for x in w)}
+    n, v = grams[1].total(), len(grams[1])
     held = lambda c: 0 if not c else 1 if c == 1 else 1.4 * 2 ** math.floor(math.log2(c))
 
-    def one(before, x):
-        single = (held(word[x]) + 0.5) / (n + 0.5 * (v + 1))
-        both, prior = held(pair[before, x]), len(train) if before == 0 else held(word[before])
-        return math.log10(min(1.0, (both + 2 * single) / (max(prior, both) + 2)))
-
-    want = Counter((i, round(sum(one(a, b) for a, b in zip([0, *w], w)), 3)) for i, w in token)
-    for frequent in (200_000, 5):
-        got = Counter((r["doc_id"], round(r["score"], 3)) for r in language_model.score(docs.repartition(20), frequent=frequent, bits_per_key=400.0).collect())
+    def one(x, at, most):
+        p = (held(grams[1][x[at],]) + 0.5) / (n + 0.5 * (v + 1))
+        for k in range(2, min(most, at + 1) + 1):
+            whole, prior = (tuple(x[at - k + 1 : at + 1]), tuple(x[at - k + 1 : at]))
+            c = held(grams[k][whole])
+            p = (c + 2 * p) / (max(len(train) if prior == (0,) else held(grams[k - 1][prior]), c) + 2)
+        return math.log10(min(1.0, p))
+
+    monkeypatch.setattr(language_model, "SEGMENT", 20_000)
+    for most in (1, 2, 5):
+        want = Counter((i, round(sum(one(marked(w), at, most) for at in range(1, len(w) + 1)), 3)) for i, w in token)
+        got = Counter((r["doc_id"], round(r["score"], 3)) for r in language_model.score(docs.repartition(20), order=most, bits_per_key=400.0).collect())
         assert (want - got).total() <= 0.05 * len(rows)
+    rough = {r["doc_id"]: r["score"] for r in language_model.score(docs, order=5).collect()}
+    exact = {i: s for i, s in want}
+    off = [abs(rough[i] / exact[i] - 1) for i in exact]
+    assert np.median(off) < 0.05  # what the filter's false positives cost
