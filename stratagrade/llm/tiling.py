@@ -2,20 +2,22 @@
 
 Seeds, runs of `min_match` words that a document shares with a test item, say which
 pairs to compare.  A pair is tiled: the longest matches of words that no earlier
-tile covers are marked first, found by running Karp-Rabin hashes over windows that
-are halved until `min_match`.  The share of an item's words under tiles is its
-coverage, which does not fall when a passage's parts are reordered.
+tile covers are marked first, found by running Karp-Rabin hashes over windows whose
+length is bisected.  The share of an item's words under tiles is its coverage, which
+does not fall when a passage's parts are reordered.
 
-An item of fewer words is its own seed: it is shared as a whole or not at all.
+An item's words under shared seeds bound its coverage from above, so that items which
+share a common phrase and no more are not tiled.  An item of fewer words than a seed is
+its own seed: it is shared as a whole or not at all.
 
-The test items are read in blocks of bounded size, one after the other; documents
-are never shuffled.
+The test items make an index of at most `block_words` words, which is broadcast;
+documents are never shuffled.  More items make more indexes: each is read in a pass of
+its own, so that tasks hold one, and what the passes find is joined by the text's hash.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .cluster import map_arrow
+from .cluster import map_arrow, materialize
 from .textvec import LOWER, NOT_ALNUM, chunks, hashed, windows
 
 _U = np.uint64
@@ -41,66 +44,78 @@ def words_of(column: pa.Array):
         yield texts, hashed(LOWER[texts.buffer], start, end), at
 
 
-def _running(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(x)
-    power, inverse = (np.multiply.accumulate(np.concatenate(([_U(1)], np.full(n, r, np.uint64)))) for r in (_ROLL, _ROLL_INV))
-    return np.concatenate(([_U(0)], np.cumsum(x * power[:n], dtype=np.uint64))), inverse
+# Tiling --------------------------------------------------------------------------
 
 
-def _open_windows(sums, inverse, marked: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the windows of s words without a marked one, and their hashes."""
-    n = len(marked) - s + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.concatenate(([0], np.cumsum(marked)))
-    at = np.flatnonzero(total[s : s + n] == total[:n])
-    return at, (sums[at + s] - sums[at]) * inverse[at]
+class Running:
+    """A sequence of words, some of them marked, with hashes of its windows."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        power, self.inverse = (np.multiply.accumulate(np.concatenate(([_U(1)], np.full(n, r, np.uint64)))) for r in (_ROLL, _ROLL_INV))
+        self.sums = np.concatenate(([_U(0)], np.cumsum(words * power[:n], dtype=np.uint64)))
+        self.marked = np.zeros(n, bool)
+
+    def open(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows of s words without a marked one, and their hashes."""
+        n = len(self.marked) - s + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        total = np.concatenate(([0], np.cumsum(self.marked)))
+        at = np.flatnonzero(total[s : s + n] == total[:n])
+        return at, (self.sums[at + s] - self.sums[at]) * self.inverse[at]
+
+    def mark(self, place: int, s: int) -> None:
+        self.marked[place : place + s] = True
+
+
+def _common(doc: Running, item: Running, s: int):
+    """Places in doc of open windows that item has too, which of item's distinct
+    windows each is, and item's places by distinct window."""
+    q, h = item.open(s)
+    distinct, code = np.unique(h, return_inverse=True)
+    p, g = doc.open(s)
+    if not len(distinct) or not len(p):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    near = np.minimum(np.searchsorted(distinct, g), len(distinct) - 1)
+    same = distinct[near] == g
+    order = np.argsort(code, kind="stable")
+    return p[same], near[same], np.split(q[order], np.cumsum(np.bincount(code))[:-1])
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """[(place in doc, place in item, words)] of non-overlapping tiles."""
-    d_sum, d_inv = _running(doc)
-    t_sum, t_inv = _running(item)
-    d_mark, t_mark = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    """[(place in doc, place in item, words)] of non-overlapping tiles, the longest
+    first, then by place.  The memory is linear in both, whatever repeats; there are at
+    most len(item) / min_match tiles and a few passes over doc for each."""
+    d, t = Running(doc), Running(item)
     out: list[tuple[int, int, int]] = []
-    s = max(min_match, min(32, len(item), len(doc)))
-    while True:
-        t_at, t_hash = _open_windows(t_sum, t_inv, t_mark, s)
-        d_at, d_hash = _open_windows(d_sum, d_inv, d_mark, s)
-        common = np.isin(d_hash, t_hash)
-        where = defaultdict(list)
-        for q, h in zip(t_at.tolist(), t_hash.tolist(), strict=True):
-            where[h].append(q)
-        pairs = {(p, q) for p, h in zip(d_at[common].tolist(), d_hash[common].tolist(), strict=True) for q in where[h]}
-        found = []
-        for p, q in pairs:
-            if (p - 1, q - 1) in pairs:
-                continue  # part of a match that starts earlier
-            k = s
-            while (p + k - s + 1, q + k - s + 1) in pairs:
-                k += 1
-            found.append((-k, p, q))
-        longest = max((-k for k, _, _ in found), default=0)
-        if longest > 2 * s:
-            s = longest
-            continue
-        heapq.heapify(found)
-        while found:
-            k, p, q = heapq.heappop(found)
-            k = -k
-            taken = d_mark[p : p + k] | t_mark[q : q + k]
-            if not taken.any():
-                d_mark[p : p + k] = True
-                t_mark[q : q + k] = True
-                out.append((p, q, k))
+    longest = min(len(doc), len(item))
+    while longest >= min_match and len(_common(d, t, min_match)[0]):
+        low = min_match
+        while low < longest:  # an open match holds open matches of every smaller length
+            middle = (low + longest + 1) // 2
+            if len(_common(d, t, middle)[0]):
+                low = middle
+            else:
+                longest = middle - 1
+        p, window, places = _common(d, t, longest)
+        alive, at, free = np.ones(len(places), bool), 0, 0
+        while True:
+            at = max(at, int(np.searchsorted(p, free)))
+            rest = np.flatnonzero(alive[window[at:]])
+            if not len(rest):
+                break
+            at += int(rest[0])
+            q = next((q for q in places[window[at]].tolist() if not t.marked[q : q + longest].any()), None)
+            if q is None:
+                alive[window[at]] = False
                 continue
-            edges = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # what is left open
-                if b - a >= s:
-                    heapq.heappush(found, (a - b, p + a, q + a))
-        if s == min_match:
-            return out
-        s = max(min_match, s // 2)
+            d.mark(p[at], longest)
+            t.mark(q, longest)
+            out.append((int(p[at]), q, longest))
+            free = int(p[at]) + longest
+        longest -= 1
+    return out
 
 
 def _near_seeds(words: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
@@ -115,86 +130,164 @@ def _near_seeds(words: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
     return np.insert(kept, at, np.arange(1, len(at) + 1, dtype=np.uint64))
 
 
-def _block(rows: list, min_match: int, short_items: bool):
-    """Word hashes of the items of a block, and for each number of words (min_match
-    first) seed -> items.  A key is (False, id), or (True, place) for a null id."""
-    items, seeds = {}, {min_match: defaultdict(set)}
-    column = pa.array([r["text"] for r in rows], pa.string())
-    for texts, words, at in words_of(column):
-        length = np.minimum(np.diff(at), min_match)
-        for k in sorted(set(length.tolist()) - {0}):
-            if k < min_match and not short_items:
-                continue
-            grams, gram_at = windows(words, at, k)
-            for i in np.flatnonzero(length == k).tolist():
-                item = rows[texts.first + i]["item_id"]
-                key = (True, texts.first + i) if item is None else (False, item)
-                if k == min_match:
-                    items.setdefault(key, []).append(words[at[i] : at[i + 1]])
-                for g in grams[gram_at[i] : gram_at[i + 1]].tolist():
-                    seeds.setdefault(k, defaultdict(set))[g].add(key)
-    return items, {k: {g: sorted(x) for g, x in found.items()} for k, found in seeds.items()}
-
-
-def _tiled(block, min_match: int, schema: pa.Schema):
+# The index -----------------------------------------------------------------------
+
+
+class Postings:
+    """Distinct seeds of one length, and where they stand: text and place."""
+
+    def __init__(self, seed: np.ndarray, text: np.ndarray, place: np.ndarray):
+        order = np.lexsort((place, text, seed))
+        self.text, self.place = text[order], place[order]
+        self.seed, self.start = np.unique(seed[order], return_index=True)
+        self.start = np.append(self.start, len(order))
+
+    def of(self, seeds: np.ndarray) -> np.ndarray:
+        """All postings of some distinct seeds, given by number."""
+        size = self.start[seeds + 1] - self.start[seeds]
+        return np.repeat(self.start[seeds] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class Index:
+    """Test items: ids, word hashes and postings of seeds by length."""
+
+    def __init__(self, rows: list, min_match: int, short_items: bool):
+        self.ids = [r["item_id"] for r in rows]
+        parts, sizes, seeds = [], [], {}
+        for texts, words, at in words_of(pa.array([r["text"] for r in rows], pa.string())):
+            parts.append(words)
+            size = np.diff(at)
+            sizes.append(size)
+            for k in range(1 if short_items else min_match, min_match + 1):
+                grams, gram_at = windows(words, at, k)
+                text = np.repeat(np.arange(len(size)), np.diff(gram_at))
+                place = np.arange(len(grams)) - gram_at[text]
+                wanted = size[text] == k if k < min_match else np.ones(len(text), bool)
+                seeds.setdefault(k, []).append((grams[wanted], text[wanted] + texts.first, place[wanted]))
+        self.words = np.concatenate([np.zeros(0, np.uint64), *parts])
+        self.size = np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        self.seeds = {k: Postings(*(np.concatenate(x) for x in zip(*found, strict=True))) for k, found in seeds.items()}
+
+
+def _shares(index: Index, words: np.ndarray, seeds: np.ndarray, places: np.ndarray, min_match: int, threshold: float) -> dict[int, tuple[int, int]]:
+    """text -> (words under tiles, all words) of the items that a document covers to
+    the threshold, and of those that it covers best."""
+    postings = index.seeds[min_match]
+    own = postings.of(np.unique(seeds))
+    text, place = postings.text[own], postings.place[own]
+    order = np.lexsort((place, text))
+    text, place = text[order], place[order]
+    step = np.append(np.where(text[1:] == text[:-1], np.minimum(place[1:] - place[:-1], min_match), min_match), min_match)
+    texts, first = np.unique(text, return_index=True)
+    bound = np.add.reduceat(step, first) / index.size[texts]
+    near = _near_seeds(words, places, min_match)
+    out, best = {}, 0.0
+    for i in np.argsort(-bound, kind="stable").tolist():
+        if bound[i] < best and bound[i] < threshold:
+            break
+        t = int(texts[i])
+        tiled = sum(n for _, _, n in tiles(near, index.words[index.at[t] : index.at[t + 1]], min_match))
+        out[t] = (tiled, int(index.size[t]))
+        best = max(best, tiled / out[t][1])
+    return out
+
+
+def _found(index: Index, look_up: dict, texts, words: np.ndarray, at: np.ndarray, min_match: int, threshold: float) -> dict[int, list[dict]]:
+    """document -> its entries, for some texts; of texts with one id the best counts."""
+    found: dict[int, dict[int, tuple[int, int]]] = {}
+    for k, seen in look_up.items():
+        grams, gram_at = windows(words, at, k)
+        hit = seen.get_indexer(grams)
+        places = np.flatnonzero(hit >= 0)
+        doc = np.searchsorted(gram_at, places, "right") - 1
+        edges = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            d, mine = int(doc[a]), places[a:b]
+            if k == min_match:
+                more = _shares(index, words[at[d] : at[d + 1]], hit[mine], mine - gram_at[d], k, threshold)
+            else:
+                short = index.seeds[k]
+                more = dict.fromkeys(short.text[short.of(np.unique(hit[mine]))].tolist(), (k, k))
+            found.setdefault(d, {}).update(more)
+    out = {}
+    for d, shares in found.items():
+        best: dict = {}
+        for t, (tiled, size) in sorted(shares.items()):
+            key = (index.ids[t] is None, t if index.ids[t] is None else index.ids[t])
+            if key not in best or tiled * best[key]["words"] > best[key]["tiled"] * size:
+                best[key] = {"item_id": index.ids[t], "tiled": tiled, "words": size}
+        out[d] = [best[key] for key in sorted(best)]
+    return out
+
+
+def _tiled(index, min_match: int, threshold: float, schema: pa.Schema, only_found: bool):
+    """Batches of (key, text, found): with `found` filled in, or only those rows where
+    something was found, without texts."""
+
     def run(batches):
-        items, seeds = block.value
-        look_up = {k: (pd.Index(np.array(list(x), np.uint64)), list(x.values())) for k, x in seeds.items()}
+        held: Index = index.value
+        look_up = {k: pd.Index(p.seed) for k, p in held.seeds.items() if len(p.seed)}
         for batch in batches:
-            found: list = list(batch.column(2).to_pylist())
+            found: list = [None] * batch.num_rows
             for texts, words, at in words_of(batch.column(1)):
-                best = defaultdict(dict)  # document -> item -> words under tiles, all words
-                for k, (index, owners) in look_up.items():
-                    grams, gram_at = windows(words, at, k)
-                    hit = index.get_indexer(grams)
-                    places = np.flatnonzero(hit >= 0)
-                    doc = np.searchsorted(gram_at, places, "right") - 1
-                    for d in np.unique(doc).tolist():
-                        mine = places[doc == d] if len(places) < 1000 else places[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-                        wanted = sorted({x for h in np.unique(hit[mine]).tolist() for x in owners[h]})
-                        if k < min_match:  # the seed is the item
-                            best[d].update((key, (k, k)) for key in wanted if best[d].get(key, (0, 1))[0] < best[d].get(key, (0, 1))[1])
-                            continue
-                        whole = words[at[d] : at[d + 1]]
-                        near = _near_seeds(whole, mine - gram_at[d], min_match)
-                        for key in wanted:
-                            best[d][key] = max(((sum(n for _, _, n in tiles(near, x, min_match)), len(x)) for x in items[key]), key=lambda x: x[0] / x[1])
-                for d, shares in best.items():
-                    more = [{"item_id": None if key[0] else key[1], "tiled": tiled, "words": all_words} for key, (tiled, all_words) in sorted(shares.items())]
-                    found[texts.first + d] = [*(found[texts.first + d] or []), *more]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, schema.field(2).type)], schema=pa.schema([batch.schema.field(0), batch.schema.field(1), schema.field(2)]))
+                for d, entries in _found(held, look_up, texts, words, at, min_match, threshold).items():
+                    found[texts.first + d] = entries
+            if only_found:
+                some = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([f for f in found if f], schema.field(1).type)], schema=schema)
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f or [] for f in found], schema.field(2).type)], schema=schema)
 
     return run
 
 
-def covered(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, short_items: bool = False, block_items: int = 20_000) -> DataFrame:
-    """`docs` as a struct column `row`, with `found`: for each test item that shares a
-    seed its id, the words under tiles and all its words.
+def _indexes(benchmark: DataFrame, min_match: int, short_items: bool, block_items: int, block_words: int) -> Iterator[Index]:
+    held, size = [], 0
+    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
+        more = len(r["text"] or "") // 2 + 1  # words at most
+        if held and (len(held) == block_items or size + more > block_words):
+            yield Index(held, min_match, short_items)
+            held, size = [], 0
+        held.append(r)
+        size += more
+    yield Index(held, min_match, short_items)
+
+
+def covered(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, short_items: bool = False, threshold: float = 0.5, block_items: int = 200_000, block_words: int = 8_000_000) -> DataFrame:
+    """`docs` as a struct column `row`, with its text and with `found`: id, words under
+    tiles and all words of each test item that it covers to the threshold or covers
+    best (of those that share a seed).
 
     benchmark(item_id, text): with `short_items`, items of 1 to `min_match` - 1 words
     are found where all their words stand in a row; without it they give no evidence
     and are left out.  Of items with one id the best counts; items with null ids are
-    items of their own.  They are collected in blocks of `block_items` (with at most 32 MB of text), which
-    are broadcast one after the other.
+    items of their own.  Up to `block_items` items of `block_words` words in all make
+    one index (at most 24 bytes a word); a larger item is one by itself.
 
     A null text is empty and shares nothing; repeated rows are tiled alike; an empty
     table of either kind finds nothing; columns of `docs` pass through unread.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.array().cast(_FOUND).alias("found"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema, held, size = to_arrow_schema(rows.schema), [], 0
-
-    def pass_over(rows: DataFrame) -> DataFrame:
-        return map_arrow(rows, _tiled(spark.sparkContext.broadcast(_block(held, min_match, short_items)), min_match, schema), rows.schema)
-
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
-        held.append(r)
-        size += len(r["text"] or "")
-        if len(held) == block_items or size > 32 << 20:
-            rows, held, size = pass_over(rows), [], 0
-    return pass_over(rows) if held else rows
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    indexes = _indexes(benchmark, min_match, short_items, block_items, block_words)
+    one, another = next(indexes), next(indexes, None)
+    if another is None:
+        rows = docs.select(row, F.col("text"), F.array().cast(_FOUND).alias("found"))
+        return map_arrow(rows, _tiled(spark.sparkContext.broadcast(one), min_match, threshold, to_arrow_schema(rows.schema), False), rows.schema)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    texts, hits = docs.select(digest.alias("digest"), "text"), None
+    while one:
+        index = spark.sparkContext.broadcast(one)
+        schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("found", _FOUND)])
+        passed = map_arrow(texts, _tiled(index, min_match, threshold, to_arrow_schema(schema), True), schema)
+        passed = materialize(passed.groupBy("digest").agg(F.min("found").alias("found")), "tiling-found")
+        index.destroy()
+        hits = passed if hits is None else hits.unionByName(passed)
+        one, another = another, next(indexes, None)
+    hits = hits.groupBy("digest").agg(F.flatten(F.collect_list("found")).alias("found"))
+    joined = docs.select(row, F.col("text"), digest.alias("digest")).join(materialize(hits, "tiling-found"), "digest", "left")
+    return joined.select("row", "text", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
 
 
 def _contaminated(threshold: float) -> F.Column:
@@ -207,9 +300,11 @@ def coverage(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, *
     words under tiles), items (ids covered to the threshold, sorted, with a null for
     each item without one): one row for each row of `docs`.  The rules of covered()
     hold."""
-    found = covered(docs.select("doc_id", "text"), benchmark, **options)
+    found = covered(docs.select("doc_id", "text"), benchmark, threshold=threshold, **options)
     best = F.array_max(F.transform("found", lambda x: F.struct((x["tiled"] / x["words"]).alias("share"), (-x["item_id"]).alias("id"), x["tiled"].alias("tiled"))))
-    out = found.select("row.doc_id", best.alias("best"), F.array_sort(F.transform(_contaminated(threshold), lambda x: x["item_id"])).alias("items"))
+    ids = F.transform(_contaminated(threshold), lambda x: x["item_id"])
+    ids = F.concat(F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))), F.filter(ids, lambda x: x.isNull()))
+    out = found.select("row.doc_id", best.alias("best"), ids.alias("items"))
     return out.select(
         "doc_id",
         (F.size("items") > 0).alias("contaminated"),
@@ -222,4 +317,4 @@ def coverage(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, *
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of `docs` that cover no test item to the threshold."""
-    return covered(docs, benchmark, **options).where(F.size(_contaminated(threshold)) == 0).select("row.*")
+    return covered(docs, benchmark, threshold=threshold, **options).where(F.size(_contaminated(threshold)) == 0).select("row.*")

@@ -1,7 +1,10 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -153,6 +156,39 @@ def test_tiles_are_maximal_and_apart():
         assert not tiles and longest < 3 or max(n for _, _, n in tiles) == longest
 
 
+def test_tiles_equal_the_greedy_ones():
+    rng = np.random.Generator(np.random.PCG64(8))
+    for letters in (1, 2, 3, 6):
+        for _ in range(25):
+            doc, item = (rng.integers(0, letters, n).astype(np.uint64) for n in (50, 25))
+            assert sum(n for _, _, n in tiling.tiles(doc, item, 3)) == covered_by_hand(doc.tolist(), item.tolist(), 3)
+
+
+def test_repeated_words_take_linear_memory():
+    rng = np.random.Generator(np.random.PCG64(9))
+    began = time.time()
+    same = tiling.tiles(np.full(1_000_000, 7, np.uint64), np.full(300, 7, np.uint64), 5)
+    assert same == [(0, 0, 300)]
+    two = tiling.tiles(rng.integers(0, 2, 1_000_000).astype(np.uint64), rng.integers(0, 2, 300).astype(np.uint64), 5)
+    assert sum(n for _, _, n in two) > 250 and time.time() - began < 60
+
+
+def test_items_that_share_a_phrase_are_not_all_tiled(spark, monkeypatch):
+    """Pruning changes nothing: the best item and those above the threshold are found."""
+    rng = random.Random(6)
+    phrase = "one two three four five".split()
+    items = [(i, " ".join([*phrase, *(f"w{rng.randrange(10**6)}" for _ in range(20))])) for i in range(200)]
+    df = spark.createDataFrame([(1, " ".join(phrase)), (2, "x " + items[7][1]), (3, items[9][1][:80])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in tiling.coverage(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (got[1]["best_item"], got[1]["items"], got[1]["tiled_words"]) == (0, [], 5)
+    assert (got[2]["best_item"], got[2]["items"], got[2]["coverage"]) == (7, [7], 1.0) and got[3]["best_item"] == 9
+    index, tiled, whole = tiling.Index([{"item_id": i, "text": t} for i, t in items], 5, False), [], tiling.tiles
+    monkeypatch.setattr(tiling, "tiles", lambda *a: tiled.append(1) or whole(*a))
+    for texts, words, at in tiling.words_of(pa.array([items[7][1]])):
+        tiling._found(index, {5: pd.Index(index.seeds[5].seed)}, texts, words, at, 5, 0.5)
+    assert len(tiled) == 1
+
+
 def test_decontamination_edges(spark, docs, rows, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert Counter(r["doc_id"] for r in tiling.coverage(docs, none).collect()) == Counter(i for i, _, _ in rows)
