@@ -1,11 +1,13 @@
 """License scans by template markup compiled into token automata.
 
-A template is wording with two kinds of regions: <<optional>>...<<end>> may be left
-out, and <<any N>> stands for up to N words of any kind.  It is compiled into a
+A template is wording with two kinds of regions.  <<optional>>...<<end>> may be left
+out.  Replaceable regions stand for other wording: <<any N>> for up to N words of any
+kind, <<one of a | b c>> for one of the listed wordings.  A template is compiled into a
 nondeterministic automaton over words; a text is accepted where all mandatory words
-follow exactly.  Each template opens with three mandatory words, whose hash marks
-the places at which its automaton is started, so that texts without such wording
-cost one vectorised look-up.
+follow exactly.  It ends with mandatory wording or a list, so that no license is taken
+for another whose name goes on.  Each template opens with three mandatory words, whose
+hash marks the places at which its automaton is started, so that texts without such
+wording cost one vectorised look-up.
 
 Base phrases are plain word sequences, found at every place.
 """
@@ -33,19 +35,23 @@ PHRASES = (
 )
 
 #: License wording, with what may vary marked.
-TEMPLATES = (
+NOTICES = (
     ("gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 3", "gpl-3"),
     ("gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 2", "gpl-2"),
-    ("gnu lesser general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version <<any 1>>", "lgpl"),
-    ("gnu affero general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 3", "agpl-3"),
+    ("gnu general public license v3", "gpl-3"),
+    ("gnu general public license v2", "gpl-2"),
+    ("gnu lesser general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> <<one of version 2 | version 3 | v2 | v3>>", "lgpl"),
+    ("gnu affero general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> <<one of version 3 | v3>>", "agpl-3"),
     ("terms of the mozilla public license <<optional>>version<<end>> <<optional>>v<<end>> 2 0", "mpl-2"),
-    ("licensed under the apache license version 2 0 <<optional>>the license you may not use this <<any 4>> except in compliance with the license<<end>>", "apache-2"),
+    ("licensed under the apache license version 2 0", "apache-2"),
+    ("released under the mit license", "mit"),
+    ("eclipse public license <<optional>>version<<end>> <<optional>>v<<end>> 2 0", "epl-2"),
+    ("boost software license <<optional>>version<<end>> 1 0", "bsl-1"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
     (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
         " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
-        " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
-        " <<optional>>the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all"
-        " copies or substantial portions of the software<<end>>",
+        " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
         "mit",
     ),
     (
@@ -59,9 +65,48 @@ TEMPLATES = (
         " <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
         "bsd",
     ),
-    ("creative commons attribution <<optional>>noncommercial<<end>> <<optional>>non commercial<<end>> <<optional>>sharealike<<end>> <<optional>>share alike<<end>> <<any 2>> license", "cc"),
-    ("licensed under cc by <<optional>>sa<<end>> <<any 2>>", "cc-by"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising"
+        " from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to"
+        " alter it and redistribute it freely",
+        "zlib",
+    ),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"
+        " covered by this license the software to use reproduce display distribute execute and transmit the software",
+        "bsl-1",
+    ),
+    (
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+        "wtfpl",
+    ),
+)
+
+#: The Creative Commons licenses by label: their full and short names.
+CREATIVE_COMMONS = {
+    "cc-by": ("", "by"),
+    "cc-by-sa": ("<<one of sharealike | share alike>>", "by sa"),
+    "cc-by-nc": ("<<one of noncommercial | non commercial>>", "by nc"),
+    "cc-by-nd": ("<<one of noderivatives | noderivs | no derivatives | no derivs>>", "by nd"),
+    "cc-by-nc-sa": ("<<one of noncommercial | non commercial>> <<one of sharealike | share alike>>", "by nc sa"),
+    "cc-by-nc-nd": ("<<one of noncommercial | non commercial>> <<one of noderivatives | noderivs | no derivatives | no derivs>>", "by nc nd"),
+}
+_VERSION = "1 0 | 2 0 | 2 1 | 2 5 | 3 0 | 4 0"
+
+#: Short identifiers.
+IDENTIFIERS = (
+    ("mit", "mit"), ("apache 2 0", "apache-2"), ("gpl 3 0", "gpl-3"), ("gpl 2 0", "gpl-2"), ("<<one of lgpl 2 1 | lgpl 3 0>>", "lgpl"), ("agpl 3 0", "agpl-3"), ("mpl 2 0", "mpl-2"),
+    ("isc", "isc"), ("<<one of bsd 2 clause | bsd 3 clause>>", "bsd"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("bsl 1 0", "bsl-1"), ("epl 2 0", "epl-2"), ("cc0 1 0", "cc0"),
+)
+
+TEMPLATES = (
+    *NOTICES,
+    *((f"spdx license identifier {name}", label) for name, label in IDENTIFIERS),
+    ("cc0 1 0 universal", "cc0"),
+    *((f"creative commons attribution {full} <<one of license | {_VERSION}>>", label) for label, (full, _) in CREATIVE_COMMONS.items()),
+    *((f"{opening} cc {short} <<one of license | {_VERSION}>>", label) for label, (_, short) in CREATIVE_COMMONS.items() for opening in ("licensed under", "under a", "under the")),
+    *((f"creativecommons org licenses {short} <<one of {_VERSION}>>", label) for label, (_, short) in CREATIVE_COMMONS.items()),
+    *((f"spdx license identifier cc {short} <<one of {_VERSION}>>", label) for label, (_, short) in CREATIVE_COMMONS.items()),
 )
 
 
@@ -108,12 +153,20 @@ class Automaton:
         return False, best
 
 
+def marks(markup: str) -> list[str]:
+    """The words and marks of a template."""
+    return re.findall(r"<<(?:optional|end|any \d+|one of [^<>]+)>>|[^\s<>]+", markup.lower())
+
+
 def compile_template(markup: str, label: str) -> Automaton:
-    """Raises ValueError on unbalanced marks or fewer than three opening words."""
-    tokens = re.findall(r"<<(?:optional|end|any \d+)>>|[^\s<>]+", markup.lower())
+    """Raises ValueError on unbalanced marks, fewer than three opening words, or an end
+    that may be left out.  A list of wordings weighs as one mandatory word."""
+    tokens = marks(markup)
     out = Automaton(label, tokens[:OPENING])
     if len(tokens) < OPENING or any(t.startswith("<<") for t in tokens[:OPENING]):
         raise ValueError(f"a template opens with {OPENING} mandatory words: {markup[:60]!r}")
+    if tokens[-1] == "<<end>>" or tokens[-1].startswith("<<any"):
+        raise ValueError(f"a template ends with mandatory wording: {markup[-60:]!r}")
     at, depth = out.state(0), []
     for t in tokens:
         if t == "<<optional>>":
@@ -137,6 +190,17 @@ def compile_template(markup: str, label: str) -> Automaton:
                 at = following
             out.empty[at].append(last)
             at = last
+        elif t.startswith("<<one of"):
+            last = out.state(out.done[at] + (not depth))
+            for wording in t[9:-2].split("|"):
+                now = out.state(out.done[at])
+                out.empty[at].append(now)
+                for word in wording.split():
+                    following = out.state(out.done[at])
+                    out.words[now][word] = following
+                    now = following
+                out.empty[now].append(last)
+            at = last
         else:
             following = out.state(out.done[at] + (not depth))
             out.words[at][t] = following
@@ -226,6 +290,7 @@ def scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     template's mandatory words that was matched (1: accepted, or a base phrase).
 
     Nulls: a null text is empty, with no words and empty labels; a null id is kept.
+    Very long texts are read whole; wordings at one place each give their label.
     Repeated rows give repeated results, an empty table an empty one.  Other columns
     are ignored, whatever their names.
     """

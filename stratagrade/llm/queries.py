@@ -3,6 +3,7 @@ twins of those that SQL can express."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,50 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _pattern(tokens: list[str]) -> str:
+    """A template as a regular expression over words that each follow a blank."""
+    out = ""
+    for t in tokens:
+        if t == "<<optional>>":
+            out += "(?:"
+        elif t == "<<end>>":
+            out += ")?"
+        elif t.startswith("<<any"):
+            out += "(?: [^ ]+){0," + t[6:-2] + "}"
+        elif t.startswith("<<one of"):
+            out += "(?:" + "|".join(" " + " ".join(x.split()) for x in t[9:-2].split("|")) + ")"
+        else:
+            out += " " + t
+    return out + " "
+
+
+def _op5_sql() -> str:
+    places = []
+    for phrase, _ in licenses.PHRASES:
+        words = phrase.split()
+        places.append(f"list_filter(range(1, len(w) - {len(words) - 2}), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words)) + ")")
+    base = [f"CASE WHEN len(p[{i}]) > 0 THEN '{label}' END" for i, (_, label) in enumerate(licenses.PHRASES, 1)]
+    accepted, shares = [], ["CASE WHEN len(flatten(p)) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"]
+    for markup, label in licenses.TEMPLATES:
+        tokens = licenses.marks(markup)
+        depth, ends = 0, []  # where mandatory words end
+        for i, t in enumerate(tokens):
+            depth += (t == "<<optional>>") - (t == "<<end>>")
+            if not depth and not re.match("<<(optional|end|any)", t):
+                ends.append(i + 1)
+        opening = f"contains(s, ' {' '.join(tokens[: licenses.OPENING])} ')"
+        accepted.append(f"CASE WHEN {opening} AND regexp_matches(s, '{_pattern(tokens)}') THEN '{label}' END")
+        steps = "".join(f" WHEN regexp_matches(s, '{_pattern(tokens[:end])}') THEN {k}::DOUBLE / {len(ends)}" for k, end in reversed(list(enumerate(ends, 1))[licenses.OPENING :]))
+        shares.append(f"CASE WHEN {opening} THEN CASE{steps or ' WHEN false THEN 0'} ELSE {licenses.OPENING}::DOUBLE / {len(ends)} END ELSE 0 END")
+    joined = lambda found: f"array_to_string(list_sort(list_distinct([{', '.join(found)}])), ',')"
+    return f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), e AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, [{", ".join(places)}] AS p FROM d)
+      SELECT doc_id, len(w)::BIGINT AS n_words, len(flatten(p))::BIGINT AS n_base, (list_min(flatten(p)) - 1)::BIGINT AS first_word, (list_max(flatten(p)) - 1)::BIGINT AS last_word,
+        {joined(base)} AS base_labels, {joined(base + accepted)} AS labels, greatest({", ".join(shares)}) AS score FROM e"""
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join.link(documents(spark, sf_dir), words=4, similarity=(85, 100))
 
@@ -129,4 +174,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_license_scan": _op5_sql()}

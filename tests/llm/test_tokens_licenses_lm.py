@@ -87,27 +87,86 @@ def test_license_base(spark, docs, rows, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def labels_of(spark, texts):
+    return {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+
 def test_templates(spark):
-    mit = licenses.TEMPLATES[6][0]
-    plain = re.sub("<<[^>]*>>", " ", mit)
-    cut = re.sub("<<.*", " ", mit)
+    mit = next(t for t, label in licenses.TEMPLATES if label == "mit" and len(t) > 200)
     texts = {
-        1: f"Copyright X. {plain} Then more.", 2: cut.upper(), 3: plain.replace("without restriction", "with restriction"),
+        1: f"Copyright X. {mit} Then more.", 2: mit.upper(), 3: mit.replace("without restriction", "with restriction"),
         4: "This work is licensed under the GNU General Public License, version 3.", 5: "GNU General Public License as published by the Free Software Foundation, either version 3", 6: "GNU General Public License as it was, version 3",
         7: "Licensed under the Apache License, Version 2.0", 8: "",
     }
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    got = labels_of(spark, texts)
     assert {i: r["labels"] for i, r in got.items()} == {1: "mit", 2: "mit", 3: "", 4: "gpl-3", 5: "gpl-3", 6: "", 7: "apache-2", 8: ""}
     assert got[1]["score"] == 1 and 0 < got[3]["score"] < 1 and got[8]["score"] == 0
 
 
+#: Official names and notices, with the labels they should get.
+OFFICIAL = [
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("Creative Commons Attribution-NoDerivs 3.0 Unported License", "cc-by-nd"),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", "cc-by-nc-nd"),
+    ("Creative Commons Attribution-Share Alike 2.5 Generic License", "cc-by-sa"),
+    ("Creative Commons Attribution License", "cc-by"),
+    ("https://creativecommons.org/licenses/by-nc-nd/4.0/", "cc-by-nc,cc-by-nc-nd"),
+    ("https://creativecommons.org/licenses/by-sa/3.0/", "cc-by-sa"),
+    ("Licensed under CC BY 4.0.", "cc-by"),
+    ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    ("Licensed under CC BY-NC-ND 4.0.", "cc-by-nc,cc-by-nc-nd"),
+    ("Made available under the CC BY-ND 4.0 terms.", "cc-by-nd"),
+    ("licensed under cc by", ""),
+    ("CC0 1.0 Universal", "cc0"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1", "lgpl"),
+    ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "agpl-3"),
+    ("subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("Distributed under the Boost Software License, Version 1.0.", "bsl-1"),
+]
+
+
+def test_official_wordings(spark):
+    got = labels_of(spark, dict(enumerate(t for t, _ in OFFICIAL)))
+    base = {i: "cc-by-nc" for i, (t, _) in enumerate(OFFICIAL) if "CC BY-NC" in t}
+    want = {i: label for i, (_, label) in enumerate(OFFICIAL)}
+    want[8] = "cc-by-nc-nd"  # no base phrase stands there
+    assert {i: r["labels"] for i, r in got.items()} == want
+    assert {i: r["base_labels"] for i, r in got.items() if r["base_labels"]} == base
+
+
+def test_scan_against_sql(spark, docs, tmp_path):
+    """The automata against regular expressions, partial wordings included."""
+    import duckdb
+
+    from stratagrade.llm.queries import oracle_sql
+
+    full = [re.sub("<<[^>]*>>", " ", t) for t, _ in licenses.TEMPLATES]
+    cut = [" ".join(t.split()[: k]) for t in full for k in (3, 5, 9, 40)]
+    texts = [(700000 + i, t) for i, t in enumerate([*(t for t, _ in OFFICIAL), *full, *cut])]
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string")).coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = licenses.scan(spark.read.parquet(str(tmp_path / "d")))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = c.sql("SELECT " + ", ".join(got.columns) + " FROM (" + oracle_sql()["op5_license_scan"] + ")").fetchall()
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+
+
 def test_automaton():
     m = licenses.compile_template("a b c <<optional>>d <<optional>>e<<end>><<end>> <<any 2>> f", "x")
     accepts = lambda s: m.run(iter(s.split()))[0]
     assert all(map(accepts, ("a b c f", "a b c d f", "a b c d e f", "a b c x y f z", "a b c d x y f")))
     assert not any(map(accepts, ("a b c", "a b f", "a b c x y z f", "a b c d e x y z f", "")))
     assert m.weight == 4
-    for bad in ("a b", "a <<any 1>> b c", "a b c <<end>>", "a b c <<optional>> d"):
+    either = licenses.compile_template("a b c <<one of d | e f>>", "x")
+    assert [either.run(iter(f"a b c {s}".split())) for s in ("d", "e f", "e", "f", "")] == [(True, 4), (True, 4), (False, 3), (False, 3), (False, 3)]
+    for bad in ("a b", "a <<any 1>> b c", "a b c <<end>>", "a b c <<optional>> d", "a b c <<any 2>>", "a b c <<optional>> d <<end>>"):
         with pytest.raises(ValueError):
             licenses.compile_template(bad, "x")
 
