@@ -51,6 +51,30 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+#: crc32 bit by bit; the heap step by step over the groups; of a size's groups, the lower shards first by md5.
+OP4_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 8 AS size, md5(coalesce(text, '')) AS g FROM documents
+), q AS (
+  SELECT g, sum(size)::BIGINT AS bytes FROM d GROUP BY g
+), o AS (
+  SELECT bytes, row_number() OVER (ORDER BY bytes DESC) AS i FROM q
+), h AS (
+  SELECT 0::BIGINT AS i, list_transform(range(24), lambda x: 0::BIGINT) AS loads, 0::BIGINT AS bytes, 0 AS shard
+  UNION ALL
+  SELECT o.i, list_transform(h.loads, lambda x, j: CASE WHEN j = list_position(h.loads, list_min(h.loads)) THEN x + o.bytes ELSE x END), o.bytes, list_position(h.loads, list_min(h.loads)) - 1
+  FROM h JOIN o ON o.i = h.i + 1
+), s AS (
+  SELECT q.g, p.shard FROM (SELECT g, bytes, row_number() OVER (PARTITION BY bytes ORDER BY g) AS k FROM q) q
+  JOIN (SELECT bytes, shard, row_number() OVER (PARTITION BY bytes ORDER BY shard) AS k FROM h WHERE i > 0) p ON p.bytes = q.bytes AND p.k = q.k
+)
+SELECT doc_id, size::BIGINT AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(t), '..'), lambda x: [('0x' || x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS text_crc32,
+  'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY d.g, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN s ON d.g = s.g
+"""
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -174,4 +198,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_license_scan": _op5_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_shard_documents": OP4_SQL, "op5_license_scan": _op5_sql()}

@@ -1,110 +1,123 @@
 """Sharding by longest-processing-time scheduling: equal texts stay together.
 
-The largest units go first, each to the shard with the least bytes so far, through
-a heap.  A unit is a group of equal texts that is large by itself, or a bundle of
-small groups (by a hash of the text): there are `bundles` of those however many
-documents there are, and at most as many large groups, so the heap's input has a
-fixed bound.  The more bundles, the nearer this comes to scheduling every group.
+A group is all rows with one text; its size is that of its rows.  The largest groups go
+first, each to the shard with the least bytes so far, through a heap.  Groups of one
+size are alike to the heap, so it is given sizes with their numbers of groups; many
+groups of one size are dealt in one step, to the same effect.  Of the groups of a size,
+those that come first by the text's md5 go to the lower shards.
+
+Documents of T bytes have at most sqrt(2 T) sizes of groups (14 million at 100 TB), which
+is all that the driver holds.  Everything about groups and rows is joined and ordered in
+cells: a size with many groups, a shard, and a group with very many rows are cut by a
+hash, so that no task orders more than a part of it.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .cluster import materialize
 
-_PLAN = T.StructType([T.StructField("_unit", T.LongType()), T.StructField("shard", T.IntegerType())])
-_SLOTS = T.StructType([T.StructField("_unit", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("_base", T.LongType())])
+#: Values of a hash's first three hexadecimal digits.
+CELLS = 4096
 
 
-def longest_first(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """[(unit, size)] -> {unit: shard}; ties go to the lower unit and shard."""
+def longest_first(classes: list[tuple[int, int]], shards: int) -> list[list[int]]:
+    """[(size, groups)] of descending sizes -> for each how many groups each shard gets;
+    ties go to the lower shard."""
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out[unit] = shard
-        heapq.heappush(heap, (load + size, shard))
+    out = []
+    for size, left in classes:
+        given = [0] * shards
+        if left > 2 * shards:
+            load = np.array([x for x, _ in sorted(heap, key=lambda x: x[1])], object)
+            upto = lambda v: sum(max(0, (v - x) // size + 1) for x in load)  # steps that the heap takes at loads up to v  # noqa: B023, E731
+            low, high = min(load) - 1, max(load) + size * left
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if upto(middle) <= left else (low, middle - 1)
+            given = [int(max(0, (low - x) // size + 1)) for x in load]
+            left -= sum(given)
+            heap = [(int(x) + n * size, s) for s, (x, n) in enumerate(zip(load, given, strict=True))]
+            heapq.heapify(heap)
+        for _ in range(left):
+            load, shard = heap[0]
+            given[shard] += 1
+            heapq.heapreplace(heap, (load + size, shard))
+        out.append(given)
     return out
 
 
-def _marked(docs: DataFrame, bundles: int) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.col("doc_id"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.unhex(F.md5(text.cast("binary"))).alias("_group"),
-        F.pmod(F.xxhash64(text), F.lit(bundles)).alias("_bundle"),
-    )
+def _prefix(hexadecimal: str) -> Column:
+    return F.conv(F.substring(hexadecimal, 1, 3), 16, 10).cast("int")
 
 
-def _large_groups(marked: DataFrame, bundles: int) -> DataFrame:
-    """Groups that are larger than a bundle's even share: `bundles` at most."""
-    total = marked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    groups = marked.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
-    large = groups.where((F.col("_rows") > 1) & (F.col("_bytes") * bundles > total))
-    numbered = large.select("_group", (F.lit(bundles) + F.row_number().over(Window.orderBy("_group")) - 1).cast("long").alias("_large"))
-    return materialize(numbered, "shard-large")
+def _placed(rows: DataFrame, shards: int, class_groups: int, broadcast_sizes: int) -> DataFrame:
+    """rows(_group, size) -> _group, _rows, shard: one row for each group."""
+    spark = rows.sparkSession
+    groups = materialize(rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")), "shard-groups")
+    sizes = groups.groupBy("_bytes").agg(F.count("*").alias("n")).toArrow().sort_by([("_bytes", "descending")])
+    size, n = (sizes.column(c).to_pylist() for c in ("_bytes", "n"))
+    dealt = longest_first(list(zip(size, n, strict=True)), shards)
+    runs = [[(s, k) for s, k in enumerate(given) if k] for given in dealt]
+    plan = pa.table({
+        "_bytes": pa.array(size, pa.int64()), "_large": pa.array([x > class_groups for x in n], pa.bool_()),
+        "_shards": pa.array([[s for s, _ in run] for run in runs], pa.list_(pa.int32())), "_upto": pa.array([np.cumsum([k for _, k in run]).tolist() for run in runs], pa.list_(pa.int64())),
+    })
+    plan = spark.createDataFrame(plan)
+    held = groups.join(F.broadcast(plan) if len(size) <= broadcast_sizes else plan, "_bytes").withColumn("_cell", F.when(F.col("_large"), _prefix("_group")).otherwise(0))
+    by_cell = held.where("_large").groupBy("_bytes", "_cell").agg(F.count("*").alias("_n"))
+    base = by_cell.select("_bytes", "_cell", (F.sum("_n").over(Window.partitionBy("_bytes").orderBy("_cell")) - F.col("_n")).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("_bytes", "_cell").orderBy("_group")) - 1
+    ranked = held.withColumn("_rank", rank).join(base, ["_bytes", "_cell"], "left").withColumn("_rank", F.col("_rank") + F.coalesce("_base", F.lit(0)))
+    shard = F.element_at("_shards", F.size(F.filter("_upto", lambda x: x <= F.col("_rank"))) + 1)
+    return materialize(ranked.select("_group", "_rows", shard.alias("shard")), "shard-placed")
 
 
-def _unit(marked: DataFrame, large: DataFrame) -> DataFrame:
-    """`large` has no more rows than there are bundles, so it can be broadcast."""
-    return marked.join(F.broadcast(large), "_group", "left").withColumn("_unit", F.coalesce("_large", "_bundle")).drop("_large", "_bundle")
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
 
-def assign(docs: DataFrame, *, shards: int = 24, bundles: int = 1 << 15) -> DataFrame:
+def assign(docs: DataFrame, *, shards: int = 24, class_groups: int = 100_000, group_rows: int = 10_000, broadcast_sizes: int = 100_000) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, size, text_crc32, law, shard, slot,
     grown_shard: one row for each row of `docs`.
 
-    Nulls: a null text is grouped with empty ones and has size 8; a null id sorts
-    first in its part of a shard.  Repeated rows stay in one shard with slots of
-    their own.  An empty table gives an empty result.  Other columns are ignored.
+    A shard's slots go by the text's md5, then by doc_id (nulls first); groups of more
+    than `group_rows` rows come last among those with the same first three digits, cut
+    by a hash of the id.  More than `class_groups` groups of one size are ranked in
+    parts.  Neither changes which shard a group gets.
 
-    Slots: every unit owns a run of slots of its shard; a unit with many rows is cut
-    into parts by a hash of the id, so that no task orders more than a part.
+    Nulls: a null text is grouped with empty ones and has size 8.  Repeated rows stay in
+    one shard with slots of their own; they are alike, so whichever gets which slot the
+    result is the same.  An empty table gives an empty result.  Other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    marked = materialize(_marked(docs, bundles), "shard-marked")
-    rows = _unit(marked, _large_groups(marked, bundles))
-    units = rows.groupBy("_unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # 2 * bundles rows at most
-    placed = longest_first([(r["_unit"], r["bytes"]) for r in units], shards)
-    even = max(1, sum(r["n"] for r in units) // bundles)
-    cuts = {r["_unit"]: -(-r["n"] // (2 * even + 64)) for r in units}
-    cut = spark.createDataFrame([(u, n) for u, n in cuts.items() if n > 1], "_unit long, _cuts int")
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("text_crc32")), F.coalesce(F.col("_cuts"), F.lit(1)).cast("long")).cast("int")
-    rows = rows.join(F.broadcast(cut), "_unit", "left").withColumn("_part", part).drop("_cuts", "_group")
-    counts = sorted((r["_unit"], r["_part"], r["n"]) for r in rows.groupBy("_unit", "_part").agg(F.count("*").alias("n")).collect())
-    base = [0] * shards
-    slots = []
-    for unit, p, n in counts:
-        s = placed[unit]
-        slots.append((unit, p, s, base[s]))
-        base[s] += n
-    slots = F.broadcast(spark.createDataFrame(slots, _SLOTS))
-    within = Window.partitionBy("_unit", "_part").orderBy("doc_id")
-    return (
-        rows.withColumn("_at", F.row_number().over(within) - 1)
-        .join(slots, ["_unit", "_part"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_base") + F.col("_at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
-
-
-def with_shard(docs: DataFrame, *, shards: int = 24, bundles: int = 1 << 15) -> DataFrame:
-    """`docs` with a further column `shard` (replacing one of that name); rows are
-    not moved.  The same rules as assign()."""
-    spark = docs.sparkSession
-    marked = _marked(docs.select("doc_id", "text"), bundles).select("size", "_group", "_bundle")
-    marked = materialize(marked, "shard-marked")
-    large = _large_groups(marked, bundles)
-    units = _unit(marked, large).groupBy("_unit").agg(F.sum("size").alias("bytes")).collect()
-    placed = longest_first([(r["_unit"], r["bytes"]) for r in units], shards)
-    shard = F.broadcast(spark.createDataFrame(list(placed.items()), _PLAN))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.select("doc_id", (F.octet_length(_text()) + 8).cast("long").alias("size"), F.crc32(_text().cast("binary")).alias("text_crc32"), F.md5(_text().cast("binary")).alias("_group"))
+    marked = materialize(marked.withColumn("_salt", F.monotonically_increasing_id()), "shard-marked")
+    placed = _placed(marked.select("_group", "size"), shards, class_groups, broadcast_sizes)
+    large = F.col("_rows") > group_rows
+    parts = F.ceil(F.col("_rows") / group_rows).cast("long")
+    part = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("_salt"), parts)).otherwise(F.pmod(F.xxhash64("doc_id"), parts))  # rows without an id are alike
+    cell = ["shard", "_cell", "_alone", "_part"]
+    rows = marked.join(placed, "_group").withColumns({"_cell": _prefix("_group"), "_alone": F.when(large, F.col("_group")).otherwise(""), "_part": F.when(large, part).otherwise(F.lit(0).cast("long"))})
+    rows = materialize(rows.select("doc_id", "size", "text_crc32", "_group", *cell), "shard-rows")
+    counts = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
+    base = counts.select(*cell, (F.sum("_n").over(Window.partitionBy("shard").orderBy(*cell[1:])) - F.col("_n")).alias("_base"))
+    at = F.row_number().over(Window.partitionBy(*cell).orderBy("_group", F.col("doc_id").asc_nulls_first())) - 1
+    slots = rows.withColumn("_at", at).join(base, cell)
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_base") + F.col("_at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def with_shard(docs: DataFrame, *, shards: int = 24, class_groups: int = 100_000, broadcast_sizes: int = 100_000) -> DataFrame:
+    """`docs` with a further column `shard` (replacing one of that name), the same as
+    assign()'s."""
+    marked = docs.select(F.md5(_text().cast("binary")).alias("_group"), (F.octet_length(_text()) + 8).cast("long").alias("size"))
+    placed = _placed(materialize(marked, "shard-marked"), shards, class_groups, broadcast_sizes).select(F.col("_group").alias("__group"), F.col("shard").alias("__shard"))
     names = [c for c in docs.columns if c != "shard"]
-    rows = docs.select([F.col(f"`{c}`") for c in names] + [F.unhex(F.md5(text.cast("binary"))).alias("_group"), F.pmod(F.xxhash64(text), F.lit(bundles)).alias("_bundle")])
-    return _unit(rows, large).join(shard, "_unit").select([F.col(f"`{c}`") for c in names] + ["shard"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.md5(_text().cast("binary")).alias("__group"))
+    return rows.join(placed, "__group").select("__row.*", F.col("__shard").alias("shard"))

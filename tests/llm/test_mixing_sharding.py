@@ -1,5 +1,7 @@
+import hashlib
 import heapq
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -75,14 +77,38 @@ def test_mixed_rows(docs, nothing):
     assert mixing.mix(nothing).count() == 0 == mixing.mixed_rows(nothing).count()
 
 
-def test_longest_first():
-    sizes = [(i, s) for i, s in enumerate([7, 7, 6, 5, 4, 4, 3, 2, 1, 1])]
-    placed = sharding.longest_first(sizes, 3)
-    heap = [(0, s) for s in range(3)]
-    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+def by_heap(sizes, shards):
+    """Group by group."""
+    heap, out = [(0, s) for s in range(shards)], []
+    for size in sorted(sizes, reverse=True):
         load, shard = heapq.heappop(heap)
-        assert placed[unit] == shard
+        out.append((size, shard))
         heapq.heappush(heap, (load + size, shard))
+    return Counter(out)
+
+
+def test_longest_first():
+    rng = random.Random(3)
+    for shards in (1, 2, 5, 24):
+        for _ in range(20):
+            classes = {rng.randint(1, 40) * rng.choice((1, 1, 100)): rng.choice((1, 2, 60, 700)) for _ in range(12)}
+            order = sorted(classes.items(), reverse=True)
+            got = sharding.longest_first(order, shards)
+            assert all(sum(given) == n for given, (_, n) in zip(got, order))
+            assert Counter({(size, s): n for given, (size, _) in zip(got, order) for s, n in enumerate(given) if n}) == by_heap([size for size, n in classes.items() for _ in range(n)], shards)
+
+
+def shards_by_hand(texts, shards):
+    """text -> shard: group by group, and of a size's groups the lower shards first by md5."""
+    groups = Counter()
+    for t in texts:
+        groups[t or ""] += len((t or "").encode()) + 8
+    free = defaultdict(list)
+    for (size, shard), n in by_heap(groups.values(), shards).items():
+        free[size] += [shard] * n
+    by_md5 = sorted(groups, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    turn = {size: iter(sorted(x)) for size, x in free.items()}
+    return {t: next(turn[groups[t]]) for t in by_md5}
 
 
 def check_shards(got, rows, shards):
@@ -107,13 +133,42 @@ def test_assign(docs, rows, nothing):
     assert sharding.assign(nothing).count() == 0
 
 
-def test_balance_with_few_bundles_and_a_hot_group(spark):
-    rows = [(i, "hot " * 10 if i % 3 == 0 else f"text {i} " * (i % 17 + 1), "s") for i in range(3000)]
+def test_shards_and_slots_by_hand(spark, docs, rows):
+    """Also with sizes and groups that are cut into parts, and in any partitioning."""
+    want = shards_by_hand([t for _, t, _ in rows], 24)
+    assert {(zlib.crc32(t.encode()), s) for t, s in want.items()} == {(r["text_crc32"], r["shard"]) for r in sharding.assign(docs).collect()}
+    order = sorted(((want[t or ""], hashlib.md5((t or "").encode()).hexdigest(), -1 if i is None else i) for i, t, _ in rows))
+    slot = Counter()
+    expected = Counter()
+    for s, _, i in order:
+        expected[i, s, slot[s]] += 1
+        slot[s] += 1
+    assert Counter((-1 if r["doc_id"] is None else r["doc_id"], r["shard"], r["slot"]) for r in sharding.assign(docs.repartition(9)).collect()) == expected
+
+    rows = [(None if i % 7 == 0 else i, "hot " * 10 if i % 3 == 0 else f"text {i:04d}" + " more" * (i % 5), "s") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for bundles in (64, 1 << 15):
-        load = check_shards(sharding.assign(df, shards=4, bundles=bundles).collect(), rows, 4)
-        others = sorted(load.values())
-        assert others[-1] - others[0] < 0.1 * sum(others) / 4
+    want = shards_by_hand([t for _, t, _ in rows], 4)
+    for options in ({}, {"class_groups": 50, "group_rows": 100, "broadcast_sizes": 0}):
+        got = sharding.assign(df, shards=4, **options).collect()
+        *others, hot = sorted(check_shards(got, rows, 4).values())  # the hot group alone is larger than an even share
+        assert hot == 1000 * 48 and others[-1] - others[0] < 100
+        assert {(zlib.crc32(t.encode()), s) for t, s in want.items()} == {(r["text_crc32"], r["shard"]) for r in got}
+        again = sharding.assign(df.repartition(5, "doc_id"), shards=4, **options).collect()
+        assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in got if r["doc_id"]) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in again if r["doc_id"])
+        assert sorted(map(str, got)) == sorted(map(str, again)) or options
+
+
+def test_shards_against_sql(docs, tmp_path):
+    import duckdb
+
+    from stratagrade.llm.queries import OP4_SQL
+
+    docs.where("length(text) < 20000 OR text IS NULL").select("doc_id", "text").write.parquet(str(tmp_path / "d"))
+    df = docs.sparkSession.read.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = sharding.assign(df)
+    assert Counter(map(tuple, got.collect())) == Counter(c.sql("SELECT " + ", ".join(got.columns) + f" FROM ({OP4_SQL})").fetchall())
 
 
 def test_with_shard(docs):
