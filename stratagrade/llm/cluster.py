@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -53,8 +54,10 @@ def discard(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of jobs whose results are stored, which it does
     when the driver collects its garbage; that may otherwise be a long time off."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def ship(spark: SparkSession) -> None:

@@ -30,8 +30,8 @@ from .cluster import map_arrow, materialize, release, ship
 from .textvec import LOWER, chunks, hashed, mix
 
 _U = np.uint64
-END = mix(np.array([0x454E44], np.uint64), 9)[0]
-START = mix(np.array([0x53544152], np.uint64), 9)[0]
+_MASK = _U(0xFFFFFFFFFFFF0000)
+END, START = mix(np.array([0x454E44, 0x53544152], np.uint64), 9) & _MASK
 WORD = 1
 #: Tokens of a block of documents that is scored at once, and of a segment's blocks.
 BLOCK, SEGMENT = 2_000_000, 1_500_000
@@ -41,15 +41,15 @@ VALUE = np.concatenate(([0.0, 1.0], 2.0 ** np.arange(1, LEVELS) * 1.4))
 
 
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (A-Z lower-cased), each text's followed by END, and
-    n + 1 offsets."""
+    """Hashes of the words (A-Z lower-cased; 48 bits, the lower ones are 0), each
+    text's followed by END, and n + 1 offsets."""
     start, end, at = texts.words()
     word = hashed(LOWER[texts.buffer], start, end)
     offsets = at + np.arange(len(at))
     out = np.empty(len(word) + len(texts), np.uint64)
     body = np.ones(len(out), bool)
     body[offsets[1:] - 1] = False
-    out[body] = word
+    out[body] = word & _MASK
     out[~body] = END
     return out, offsets
 
@@ -75,8 +75,9 @@ def ngrams(token: np.ndarray, at: np.ndarray, most: int):
 
 
 def width(kind: int) -> int:
-    """Bits of a key besides its segment's: words must not be mistaken for others."""
-    return 48 if kind == WORD else 32
+    """Bits of a key besides its segment's: words must not be mistaken for others; of
+    longer n-grams some that are new may look known, fewer than the filter lets pass."""
+    return 48 if kind == WORD else 28
 
 
 def shorten(keys: np.ndarray, bits: int, kind: int) -> np.ndarray:
@@ -100,17 +101,17 @@ def _from_planes(blob: bytes, size: int, n: int, raw: int = 0) -> np.ndarray:
 
 def _pack(rest: np.ndarray, kind: int) -> bytes:
     """Sorted distinct keys of one segment, as differences."""
-    return _planes(np.diff(rest, prepend=_U(0)), width(kind) // 8, 2)
+    return _planes(np.diff(rest, prepend=_U(0)), -(-width(kind) // 8), 2)
 
 
 def _unpack(blob: bytes, size: int, kind: int) -> np.ndarray:
-    return np.cumsum(_from_planes(blob, size, width(kind) // 8, 2), dtype=np.uint64)
+    return np.cumsum(_from_planes(blob, size, -(-width(kind) // 8), 2), dtype=np.uint64)
 
 
 # Blocks --------------------------------------------------------------------------
 
 
-_BLOCKS = "block long, tokens long, doc_ids array<long>, held_out array<boolean>, starts binary, words binary, codes binary"
+_BLOCKS = "block long, tokens long, doc_ids array<long>, held_out array<boolean>, starts binary, n_words int, words binary, codes binary"
 
 
 def _blocks(batches):
@@ -125,11 +126,14 @@ def _blocks(batches):
         rank = np.empty(len(order), np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
         starts = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
-        blobs = [starts.tobytes()], [words[order].tobytes()], [_planes(rank[codes], 4)]
+        blobs = [starts.tobytes()], [_planes(words[order] >> _U(16), 6, 6)], [_planes(rank[codes], 4)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([held], pa.int64()), pa.array([sum(ids, [])], pa.list_(pa.int64())), pa.array([sum(held_out, [])], pa.list_(pa.bool_())), *(pa.array(b, pa.binary()) for b in blobs)],
+            [
+                pa.array([block], pa.int64()), pa.array([held], pa.int64()), pa.array([sum(ids, [])], pa.list_(pa.int64())), pa.array([sum(held_out, [])], pa.list_(pa.bool_())),
+                pa.array(blobs[0], pa.binary()), pa.array([len(words)], pa.int32()), *(pa.array(b, pa.binary()) for b in blobs[1:]),
+            ],
             [c.split()[0] for c in _BLOCKS.split(", ")],
-        )
+        )
 
     for batch in batches:
         for texts in chunks(batch.column(1)):
@@ -150,7 +154,8 @@ def _blocks(batches):
 def _read_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens, and n + 1 offsets by text."""
     at = np.frombuffer(row["starts"], np.int64)
-    return np.frombuffer(row["words"], np.uint64)[_from_planes(row["codes"], int(at[-1]), 4).astype(np.int64)], at
+    words = _from_planes(row["words"], row["n_words"], 6, 6) << _U(16)
+    return words[_from_planes(row["codes"], int(at[-1]), 4).astype(np.int64)], at
 
 
 _ASKED = "block long, kind int, segment int, n int, keys binary, counts binary"
