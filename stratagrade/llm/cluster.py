@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -16,11 +17,14 @@ _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one
-    machine), a temporary folder of this process."""
+    """The folder named by spark.checkpoint.dir; where that is unset on one machine, a
+    temporary folder of this process.  On a cluster it must be set, as executors do not
+    see each other's folders."""
     global _own
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _own = _own or "file://" + tempfile.mkdtemp(prefix="stratagrade-")
         folder = _own
     return folder.rstrip("/")
@@ -51,6 +55,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def partitions(df: DataFrame) -> int:
+    """In how many tasks a table is read, which follows its size."""
+    return max(1, df.rdd.getNumPartitions())
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of jobs whose results are stored, which it does
     when the driver collects its garbage; that may otherwise be a long time off."""

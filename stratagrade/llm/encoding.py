@@ -6,10 +6,14 @@ between a letter and an ASCII sign or digit, but never beside an apostrophe or a
 unknown non-ASCII character), each distinct piece is encoded once by the library,
 and whole batches are put together from the known pieces.  Texts in which a special
 token's opening `<|` stands go to the library whole.
+
+That holds for files that normalize and cut as PIECEWISE says.  With any other
+file every text goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -18,6 +22,18 @@ import pandas as pd
 
 from .textvec import BLANK, LOWER, Texts, hashed
 
+#: Normalizers and pre-tokenizers for which the pieces hold.
+PIECEWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 _LETTER, _SIGN, _FIXED = 1, 2, 3
 _CLASS = np.array(
     [_LETTER if chr(b).isalpha() and b < 128 else _FIXED if b >= 128 or b == ord("'") else _SIGN for b in range(256)], np.uint8
@@ -47,7 +63,9 @@ class PieceEncoder:
 
         self.library, self.most = Tokenizer.from_file(path), most
         self.model = self.library.model
-        self.letters = self._letters()
+        spec = json.loads(self.library.to_str())
+        self.piecewise = all(spec.get(k) == v for k, v in PIECEWISE.items()) and spec["model"]["type"] == "BPE" and all("<|" in t["content"] for t in spec["added_tokens"])
+        self.letters = self._letters() if self.piecewise else None
         self.forget()
 
     def _letters(self) -> dict[int, str] | None:
@@ -127,10 +145,21 @@ class PieceEncoder:
         return [i for i in range(len(texts)) if b"<|" in raw[texts.at[i] : texts.at[i + 1]]]
 
     def _whole(self, texts: Texts, i: int) -> list[int]:
-        return self.library.encode(texts.buffer[texts.at[i] : texts.at[i + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+        return self.library.encode(self._text(texts, i), add_special_tokens=False).ids
+
+    @staticmethod
+    def _text(texts: Texts, i: int) -> str:
+        return texts.buffer[texts.at[i] : texts.at[i + 1]].tobytes().decode("utf-8", "replace")
+
+    def _all_whole(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.library.encode_batch([self._text(texts, i) for i in range(len(texts))], add_special_tokens=False)]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
+        return np.fromiter((t for x in ids for t in x), np.int32, int(at[-1])), at
 
     def lengths(self, texts: Texts) -> np.ndarray:
         """The number of ids of each text."""
+        if not self.piecewise:
+            return np.diff(self._all_whole(texts)[1])
         index, at = self._indexes(texts)
         total = np.concatenate(([0], np.cumsum(self.size[index], dtype=np.int64)))
         out = total[at[1:]] - total[at[:-1]]
@@ -140,12 +169,15 @@ class PieceEncoder:
 
     def encode(self, texts: Texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n + 1 offsets by text; `end_id` closes each text."""
-        index, at = self._indexes(texts)
-        size = self.size[index].astype(np.int64)
-        to = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.start[index] - to[:-1], size) + np.arange(to[-1])]
-        offsets = to[at]
-        if special := self._special(texts):
+        if self.piecewise:
+            index, at = self._indexes(texts)
+            size = self.size[index].astype(np.int64)
+            to = np.concatenate(([0], np.cumsum(size)))
+            ids = self.flat[np.repeat(self.start[index] - to[:-1], size) + np.arange(to[-1])]
+            offsets = to[at]
+        else:
+            ids, offsets = self._all_whole(texts)
+        if self.piecewise and (special := self._special(texts)):
             parts = [ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
             for i in special:
                 parts[i] = np.array(self._whole(texts, i), np.int32)

@@ -61,9 +61,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return s.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    size = n_words(F.col("text"))
-    return docs.withColumn("_size", size).withColumn("_key", exponential_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text"), F.col("_size")), seed))
+def _keyed(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
+    """source and doc_id with the size and the key of each row."""
+    rows = docs.select("doc_id", "source", "text", *([] if weight is None else [weight.alias("_weight")])).withColumn("_size", n_words(F.col("text")))
+    own = quality_weight(F.col("text"), F.col("_size")) if weight is None else _usable("_weight")
+    return rows.select("doc_id", "source", "_size", exponential_key(F.col("doc_id"), F.col("text"), own, seed).alias("_key"))
+
+
+def _usable(weight: str) -> Column:
+    """A given weight; nulls, NaN and what isn't above 0 count as the least."""
+    w = F.col(weight).cast("double")
+    return F.when((w > 1e-6) & ~F.isnan(w), F.least(w, F.lit(1e6))).otherwise(1e-6)
 
 
 def _bucket(buckets: int) -> Column:
@@ -80,14 +88,14 @@ def _edge(cells: DataFrame, budgets: DataFrame, at: str) -> DataFrame:
     return both.where((F.col("_sum") > F.col("_left")) & (before <= F.col("_left"))).select("a.source", f"a.{at}", (F.col("_left") - before).alias("_left"))
 
 
-def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, buckets: int = 1 << 14, broadcast_sources: int = 100_000) -> DataFrame:
+def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, buckets: int = 1 << 14, broadcast_sources: int = 100_000, weight: Column | None = None) -> DataFrame:
     """A row for each source: source, source_size, target, epochs, and where the
     fractional selection ends: rows with a key below `edge` are taken whole, those
     at it (one row, or repeats of it) give `edge_words` words each.  The plan is
     broadcast to the rows if it has no more than `broadcast_sources` of them; else
     the join shuffles, and Spark splits a hot source's partition."""
     side = max(1, math.isqrt(buckets))
-    slim = _keyed(docs.select("doc_id", "source", "text"), seed).select("source", "_size", "_key")
+    slim = _keyed(docs, seed, weight).select("source", "_size", "_key")
     slim = materialize(slim.withColumn("_bucket", _bucket(side * side)).withColumn("_coarse", F.floor(F.col("_bucket") / side)), "mix-keys")
     coarse = slim.groupBy("source", "_coarse").agg(F.sum("_size").alias("_cell"))
     sources = source_targets(coarse.groupBy("source").agg(F.sum("_cell").alias("source_size")), weights, share, most)
@@ -115,17 +123,18 @@ def plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float
     return F.broadcast(out) if out.count() <= broadcast_sources else out
 
 
-def mix(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:
+def mix(docs: DataFrame, *, seed: int = 11, weight: Column | None = None, **options) -> DataFrame:
     """docs(doc_id, source, text, ...) -> doc_id, size, source_size, target, taken,
-    epochs, key: one row for each row of `docs`.
+    epochs, key: one row for each row of `docs`.  `weight`: a column of `docs` with the
+    documents' quality (0 or less, null: the least), or else quality_weight()'s.
 
     Nulls: a null text has no words and takes none; null sources are one source;
     a null id only changes the key.  Repeated rows have one key and share the edge
     evenly.  An empty table gives an empty result.  Columns besides the three are
     ignored, whatever their names.
     """
-    sources = plan(docs, seed=seed, **options)
-    rows = _keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "_size", "_key")
+    sources = plan(docs, seed=seed, weight=weight, **options)
+    rows = _keyed(docs, seed, weight)
     part = F.when(F.col("_key") < F.coalesce("edge", F.lit(float("-inf"))), F.col("_size")).when(F.col("_key") == F.col("edge"), F.least("_size", "edge_words")).otherwise(0)
     return rows.alias("a").join(sources.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
         "doc_id",
@@ -138,17 +147,18 @@ def mix(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:
     )
 
 
-def mixed_rows(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, *, seed: int = 11, weight: Column | None = None, **options) -> DataFrame:
     """The mixed corpus itself, with the columns of `docs`: a row stands once for
     each epoch, and once more if the fractional selection takes it whole or at least
     half of it (documents are not cut here).  Rows without words stand once for each
     epoch and at least once, as they take nothing of any budget.
     """
-    sources = plan(docs, seed=seed, **options)
+    sources = plan(docs, seed=seed, weight=weight, **options)
     names = docs.columns
-    rows = docs.select([F.col(f"`{c}`") for c in names] + [F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text")).alias("__mix_row")])
+    rows = docs.select([F.col(f"`{c}`") for c in names] + ([] if weight is None else [weight.alias("__mix_weight")]) + [F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text")).alias("__mix_row")])
     size = n_words(F.col("__mix_row.text"))
-    rows = rows.withColumn("__mix_size", size).withColumn("__mix_key", exponential_key(F.col("__mix_row.doc_id"), F.col("__mix_row.text"), quality_weight(F.col("__mix_row.text"), F.col("__mix_size")), seed))
+    own = quality_weight(F.col("__mix_row.text"), F.col("__mix_size")) if weight is None else _usable("__mix_weight")
+    rows = rows.withColumn("__mix_size", size).withColumn("__mix_key", exponential_key(F.col("__mix_row.doc_id"), F.col("__mix_row.text"), own, seed))
     more = F.when(F.col("__mix_key") < F.coalesce("b.edge", F.lit(float("-inf"))), 1).when((F.col("__mix_key") == F.col("b.edge")) & (F.col("b.edge_words") * 2 >= F.col("__mix_size")), 1).otherwise(0)
     times = F.when(F.col("__mix_size") == 0, F.greatest(F.col("b.epochs"), F.lit(1))).otherwise(F.col("b.epochs") + more)
     joined = rows.join(sources.alias("b"), F.col("__mix_row.source").eqNullSafe(F.col("b.source")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import map_arrow, materialize, new_path
+from .cluster import map_arrow, materialize, new_path, partitions
 from .encoding import encoder
 from .textvec import chunks
 
@@ -46,7 +46,8 @@ def write_orc(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, stripe
     files without rows.  Other columns are ignored.
     """
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)  # as many files as the input has parts
     (
         map_arrow(rows, _encoded(tokenizer, end_id), LAYOUT)
         .write.option("orc.bloom.filter.columns", "doc_id")

@@ -1,9 +1,11 @@
 """A quality classifier of supervised subword embeddings.
 
-Hashed words, pairs of words and character n-grams have learned vectors; a document is the average
-of its own, and a softmax over two classes gives its score.  Training runs on the
-driver with numpy stochastic gradient descent, over a bounded sample of labelled
-documents (whole texts); scoring runs over all documents.
+Hashed words, pairs of words and character n-grams have learned vectors; a document is
+the average of its own, and a softmax over two classes gives its score.  Training runs
+on the driver with numpy stochastic gradient descent, over a bounded sample of labelled
+documents; scoring runs over all documents.  Whole texts stay with the workers: of each
+sampled document the driver gets its buckets and their shares, 8 bytes for each of
+BUCKETS at most, and usually for a few hundred.
 
 The softmax of an average is linear in the features before it: for scoring, each
 vector is reduced to the difference of its two logits, so the model sent to the
@@ -71,8 +73,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 5, least_steps: int = 400, batch: int = 32, rate: float = 1.0, gain: float = 100.0, seed: int = 5) -> Model:
-    """Without texts of both classes the model scores 0.5 everywhere.
+def bags(texts: Texts):
+    """For each text its distinct buckets, sorted, and the share of each."""
+    bucket, owner = (np.concatenate(x) for x in features(texts))
+    order = np.argsort(owner, kind="stable")
+    cut = np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    for i in range(len(texts)):
+        ids, n = np.unique(bucket[order[cut[i] : cut[i + 1]]], return_counts=True)
+        yield ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], *, dim: int = 8, epochs: int = 5, least_steps: int = 400, batch: int = 32, rate: float = 1.0, gain: float = 100.0, seed: int = 5) -> Model:
+    """Without bags of both classes the model scores 0.5 everywhere.
 
     `gain`: how much longer steps the vectors take than the output layer; a vector
     sees only its share of a document's gradient.  Small samples get more epochs, up
@@ -80,14 +92,7 @@ def train(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 5,
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.Generator(np.random.PCG64(seed))
-    bags, y = [], np.array(labels)
-    for block in chunks(pa.array(texts, pa.string())):
-        bucket, owner = (np.concatenate(x) for x in features(block))
-        order = np.argsort(owner, kind="stable")
-        cut = np.searchsorted(owner[order], np.arange(len(block) + 1))
-        for i in range(len(block)):
-            ids, n = np.unique(bucket[order[cut[i] : cut[i + 1]]], return_counts=True)
-            bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+    y = np.array(labels)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     output, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     share = np.bincount(y, minlength=2) / len(y)
@@ -121,6 +126,17 @@ def train(texts: list[str], labels: list[int], *, dim: int = 8, epochs: int = 5,
     return Model((vectors @ difference).astype(np.float32), float(bias[1] - bias[0]))
 
 
+_BAG = "doc_id long, label int, buckets binary, shares binary"
+
+
+def _bagged(batches):
+    for batch in batches:
+        for texts in chunks(batch.column(2)):
+            made = list(bags(texts))
+            rows = [c.slice(texts.first, len(texts)) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.array([b[k].tobytes() for b in made], pa.binary()) for k in (0, 1))], [c.split()[0] for c in _BAG.split(", ")])
+
+
 def sample(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> list:
     """At most `per_class` labelled documents of each class, by a hash of their id,
     from ids whose crc32 leaves another remainder than 1 by 3.  Ids labelled both ways
@@ -134,8 +150,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> list
     if not ids:
         return []
     wanted = F.broadcast(docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, label int"))
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
-    return sorted(rows.collect(), key=lambda r: r["doc_id"])
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return sorted(map_arrow(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text"), _bagged, _BAG).collect(), key=lambda r: r["doc_id"])
 
 
 def _scored(model):
@@ -161,6 +177,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, **opt
     """
     spark = docs.sparkSession
     rows = sample(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), per_class=per_class)
-    model = spark.sparkContext.broadcast(train([r["text"] for r in rows], [r["label"] for r in rows], **options))
+    bag = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
+    model = spark.sparkContext.broadcast(train(bag, [r["label"] for r in rows], **options))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")
     return map_arrow(docs.select("doc_id", "text", held_out), _scored(model), "doc_id long, held_out boolean, score double, predicted int")

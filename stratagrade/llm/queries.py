@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import language_model, licenses, mixing, orc_tokens, quality_model, rules, sharding, similarity_join, tiling, token_counts
 
@@ -167,6 +168,29 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join.link(documents(spark, sf_dir), words=4, similarity=(85, 100))
 
 
+#: Links between all pairs that share a shingle, and their closure.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d
+), n AS (
+  SELECT doc_id, len(g)::BIGINT AS n FROM s
+), u AS (
+  SELECT doc_id, unnest(g) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+)
+SELECT a AS doc_id, n AS n_shingles, min(b) AS component_id FROM r JOIN n ON n.doc_id = r.a GROUP BY ALL
+"""
+
+
 def _vocabulary() -> str:
     import public_tokenizers
 
@@ -181,6 +205,30 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(documents(spark, sf_dir))
 
 
+def llm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8's contract defines without a model."""
+    scored = language_model.score(documents(spark, sf_dir), order=1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+#: crc32 bit by bit.
+BASE_SCORES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(doc_id::VARCHAR), '..'), lambda x: [('0x' || x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 5 = 1 AS held_out FROM documents
+), t AS (
+  SELECT doc_id, held_out, unnest(w) AS w FROM d
+), c AS (
+  SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w
+), n AS (
+  SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c ON c.w = t.w, n GROUP BY doc_id, held_out, n
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(documents(spark, sf_dir), tokenizer=_vocabulary()))
 
@@ -192,10 +240,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_quality_classifier, op3_quality_rules, op4_shard_documents, op5_license_scan,
-        op6_ngram_join, op7_orc_tokens, op8_language_model, op9_token_counts, op10_decontaminate,
+        op6_ngram_join, op7_orc_tokens, op8_language_model, op9_token_counts, op10_decontaminate, llm_base_scores,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_shard_documents": OP4_SQL, "op5_license_scan": _op5_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_shard_documents": OP4_SQL, "op5_license_scan": _op5_sql(), "op6_ngram_join": OP6_SQL, "llm_base_scores": BASE_SCORES_SQL}

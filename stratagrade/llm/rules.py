@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 
 from .mixing import SYMBOL, WORD
 
-#: Notices and menu entries.
+#: Notices and menu entries in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions", "lorem ipsum",
     "javascript is disabled", "enable javascript", "accept cookies", "uses cookies", "click here", "subscribe to our newsletter", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "hier klicken", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d.utilisation", "utilise des cookies", "cliquez ici", "abonnez-vous",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "utiliza cookies", "haga clic aquí", "suscríbase",
+)
+MENU = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top", "contact", "contact us", "about", "about us", "share", "read more", "skip to content", "search", "sitemap",
+    "startseite", "anmelden", "registrieren", "weiter", "zurück", "nach oben", "kontakt", "über uns", "teilen", "weiterlesen", "suche", "impressum",
+    "accueil", "connexion", "se connecter", "inscription", "suivant", "précédent", "haut de page", "contactez-nous", "à propos", "partager", "lire la suite", "recherche", "plan du site",
+    "inicio", "iniciar sesión", "registrarse", "siguiente", "anterior", "volver arriba", "contacto", "sobre nosotros", "compartir", "leer más", "buscar", "mapa del sitio",
 )
-MENU = ("home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top", "contact", "contact us", "about", "about us", "share", "read more", "skip to content", "search", "sitemap")
 
 WINDOW = 8
 
@@ -42,8 +50,8 @@ def _lines(text) -> F.Column:
         symbols = F.greatest(x["symbols"] - x["bars"], x["shouts"]) * 10 > words * 3
         scrap = (words < 3) & ~line.rlike(r"[.!?:;,…。！？\"'”»)\]][\x09-\x0D\x20]*$")
         bar = (x["bars"] >= 2) & (x["bars"] * 4 >= words)
-        menu = (words <= 4) & line.rlike(r"(?i)^[^\p{L}]*(" + "|".join(MENU) + r")[^\p{L}]*$")
-        notice = (words <= 40) & line.rlike("(?i)" + "|".join(BOILERPLATE))
+        menu = (words <= 4) & line.rlike(r"(?iu)^[^\p{L}]*(" + "|".join(MENU) + r")[^\p{L}]*$")
+        notice = (words <= 40) & line.rlike("(?iu)" + "|".join(BOILERPLATE))
         return (words > 0) & (symbols | scrap | bar | menu | notice)
 
     return F.transform(measured, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), x["symbols"].alias("symbols"), fails(x).alias("fails")))

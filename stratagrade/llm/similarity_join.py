@@ -2,8 +2,8 @@
 
 Documents with one set of shingles are one class; the join links classes.
 
-1. Every class orders its shingles from rare to frequent, by a fixed-size sketch of
-   their frequencies in all documents (the order need only be the same for all, so
+1. Every class orders its shingles from rare to frequent, by a sketch (of bounded size)
+   of their frequencies in all documents (the order need only be the same for all, so
    the sketch's errors cost time, never links).  Two sets with enough in common share
    at least k shingles in their k-prefixes, for every k.  Each class picks the k
    whose estimated cost is least: a longer prefix reads more postings, but only
@@ -22,6 +22,7 @@ Hashes have 64 bits; sets with equal fingerprints are taken for equal.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .cluster import discard, map_arrow, materialize
+from .cluster import discard, map_arrow, materialize, partitions
 from .textvec import LOWER, chunks, hashed, mix, sums, windows
 
 _U = np.uint64
-CELLS, CHUNKS, CELL_SHIFT = 1 << 21, 128, 64 - 21
+CHUNKS = 128
+#: Counters of the sketch, as powers of two: it grows with the input up to what tasks hold and the driver sends.
+LEAST_CELLS, MOST_CELLS = 21, 24
 MOST_K = 6
 RARE = 0.1  # other classes expected at a shingle that doesn't stand out
 BITMAP = 24
@@ -61,16 +64,20 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 _PROFILE = "doc_id long, n_shingles long, fp long, chunk int, cells binary"
 
 
-def _profiled(n: int):
+def _cell(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> _U(64 - bits)).astype(np.int64)
+
+
+def _profiled(n: int, bits: int):
     """A row for each document, and each task's sketch in chunks."""
 
     def run(batches):
-        cells = np.zeros(CELLS, np.uint32)
+        cells = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for texts in chunks(batch.column(1)):
                 sets = shingle_sets(texts, n)
                 size = np.array([len(s) for s in sets], np.int64)
-                np.add.at(cells, (np.concatenate(sets) >> _U(CELL_SHIFT)).astype(np.int64), np.uint32(1))
+                np.add.at(cells, _cell(np.concatenate(sets), bits), np.uint32(1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(texts.first, len(texts)), pa.array(size), pa.array(fingerprints(sets), mask=size == 0), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                     ["doc_id", "n_shingles", "fp", "chunk", "cells"],
@@ -83,23 +90,29 @@ def _profiled(n: int):
     return run
 
 
-def _summed(batches):
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(zlib.decompress(b.as_py()), np.uint32).astype(np.int64)
-            held[i] = held[i] + part if i in held else part
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "cells"])
+def _summed(kind):
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(zlib.decompress(b.as_py()), kind).astype(np.int64)
+                held[i] = held[i] + part if i in held else part
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["chunk", "cells"])
+
+    return run
 
 
-def _ranks(profile: DataFrame) -> np.ndarray:
+def _ranks(profile: DataFrame, tasks: int, bits: int) -> np.ndarray:
     """For each cell its frequency on a log scale, 0 if it doesn't stand out of the
-    cells' noise; one byte each."""
-    cells = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
+    cells' noise; one byte each.  The tasks' sketches are summed in two steps, so that
+    no task reads more than about the square root of them of a chunk."""
+    cells = np.zeros((CHUNKS, (1 << bits) // CHUNKS), np.int64)
     parts = profile.where("chunk IS NOT NULL").select("chunk", "cells")
-    for r in map_arrow(parts.repartition("chunk"), _summed, "chunk int, cells binary").collect():  # CELLS counters in all
-        cells[r["chunk"]] = np.frombuffer(r["cells"], np.int64)
+    several = parts.repartition("chunk", F.pmod(F.xxhash64("cells"), F.lit(math.isqrt(tasks) + 1)))
+    sums = map_arrow(several, _summed(np.uint32), "chunk int, cells binary")
+    for r in map_arrow(sums.repartition("chunk"), _summed(np.int64), "chunk int, cells binary").collect():  # 2 ** bits counters in all
+        cells[r["chunk"]] = np.frombuffer(zlib.decompress(r["cells"]), np.int64)
     cells = cells.reshape(-1)
     noise = float(np.median(cells))
     excess = np.maximum(cells - noise, 1)
@@ -114,7 +127,7 @@ _POSTINGS = "token long, fp long, place long"  # place: n, k and pos in one numb
 def prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
     """The chosen prefix of a sorted set, in the global order, and its k."""
     n = len(s)
-    level = rank[(s >> _U(CELL_SHIFT)).astype(np.int64)]
+    level = rank[_cell(s, len(rank).bit_length() - 1)]
     order = np.lexsort((s, level))
     least = -(-num * n // den)  # what any partner shares with it
     others = np.cumsum(np.where(level == 0, RARE, np.exp2(level / 4.0))[order])
@@ -221,8 +234,10 @@ def _verified(text: DataFrame, pairs: DataFrame, n: int, num: int, den: int, tag
     bitmap = np.zeros(1 << (BITMAP - 6), np.uint64)
     for batch in words.toArrow().to_batches():  # 2 ** 18 rows at most
         bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    sets = map_arrow(text, _emitted(n, text.sparkSession.sparkContext.broadcast(bitmap)), "fp long, grams binary")
+    bitmap = text.sparkSession.sparkContext.broadcast(bitmap)
+    sets = map_arrow(text, _emitted(n, bitmap), "fp long, grams binary")
     sets = materialize(sets.groupBy("fp").agg(F.min("grams").alias("grams")), f"{tag}-sets")
+    bitmap.destroy()
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("a_grams")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("b_grams")), "b")
     links = materialize(map_arrow(both.select("a", "b", "a_grams", "b_grams"), _compared(num, den), "a long, b long"), f"{tag}-links")
     discard(sets)
@@ -254,9 +269,12 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     classes that are linked with another."""
     spark = docs.sparkSession
     text = docs.select("text")
-    profile = materialize(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _profiled(n), _PROFILE), "join-profile")
-    rank = spark.sparkContext.broadcast(_ranks(profile))
+    tasks = partitions(text)
+    bits = min(MOST_CELLS, max(LEAST_CELLS, 14 + tasks.bit_length()))
+    profile = materialize(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _profiled(n, bits), _PROFILE), "join-profile")
+    rank = spark.sparkContext.broadcast(_ranks(profile, tasks, bits))
     posted = materialize(map_arrow(text, _posted(n, num, den, rank), _POSTINGS), "join-posted")
+    rank.destroy()
     shared = posted.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token")
     postings = posted.join(shared, "token", "left_semi").groupBy("token", "fp").agg(F.min("place").alias("place"))
     place = F.col("place")

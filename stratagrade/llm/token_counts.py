@@ -42,7 +42,7 @@ def length_histogram(docs: DataFrame, *, tokenizer: str) -> DataFrame:
     return map_arrow(docs.select("text"), _histogram(tokenizer), "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
-def suffix_sums(histogram: DataFrame, block: int = 1024) -> DataFrame:
+def suffix_sums(histogram: DataFrame, block: int = 128) -> DataFrame:
     """Adds to each length: tokens, docs_reaching and tokens_reaching (of documents at
     least that long), truncated_tokens (of all documents cut to that length) and
     quantile (the share of documents up to that length).
@@ -75,12 +75,12 @@ def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
     """Answers for any context limits from suffix_sums(): limit, docs_over (longer
     than it), total_tokens, truncated_tokens."""
     spark = table.sparkSession
-    total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("docs"), F.lit(0)).alias("d")).first()
+    total = table.agg(F.coalesce(F.max("tokens_reaching"), F.lit(0)).alias("t")).first()
     wanted = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "limit long"))
-    above = wanted.join(table.select("length", "docs", "tokens"), F.col("length") > F.col("limit"), "left").groupBy("limit").agg(
-        F.coalesce(F.sum("docs"), F.lit(0)).alias("docs_over"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("_t")
-    )
-    return above.select("limit", "docs_over", F.lit(int(total["t"])).cast("long").alias("total_tokens"), (F.lit(int(total["t"])) - F.col("_t") + F.col("limit") * F.col("docs_over")).cast("long").alias("truncated_tokens"))
+    above = wanted.join(table.select("length", "docs_reaching", "tokens_reaching"), F.col("length") > F.col("limit"), "left")
+    above = above.groupBy("limit").agg(F.min_by(F.struct("docs_reaching", "tokens_reaching"), "length").alias("next"))  # the sums at the next length
+    over, held = F.coalesce("next.docs_reaching", F.lit(0)), F.coalesce("next.tokens_reaching", F.lit(0))
+    return above.select("limit", over.alias("docs_over"), F.lit(int(total["t"])).cast("long").alias("total_tokens"), (F.lit(int(total["t"])) - held + F.col("limit") * over).cast("long").alias("truncated_tokens"))
 
 
 def quantiles(table: DataFrame, shares: list[float]) -> DataFrame:

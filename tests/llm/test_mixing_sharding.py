@@ -56,6 +56,14 @@ def test_keys_follow_weights(spark):
     assert n[1] > 3 * n[0] and n[1] + n[0] == math.floor(0.3 * 400 * 20)
 
 
+def test_given_weights(spark):
+    df = spark.createDataFrame([(i, "some good words " * 10, "s", None if i % 5 == 4 else float(i % 5)) for i in range(500)], "doc_id long, text string, source string, quality double")
+    taken = {r["q"]: r["n"] for r in mixing.mix(df, share=0.3, weight=F.col("quality")).join(df.select("doc_id", F.col("quality").alias("q")), "doc_id").groupBy("q").agg(F.sum("taken").alias("n")).collect()}
+    assert taken[3.0] > taken[1.0] > 0 and taken[0.0] == taken[None] == 0
+    rows = {r["quality"]: r["n"] for r in mixing.mixed_rows(df, share=0.3, weight=F.col("quality")).groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    assert rows == {q: n // 30 for q, n in taken.items() if n}
+
+
 def test_buckets_do_not_matter(docs):
     assert sorted(map(str, mixing.mix(docs, buckets=2).collect())) == sorted(map(str, mixing.mix(docs, buckets=1 << 16).collect()))
 

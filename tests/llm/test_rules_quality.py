@@ -42,6 +42,13 @@ def test_lines_go_first(spark):
     assert out[1]["clean_text"] == "\n".join(good) and out[3]["clean_text"] == ""
 
 
+def test_menus_and_notices_of_four_languages(spark):
+    good = " ".join(f"wort{k}" for k in range(30)) + "."
+    failing = ["Startseite", "Über uns", "ALLE RECHTE VORBEHALTEN", "Accueil", "À propos", "Tous droits réservés.", "Inicio", "Leer más", "Política de privacidad"]
+    out = rules.measure(spark.createDataFrame([(1, "\n".join([good, *failing, "Ein Satz, der bleibt."]))], "doc_id long, text string")).first()["__rules"]
+    assert out["clean_text"] == good + "\nEin Satz, der bleibt."
+
+
 def test_kept_rows(docs, nothing):
     kept = rules.kept_rows(docs.drop("__rules"))
     assert kept.columns == docs.drop("__rules").columns

@@ -68,6 +68,26 @@ def test_token_counts(docs, encoded, nothing):
     assert token_counts.suffix_sums(token_counts.length_histogram(nothing, tokenizer=PATH)).count() == 0
 
 
+def test_other_tokenizer_files(spark, tmp_path):
+    """Files that keep letter case or white space, against the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(PATH).read())
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    texts = ["Hello World FOO", "  two  blanks\n\nand lines ", "", "Ünï <|endoftext|> 12.5%", "it's THE end"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path in (str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json"), PATH):
+        library = Tokenizer.from_file(path)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        got = {r["doc_id"]: r["ids_crc32"] for r in orc_tokens.tokens_round_trip(df, tokenizer=path, end_id=2).collect()}
+        assert got == {i: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for i, ids in enumerate(want)}
+        lengths = {r["length"]: r["docs"] for r in token_counts.length_histogram(df, tokenizer=path).collect()}
+        assert lengths == Counter(map(len, want))
+
+
 def low(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
