@@ -42,15 +42,16 @@ def parser() -> argparse.ArgumentParser:
 
     path, needed = {"type": Path}, {"type": Path, "required": True}
     policy = lambda default, *choices: {"choices": choices or ("error", "skip"), "default": default}
+    folder = ("--mappings", {"type": Path, "help": "folder with further <dataset>.json mappings (mappings/ under the root, if it is there)"})
     dataset = ("--dataset", {"type": _name, "required": True})
     overwrite = ("--overwrite", {"action": "store_true"})
     ratios = [(f"--{n}-ratio", {"type": _ratio, "default": r}) for n, r in (("train", 0.8), ("val", 0.1), ("test", 0.1))] + [("--seed", {"type": int, "default": 42})]
     conflict = ("--conflicting-label-policy", policy("error", "error", "keep"))
-    command("list-datasets", "datasets with a known mapping")
-    command("preprocess", "table to records", ("--input", needed), ("--dataset", {"type": _name}), ("--mapping", path), ("--output", needed), ("--missing-field-policy", policy("error")), conflict, overwrite)
+    command("list-datasets", "datasets with a known mapping", folder)
+    command("preprocess", "table to records", ("--input", needed), ("--dataset", {"type": _name}), ("--mapping", path), ("--output", needed), ("--missing-field-policy", policy("error")), conflict, folder, overwrite)
     command(
         "prepare", "table to records to splits", dataset, ("--input", path), ("--mapping", path), ("--output-dir", path), ("--split-type", policy("group", "random", "group")),
-        ("--group-key", {"default": "metadata.table_name"}), ("--missing-group-policy", policy("skip")), *ratios, ("--missing-field-policy", policy("skip")), conflict, overwrite,
+        ("--group-key", {"default": "metadata.table_name"}), ("--missing-group-policy", policy("skip")), *ratios, ("--missing-field-policy", policy("skip")), conflict, folder, overwrite,
     )
     command(
         "split", "records to splits", ("--input", needed), ("--output-dir", needed), ("--type", {**policy("random", "random", "group"), "dest": "split_type"}), *ratios,
@@ -73,22 +74,23 @@ def parser() -> argparse.ArgumentParser:
 
 def _run(a: argparse.Namespace) -> None:
     say = lambda x: print(json.dumps(x, ensure_ascii=False))
+    own = getattr(a, "mappings", None) or (a.root / "mappings" if (a.root / "mappings").is_dir() else None)
     if a.command == "list-datasets":
-        print("\n".join(places.discover_datasets()))
+        print("\n".join(places.discover_datasets(own)))
         return
     spark = session()
     if a.command == "preprocess":
         if (a.dataset is None) == (a.mapping is None):
             raise ValueError("one of --dataset and --mapping is required")
         made = records.preprocess(
-            spark, a.input, places.resolve_mapping(a.dataset, a.mapping), a.output, overwrite=a.overwrite, missing_field_policy=a.missing_field_policy,
+            spark, a.input, places.resolve_mapping(a.dataset, a.mapping, own), a.output, overwrite=a.overwrite, missing_field_policy=a.missing_field_policy,
             domain=a.dataset or a.input.stem, conflicting_label_policy=a.conflicting_label_policy,
         )
         print(f"Preprocessed {made.count()} records -> {a.output}")
     elif a.command == "prepare":
         out = a.output_dir or a.root / "data" / "processed" / a.dataset
         made = records.preprocess(
-            spark, a.input or places.default_input(a.dataset, a.root), places.resolve_mapping(a.dataset, a.mapping), out / "all.json", overwrite=a.overwrite,
+            spark, a.input or places.default_input(a.dataset, a.root), places.resolve_mapping(a.dataset, a.mapping, own), out / "all.json", overwrite=a.overwrite,
             missing_field_policy=a.missing_field_policy, domain=a.dataset, conflicting_label_policy=a.conflicting_label_policy,
         )
         print(f"Preprocessed {made.count()} records -> {out / 'all.json'}")

@@ -7,8 +7,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import messages as say
 from ..functions import text as tx
 from ..schemas import DEVELOPER_PROMPT, GRADE, LEVELS, METADATA, SPLITS
+from ..sources.json_arrays import has_key, is_object, json_kind
 
 
 def is_labeled(levels: list[Column]) -> Column:
@@ -35,36 +37,68 @@ def chat_records(records: DataFrame) -> DataFrame:
         *keep,
         messages({f: F.col(f"metadata.{f}") for f in METADATA}).alias("messages"),
         reference_answer(levels, grade).alias("reference_answer"),
-        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("source_id"),
+        F.coalesce(F.col("id").cast("string"), F.lit("None")).alias("source_id"),  # as other null values
     )
     return out.select(*keep, "messages", "reference_answer", F.to_json("reference_answer").alias("reference_answer_json"), "source_id")
 
 
-def check_item(item: dict, index: int, path) -> None:
-    """All parts and fields must be there; null values are allowed."""
-    for part, fields in (("metadata", METADATA), ("classification", LEVELS), ("grading", (GRADE,))):
-        if not isinstance(item.get(part), dict):
-            raise ValueError(f"Item {index} in {path} has invalid {part}")
-    for part, fields in (("metadata", METADATA), ("classification", LEVELS), ("grading", (GRADE,))):
-        if absent := [f for f in fields if f not in item[part]]:
-            raise ValueError(f"Item {index} in {path} is missing {part} fields: " + ", ".join(absent))
+PARTS = {"metadata": METADATA, "classification": LEVELS, "grading": (GRADE,)}
+
+
+def check_items(items: DataFrame, path) -> None:
+    """All parts and fields must be there; null values are allowed.  The first item with
+    a fault is named."""
+    faults = F.struct(
+        F.array_compact(F.array(*[F.when(~is_object(F.col("item"), f"$.{part}"), part) for part in PARTS])).alias("invalid"),
+        F.array(*[F.struct(F.lit(part).alias("part"), F.array_compact(F.array(*[F.when(~has_key(F.col("item"), part, f), f) for f in fields])).alias("fields")) for part, fields in PARTS.items()]).alias("absent"),
+    )
+    found = items.select("pos", faults.alias("f")).where((F.size("f.invalid") > 0) | F.exists("f.absent", lambda x: F.size(x["fields"]) > 0)).orderBy("pos").first()
+    if found:
+        for part in found["f"]["invalid"]:
+            raise ValueError(say.EXPORT_PART.format(item=found["pos"], path=path, part=part))
+        part, fields = next(x for x in found["f"]["absent"] if x["fields"])
+        raise ValueError(say.EXPORT_FIELDS.format(item=found["pos"], path=path, part=part, names=", ".join(fields)))
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """turns(conv_id, turn, role, text) -> conv_id, messages (JSON, in order of turns)."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    rows = turns.groupBy("conv_id").agg(ordered.alias("t"))
+    return rows.select("conv_id", F.to_json(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).alias("messages"))
+
+
+def export_counts(records: DataFrame, levels: list[Column]) -> DataFrame:
+    """One row: input_records, exported_records, skipped_unlabeled."""
+    labeled = is_labeled(levels)
+    return records.agg(F.count("*").alias("input_records"), F.count_if(labeled).alias("exported_records"), F.count_if(~labeled).alias("skipped_unlabeled"))
+
+
+def scalar(item: Column, path: str) -> Column:
+    """The value at a path as Python writes it: `None`, `True`, `False`, or its text."""
+    text = F.get_json_object(item, "$." + path)
+    return F.coalesce(F.when(text.isin("true", "false") & (json_kind(item, "$." + path) == "BOOLEAN"), F.initcap(text)), text, F.lit("None"))
+
+
+def parsed_records(items: DataFrame) -> DataFrame:
+    """items(pos, item) -> pos, id (an absent one is empty), metadata, classification, grading."""
+    there = F.array_contains(F.json_object_keys("item"), "id")
+    parts = [F.struct(*[scalar(F.col("item"), f"{part}.{f}").alias(f) for f in fields]).alias(part) for part, fields in PARTS.items()]
+    return items.select("pos", F.when(there, scalar(F.col("item"), "id")).otherwise("").alias("id"), *parts)
 
 
 def export_split(spark: SparkSession, input_path, output_path) -> dict:
     from ..sinks.files import write_jsonl
-    from ..sources.json_arrays import check_array, from_objects
-
-    items = check_array(input_path, empty_ok=True)
-    for i, item in enumerate(items):
-        check_item(item, i, input_path)
-    at = lambda p: F.get_json_object("item", "$." + p)
-    parts = [F.struct(*[at(f"{part}.{f}").alias(f) for f in fields]).alias(part) for part, fields in (("metadata", METADATA), ("classification", LEVELS), ("grading", (GRADE,)))]
-    made = chat_records(from_objects(spark, items).select("pos", at("id").alias("id"), *parts)).persist()
-    count = made.count()
-    if not count:
-        raise ValueError(f"No labeled records available in {input_path}")
-    write_jsonl(made.orderBy("pos").drop("pos"), output_path)
-    return {"input_records": len(items), "exported_records": count, "skipped_unlabeled": len(items) - count, "output_file": str(output_path)}
+    from ..sources.json_arrays import read_array
+
+    items = read_array(spark, input_path, empty_ok=True).persist()
+    check_items(items, input_path)
+    read = parsed_records(items)
+    counts = export_counts(read, [F.col(f"classification.{f}") for f in LEVELS]).first().asDict()
+    if not counts["exported_records"]:
+        raise ValueError(say.NOTHING_LABELED.format(path=input_path))
+    write_jsonl(chat_records(read).orderBy("pos").drop("pos"), output_path)
+    items.unpersist()
+    return counts | {"output_file": str(output_path)}
 
 
 def export_dataset(spark: SparkSession, input_dir, output_dir) -> dict:

@@ -8,9 +8,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import messages as say
 from ..functions import text as tx
 from ..functions.order import ROW
 from ..schemas import FLAT_CORPUS, GRADE, GUIDE_CONTENT, GUIDE_LABEL, HIERARCHY, LEVELS
+from .joins import join_same
 
 
 def guide_rows(df: DataFrame, label: Column, content: Column, *, by_normalized: bool = False) -> DataFrame:
@@ -25,19 +27,29 @@ def guide_rows(df: DataFrame, label: Column, content: Column, *, by_normalized:
 
 
 def duplicate_of(rows: DataFrame, *key: str, order: str = "source_row") -> DataFrame:
-    """Adds first_row: the first row with the same key (by aggregation and join, so
-    that a hot key's partition can be split)."""
+    """Adds first_row: the first row with the same key, nulls being alike (by aggregation
+    and join, so that a hot key's partition can be split)."""
     first = rows.groupBy(*key).agg(F.min(order).alias("first_row"))
-    return rows.join(first, list(key))
+    return join_same(rows, first, list(key))
 
 
 def first_rows(rows: DataFrame, *key: str, order: str = "source_row") -> DataFrame:
+    """The first row of each key; nulls are alike."""
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("__rank = 1").drop("__rank")
 
 
+def first_pairs(rows: DataFrame, label: str, content: str, order: str = "source_row") -> DataFrame:
+    """The first row of each (label, content).  Contents are compared by their digest:
+    what is shuffled to find the first rows is a number and 32 bytes each, and whole rows
+    are only joined with those numbers.  `order` is unique."""
+    digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), F.col(content)), F.lit("")), 256))
+    first = rows.groupBy(F.col(label), digest.alias("__digest")).agg(F.min(order).alias("__first"))
+    return rows.join(first.select("__first"), F.col(order) == F.col("__first"), "left_semi")
+
+
 def documents(rows: DataFrame, dataset: str, source: str) -> DataFrame:
     """Corpus documents of guide rows that lack nothing, first of each pair."""
-    kept = first_rows(rows.where("missing = ''"), "label", "content")
+    kept = first_pairs(rows.where("missing = ''"), "label", "content")
     meta = F.struct(
         F.lit(dataset).alias("dataset"), F.col("label").alias("level_4"), F.lit(source).alias("source"), F.col("source_row"),
         F.when(F.col("label") != F.col("raw_label"), F.col("raw_label")).alias("source_level_4"),
@@ -84,31 +96,31 @@ def _table(spark: SparkSession, path) -> tuple[Path, DataFrame]:
 
     source = Path(path).expanduser().resolve()
     if not source.is_file():
-        raise FileNotFoundError(f"Corpus source not found: {source}")
+        raise FileNotFoundError(say.CORPUS_NOT_FOUND.format(path=source))
     if source.suffix.lower() not in (".xlsx", ".csv"):
-        raise ValueError("Corpus source must be an .xlsx or .csv file")
+        raise ValueError(say.CORPUS_KIND)
     return source, read_table(spark, source)
 
 
 def _lacking(columns: list[str]) -> None:
     if columns:
-        raise ValueError("Corpus source is missing column(s): " + ", ".join(columns))
+        raise ValueError(say.CORPUS_COLUMNS.format(names=", ".join(columns)))
 
 
 def _missing_policy(value: str) -> None:
     if value not in ("error", "skip"):
-        raise ValueError("missing_policy must be 'error' or 'skip'")
+        raise ValueError(say.BAD_POLICY.format(name="missing_policy", choices="'error' or 'skip'"))
 
 
 def _processed(spark: SparkSession, path) -> DataFrame:
     """item of each processed record."""
-    from ..sources.json_arrays import check_array, from_objects
+    from ..sources.json_arrays import json_kind, read_array
 
-    items = check_array(path, "Processed", empty_ok=True)
-    for i, x in enumerate(items):
-        if not isinstance(x.get("classification", {}), dict) or not isinstance(x.get("grading", {}), dict):
-            raise ValueError(f"Processed item {i} has invalid classification/grading")
-    return from_objects(spark, items)
+    items = read_array(spark, path, "Processed", empty_ok=True)
+    kinds = [json_kind(F.col("item"), f"$.{part}") for part in ("classification", "grading")]
+    if bad := items.where(~kinds[0].startswith("OBJECT") | ~kinds[1].startswith("OBJECT")).orderBy("pos").first():  # an absent part is fine
+        raise ValueError(say.PROCESSED_PARTS.format(item=bad["pos"]))
+    return items
 
 
 def _cell(name: str) -> Column:
@@ -124,7 +136,7 @@ def build_corpus(
     missing_policy: str = "skip", overwrite: bool = False, project_root=None,
 ) -> dict:
     """A guide table to corpus.json and build_report.json; returns the report."""
-    from ..sinks.files import refuse_existing, write_json, write_json_array
+    from ..sinks.files import Bundle, refuse_existing, write_json, write_json_array
 
     _missing_policy(missing_policy)
     out = Path(output_dir).expanduser().resolve()
@@ -137,15 +149,15 @@ def build_corpus(
     names = {"label": label_column, "content": content_column}
     lacking = [{"source_row": r["source_row"], "missing_columns": [names[x] for x in r["missing"].split(",")]} for r in rows.where("missing <> ''").orderBy("source_row").collect()]
     if lacking and missing_policy == "error":
-        raise ValueError(f"Missing {', '.join(lacking[0]['missing_columns'])} at source row {lacking[0]['source_row']}")
+        raise ValueError(say.CORPUS_MISSING.format(names=", ".join(lacking[0]["missing_columns"]), row=lacking[0]["source_row"]))
     if lacking:
-        warnings.warn(f"Skipping {len(lacking)} corpus row(s) with missing label/content", UserWarning, stacklevel=2)
+        warnings.warn(say.SKIPPING_CORPUS.format(count=len(lacking)), UserWarning, stacklevel=2)
     whole = rows.where("missing = ''")
     docs = documents(rows, dataset, display_path(source, root)).persist()
     if docs.isEmpty():
-        raise ValueError("No valid corpus documents were generated")
+        raise ValueError(say.NO_DOCUMENTS)
     if docs.groupBy("id").count().where("count > 1").limit(1).count():
-        raise RuntimeError("Corpus document ID collision detected")
+        raise RuntimeError(say.ID_COLLISION)
     repeats = duplicate_of(whole, "label", "content").where("first_row < source_row").orderBy("source_row").select("source_row", "first_row").collect()
     renamed = [r[0] for r in whole.where("label <> raw_label").orderBy("source_row").select("source_row").collect()]
     stats = corpus_statistics(docs.select(F.col("metadata.level_4").alias("label"), F.col("text").alias("content"))).first()
@@ -177,8 +189,11 @@ def build_corpus(
         },
     }
     bodies = (r.asDict(recursive=True) for r in docs.orderBy("source_row").drop("source_row").toLocalIterator())
-    write_json_array(({**d, "metadata": {k: v for k, v in d["metadata"].items() if v is not None}} for d in bodies), out / "corpus.json")
-    write_json(report, out / "build_report.json")
+    with Bundle() as bundle:
+        write_json_array(({**d, "metadata": {k: v for k, v in d["metadata"].items() if v is not None}} for d in bodies), out / "corpus.json", bundle=bundle)
+        write_json(report, out / "build_report.json", bundle=bundle)
+    docs.unpersist()
+    rows.unpersist()
     return report
 
 
@@ -216,19 +231,19 @@ def build_standard_corpus(
     rows = flat_rows(table, columns).persist()
     skipped = [r[0] for r in rows.where("missing <> ''").orderBy("source_row").select("source_row").collect()]
     if skipped and missing_policy == "error":
-        raise ValueError(f"Missing content or leaf label at source row {skipped[0]}")
+        raise ValueError(say.FLAT_MISSING.format(row=skipped[0]))
     whole = rows.where("missing = ''")
     processed = Path(processed_file).expanduser().resolve() if processed_file else None
     known = _processed(spark, processed) if processed else spark.createDataFrame([], "item string")
     at = lambda p: F.get_json_object("item", "$." + p)
     values = {f: at(f"classification.{f}") for f in LEVELS[:3]} | {GRADE: at(f"grading.{GRADE}")}
-    filled = fill_hierarchy(first_rows(whole, "leaf", "content"), leaf_index(known, at("classification.category_leaf_level"), values)).persist()
+    filled = fill_hierarchy(first_pairs(whole, "leaf", "content"), leaf_index(known, at("classification.category_leaf_level"), values)).persist()
     if filled.isEmpty():
-        raise ValueError("No valid corpus documents were generated")
+        raise ValueError(say.NO_DOCUMENTS)
     repeats = duplicate_of(whole, "leaf", "content").where("first_row < source_row").orderBy("source_row").select("source_row", "first_row").collect()
     unclear = filled.orderBy("source_row").select("source_row", F.inline("ambiguous")).collect()
     write_json_array(flat_records(filled, dataset, reference_standard).orderBy("source_row").drop("source_row"), out)
-    return {
+    report = {
         "dataset": dataset,
         "source": str(source),
         "processed_source": str(processed) if processed else None,
@@ -239,22 +254,25 @@ def build_standard_corpus(
         "ambiguous_processed_fields": [r.asDict() for r in unclear],
         "output_file": str(out),
     }
+    filled.unpersist()
+    rows.unpersist()
+    return report
 
 
 def normalize_standard_corpus(spark: SparkSession, input_file, output_file, *, dataset: str, overwrite: bool = False) -> dict:
     """A flat corpus with cleaned values and another dataset name; ids stay.  The
     source itself may be the output."""
     from ..sinks.files import refuse_existing, write_json_array
-    from ..sources.json_arrays import check_array, from_objects
+    from ..sources.json_arrays import read_array
 
     source, out = (Path(p).expanduser().resolve() for p in (input_file, output_file))
-    items = check_array(source, "Corpus", empty_ok=True)
-    for i, x in enumerate(items):
-        if absent := [f for f in FLAT_CORPUS if f not in x]:
-            raise ValueError(f"Corpus item {i} is missing: {', '.join(absent)}")
+    rows = read_array(spark, source, "Corpus", empty_ok=True)
+    absent = F.array_except(F.array(*map(F.lit, FLAT_CORPUS)), F.json_object_keys("item"))
+    if bad := rows.select("pos", absent.alias("absent")).where("size(absent) > 0").orderBy("pos").first():
+        raise ValueError(say.FLAT_FIELDS.format(item=bad["pos"], names=", ".join(bad["absent"])))
     if out != source:
         refuse_existing([out], overwrite)
-    rows = from_objects(spark, items)
+    count = rows.count()
     made = rows.select("pos", *[F.lit(dataset).alias(f) if f == "dataset" else tx.clean_text(F.get_json_object("item", "$." + f)).alias(f) for f in FLAT_CORPUS])
     write_json_array(made.orderBy("pos").drop("pos"), out)
-    return {"input_rows": len(items), "exported_documents": len(items), "output_file": str(out)}
+    return {"input_rows": count, "exported_documents": count, "output_file": str(out)}

@@ -16,19 +16,22 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import messages as say
 from ..functions.text import SPACES
 from ..schemas import EMPTY_LABEL, LABEL_PATHS, SPLITS
+from ..sources.json_arrays import json_kind
+from .joins import join_same
 
 DEFAULT_RATIOS = (0.8, 0.1, 0.1)
 
 
 def check_ratios(ratios: tuple[float, float, float]) -> None:
     if any(not 0 <= r <= 1 for r in ratios):
-        raise ValueError("Every split ratio must be between 0 and 1")
+        raise ValueError(say.RATIO_RANGE)
     if abs(sum(ratios) - 1) > 1e-9:
-        raise ValueError("train, val, and test ratios must sum to 1")
+        raise ValueError(say.RATIO_SUM)
     if ratios[0] == 0:
-        raise ValueError("train ratio must be greater than zero")
+        raise ValueError(say.RATIO_TRAIN)
 
 
 def allocate_counts(total: int, ratios: tuple[float, float, float]) -> list[int]:
@@ -109,7 +112,7 @@ def plan_grouped(groups: list[tuple[int, dict]], ratios, seed: int) -> list[tupl
     """
     active = [i for i in range(3) if ratios[i] > 0]
     if len(groups) < len(active):
-        raise ValueError(f"Only {len(groups)} groups are available for {len(active)} non-empty splits")
+        raise ValueError(say.FEW_GROUPS.format(groups=len(groups), splits=len(active)))
     totals: dict = {}
     for _, labels in groups:
         for label, n in labels.items():
@@ -138,8 +141,29 @@ def plan_grouped(groups: list[tuple[int, dict]], ratios, seed: int) -> list[tupl
 
 
 def label_value(item: Column, path: str) -> Column:
-    """The text at a dotted path of a JSON object; absent and null are empty."""
-    return F.coalesce(F.get_json_object(item, "$." + path), F.lit(""))
+    """The text at a dotted path of a JSON object; absent and null are empty, and true
+    and false are written `True` and `False`.  Objects and lists keep their JSON text."""
+    text = F.get_json_object(item, "$." + path)
+    said = F.when(text.isin("true", "false") & (json_kind(item, "$." + path) == "BOOLEAN"), F.initcap(text))
+    return F.coalesce(said, text, F.lit(""))
+
+
+def strata(rows: DataFrame, stratum: list[Column], order: str) -> DataFrame:
+    """k0, k1, ..., n, first: the strata, with their sizes and first places.  Nulls are
+    a value of their own."""
+    keys = [c.alias(f"k{i}") for i, c in enumerate(stratum)]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+
+
+def group_labels(rows: DataFrame, group: Column, labels: dict[str, Column], order: str) -> DataFrame:
+    """group, field, value, n, first: how often each group has each value of a label."""
+    entries = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in labels.items()])
+    named = rows.select(group.alias("group"), F.col(order).alias("__order"), F.explode(entries).alias("e"))
+    return named.groupBy("group", "e.field", "e.value").agg(F.count("*").alias("n"), F.min("__order").alias("first"))
+
+
+def split_sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("split").agg(F.count("*").alias("n"))
 
 
 def with_labels(raw: DataFrame, paths: Iterable[str] = LABEL_PATHS) -> DataFrame:
@@ -148,11 +172,12 @@ def with_labels(raw: DataFrame, paths: Iterable[str] = LABEL_PATHS) -> DataFrame
 
 
 def split_stratified(rows: DataFrame, stratum: list[Column], order: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
-    """Adds split and split_pos.  The plan has a line for each row, made on the driver:
-    for data of which ids fit there; split_by_hash() has no such limit."""
+    """Adds split and split_pos.  `order` numbers the rows.  The plan has a line for each
+    row, made on the driver (about 200 bytes each: ten million rows take 2 GB there);
+    split_by_hash() has no such limit."""
     check_ratios(ratios)
     keyed = rows.withColumn("__s", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(stratum)]))
-    sizes = keyed.groupBy("__s").agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy("first").collect()
+    sizes = strata(rows, stratum, order).orderBy("first").collect()
     plan = plan_stratified([r["n"] for r in sizes], ratios, seed)
     spark = rows.sparkSession
     number = spark.createDataFrame([(r["first"], i) for i, r in enumerate(sizes)], "__first long, __stratum long")
@@ -164,22 +189,21 @@ def split_stratified(rows: DataFrame, stratum: list[Column], order: str, ratios=
 
 
 def split_grouped(rows: DataFrame, group: Column, labels: dict[str, Column], order: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
-    """Adds split and split_pos; groups stay whole.  The driver gets one line for each
-    group and label value."""
+    """Adds split and split_pos; groups stay whole, and rows without a group are one.
+    The driver gets one line for each group and label value."""
     check_ratios(ratios)
     keyed = rows.withColumn("__g", group)
-    names = list(labels)
-    entries = F.array(*[F.struct(F.lit(i).alias("field"), labels[n].alias("value")) for i, n in enumerate(names)])
-    sizes = keyed.groupBy("__g").agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy("first").collect()
-    counts = keyed.select("__g", order, F.explode(entries).alias("e")).groupBy("__g", "e.field", "e.value").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    found: dict = {r["__g"]: {} for r in sizes}
-    for r in counts.orderBy("first", "field").toLocalIterator():
-        found[r["__g"]][(r["field"], r["value"])] = r["n"]
-    plan = plan_grouped([(r["n"], found[r["__g"]]) for r in sizes], ratios, seed)
-    lines = [(r["__g"], SPLITS[i], at) for r, (i, at) in zip(sizes, plan, strict=True)]
+    place = {name: i for i, name in enumerate(labels)}
+    sizes = strata(rows, [group], order).orderBy("first").collect()
+    found: dict = {r["k0"]: [] for r in sizes}
+    for r in group_labels(rows, group, labels, order).toLocalIterator():
+        found[r["group"]].append((r["first"], place[r["field"]], r["value"], r["n"]))
+    by_first = lambda entries: {(field, value): n for _, field, value, n in sorted(entries, key=lambda e: e[:2])}
+    plan = plan_grouped([(r["n"], by_first(found[r["k0"]])) for r in sizes], ratios, seed)
+    lines = [(r["k0"], SPLITS[i], at) for r, (i, at) in zip(sizes, plan, strict=True)]
     chosen = rows.sparkSession.createDataFrame(lines, f"__g {keyed.schema['__g'].dataType.simpleString()}, split string, __at long")
     at = F.row_number().over(Window.partitionBy("__g").orderBy(order)) - 1
-    return keyed.join(chosen, "__g").withColumn("split_pos", F.col("__at") + at).drop("__g", "__at")
+    return join_same(keyed, chosen, ["__g"]).withColumn("split_pos", F.col("__at") + at).drop("__g", "__at")
 
 
 def split_by_hash(rows: DataFrame, stratum: list[str], key: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
@@ -188,18 +212,21 @@ def split_by_hash(rows: DataFrame, stratum: list[str], key: str, ratios=DEFAULT_
     goes to the driver.
 
     A hot stratum isn't ordered in one task: its rows are counted by the first bits of
-    the hash, and only the buckets in which a quota ends are ordered row by row.
+    the hash, and only the buckets in which a quota ends are ordered row by row.  Rows
+    with null strata make strata of their own, and rows with a null key count as having
+    an empty one; every row gets a split.
     """
     check_ratios(ratios)
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     hashed = rows.withColumn("__h", digest).withColumn("__b", F.substring("__h", 1, 3))
     cells = hashed.groupBy(*stratum, "__b").agg(F.count("*").alias("__n"))
     sizes = quotas(cells.groupBy(*stratum).agg(F.sum("__n").alias("total")), ratios).withColumnsRenamed({"n_train": "__t", "n_val": "__v"}).select(*stratum, "__t", "__v")
     before = F.sum("__n").over(Window.partitionBy(*stratum).orderBy("__b")) - F.col("__n")
-    cells = cells.withColumn("__before", before).join(sizes, stratum)
+    cells = cells.withColumn("__before", before)
+    cells = join_same(cells, sizes, stratum)
     ends = lambda x: (F.col("__before") < x) & (x < F.col("__before") + F.col("__n"))
     cells = cells.withColumn("__cut", ends(F.col("__t")) | ends(F.col("__t") + F.col("__v")))
-    placed = hashed.join(cells, [*stratum, "__b"])
+    placed = join_same(hashed, cells, [*stratum, "__b"])
     side = lambda at: F.when(at < F.col("__t"), SPLITS[0]).when(at < F.col("__t") + F.col("__v"), SPLITS[1]).otherwise(SPLITS[2])
     rank = F.row_number().over(Window.partitionBy(*stratum, "__b").orderBy("__h", key)) - 1
     whole = placed.where(~F.col("__cut")).withColumn("split", side(F.col("__before")))
@@ -226,7 +253,7 @@ def label_gaps(counts: DataFrame) -> DataFrame:
 
 
 def build_report(rows: DataFrame, fields: dict[str, Column]) -> dict:
-    sizes = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["split"]: r["n"] for r in split_sizes(rows).collect()}
     counts = label_counts(rows, fields).persist()
     spread: dict = {f: {s: {} for s in SPLITS} for f in fields}
     for r in counts.orderBy("field", "split", "value").collect():
@@ -245,8 +272,7 @@ def build_report(rows: DataFrame, fields: dict[str, Column]) -> dict:
 
 def group_kind(item: Column, path: str) -> tuple[Column, Column]:
     """The JSON type and the text of what stands at a dotted path."""
-    at = "$." + path
-    return F.schema_of_variant(F.variant_get(F.parse_json(item), at, "variant")), F.get_json_object(item, at)
+    return json_kind(item, "$." + path), F.get_json_object(item, "$." + path)
 
 
 def has_group(text: Column) -> Column:
@@ -260,21 +286,21 @@ def split_dataset(
     """One JSON array to train.json, val.json, test.json and split_report.json."""
     import json
 
-    from ..sinks.files import refuse_existing, write_json, write_json_array
-    from ..sources.json_arrays import check_array, from_objects
+    from ..sinks.files import Bundle, refuse_existing, write_json, write_json_array
+    from ..sources.json_arrays import read_array
 
     ratios = (train_ratio, val_ratio, test_ratio)
     check_ratios(ratios)
     if missing_group_policy not in ("error", "skip"):
-        raise ValueError("missing_group_policy must be 'error' or 'skip'")
+        raise ValueError(say.BAD_POLICY.format(name="missing_group_policy", choices="'error' or 'skip'"))
     if split_type not in ("random", "group"):
-        raise ValueError("split_type must be 'random' or 'group'")
+        raise ValueError(say.BAD_POLICY.format(name="split_type", choices="'random' or 'group'"))
     if split_type == "group" and not group_key:
-        raise ValueError("group_key is required for a group split")
+        raise ValueError(say.GROUP_KEY_NEEDED)
     out = Path(output_dir).expanduser().resolve()
     paths = [out / f"{s}.json" for s in SPLITS] + [out / "split_report.json"]
     refuse_existing(paths, overwrite)
-    rows = with_labels(from_objects(spark, check_array(input_file))).persist()
+    cached = rows = with_labels(read_array(spark, input_file)).persist()
     fields = {p: F.element_at("labels", i + 1) for i, p in enumerate(LABEL_PATHS)}
     size, skipped = rows.count(), []
     if split_type == "random":
@@ -284,15 +310,15 @@ def split_dataset(
         rows = rows.withColumns({"kind": kind, "key": text})
         skipped = [r["pos"] for r in rows.where(~has_group(F.col("key"))).orderBy("pos").select("pos").collect()]
         if skipped:
-            message = f"group key '{group_key}' is missing or empty at item(s): " + ", ".join(map(str, skipped[:10])) + ("..." if len(skipped) > 10 else "")
+            message = say.GROUP_MISSING.format(key=group_key, items=", ".join(map(str, skipped[:10])) + ("..." if len(skipped) > 10 else ""))
             if missing_group_policy == "error":
                 raise ValueError(message)
-            warnings.warn(f"Skipping {len(skipped)} record(s): {message}", UserWarning, stacklevel=2)
+            warnings.warn(say.SKIPPING_RECORDS.format(count=len(skipped), reason=message), UserWarning, stacklevel=2)
             rows = rows.where(has_group(F.col("key")))
             if rows.isEmpty():
-                raise ValueError(f"No records remain after skipping empty group key '{group_key}'")
+                raise ValueError(say.NO_RECORDS_LEFT.format(key=group_key))
         if bad := rows.where(F.col("kind").rlike("^(OBJECT|ARRAY)")).orderBy("pos").first():
-            raise ValueError(f"group key '{group_key}' must resolve to a scalar at item {bad['pos']}")
+            raise ValueError(say.GROUP_SCALAR.format(key=group_key, item=bad["pos"]))
         number = F.when(F.col("kind") == "BOOLEAN", F.col("key").try_cast("boolean").cast("int").cast("double")).when(F.col("kind") != "STRING", F.col("key").try_cast("double"))
         group = F.concat(F.when(F.col("kind") == "STRING", "s:").otherwise("n:"), F.coalesce(number.cast("string"), F.col("key")))
         done = split_grouped(rows, group, fields, "pos", ratios, random_seed)
@@ -302,8 +328,11 @@ def split_dataset(
         "included_size": size - len(skipped),
         "skipped_records": {"count": len(skipped), "reasons": [{"reason": f"missing_group_key:{group_key}", "count": len(skipped), "item_indexes": skipped}] if skipped else []},
     }
-    for s, path in zip(SPLITS, paths, strict=False):
-        items = done.where(F.col("split") == s).orderBy("split_pos").select("item")
-        write_json_array((json.loads(r["item"]) for r in items.toLocalIterator()), path)
-    write_json(report, paths[-1])
+    with Bundle() as bundle:
+        for s, path in zip(SPLITS, paths, strict=False):
+            items = done.where(F.col("split") == s).orderBy("split_pos").select("item")
+            write_json_array((json.loads(r["item"]) for r in items.toLocalIterator()), path, bundle=bundle)
+        write_json(report, paths[-1], bundle=bundle)
+    done.unpersist()
+    cached.unpersist()
     return report

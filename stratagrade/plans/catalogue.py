@@ -7,6 +7,7 @@ The tables hold no column catalogue, so one is derived: from `part` a catalogue
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,15 +70,25 @@ S_CATALOGUE = f"""
     {s_clean("grade")} AS sensitivity_level, {s_clean("aug1")} AS augmented_column_name1, {s_clean("aug2")} AS augmented_column_name2
   FROM ({S_RAW}) WHERE {s_clean("field_name")} <> ''
 """
-S_FIRST = f"SELECT * FROM ({S_CATALOGUE}) QUALIFY row_number() OVER (PARTITION BY database_name, table_name, field_name ORDER BY _row) = 1"
-S_EXPANDED = f"""
-  SELECT _row, 0 AS _pos, database_name, table_name, field_name, field_name AS source_field, '' AS augmentation, 'original' AS label_status, category_leaf_level, sensitivity_level FROM ({S_FIRST})
-  UNION ALL SELECT _row, 1, database_name, table_name, augmented_column_name1, field_name, 'augmented_column_name1', 'synthesized', category_leaf_level, sensitivity_level FROM ({S_FIRST}) WHERE augmented_column_name1 <> ''
+
+
+def s_first(key: str) -> str:
+    return f"SELECT * FROM ({S_CATALOGUE}) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY _row) = 1"
+
+
+def s_expanded(first: str) -> str:
+    return f"""
+  SELECT _row, 0 AS _pos, database_name, table_name, field_name, field_name AS source_field, '' AS augmentation, 'original' AS label_status, category_leaf_level, sensitivity_level FROM ({first})
+  UNION ALL SELECT _row, 1, database_name, table_name, augmented_column_name1, field_name, 'augmented_column_name1', 'synthesized', category_leaf_level, sensitivity_level FROM ({first}) WHERE augmented_column_name1 <> ''
   UNION ALL SELECT _row, CASE WHEN augmented_column_name1 <> '' THEN 2 ELSE 1 END, database_name, table_name, augmented_column_name2, field_name, 'augmented_column_name2', 'synthesized', category_leaf_level, sensitivity_level
-    FROM ({S_FIRST}) WHERE augmented_column_name2 <> ''
+    FROM ({first}) WHERE augmented_column_name2 <> ''
 """
 
 
+S_FIRST = s_first("database_name, table_name, field_name")
+S_EXPANDED = s_expanded(S_FIRST)
+
+
 # The derived tables ----------------------------------------------------------------
 
 MAPPING = {"db name": "database_name", "表名": "table_name", "field.name": "field_name", "leaf": "level_4", "grade": "data_level"}
@@ -101,7 +112,9 @@ def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.normalize_columns(records.clean_columns(bound(spark, sf_dir)).where(F.col("field_name") != ""))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return records.normalize_columns(records.drop_missing(records.clean_columns(bound(spark, sf_dir)), "skip"))
 
 
 SHOWN = (ROW, "database_name", "table_name", "field_name", "category_leaf_level", "sensitivity_level")
@@ -157,7 +170,11 @@ def q_normalize_level(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.normalize_level(F.expr(S_LEVEL)).alias("level"))
 
 
-S_IDENTITY = "concat_ws(chr(31), 'part.csv', database_name, table_name, field_name, source_field, augmentation, '', '', '', category_leaf_level, sensitivity_level)"
+def s_identity(source: str) -> str:
+    return f"concat_ws(chr(31), '{source}', database_name, table_name, field_name, source_field, augmentation, '', '', '', category_leaf_level, sensitivity_level)"
+
+
+S_IDENTITY = s_identity("part.csv")
 
 
 @query(f"SELECT _row, _pos::INTEGER AS _pos, {s_uuid5(S_IDENTITY)} AS id FROM ({S_EXPANDED})")
@@ -188,7 +205,7 @@ def q_filter_missing(spark, sf_dir):
 @query(f"""SELECT _row + 2 AS source_row FROM ({S_RAW}) WHERE {s_clean("field_name")} = '' ORDER BY 1 LIMIT 10""")
 def q_missing_examples(spark, sf_dir):
     rows = records.clean_columns(bound(spark, sf_dir)).where(F.col("field_name") == "")
-    return rows.orderBy(ROW).limit(10).select((F.col(ROW) + 2).alias("source_row"))
+    return spark.createDataFrame([(x,) for x in records.examples(rows, F.col(ROW) + 2)[1]], "source_row long")
 
 
 @query(f"SELECT database_name, table_name, field_name, min(_row) AS _row FROM ({S_CATALOGUE}) GROUP BY ALL HAVING count(DISTINCT category_leaf_level || chr(31) || sensitivity_level) > 1")
@@ -206,9 +223,10 @@ def q_first_per_identity_labels(spark, sf_dir):
     return records.first_per_identity(catalogue(spark, sf_dir), with_labels=True).select(*SHOWN)
 
 
-@query(f"SELECT _row, min(_row) OVER (PARTITION BY database_name, table_name, field_name) AS first_row FROM ({S_CATALOGUE})")
+@query(f"SELECT _row, min(_row) OVER (PARTITION BY database_name, table_name, field_name) AS first_row FROM ({S_RAW})")
 def q_duplicate_of(spark, sf_dir):
-    return corpus.duplicate_of(catalogue(spark, sf_dir), "database_name", "table_name", "field_name", order=ROW).select(ROW, "first_row")
+    """Over rows as they come, with null field names."""
+    return corpus.duplicate_of(bound(spark, sf_dir), "database_name", "table_name", "field_name", order=ROW).select(ROW, "first_row")
 
 
 @query(f"SELECT _row, _pos::INTEGER AS _pos, field_name, source_field, augmentation, label_status FROM ({S_EXPANDED})")
@@ -256,7 +274,7 @@ def q_corpus_duplicates(spark, sf_dir):
   SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM l) AS unique_labels, (SELECT count(*) FROM l WHERE n > 1) AS labels_with_multiple,
     min(length(content))::BIGINT AS min_length, max(length(content))::BIGINT AS max_length, sum(length(content))::BIGINT AS total_length FROM d""")
 def q_corpus_stats(spark, sf_dir):
-    return corpus.corpus_statistics(corpus.first_rows(guide(spark, sf_dir).where("missing = ''"), "label", "content"))
+    return corpus.corpus_statistics(corpus.first_pairs(guide(spark, sf_dir).where("missing = ''"), "label", "content"))
 
 
 S_CUSTOMER = "'c' || (c_custkey % 300)"
@@ -310,7 +328,7 @@ def q_label_gaps(spark, sf_dir):
 @query(f"""SELECT source_row, {s_document_id("'guide'", "label", "content")} AS id, content AS data_description_and_example, 'Guide' AS dataset, label AS category_leaf_level, '' AS category_subbranch_level,
   '' AS category_branch_level, '' AS category_root_level, '' AS sensitivity_level, 'ref' AS reference_standard FROM ({s_guide("label")}) QUALIFY row_number() OVER (PARTITION BY label, content ORDER BY source_row) = 1""")
 def q_flat_corpus(spark, sf_dir):
-    rows = corpus.first_rows(guide(spark, sf_dir, True).where("missing = ''"), "label", "content").withColumnRenamed("label", "leaf")
+    rows = corpus.first_pairs(guide(spark, sf_dir, True).where("missing = ''"), "label", "content").withColumnRenamed("label", "leaf")
     blank = {f: F.lit("") for f in ("category_root_level", "category_branch_level", "category_subbranch_level", "sensitivity_level")}
     return corpus.flat_records(rows.withColumns(blank), "Guide", "ref")
 
@@ -318,15 +336,29 @@ def q_flat_corpus(spark, sf_dir):
 # Splits and reports ----------------------------------------------------------------
 
 
-@query("SELECT event_type, user_id % 4 AS part, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY ALL")
+#: Strata and groups with nulls among them.
+KIND, USER = "CASE WHEN event_id % 11 <> 0 THEN event_type END", "CASE WHEN user_id % 13 <> 0 THEN user_id END"
+
+
+def grouped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.expr(KIND).alias("kind"), F.expr(USER).alias("user_id"), "value")
+
+
+S_EVENTS = f"(SELECT event_id, {KIND} AS kind, {USER} AS user_id, value FROM events)"
+
+
+@query(f"SELECT kind AS k0, user_id % 4 AS k1, count(*) AS n, min(event_id) AS first FROM {S_EVENTS} GROUP BY ALL")
 def q_strata(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 4).alias("part")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+    return split.strata(grouped_events(spark, sf_dir), [F.col("kind"), F.col("user_id") % 4], "event_id")
 
 
-@query("SELECT user_id, event_type AS value, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT user_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END, count(*) FROM events GROUP BY ALL")
+S_SIDE = "CASE WHEN value > 50 THEN 'high' ELSE 'low' END"
+
+
+@query(f"""SELECT user_id AS "group", 'kind' AS field, kind AS value, count(*) AS n, min(event_id) AS first FROM {S_EVENTS} GROUP BY ALL
+  UNION ALL SELECT user_id, 'side', {S_SIDE}, count(*), min(event_id) FROM {S_EVENTS} GROUP BY ALL""")
 def q_group_counters(spark, sf_dir):
-    entries = F.array(F.col("event_type"), F.when(F.col("value") > 50, "high").otherwise("low"))
-    return table(spark, sf_dir, "events").select("user_id", F.explode(entries).alias("value")).groupBy("user_id", "value").agg(F.count("*").alias("n"))
+    return split.group_labels(grouped_events(spark, sf_dir), F.col("user_id"), {"kind": F.col("kind"), "side": F.expr(S_SIDE)}, "event_id")
 
 
 def s_quota(sizes: str, keys: str) -> str:
@@ -349,24 +381,29 @@ def q_quota(spark, sf_dir):
 
 
 def _hash_split(spark, sf_dir):
-    return split.split_by_hash(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), ["event_type"], "event_id", seed=42)
+    return split.split_by_hash(grouped_events(spark, sf_dir).select("event_id", "kind", "user_id"), ["kind"], "event_id", seed=42)
 
 
-S_HASH_SPLIT = f"""SELECT event_id, event_type, user_id, CASE WHEN place < n_train THEN 'train' WHEN place < n_train + n_val THEN 'val' ELSE 'test' END AS split FROM (
-  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) - 1 AS place FROM events) JOIN ({s_quota("SELECT event_type, count(*) AS total FROM events GROUP BY event_type", "event_type")}) USING (event_type)"""
+S_HASH_SPLIT = f"""SELECT event_id, e.kind, user_id, CASE WHEN place < n_train THEN 'train' WHEN place < n_train + n_val THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || event_id), event_id) - 1 AS place FROM {S_EVENTS}) e
+  JOIN ({s_quota(f"SELECT kind, count(*) AS total FROM {S_EVENTS} GROUP BY kind", "kind")}) q ON e.kind IS NOT DISTINCT FROM q.kind"""
 
 
 @query(S_HASH_SPLIT)
 def q_split_hash(spark, sf_dir):
+    """Strata with nulls among them: no row is lost."""
     return _hash_split(spark, sf_dir)
 
 
-S_FIELD_ROWS = f"SELECT split, 'type' AS field, event_type AS value FROM ({S_HASH_SPLIT}) UNION ALL SELECT split, 'user', CASE WHEN user_id % 10 = 0 THEN '{EMPTY_LABEL}' ELSE 'u' || user_id END FROM ({S_HASH_SPLIT})"
+#: Every 97th event has a label of its own, which some splits must lack.
+S_RARE = "CASE WHEN event_id % 97 = 0 THEN 'rare' || event_id ELSE 'usual' END"
+S_FIELD_ROWS = f"""SELECT split, 'kind' AS field, coalesce(kind, 'none') AS value FROM ({S_HASH_SPLIT}) UNION ALL SELECT split, 'rare', {S_RARE} FROM ({S_HASH_SPLIT})
+  UNION ALL SELECT split, 'user', CASE WHEN user_id % 10 = 0 THEN '{EMPTY_LABEL}' ELSE coalesce('u' || user_id, 'none') END FROM ({S_HASH_SPLIT})"""
 
 
 def _counts(spark, sf_dir):
-    fields = {"type": F.col("event_type"), "user": F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat(F.lit("u"), "user_id"))}
-    return split.label_counts(_hash_split(spark, sf_dir), fields)
+    user = F.when(F.col("user_id") % 10 == 0, "").otherwise(F.coalesce(F.concat(F.lit("u"), "user_id"), F.lit("none")))
+    return split.label_counts(_hash_split(spark, sf_dir), {"kind": F.coalesce("kind", F.lit("none")), "rare": F.expr(S_RARE), "user": user})
 
 
 @query(f"SELECT field, split, value, count(*) AS n FROM ({S_FIELD_ROWS}) GROUP BY ALL")
@@ -376,7 +413,7 @@ def q_split_report(spark, sf_dir):
 
 @query(f"SELECT split, count(*) AS n FROM ({S_HASH_SPLIT}) GROUP BY split")
 def q_split_sizes(spark, sf_dir):
-    return _hash_split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"))
+    return split.split_sizes(_hash_split(spark, sf_dir))
 
 
 @query(f"""WITH c AS (SELECT field, value, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'val') AS b, count(*) FILTER (WHERE split = 'test') AS c FROM ({S_FIELD_ROWS}) WHERE value <> '{EMPTY_LABEL}' GROUP BY ALL)
@@ -388,12 +425,25 @@ def q_split_warnings(spark, sf_dir):
 
 @query()
 def q_split_stratified(spark, sf_dir):
-    return split.split_stratified(table(spark, sf_dir, "events").select("event_id", "event_type"), [F.col("event_type")], "event_id")
+    return split.split_stratified(grouped_events(spark, sf_dir).select("event_id", "kind"), [F.col("kind")], "event_id")
 
 
 @query()
 def q_split_group(spark, sf_dir):
-    return split.split_grouped(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), F.col("user_id"), {"type": F.col("event_type")}, "event_id")
+    return split.split_grouped(grouped_events(spark, sf_dir), F.col("user_id"), {"kind": F.col("kind")}, "event_id").drop("value")
+
+
+@query(f"SELECT unnest(['train', 'val', 'test']) AS split, unnest([n_train, n_val, n_test]) AS n, unnest([n_train, n_val, n_test]) AS places FROM ({s_quota('SELECT 1 AS one, count(*) AS total FROM events', 'one')})")
+def q_split_stratified_sizes(spark, sf_dir):
+    """Whatever the random stream: every row is in one split, at a place of its own, and sizes are the quotas."""
+    return q_split_stratified(spark, sf_dir).groupBy("split").agg(F.count_distinct("event_id").alias("n"), F.count_distinct("split_pos").alias("places"))
+
+
+@query(f"SELECT user_id, count(*) AS n, 1::BIGINT AS splits, count(*) - 1 AS span FROM {S_EVENTS} GROUP BY user_id")
+def q_split_group_whole(spark, sf_dir):
+    """Every group, that of nulls too, is whole, in one split and at places in a row."""
+    span = (F.max("split_pos") - F.min("split_pos")).alias("span")
+    return q_split_group(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"), span)
 
 
 S_PROPS = "CASE event_id % 5 WHEN 0 THEN '{\"a\":{\"g\":\" \"}}' WHEN 1 THEN '{\"a\":{\"g\":null}}' WHEN 2 THEN '{\"a\":{}}' ELSE '{\"a\":{\"g\":\"x' || event_type || '\"}}' END"
@@ -415,8 +465,7 @@ def q_labeled(spark, sf_dir):
 @query("SELECT count(*) AS input_records, count(quality) AS exported_records, count(*) - count(quality) AS skipped_unlabeled FROM documents LEFT JOIN labels USING (doc_id)")
 def q_export_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    labeled = chat.is_labeled([F.coalesce(F.col("quality").cast("string"), F.lit(""))])
-    return rows.agg(F.count("*").alias("input_records"), F.count_if(labeled).alias("exported_records"), F.count_if(~labeled).alias("skipped_unlabeled"))
+    return chat.export_counts(rows, [F.coalesce(F.col("quality").cast("string"), F.lit(""))])
 
 
 # Prompts and chat ------------------------------------------------------------------
@@ -441,9 +490,7 @@ def q_chat_records(spark, sf_dir):
 
 @query("""SELECT conv_id, to_json(list(struct_pack(role := role, content := text) ORDER BY turn)) AS messages FROM conversations GROUP BY conv_id""")
 def q_chat_messages(spark, sf_dir):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    return rows.select("conv_id", F.to_json(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).alias("messages"))
+    return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
 # Standards -------------------------------------------------------------------------
@@ -473,8 +520,14 @@ def q_domain_lookup(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import files  # registers the queries that go through files
+
+    assert files
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import files
+
+    assert files
     return dict(SQL)

@@ -1,4 +1,5 @@
-"""Single files written whole or not at all, and scalable folders of JSON lines."""
+"""Single files written whole or not at all, alone or in bundles, and scalable folders of
+JSON lines."""
 
 from __future__ import annotations
 
@@ -10,24 +11,51 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from .. import messages as say
+
 
 def refuse_existing(paths: list[Path], overwrite: bool) -> None:
     existing = [str(p) for p in paths if Path(p).expanduser().exists()]
     if existing and not overwrite:
-        raise FileExistsError("Refusing to overwrite existing output: " + ", ".join(existing) + ". Pass --overwrite to replace it.")
+        raise FileExistsError(say.OUTPUT_EXISTS.format(paths=", ".join(existing)))
+
+
+class Bundle:
+    """Files that are all written beside their places before the first is put there.
+
+    Used in a with statement: an error inside leaves every place as it was.
+    """
 
+    def __init__(self) -> None:
+        self.staged: list[tuple[Path, Path]] = []
 
-def _replace(path, chunks: Iterable[str]) -> None:
-    path = Path(path).expanduser().resolve()
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, temporary = tempfile.mkstemp(prefix=f".{path.name}.", suffix=".tmp", dir=path.parent)
-    try:
+    def add(self, path, chunks: Iterable[str]) -> None:
+        path = Path(path).expanduser().resolve()
+        path.parent.mkdir(parents=True, exist_ok=True)
+        handle, temporary = tempfile.mkstemp(prefix=f".{path.name}.", suffix=".tmp", dir=path.parent)
+        self.staged.append((Path(temporary), path))
         with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as f:
             f.writelines(chunks)
-        os.replace(temporary, path)
-    except BaseException:
-        Path(temporary).unlink(missing_ok=True)
-        raise
+
+    def __enter__(self) -> Bundle:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        try:
+            while kind is None and self.staged:
+                os.replace(*self.staged[0])
+                self.staged.pop(0)
+        finally:
+            for temporary, _ in self.staged:
+                temporary.unlink(missing_ok=True)
+
+
+def _write(path, chunks: Iterable[str], bundle: Bundle | None) -> None:
+    if bundle is not None:
+        bundle.add(path, chunks)
+        return
+    with Bundle() as alone:
+        alone.add(path, chunks)
 
 
 def _objects(df: DataFrame) -> Iterable[dict]:
@@ -44,18 +72,18 @@ def _array(items: Iterable, indent: int) -> Iterable[str]:
     yield "[]\n" if first else "\n]\n"
 
 
-def write_json_array(rows, path, indent: int = 2) -> None:
+def write_json_array(rows, path, indent: int = 2, bundle: Bundle | None = None) -> None:
     """A DataFrame (row by row, in its order) or any iterable as one JSON array."""
-    _replace(path, _array(_objects(rows) if isinstance(rows, DataFrame) else rows, indent))
+    _write(path, _array(_objects(rows) if isinstance(rows, DataFrame) else rows, indent), bundle)
 
 
-def write_json(data, path, indent: int = 2, newline: bool = True) -> None:
-    _replace(path, [json.dumps(data, ensure_ascii=False, indent=indent) + "\n" * newline])
+def write_json(data, path, indent: int = 2, newline: bool = True, bundle: Bundle | None = None) -> None:
+    _write(path, [json.dumps(data, ensure_ascii=False, indent=indent) + "\n" * newline], bundle)
 
 
-def write_jsonl(rows, path) -> None:
+def write_jsonl(rows, path, bundle: Bundle | None = None) -> None:
     items = _objects(rows) if isinstance(rows, DataFrame) else rows
-    _replace(path, (json.dumps(x, ensure_ascii=False, separators=(",", ":")) + "\n" for x in items))
+    _write(path, (json.dumps(x, ensure_ascii=False, separators=(",", ":")) + "\n" for x in items), bundle)
 
 
 def write_split_folders(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -1,32 +1,63 @@
-"""Files that hold one JSON array."""
+"""Files that hold one JSON array, read by Spark: a row for each item."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .mapping import load_json
+from .. import messages as say
+from .mapping import existing_file, load_json
+
+
+def read_raw(spark: SparkSession, path) -> DataFrame:
+    """item (the object's own text, compact, with its keys in their order), pos."""
+    text = F.regexp_replace("value", "^﻿", "")
+    return spark.read.text(str(path), wholetext=True).select(F.posexplode(F.from_json(text, "array<string>")).alias("pos", "item"))
+
+
+def json_kind(item: Column, path: str = "$") -> Column:
+    """The JSON type at a path (OBJECT<...>, ARRAY<...>, STRING, BOOLEAN, ...); null if
+    nothing stands there."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), path, "variant"))
+
+
+def is_object(item: Column, path: str = "$") -> Column:
+    return F.coalesce(json_kind(item, path).startswith("OBJECT"), F.lit(False))
+
+
+def has_key(item: Column, part: str, key: str) -> Column:
+    """Whether the object at $.part has the key, be its value null or not."""
+    return F.coalesce(F.array_contains(F.json_object_keys(F.get_json_object(item, f"$.{part}")), key), F.lit(False))
 
 
 def check_array(path, what: str = "Input", empty_ok: bool = False) -> list:
-    """Parsed on the driver: the error contract needs exact messages."""
+    """The same file parsed on the driver: for its errors' exact words, and for files
+    that only Python's parser takes (NaN, say)."""
     data = load_json(path, what)
     if not isinstance(data, list):
-        raise ValueError(f"{what} JSON must contain a list")
+        raise ValueError(say.JSON_LIST.format(what=what))
     if not data and not empty_ok:
-        raise ValueError("Input dataset is empty")
+        raise ValueError(say.EMPTY_INPUT)
     if not all(isinstance(x, dict) for x in data):
-        raise ValueError("Every dataset item must be a JSON object")
+        raise ValueError(say.JSON_OBJECTS)
     return data
 
 
-def read_raw(spark: SparkSession, path) -> DataFrame:
-    """item (the object's own text, compact, with its keys in their order), pos."""
-    text = F.regexp_replace("value", "^﻿", "")
-    return spark.read.text(str(path), wholetext=True).select(F.posexplode(F.from_json(text, "array<string>")).alias("pos", "item"))
-
-
 def from_objects(spark: SparkSession, items: list[dict]) -> DataFrame:
     return spark.createDataFrame([(i, json.dumps(x, ensure_ascii=False, separators=(",", ":"))) for i, x in enumerate(items)], "pos int, item string")
+
+
+def read_array(spark: SparkSession, path, what: str = "Input", empty_ok: bool = False) -> DataFrame:
+    """pos and item of each object.  One task parses the file, and items are spread over
+    tasks when they are next shuffled; the driver reads it only if something is wrong
+    with it.  An object with a repeated key keeps its text."""
+    source = existing_file(path, f"{what} file")
+    text = F.regexp_replace("value", "^﻿", "")
+    items, maps = F.from_json(text, "array<string>"), F.from_json(text, "array<map<string,string>>")  # a string that looks like an object is no map
+    whole = spark.read.text(source.as_uri(), wholetext=True)
+    seen = whole.select(F.coalesce(F.size(items), F.lit(-1)).alias("n"), text.rlike(r"^\s*\[").alias("list"), F.coalesce(F.forall(maps, lambda x: x.isNotNull()), F.lit(False)).alias("objects")).first()
+    if seen and seen["list"] and seen["objects"] and (seen["n"] > 0 or empty_ok and seen["n"] == 0):
+        return read_raw(spark, source.as_uri())
+    return from_objects(spark, check_array(source, what, empty_ok))

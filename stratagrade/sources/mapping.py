@@ -6,6 +6,7 @@ import json
 import re
 from pathlib import Path
 
+from .. import messages as say
 from ..operators.records import check_mapping
 from ..schemas import MAPPINGS
 
@@ -15,7 +16,7 @@ NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*")
 def existing_file(path, what: str) -> Path:
     found = Path(path).expanduser().resolve()
     if not found.is_file():
-        raise FileNotFoundError(f"{what} not found: {found}")
+        raise FileNotFoundError(say.NOT_FOUND.format(what=what, path=found))
     return found
 
 
@@ -24,7 +25,7 @@ def load_json(path, what: str = "Input"):
     try:
         return json.loads(path.read_text("utf-8-sig"))
     except json.JSONDecodeError as e:
-        raise ValueError(f"Invalid {what.lower()} JSON: {path}: {e}") from e
+        raise ValueError(say.INVALID_JSON.format(what=what.lower(), path=path, reason=e)) from e
 
 
 def load_mapping(source) -> dict[str, str]:
@@ -35,7 +36,7 @@ def load_mapping(source) -> dict[str, str]:
 def dataset_name(value: str) -> str:
     name = value.strip().lower()
     if not NAME.fullmatch(name):
-        raise ValueError("dataset must contain only letters, numbers, underscores, and hyphens")
+        raise ValueError(say.DATASET_NAME)
     return name
 
 
@@ -50,12 +51,12 @@ def resolve_mapping(dataset: str | None, mapping=None, folder=None) -> dict[str,
     if mapping is not None:
         return load_mapping(mapping)
     if dataset is None:
-        raise ValueError("either --dataset or --mapping is required")
+        raise ValueError(say.MAPPING_NEEDED)
     name = dataset_name(dataset)
     if folder and (path := Path(folder) / f"{name}.json").is_file():
         return load_mapping(path)
     if name not in MAPPINGS:
-        raise FileNotFoundError(f"Mapping for dataset '{name}' not found. Pass --mapping.")
+        raise FileNotFoundError(say.MAPPING_UNKNOWN.format(name=name))
     return load_mapping(MAPPINGS[name])
 
 
@@ -63,9 +64,9 @@ def only_existing(candidates: list[Path], what: str) -> Path:
     """The one candidate that exists; none and several are errors."""
     found = [p for p in candidates if p.is_file()]
     if len(found) > 1:
-        raise ValueError(f"Multiple {what} files found: " + ", ".join(map(str, found)) + ". Select one with --input.")
+        raise ValueError(say.SEVERAL_INPUTS.format(what=what, paths=", ".join(map(str, found))))
     if not found:
-        raise FileNotFoundError(f"No {what} file found. Expected one of: " + ", ".join(p.name for p in candidates) + ".")
+        raise FileNotFoundError(say.NO_INPUT.format(what=what, names=", ".join(p.name for p in candidates)))
     return found[0]
 
 

@@ -1,12 +1,14 @@
 """CSV and XLSX tables as string columns with a record ordinal.
 
 Cells keep their text (`007`, `1.50` and `true` stay as written); texts that count
-as missing become empty.  XLSX files are read with the standard library alone.
+as missing become empty; XLSX cells with a date format are written as dates and times.
+XLSX files are read with the standard library alone.
 """
 
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
 import re
 import zipfile
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import messages as say
 from ..functions.order import ROW, with_ordinal
 from ..functions.text import missing_to_empty
 from .mapping import existing_file
@@ -33,40 +36,80 @@ def column_names(header: list[str]) -> list[str]:
         seen[name] = k + 1
         out.append((f"{name}.{k}" if k else name).strip())
     if twice := sorted({n for n in out if out.count(n) > 1}):
-        raise ValueError("Duplicate source columns: " + ", ".join(twice))
+        raise ValueError(say.DUPLICATE_COLUMNS.format(names=", ".join(twice)))
     return out
 
 
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: The format numbers that the file format itself gives to dates and times.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+class _Workbook:
+    """The parts of an XLSX file that cells refer to."""
+
+    def __init__(self, z: zipfile.ZipFile):
+        self.z, self.names = z, set(z.namelist())
+        self.shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in self.part("xl/sharedStrings.xml").iter(f"{_MAIN}si")]
+        styles = self.part("xl/styles.xml")
+        own = {f.get("numFmtId"): f.get("formatCode", "") for f in styles.iter(f"{_MAIN}numFmt")}
+        formats = [x.get("numFmtId", "0") for cells in styles.iter(f"{_MAIN}cellXfs") for x in cells]
+        self.is_date = [int(n) in _DATE_FORMATS or bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", own.get(n, "")), re.I)) for n in formats]
+        book = self.part("xl/workbook.xml")
+        self.epoch = dt.datetime(1904, 1, 1) if any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_MAIN}workbookPr")) else dt.datetime(1899, 12, 30)
+        self.book = book
+
+    def part(self, name: str) -> ElementTree.Element:
+        return ElementTree.parse(io.BytesIO(self.z.read(name))).getroot() if name in self.names else ElementTree.Element("none")
+
+    def first_sheet(self) -> ElementTree.Element:
+        """The first in the workbook's own order; without such a list the lowest number."""
+        target = {r.get("Id"): r.get("Target", "") for r in self.part("xl/_rels/workbook.xml.rels")}
+        for sheet in self.book.iter(f"{_MAIN}sheet"):
+            path = target.get(sheet.get(_LINK), "")
+            name = path.lstrip("/") if path.startswith("/") else f"xl/{path}"
+            if name in self.names:
+                return self.part(name)
+        numbered = [n for n in self.names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+        return self.part(min(numbered, key=lambda n: int(re.findall(r"\d+", n)[-1])))
+
+    def date(self, serial: float) -> str:
+        """A time of day below one day; else a date with its time."""
+        at = self.epoch + dt.timedelta(seconds=round(serial * 86400, 3))
+        return str(at.time() if 0 <= serial < 1 else at)
+
+    def text(self, c: ElementTree.Element) -> str:
+        kind, value = c.get("t"), c.find(f"{_MAIN}v")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+        if value is None or not value.text:
+            return ""
+        if kind == "s":
+            return self.shared[int(value.text)]
+        if kind == "b":
+            return {"1": "True", "0": "False"}.get(value.text, value.text)
+        style = int(c.get("s", -1))
+        if kind in (None, "n") and 0 <= style < len(self.is_date) and self.is_date[style]:
+            return self.date(float(value.text))
+        return value.text.replace("T", " ") if kind == "d" else value.text
+
+
 def _cells(path: Path) -> list[list[str]]:
     """The first sheet's rows."""
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     with zipfile.ZipFile(path) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            root = ElementTree.parse(io.BytesIO(z.read("xl/sharedStrings.xml"))).getroot()
-            shared = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in root.iter(f"{space}si")]
-        sheet = min((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        rows = []
-        for row in ElementTree.parse(io.BytesIO(z.read(sheet))).getroot().iter(f"{space}row"):
+        book, rows = _Workbook(z), []
+        for row in book.first_sheet().iter(f"{_MAIN}row"):
             line: list[str] = []
-            for c in row.iter(f"{space}c"):
-                letters = re.match("[A-Z]+", c.get("r", "") or "")
+            for c in row.iter(f"{_MAIN}c"):
                 at = len(line)
-                if letters:
+                if letters := re.match("[A-Z]+", c.get("r", "") or ""):
                     at = 0
                     for ch in letters[0]:
                         at = at * 26 + ord(ch) - 64
                     at -= 1
-                value = c.find(f"{space}v")
-                if c.get("t") == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{space}t"))
-                elif value is None:
-                    text = ""
-                else:
-                    text = value.text or ""
-                    text = shared[int(text)] if c.get("t") == "s" else {"1": "True", "0": "False"}.get(text, text) if c.get("t") == "b" else text
                 line += [""] * (at + 1 - len(line))
-                line[at] = text
+                line[at] = book.text(c)
             rows.append(line)
     return rows
 
@@ -82,16 +125,22 @@ def read_xlsx(spark: SparkSession, path, header_row: int = 0) -> DataFrame:
     return df.select(*[missing_to_empty(F.col(f"c{i}")) for i in range(len(names))], "row").toDF(*names, ROW)
 
 
-def read_csv(spark: SparkSession, path) -> DataFrame:
+def read_csv(spark: SparkSession, path, head_lines: int = 1000) -> DataFrame:
     """`path` may be a folder or any URI that Spark reads, in which case the header is
-    that of the first line."""
-    head = spark.read.option("wholetext", False).text(str(path)).limit(1).collect()
+    that of the first file; it may span `head_lines` lines.
+
+    Files without line breaks inside cells are cut into parts that tasks read side by
+    side; a file with such cells is one task's.
+    """
+    lines = spark.read.text(str(path))
+    head = [r[0] for r in lines.limit(head_lines).collect()]
     if not head:
         raise ValueError(f"No header row in {path}")
-    names = column_names(next(csv.reader([head[0][0].lstrip("﻿")])))
+    names = column_names(next(csv.reader(f"{line}\n" for line in [head[0].lstrip("\ufeff"), *head[1:]])))
+    broken = not lines.where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
     plain = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in plain])
-    df = spark.read.schema(schema).csv(str(path), header=True, multiLine=True, escape='"', enforceSchema=True)
+    df = spark.read.schema(schema).csv(str(path), header=True, multiLine=broken, escape='"', enforceSchema=True)
     df = df.select(*[missing_to_empty(F.col(c)).alias(c) for c in plain])
     return with_ordinal(df).toDF(*names, ROW)
 
@@ -103,4 +152,4 @@ def read_table(spark: SparkSession, path, header_row: int = 0) -> DataFrame:
         return read_xlsx(spark, source, header_row)
     if kind == ".csv":
         return read_csv(spark, source.as_uri())
-    raise ValueError(f"Unsupported input type '{kind}'. Expected .csv or .xlsx.")
+    raise ValueError(say.UNSUPPORTED_INPUT.format(kind=kind))

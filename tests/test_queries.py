@@ -5,8 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from stratagrade.plans import catalogue
+from stratagrade.plans import catalogue, files
 
+assert files  # registers its queries
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 

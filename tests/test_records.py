@@ -114,6 +114,60 @@ def test_xlsx(spark, tmp_path):
     assert df.columns == ["a", "Unnamed: 1", "c", "_row"] and tuple(df.first()) == ("7", "", "True", 0)
 
 
+def test_xlsx_order_and_dates(spark, tmp_path):
+    from stratagrade.plans.files import write_xlsx
+
+    write_xlsx(tmp_path / "t.xlsx", [["day", "n"], [("date", 45000), 1], [("date", 45000.75), 1.5], [("date", 0.5), ""]])
+    df = read_table(spark, tmp_path / "t.xlsx")
+    assert [tuple(r) for r in df.orderBy("_row").collect()] == [("2023-03-15 00:00:00", "1", 0), ("2023-03-15 18:00:00", "1.5", 1), ("12:00:00", "", 2)]
+
+
+def test_csv_is_cut_unless_cells_have_line_breaks(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "".join(f"{i},x{i}\n" for i in range(5000)), "utf-8")
+    (tmp_path / "broken.csv").write_text('"a\nhead",b\n1,"two\nlines"\n2,y\n', "utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        plain = read_table(spark, tmp_path / "plain.csv")
+        assert plain.select("a", "b").rdd.getNumPartitions() > 4
+        assert [r["_row"] for r in plain.orderBy("_row").collect()] == [int(r["a"]) for r in plain.orderBy("_row").collect()] == list(range(5000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    broken = read_table(spark, tmp_path / "broken.csv")
+    assert broken.columns == ["a\nhead", "b", "_row"] and [tuple(r) for r in broken.orderBy("_row").collect()] == [("1", "two\nlines", 0), ("2", "y", 1)]
+
+
+def test_all_binding_problems_are_named(spark):
+    df = spark.createDataFrame([("x", "y")], "a string, field_name string")
+    with pytest.raises(ValueError, match="Unsupported mapping targets: nope; Mapped source columns not found: zz; Mapped columns already exist: field_name"):
+        records.convert_schema(df, {"a": "field_name", "zz": "nope"})
+
+
+def test_own_mappings(tmp_path, capsys):
+    from stratagrade import cli
+
+    (tmp_path / "mappings").mkdir()
+    (tmp_path / "mappings" / "mine.json").write_text(json.dumps(MAPPING))
+    cli.main(["--root", str(tmp_path), "list-datasets"])
+    assert "mine" in capsys.readouterr().out.split()
+    assert places.resolve_mapping("mine", folder=tmp_path / "mappings")["leaf"] == "category_leaf_level"
+
+
+def test_bundles_are_whole_or_nothing(tmp_path):
+    from stratagrade.sinks.files import Bundle, write_json, write_json_array
+
+    (tmp_path / "a.json").write_text("old")
+    with pytest.raises(RuntimeError), Bundle() as bundle:
+        write_json({"x": 1}, tmp_path / "a.json", bundle=bundle)
+        write_json_array(iter([{"y": 2}]), tmp_path / "b.json", bundle=bundle)
+        raise RuntimeError
+    assert [p.name for p in tmp_path.iterdir()] == ["a.json"] and (tmp_path / "a.json").read_text() == "old"
+    with Bundle() as bundle:
+        write_json({"x": 1}, tmp_path / "a.json", bundle=bundle)
+        write_json([], tmp_path / "b.json", bundle=bundle)
+        assert (tmp_path / "a.json").read_text() == "old"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.json", "b.json"] and json.loads((tmp_path / "a.json").read_text()) == {"x": 1}
+
+
 def test_partition_count_does_not_matter(spark):
     rows = [(i, "d", "t", f"f{i % 7}", "A", "L1") for i in range(200)]
     df = spark.createDataFrame(rows, "_row long, database_name string, table_name string, field_name string, category_leaf_level string, sensitivity_level string")

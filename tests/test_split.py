@@ -110,6 +110,47 @@ def test_hash_split_hot_stratum(spark):
         assert [sizes[k, s] for s in ("train", "val", "test")] == split.allocate_counts(total, (0.8, 0.1, 0.1))
 
 
+def test_nulls_lose_no_row(spark):
+    from stratagrade.operators import corpus
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"k{i % 2}", None if i % 5 == 0 else i % 4) for i in range(30)], "id long, k string, g long")
+    for keys in (["k"], ["k", "g"]):
+        out = split.split_by_hash(df, keys, "id")
+        assert sorted(r["id"] for r in out.collect()) == list(range(30)) and out.where("split IS NULL").isEmpty()
+    hashed = split.split_by_hash(df.select(F.when(F.col("id") > 9, F.col("id")).alias("id"), "k"), ["k"], "id")
+    assert hashed.count() == 30
+    grouped = split.split_grouped(df, F.col("g"), {"k": F.coalesce("k", F.lit(""))}, "id")
+    assert sorted(r["id"] for r in grouped.collect()) == list(range(30)) and grouped.where("g IS NULL").select("split").distinct().count() == 1
+    assert sorted(r["id"] for r in split.split_stratified(df, [F.col("k")], "id").collect()) == list(range(30))
+    assert {r["id"]: r["first_row"] for r in corpus.duplicate_of(df, "k", order="id").collect()} == {i: 0 if i % 3 == 0 else 1 if i % 2 else 2 for i in range(30)}
+
+
+def test_json_arrays(spark, tmp_path):
+    from stratagrade.sources.json_arrays import read_array
+
+    path = tmp_path / "a.json"
+
+    def read(text, **options):
+        path.write_text(text, "utf-8")
+        return [(r["pos"], json.loads(r["item"])) for r in read_array(spark, path, **options).orderBy("pos").collect()]
+
+    items = [{"b": 1, "a": [1.5, None, {"x": "é\n\"q\" {"}]}, {}, {"n": 12345678901234567890, "t": True}]
+    assert read("﻿ " + json.dumps(items)) == list(enumerate(items))
+    assert read("[]", empty_ok=True) == [] and read('[{"x": NaN}]')[0][1]["x"] != 0
+    for text, message in (("[]", "empty"), ("{}", "must contain a list"), ('[{"a": 1}, "{}x"]', "must be a JSON object"), ("[1]", "must be a JSON object"), ("[{", "Invalid input JSON"), ("", "Invalid input JSON")):
+        with pytest.raises(ValueError, match=message):
+            read(text)
+
+
+def test_json_scalars_as_python_writes_them(spark):
+    item = {"metadata": {"table_name": None}, "classification": {"category_leaf_level": True}, "id": None}
+    df = spark.createDataFrame([(0, json.dumps(item)), (1, "{}")], "pos int, item string")
+    rows = chat.parsed_records(df).orderBy("pos").collect()
+    assert [r["id"] for r in rows] == ["None", ""] and rows[0]["classification"]["category_leaf_level"] == "True" and rows[0]["metadata"]["table_name"] == "None"
+    labels = df.select(split.label_value(F.col("item"), "classification.category_leaf_level").alias("x"), split.label_value(F.col("item"), "metadata.table_name").alias("y")).collect()
+    assert [tuple(r) for r in labels] == [("True", ""), ("", "")]
+
+
 def test_export(spark, data, tmp_path):
     path, items = data
     split.split_dataset(spark, path, tmp_path / "out")
