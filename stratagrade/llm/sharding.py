@@ -83,13 +83,13 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def assign(docs: DataFrame, *, shards: int = 24, class_groups: int = 100_000, group_rows: int = 10_000, broadcast_sizes: int = 100_000) -> DataFrame:
+def assign(docs: DataFrame, *, shards: int = 24, class_groups: int = 100_000, group_rows: int = 1000, group_parts: int = 10_000, broadcast_sizes: int = 100_000) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, size, text_crc32, law, shard, slot,
     grown_shard: one row for each row of `docs`.
 
     A shard's slots go by the text's md5, then by doc_id (nulls first); groups of more
     than `group_rows` rows come last among those with the same first three digits, cut
-    by a hash of the id.  More than `class_groups` groups of one size are ranked in
+    by a hash of the id into parts of about that many, `group_parts` at most.  More than `class_groups` groups of one size are ranked in
     parts.  Neither changes which shard a group gets.
 
     Nulls: a null text is grouped with empty ones and has size 8.  Repeated rows stay in
@@ -101,7 +101,7 @@ def assign(docs: DataFrame, *, shards: int = 24, class_groups: int = 100_000, gr
     marked = materialize(marked.withColumn("_salt", F.monotonically_increasing_id()), "shard-marked")
     placed = _placed(marked.select("_group", "size"), shards, class_groups, broadcast_sizes)
     large = F.col("_rows") > group_rows
-    parts = F.ceil(F.col("_rows") / group_rows).cast("long")
+    parts = F.least(F.ceil(F.col("_rows") / group_rows).cast("long"), F.lit(group_parts))
     part = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("_salt"), parts)).otherwise(F.pmod(F.xxhash64("doc_id"), parts))  # rows without an id are alike
     cell = ["shard", "_cell", "_alone", "_part"]
     rows = marked.join(placed, "_group").withColumns({"_cell": _prefix("_group"), "_alone": F.when(large, F.col("_group")).otherwise(""), "_part": F.when(large, part).otherwise(F.lit(0).cast("long"))})
