@@ -40,25 +40,61 @@ def exponential_key(doc_id: Column, text: Column, weight: Column, seed: int) ->
     return -F.log(u) / weight
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Adds _rank: sources by code point, null last.  They are dealt by ranges, so that
+    no task orders all of them, and numbered from one count for each range."""
+    order, at = F.col("source").asc_nulls_last(), F.monotonically_increasing_id()
+    rows = sizes.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.shiftrightunsigned(at, 33), "_at": at.bitwiseAND((1 << 33) - 1)})
+    rows = materialize(rows, "mix-ranked")
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = F.broadcast(parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base")))  # a row for each partition
+    return rows.join(base, "_part").select("source", "source_size", (F.col("_base") + F.col("_at")).alias("_rank"))
+
+
+def _level(s: DataFrame, goal: float) -> float | None:
+    """What a unit of weight gets once all sources with _ratio below it have their _cap;
+    None if all have.
+
+    In the order of the ratio, sources are capped as long as the ratio is below what the
+    rest would share.  The ratios are cut into 64 classes for each power of two, whose
+    sums the driver gets; only the class in which the level lies is gone through.
+    """
+    by_ratio = s.groupBy("_ratio").agg(F.sum("_cap").alias("c"), F.sum("_w").alias("w"))
+    by_ratio = by_ratio.withColumn("_class", F.when(F.col("_ratio") > 0, F.floor(F.log2("_ratio") * 64)).otherwise(-1))
+    before, rest, last = 0.0, 0.0, None
+    classes = by_ratio.groupBy("_class").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.min("_ratio").alias("least")).orderBy("_class").collect()
+    rest = sum(r["w"] for r in classes)
+    after = None
+    for r in classes:
+        if r["least"] >= (goal - before) / rest:
+            after = (goal - before) / rest
+            break
+        last = (r["_class"], before, rest)
+        before, rest = before + r["c"], rest - r["w"]
+    if last is None:
+        return after
+    number, before, rest = last
+    upto = Window.orderBy("_ratio").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(x).over(upto), F.lit(0.0)) for x in ("c", "w")]
+    inside = by_ratio.where(F.col("_class") == number).withColumn("level", (F.lit(goal) - (F.lit(before) + sums[0])) / (F.lit(rest) - sums[1]))
+    found = inside.where("_ratio >= level").agg(F.min_by("level", "_ratio").alias("level")).first()["level"]
+    return after if found is None else found
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes(source, source_size) -> with target: the total times `share` is dealt by
     weight (sources by code point, null last, take the weights in turn); no target
     is above `most` times its source, and what that frees is dealt again by weight.
 
     In closed form: a source is capped if cap / weight is below the level at which
-    the others share what is left, so one pass in the order of cap / weight does.
+    the others share what is left.
     """
-    turn = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights)))
+    turn = F.pmod("_rank", F.lit(len(weights)))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int"))
-    s = sizes.select("source", "source_size", w.alias("_w"), (F.col("source_size") * most).alias("_cap"))
-    order = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    s = s.withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    s = s.withColumn("_level", (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest))
-    s = s.withColumn("_level", F.first(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return s.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
+    s = _ranked(sizes).select("source", "source_size", w.alias("_w"), (F.col("source_size") * most).alias("_cap")).withColumn("_ratio", F.col("_cap") / F.col("_w"))
+    total = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
+    level = _level(s, total * share)
+    return s.select("source", "source_size", (F.col("_cap") if level is None else F.least("_cap", F.lit(level) * F.col("_w"))).alias("target"))
 
 
 def _keyed(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:

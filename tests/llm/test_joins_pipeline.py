@@ -245,6 +245,32 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, out.collect()))
 
 
+def test_pipeline_on_edges(spark, docs, tmp_path):
+    """No document, only such as the rules reject, repeated rows, and no test items."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    good = " ".join(f"word{i}" for i in range(40)) + "."
+    for name, df, want in (
+        ("none", docs.select(*columns).limit(0), 0),
+        ("short", docs.select(*columns).where("length(text) < 20 OR text IS NULL"), 0),
+        ("twice", spark.createDataFrame([(1, good, "en", None, 10)] * 3 + [(None, good + " more", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long"), None),
+    ):
+        folder = tmp_path / name
+        df.write.parquet(str(folder / "documents.parquet"))
+        if name != "none":
+            spark.createDataFrame([(1, None), (None, "...")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns == [*columns, "shard"]
+        rows = out.collect()
+        assert len(rows) == want or want is None and {r["text"] for r in rows} <= {good, good + " more"} and rows
+
+
+def test_pipeline_keeps_clashing_columns(spark, docs, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.drop("__rules", "shard").limit(60).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == [*docs.drop("__rules", "shard").columns, "shard"]
+
+
 def test_registry():
     import __spark_entry__
 

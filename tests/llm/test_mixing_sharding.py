@@ -49,6 +49,16 @@ def test_targets_and_taken(docs, rows):
     assert again == sorted(map(str, got))
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(5)
+    for n, most in ((1, 2.0), (7, 1.2), (400, 2.0), (400, 1.6), (3, 1.5)):
+        sizes = {(f"s{i}" if i else None): rng.choice((0, 3, 50, rng.randint(1, 10**6))) for i in range(n)}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)
+        got = {r["source"]: r["target"] for r in mixing.source_targets(df, most=most).collect()}
+        want = fill(sizes, most=most)
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], abs_tol=1e-3) for s in want)
+
+
 def test_keys_follow_weights(spark):
     df = spark.createDataFrame([(i, ("good words " if i % 2 else "ba#d w#o#r#d#s ") * 10, "s") for i in range(400)], "doc_id long, text string, source string")
     taken = mixing.mix(df, share=0.3).groupBy((F.col("doc_id") % 2).alias("good")).agg(F.sum("taken").alias("n")).collect()

@@ -3,7 +3,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from stratagrade.llm import quality_model, rules
+from stratagrade.llm.textvec import chunks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,6 +90,63 @@ def labelled(spark, n=700):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def naive_features(text):
+    """Bucket by bucket, with one hash at a time."""
+    from stratagrade.llm.textvec import hashed, mix
+
+    one = lambda s: hashed(np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(s.encode())]))
+    bucket = lambda h, salt: int(mix(h, salt)[0] % np.uint64(quality_model.BUCKETS))
+    words = WORD.findall(text)
+    out = [bucket(one(w), 2) for w in words]
+    for a, b in zip(words, words[1:]):
+        out.append(bucket(np.zeros(1, np.uint64) if a == b else one(b) * np.uint64(0x9E3779B97F4A7C15) + one(a), 3))
+    for n in quality_model.NGRAMS:
+        for i in range(len(text) - n + 1):
+            if not re.search(r"[\x20\x09-\x0D]", text[i + 1 : i + n - 1]):
+                out.append(bucket(one(text[i : i + n]), 3 + n))
+    return Counter(out)
+
+
+def test_features_against_naive_ones():
+    texts = ["", "one", "ab cd cd  ef", "ünï 日本語 it's\n#12", "x y z " * 5]
+    for block in chunks(pa.array(texts)):
+        for text, (ids, share) in zip(texts, quality_model.bags(block)):
+            want = naive_features(text)
+            assert ids.tolist() == sorted(want)
+            assert np.allclose(share, [want[i] / max(1, want.total()) for i in ids.tolist()])
+
+
+def test_training_against_naive_steps():
+    """Softmax of the averaged vectors, one document and one bucket at a time."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    bags = []
+    for _ in range(12):
+        ids = np.unique(rng.integers(0, 40, 6)).astype(np.int32)
+        bags.append((ids, np.full(len(ids), 1 / len(ids), np.float32)))
+    labels, dim, rate, gain, epochs = [0, 1, 1] * 4, 3, 0.5, 10.0, 4
+    got = quality_model.train(bags, labels, dim=dim, epochs=epochs, least_steps=0, batch=5, rate=rate, gain=gain, seed=3)
+    rng = np.random.Generator(np.random.PCG64(3))
+    vectors = rng.uniform(-1 / dim, 1 / dim, (quality_model.BUCKETS, dim)).astype(np.float32).astype(float)
+    output, bias = np.zeros((dim, 2)), np.zeros(2)
+    share = np.bincount(labels) / len(labels)
+    for epoch in range(epochs):
+        step, order = rate * (1 - epoch / epochs), rng.permutation(len(labels))
+        for at in range(0, len(order), 5):
+            chosen, d_output, d_bias, d_vectors = order[at : at + 5], np.zeros((dim, 2)), np.zeros(2), {}
+            for i in chosen:
+                hidden = sum(vectors[b] * s for b, s in zip(*bags[i]))
+                p = np.exp(hidden @ output + bias)
+                wrong = (p / p.sum() - np.eye(2)[labels[i]]) * 0.5 / share[labels[i]] / len(chosen)
+                d_output += np.outer(hidden, wrong)
+                d_bias += wrong
+                for b, s in zip(*bags[i]):
+                    d_vectors[b] = d_vectors.get(b, 0) + s * (output @ wrong)
+            output, bias = output - step * d_output, bias - step * d_bias
+            for b, g in d_vectors.items():
+                vectors[b] -= step * gain * g
+    assert np.allclose(got.weight[:40], (vectors @ (output[:, 1] - output[:, 0]))[:40], atol=1e-4) and abs(got.bias - (bias[1] - bias[0])) < 1e-4
+
+
 def test_held_out_accuracy(spark):
     docs, labels = labelled(spark)
     got = quality_model.classify(docs, labels).collect()
