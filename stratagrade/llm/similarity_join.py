@@ -13,8 +13,9 @@ Documents with one set of shingles are one class; the join links classes.
    most with.  That ties groups of near copies together by a number of comparisons
    that grows with the group, not with its square.
 3. Postings of one shingle are joined for the pairs that step 2 left in different
-   parts, under position and size bounds, and pairs with enough shared shingles are
-   verified on whole sets.  Pairs left out are in one part already, or cannot link.
+   parts, under position and size bounds (first each with the smallest set that it
+   could meet, so that texts that share a passage and little else never meet), and
+   pairs with enough shared shingles are verified on whole sets.  Pairs left out are in one part already, or cannot link.
 4. Connected components of all verified links.
 
 Hashes have 64 bits; sets with equal fingerprints are taken for equal.
@@ -176,6 +177,14 @@ def _bounds(a: str, b: str, num: int, den: int) -> F.Column:
     return tight(a) & tight(b) & (common >= need)
 
 
+def _can_link(num: int, den: int) -> F.Column:
+    """Whether a posting passes the bounds with the smallest set (of `least`) that has
+    its shingle, with which least must be in common.  In a group of texts that share a
+    passage, but too little besides, none does."""
+    need = _need("n", "least", num, den)
+    return (F.col("pos") <= F.col("n") - need + F.col("k") - 1) & (F.col("i") + F.col("n") - F.col("pos") >= need)
+
+
 def _packed(s: np.ndarray) -> bytes:
     """The upper 48 bits of each hash: two sets of a thousand have a chance of one in
     a hundred million to agree by accident anywhere."""
@@ -296,9 +305,10 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     # the rest: postings of shingles whose classes are in several parts
     placed = postings.join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     placed = materialize(placed, "join-placed")
-    by_part = placed.groupBy("token", "part").agg(F.count("*").alias("c"))
-    main = by_part.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.part").alias("main"))
-    several = materialize(placed.join(main, "token"), "join-several")
+    by_part = placed.groupBy("token", "part").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+    main = by_part.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.min("least").alias("least"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("token", F.col("m.part").alias("main"), "least")
+    several = materialize(placed.join(main, "token").where(_can_link(num, den)).drop("least"), "join-several")
     left = several.where("part <> main")  # pairs within the main part need nothing
     of = lambda c, greater=False: F.when(F.col("q.fp" if greater else "p.fp") < F.col("p.fp" if greater else "q.fp"), F.col(f"p.{c}")).otherwise(F.col(f"q.{c}"))
     pairs = (

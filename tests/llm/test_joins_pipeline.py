@@ -68,6 +68,26 @@ def test_any_order_gives_all_links(spark, copies, monkeypatch):
     assert Counter(tuple(r) for r in got) == by_hand(texts, 4, 85, 100)[0]
 
 
+def test_texts_just_below_the_threshold_do_not_meet(spark, monkeypatch):
+    """Texts that share a passage of nine tenths of their words: no pair links but the
+    planted ones, and the postings of the passage are not joined with each other."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(91)]
+    texts = [" ".join([*passage, *(f"w{rng.randrange(10**7)}" for _ in range(9))]) for _ in range(150)]
+    texts += [t + " end" for t in texts[:5]]
+    kept, whole = {}, similarity_join.materialize
+
+    def noted(df, tag):
+        out = whole(df, tag)
+        kept[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity_join, "materialize", noted)
+    got = similarity_join.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=4, similarity=(85, 100)).collect()
+    assert Counter(tuple(r) for r in got) == by_hand(list(enumerate(texts)), 4, 85, 100)[0]
+    assert kept["join-placed"] > 500 and kept["join-several"] < 100
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
