@@ -25,7 +25,7 @@ from .. import messages as say
 from ..functions.text import SPACES
 from ..schemas import EMPTY_LABEL, LABEL_PATHS, SPLITS
 from ..sources.json_arrays import json_kind
-from .joins import join_same
+from .joins import join_same, rank_within
 
 DEFAULT_RATIOS = (0.8, 0.1, 0.1)
 
@@ -194,20 +194,20 @@ def split_stratified(rows: DataFrame, stratum: list[Column], order: str, ratios=
     row, made on the driver in flat arrays (about 60 bytes a row: ten million rows take
     600 MB there); split_by_hash() has no such limit."""
     check_ratios(ratios)
-    keyed = rows.withColumn("__s", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(stratum)]))
-    sizes = strata(rows, stratum, order).orderBy("first").collect()
+    keys = [f"__k{i}" for i in range(len(stratum))]
+    known = strata(rows, stratum, order).withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)})
+    sizes = known.orderBy("first").collect()
     plan = plan_stratified([r["n"] for r in sizes], ratios, seed)
     spark = rows.sparkSession
-    number = spark.createDataFrame([(r["first"], i) for i, r in enumerate(sizes)], "__first long, __stratum long")
+    number = spark.createDataFrame([(r["first"], i) for i, r in enumerate(sizes)], "first long, __stratum long")
+    numbered = join_same(rows.withColumns(dict(zip(keys, stratum, strict=True))), known.join(number, "first").select(*keys, "__stratum"), keys)
     counts = [r["n"] for r in sizes]
     lines = pa.table({
         "__stratum": np.repeat(np.arange(len(counts)), counts), "__item": np.concatenate([np.zeros(0, np.int64), *map(np.arange, counts)]),
         "__side": np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in plan.sides)]), "split_pos": np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in plan.places)]),
     })
     chosen = spark.createDataFrame(lines).select("__stratum", "__item", F.element_at(F.array(*map(F.lit, SPLITS)), F.col("__side") + 1).alias("split"), "split_pos")
-    within = Window.partitionBy("__s")
-    keyed = keyed.withColumn("__item", F.row_number().over(within.orderBy(order)) - 1).withColumn("__first", F.min(F.col(order)).over(within).cast("long"))
-    return keyed.join(number, "__first").join(chosen, ["__stratum", "__item"]).drop("__s", "__first", "__stratum", "__item")
+    return rank_within(numbered, ["__stratum"], order, "__item").join(chosen, ["__stratum", "__item"]).drop(*keys, "__stratum", "__item")
 
 
 def split_grouped(rows: DataFrame, group: Column, labels: dict[str, Column], order: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
@@ -224,8 +224,8 @@ def split_grouped(rows: DataFrame, group: Column, labels: dict[str, Column], ord
     plan = plan_grouped([(r["n"], by_first(found[r["k0"]])) for r in sizes], ratios, seed)
     lines = [(r["k0"], SPLITS[i], at) for r, (i, at) in zip(sizes, plan, strict=True)]
     chosen = rows.sparkSession.createDataFrame(lines, f"__g {keyed.schema['__g'].dataType.simpleString()}, split string, __at long")
-    at = F.row_number().over(Window.partitionBy("__g").orderBy(order)) - 1
-    return join_same(keyed, chosen, ["__g"]).withColumn("split_pos", F.col("__at") + at).drop("__g", "__at")
+    ranked = rank_within(keyed, ["__g"], order, "__rank")
+    return join_same(ranked, chosen.withColumnRenamed("__at", "__start"), ["__g"]).withColumn("split_pos", F.col("__start") + F.col("__rank")).drop("__g", "__start", "__rank")
 
 
 def split_by_hash(rows: DataFrame, stratum: list[str], key: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:

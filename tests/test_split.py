@@ -125,6 +125,20 @@ def test_nulls_lose_no_row(spark):
     assert {r["id"]: r["first_row"] for r in corpus.duplicate_of(df, "k", order="id").collect()} == {i: 0 if i % 3 == 0 else 1 if i % 2 else 2 for i in range(30)}
 
 
+def test_ranks_of_hot_keys(spark):
+    from stratagrade.operators.joins import rank_within
+
+    rows = [(7 * i - 5000, None if i % 2 else f"k{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "at long, k string")
+    seen, want = Counter(), {}
+    for at, k in rows:
+        want[at] = seen[k]
+        seen[k] += 1
+    for cells in (1, 10, 4096):
+        assert {r["at"]: r["rank"] for r in rank_within(df, ["k"], "at", "rank", cells).collect()} == want
+    assert rank_within(df.limit(0), ["k"], "at", "rank").count() == 0
+
+
 def test_json_arrays(spark, tmp_path):
     from stratagrade.sources.json_arrays import read_array
 
