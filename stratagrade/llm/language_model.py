@@ -74,15 +74,15 @@ def ngrams(token: np.ndarray, at: np.ndarray, most: int):
 # Keys on their way ---------------------------------------------------------------
 
 
-def width(kind: int) -> int:
+def width(kind: int, bits: int) -> int:
     """Bits of a key besides its segment's: words must not be mistaken for others; of
     longer n-grams some that are new may look known, fewer than the filter lets pass."""
-    return 48 if kind == WORD else 28
+    return min(48 if kind == WORD else 28, 64 - bits)
 
 
 def shorten(keys: np.ndarray, bits: int, kind: int) -> np.ndarray:
     """The segment and the `width` bits that follow."""
-    return keys >> _U(64 - bits - width(kind))
+    return keys >> _U(64 - bits - width(kind, bits))
 
 
 def _planes(x: np.ndarray, n: int, raw: int = 0) -> bytes:
@@ -99,13 +99,13 @@ def _from_planes(blob: bytes, size: int, n: int, raw: int = 0) -> np.ndarray:
     return np.ascontiguousarray(out.T).view("<u8")[:, 0].astype(np.uint64)
 
 
-def _pack(rest: np.ndarray, kind: int) -> bytes:
-    """Sorted distinct keys of one segment, as differences."""
-    return _planes(np.diff(rest, prepend=_U(0)), -(-width(kind) // 8), 2)
+def _pack(rest: np.ndarray, wide: int) -> bytes:
+    """Sorted distinct keys of one segment, of `wide` bits, as differences."""
+    return _planes(np.diff(rest, prepend=_U(0)), -(-wide // 8), 2)
 
 
-def _unpack(blob: bytes, size: int, kind: int) -> np.ndarray:
-    return np.cumsum(_from_planes(blob, size, -(-width(kind) // 8), 2), dtype=np.uint64)
+def _unpack(blob: bytes, size: int, wide: int) -> np.ndarray:
+    return np.cumsum(_from_planes(blob, size, -(-wide // 8), 2), dtype=np.uint64)
 
 
 # Blocks --------------------------------------------------------------------------
@@ -173,13 +173,15 @@ def _asked(bits: int, most: int):
                 for kind, (gram, ok) in enumerate(ngrams(token, at, most), 1):
                     keys, code = np.unique(shorten(gram[ok], bits, kind), return_inverse=True)
                     counts = np.bincount(code, trains[ok], len(keys)).astype(np.uint64)
-                    cut = np.searchsorted(keys >> _U(width(kind)), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    rest = keys & _U((1 << width(kind)) - 1)
-                    parts = [(i, slice(cut[i], cut[i + 1])) for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
+                    wide = width(kind, bits)
+                    segment = keys >> _U(wide)
+                    cut = np.append(np.flatnonzero(np.diff(segment, prepend=segment[:1] + _U(1))), len(keys))  # where segments begin
+                    rest = keys & _U((1 << wide) - 1)
+                    parts = [(int(segment[a]), slice(a, b)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                     n = len(parts)
                     columns = [
                         pa.array([row["block"]] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([s.stop - s.start for _, s in parts], pa.int32()),
-                        pa.array([_pack(rest[s], kind) for _, s in parts], pa.binary()), pa.array([_planes(counts[s], 4) for _, s in parts], pa.binary()),
+                        pa.array([_pack(rest[s], wide) for _, s in parts], pa.binary()), pa.array([_planes(counts[s], 4) for _, s in parts], pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ASKED.split(", ")])
 
@@ -224,7 +226,7 @@ class Filter:
 _ANSWERS = "block long, kind int, segment int, n int, levels binary, counts binary, distinct long, total long"
 
 
-def _answered(bits_per_key: float):
+def _answered(bits: int, bits_per_key: float):
     """Levels, and for words exact counts, of what blocks ask of one segment; and a row
     (of no block) with the segment's distinct training n-grams and all of them."""
 
@@ -232,7 +234,7 @@ def _answered(bits_per_key: float):
         kind, segment = key[0].as_py(), key[1].as_py()
         sizes = table.column("n").to_pylist()
         blobs = zip(table.column("keys"), table.column("counts"), sizes, strict=True)
-        keys, counts = (np.concatenate(x) for x in zip(*((_unpack(k.as_py(), n, kind), _from_planes(c.as_py(), n, 4)) for k, c, n in blobs), strict=True))
+        keys, counts = (np.concatenate(x) for x in zip(*((_unpack(k.as_py(), n, width(kind, bits)), _from_planes(c.as_py(), n, 4)) for k, c, n in blobs), strict=True))
         distinct, code = np.unique(keys, return_inverse=True)
         total = np.bincount(code, counts, len(distinct)).astype(np.int64)
         level = Filter(distinct, total, bits_per_key).levels(distinct)[code].astype(np.uint64)
@@ -316,7 +318,7 @@ def score(docs: DataFrame, *, held_out_of: int = 5, order: int = 5, bits_per_key
     blocks = materialize(map_arrow(rows, _blocks, _BLOCKS), "lm-blocks")
     counted = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.size(F.filter("held_out", lambda h: ~h))), F.lit(0)).alias("texts")).first()
     bits = (int(counted["tokens"]) // SEGMENT).bit_length()  # segments grow with the input
-    asked = map_arrow(blocks, _asked(bits, order), _ASKED).groupBy("kind", "segment").applyInArrow(_answered(bits_per_key), _ANSWERS)
+    asked = map_arrow(blocks, _asked(bits, order), _ASKED).groupBy("kind", "segment").applyInArrow(_answered(bits, bits_per_key), _ANSWERS)
     answers = materialize(asked, "lm-answers")
     del asked
     release(spark)

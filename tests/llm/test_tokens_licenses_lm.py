@@ -210,6 +210,8 @@ def test_language_model(docs, rows, nothing, monkeypatch):
         assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
         assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in got)
     assert language_model.score(nothing).count() == 0
+    blank = language_model.score(docs.sparkSession.createDataFrame([(1, ""), (2, None), (3, "  ")], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_tokens"]) for r in blank} == {(1, 1), (2, 1), (3, 1)} and all(math.isfinite(r["score"]) for r in blank)
 
 
 def test_model_beats_the_base_on_held_out_text(spark):
@@ -245,8 +247,13 @@ def test_keys_come_back():
     rng = np.random.Generator(np.random.PCG64(2))
     for kind in (1, 2):
         for n in (1, 2, 1000):
-            keys = np.unique(rng.integers(0, 1 << language_model.width(kind), n, dtype=np.uint64))
-            assert (language_model._unpack(language_model._pack(keys, kind), len(keys), kind) == keys).all()
+            for bits in (0, 7, 16, 25):  # 25: segments of 100 TB
+                wide = language_model.width(kind, bits)
+                whole = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64) << np.uint64(1))
+                short = language_model.shorten(whole, bits, kind)
+                assert ((short >> np.uint64(wide)) == (whole >> np.uint64(64 - bits) if bits else 0)).all()
+                keys = np.unique(short & np.uint64((1 << wide) - 1))
+                assert (language_model._unpack(language_model._pack(keys, wide), len(keys), wide) == keys).all()
 
 
 def test_scores_by_hand(docs, rows, monkeypatch):
