@@ -33,15 +33,21 @@ WINDOW = 8
 
 
 def _lines(text) -> F.Column:
-    """For each line: words, symbols, and whether it fails a rule."""
+    """For each line: words, symbols, and whether it fails a rule.  Lines of texts that
+    have no sign of the kind anywhere are not searched for each."""
+    return _let(text.rlike(SYMBOL + r"|[»•›]|[!?]{2}"), lambda signs: _measured(text, signs))
+
+
+def _measured(text, signs) -> F.Column:
+    count = lambda l, pattern: F.when(signs, F.regexp_count(l, F.lit(pattern))).otherwise(0)
     measured = F.transform(
         F.split(text, "\n"),
         lambda l: F.struct(
             l.alias("line"),
             F.regexp_count(l, F.lit(WORD)).alias("words"),
-            F.regexp_count(l, F.lit(SYMBOL)).alias("symbols"),
-            F.regexp_count(l, F.lit(r"[|»•›]")).alias("bars"),
-            F.regexp_count(l, F.lit(r"[!?]{2,}")).alias("shouts"),
+            count(l, SYMBOL).alias("symbols"),
+            count(l, r"[|»•›]").alias("bars"),
+            count(l, r"[!?]{2,}").alias("shouts"),
         ),
     )
 
