@@ -39,12 +39,10 @@ def first_rows(rows: DataFrame, *key: str, order: str = "source_row") -> DataFra
 
 
 def first_pairs(rows: DataFrame, label: str, content: str, order: str = "source_row") -> DataFrame:
-    """The first row of each (label, content).  Contents are compared by their digest:
-    what is shuffled to find the first rows is a number and 32 bytes each, and whole rows
-    are only joined with those numbers.  `order` is unique."""
+    """The first row of each (label, content).  Contents are compared and sorted by their
+    digest, 32 bytes each, never as texts; rows are read and moved once."""
     digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), F.col(content)), F.lit("")), 256))
-    first = rows.groupBy(F.col(label), digest.alias("__digest")).agg(F.min(order).alias("__first"))
-    return rows.join(first.select("__first"), F.col(order) == F.col("__first"), "left_semi")
+    return first_rows(rows.withColumn("__digest", digest), label, "__digest", order=order).drop("__digest")
 
 
 def documents(rows: DataFrame, dataset: str, source: str) -> DataFrame:
