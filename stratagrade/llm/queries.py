@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, licenses, mixing, orc_tokens, quality_model, rules, sharding, similarity_join, tiling, token_counts
+from . import divergence, language_model, licenses, mixing, orc_tokens, pieces, quality_model, rules, search, sharding, similarity_join, tiling, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,13 +237,84 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.coverage(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, w, count(*) AS n FROM (SELECT lang, source, unnest(w) AS w FROM d) GROUP BY ALL
+), k AS (
+  SELECT lang, w FROM (SELECT lang, unnest(list_distinct(w)) AS w FROM d) GROUP BY ALL HAVING count(*) >= 3
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), x AS (
+  SELECT g.lang, g.source, k.w, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.w = k.w
+), p AS (
+  SELECT x.lang, source, w, n, 1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY x.lang, source) + v) AS p,
+    1 + 1000000000 * (sum(n) OVER (PARTITION BY x.lang, w) + 1) // (sum(n) OVER (PARTITION BY x.lang) + v) AS q
+  FROM x JOIN v ON v.lang = x.lang
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, w AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(documents(spark, sf_dir), model=_pieces()), model=_pieces())
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), t AS (
+  SELECT doc_id, n, w, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS w FROM d) WHERE w IN (SELECT w FROM i) GROUP BY ALL
+), f AS (
+  SELECT w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, s GROUP BY w, docs
+), r AS (
+  SELECT i.item_id, t.doc_id, sum(f.weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score FROM i JOIN t ON t.w = i.w JOIN f ON f.w = i.w, s GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_quality_classifier, op3_quality_rules, op4_shard_documents, op5_license_scan,
-        op6_ngram_join, op7_orc_tokens, op8_language_model, op9_token_counts, op10_decontaminate, llm_base_scores,
+        op6_ngram_join, op7_orc_tokens, op8_language_model, op9_token_counts, op10_decontaminate, op11_source_divergence, op12_piece_round_trip, op13_ranked_search, llm_base_scores,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_shard_documents": OP4_SQL, "op5_license_scan": _op5_sql(), "op6_ngram_join": OP6_SQL, "llm_base_scores": BASE_SCORES_SQL}
+    return {
+        "op1_mix_sources": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_shard_documents": OP4_SQL, "op5_license_scan": _op5_sql(), "op6_ngram_join": OP6_SQL,
+        "op11_source_divergence": OP11_SQL, "op13_ranked_search": OP13_SQL, "llm_base_scores": BASE_SCORES_SQL,
+    }
