@@ -3,7 +3,7 @@
 The seeded splits reproduce a sequential allocation, so their choices are made on the
 driver: from stratum sizes for the stratified one, from label counts of groups for
 the grouped one.  Records themselves are only ever joined with the outcome.
-split_by_hash() is the scalable form: quotas by stratum, order by a hash.
+dealing.py has the forms for any number of rows: quotas by stratum, order by a hash.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import messages as say
@@ -192,7 +192,7 @@ def with_labels(raw: DataFrame, paths: Iterable[str] = LABEL_PATHS) -> DataFrame
 def split_stratified(rows: DataFrame, stratum: list[Column], order: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
     """Adds split and split_pos.  `order` numbers the rows.  The plan has a line for each
     row, made on the driver in flat arrays (about 60 bytes a row: ten million rows take
-    600 MB there); split_by_hash() has no such limit."""
+    600 MB there); dealing.split_by_hash() has no such limit."""
     check_ratios(ratios)
     keys = [f"__k{i}" for i in range(len(stratum))]
     known = strata(rows, stratum, order).withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)})
@@ -212,7 +212,8 @@ def split_stratified(rows: DataFrame, stratum: list[Column], order: str, ratios=
 
 def split_grouped(rows: DataFrame, group: Column, labels: dict[str, Column], order: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
     """Adds split and split_pos; groups stay whole, and rows without a group are one.
-    The driver gets one line for each group and label value."""
+    The driver gets one line for each group and label value;
+    dealing.split_groups_by_class() has no such limit."""
     check_ratios(ratios)
     keyed = rows.withColumn("__g", group)
     place = {name: i for i, name in enumerate(labels)}
@@ -228,34 +229,6 @@ def split_grouped(rows: DataFrame, group: Column, labels: dict[str, Column], ord
     return join_same(ranked, chosen.withColumnRenamed("__at", "__start"), ["__g"]).withColumn("split_pos", F.col("__start") + F.col("__rank")).drop("__g", "__start", "__rank")
 
 
-def split_by_hash(rows: DataFrame, stratum: list[str], key: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:
-    """Adds split: within each stratum, rows in the order of md5(seed, key) fill the
-    quotas of train, val and test.  No order of rows matters, and nothing of the data
-    goes to the driver.
-
-    A hot stratum isn't ordered in one task: its rows are counted by the first bits of
-    the hash, and only the buckets in which a quota ends are ordered row by row.  Rows
-    with null strata make strata of their own, and rows with a null key count as having
-    an empty one; every row gets a split.
-    """
-    check_ratios(ratios)
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    hashed = rows.withColumn("__h", digest).withColumn("__b", F.substring("__h", 1, 3))
-    cells = hashed.groupBy(*stratum, "__b").agg(F.count("*").alias("__n"))
-    sizes = quotas(cells.groupBy(*stratum).agg(F.sum("__n").alias("total")), ratios).withColumnsRenamed({"n_train": "__t", "n_val": "__v"}).select(*stratum, "__t", "__v")
-    before = F.sum("__n").over(Window.partitionBy(*stratum).orderBy("__b")) - F.col("__n")
-    cells = cells.withColumn("__before", before)
-    cells = join_same(cells, sizes, stratum)
-    ends = lambda x: (F.col("__before") < x) & (x < F.col("__before") + F.col("__n"))
-    cells = cells.withColumn("__cut", ends(F.col("__t")) | ends(F.col("__t") + F.col("__v")))
-    placed = join_same(hashed, cells, [*stratum, "__b"])
-    side = lambda at: F.when(at < F.col("__t"), SPLITS[0]).when(at < F.col("__t") + F.col("__v"), SPLITS[1]).otherwise(SPLITS[2])
-    rank = F.row_number().over(Window.partitionBy(*stratum, "__b").orderBy("__h", key)) - 1
-    whole = placed.where(~F.col("__cut")).withColumn("split", side(F.col("__before")))
-    edge = placed.where("__cut").withColumn("__rank", rank).withColumn("split", side(F.col("__before") + F.col("__rank"))).drop("__rank")
-    return whole.unionByName(edge).drop("__h", "__b", "__n", "__before", "__t", "__v", "__cut")
-
-
 def label_counts(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """rows(split, ...) -> field, split, value, n: the distribution of each label."""
     entries = F.array(*[F.struct(F.lit(n).alias("field"), F.when(c == "", EMPTY_LABEL).otherwise(c).alias("value")) for n, c in fields.items()])

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.order import ROW
-from ..operators import chat, corpus, records, split, standards
-from ..schemas import CANONICAL, DEVELOPER_PROMPT, DOMAINS, EMPTY_LABEL, GENERIC_DOMAIN, METADATA, NA_TOKENS, PROMPT_HEAD, PROMPT_LABELS, TYPE_OF
+from ..operators import chat, corpus, dealing, records, split, standards
+from ..schemas import CANONICAL, DEVELOPER_PROMPT, DOMAINS, EMPTY_LABEL, GENERIC_DOMAIN, METADATA, NA_TOKENS, PROMPT_HEAD, PROMPT_LABELS, SPLITS, TYPE_OF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -381,12 +381,27 @@ def q_quota(spark, sf_dir):
 
 
 def _hash_split(spark, sf_dir):
-    return split.split_by_hash(grouped_events(spark, sf_dir).select("event_id", "kind", "user_id"), ["kind"], "event_id", seed=42)
+    return dealing.split_by_hash(grouped_events(spark, sf_dir).select("event_id", "kind", "user_id"), ["kind"], "event_id", seed=42)
 
 
-S_HASH_SPLIT = f"""SELECT event_id, e.kind, user_id, CASE WHEN place < n_train THEN 'train' WHEN place < n_train + n_val THEN 'val' ELSE 'test' END AS split FROM (
-  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || event_id), event_id) - 1 AS place FROM {S_EVENTS}) e
-  JOIN ({s_quota(f"SELECT kind, count(*) AS total FROM {S_EVENTS} GROUP BY kind", "kind")}) q ON e.kind IS NOT DISTINCT FROM q.kind"""
+def s_stratum_quotas(sizes: str, key: str) -> str:
+    """Quotas by rounded cumulative targets, strata in the order of a digest."""
+    t = lambda c: f"((2 * {c}::HUGEINT * n_train + a) // (2 * a))"
+    v = lambda u: f"(CASE WHEN a = n_train THEN 0 ELSE (2 * {u}::HUGEINT * n_val + (a - n_train)) // (2 * (a - n_train)) END)"
+    return f"""SELECT {key}, total, (te - ts)::BIGINT AS n_train, ({v("(c_end - te)")} - {v("(c_start - ts)")})::BIGINT AS n_val FROM (
+      SELECT *, {t("c_end")} AS te, {t("c_start")} AS ts FROM (
+        SELECT {key}, total, sum(total) OVER w AS c_end, sum(total) OVER w - total AS c_start
+        FROM (SELECT *, md5(CASE WHEN {key} IS NULL THEN 'n' ELSE 's' || {key} END) AS m FROM ({sizes})) WINDOW w AS (ORDER BY m)) c,
+      (SELECT total AS a, n_train, n_val FROM ({s_quota(f"SELECT 1 AS one, sum(total)::BIGINT AS total FROM ({sizes})", "one")})) q)"""
+
+
+def s_hash_split(rows: str, key: str) -> str:
+    return f"""SELECT e.*, CASE WHEN place < n_train THEN 'train' WHEN place < n_train + n_val THEN 'val' ELSE 'test' END AS split FROM (
+      SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY md5('42|' || event_id), event_id) - 1 AS place FROM {rows}) e
+      JOIN ({s_stratum_quotas(f"SELECT {key}, count(*) AS total FROM {rows} GROUP BY {key}", key)}) q ON e.{key} IS NOT DISTINCT FROM q.{key}"""
+
+
+S_HASH_SPLIT = f"SELECT event_id, kind, user_id, split FROM ({s_hash_split(S_EVENTS, 'kind')})"
 
 
 @query(S_HASH_SPLIT)
@@ -395,6 +410,30 @@ def q_split_hash(spark, sf_dir):
     return _hash_split(spark, sf_dir)
 
 
+#: Strata of four rows.
+FOURS = "event_id div 4"
+S_FOURS = "(SELECT event_id, event_id // 4 AS four FROM events)"
+
+
+def _fours_split(spark, sf_dir):
+    return dealing.split_by_hash(table(spark, sf_dir, "events").select("event_id", F.expr(FOURS).alias("four")), ["four"], "event_id")
+
+
+@query(f"SELECT event_id, four, split FROM ({s_hash_split(S_FOURS, 'four')})")
+def q_split_hash_small(spark, sf_dir):
+    """Thousands of small strata, row by row."""
+    return _fours_split(spark, sf_dir)
+
+
+@query(f"""SELECT unnest(['train', 'val', 'test']) AS split, unnest([n_train, n_val, n_test]) AS n, true AS near FROM ({s_quota('SELECT 1 AS one, count(*) AS total FROM events', 'one')})""")
+def q_split_hash_totals(spark, sf_dir):
+    """Sizes are the quotas of all rows, and every stratum is within two rows of its shares."""
+    counts = [F.count_if(F.col("split") == s).alias(s) for s in SPLITS]
+    by_four = _fours_split(spark, sf_dir).groupBy("four").agg(F.count("*").alias("all"), *counts)
+    sides = F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("n"), (F.abs(F.col(s) - F.col("all") * r) <= 2).alias("near")) for s, r in zip(SPLITS, split.DEFAULT_RATIOS, strict=True)])
+    return by_four.select(F.inline(sides)).groupBy("split").agg(F.sum("n").alias("n"), F.bool_and("near").alias("near"))
+
+
 #: Every 97th event has a label of its own, which some splits must lack.
 S_RARE = "CASE WHEN event_id % 97 = 0 THEN 'rare' || event_id ELSE 'usual' END"
 S_FIELD_ROWS = f"""SELECT split, 'kind' AS field, coalesce(kind, 'none') AS value FROM ({S_HASH_SPLIT}) UNION ALL SELECT split, 'rare', {S_RARE} FROM ({S_HASH_SPLIT})
@@ -446,6 +485,32 @@ def q_split_group_whole(spark, sf_dir):
     return q_split_group(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"), span)
 
 
+def _class_split(spark, sf_dir):
+    return dealing.split_groups_by_class(grouped_events(spark, sf_dir), F.col("user_id"), {"kind": F.col("kind"), "side": F.expr(S_SIDE)})
+
+
+@query(f"SELECT user_id, count(*) AS n, 1::BIGINT AS splits FROM {S_EVENTS} GROUP BY user_id")
+def q_class_split_whole(spark, sf_dir):
+    """Every group, that of nulls too, is in one split."""
+    return _class_split(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+
+
+@query(f"""WITH e AS (SELECT user_id, unnest([{{'field': 'rows', 'value': ''}}, {{'field': 'kind', 'value': coalesce(kind, '')}}, {{'field': 'side', 'value': {S_SIDE}}}], recursive := true) FROM {S_EVENTS}),
+  g AS (SELECT user_id, field, value, count(*) AS x FROM e GROUP BY ALL)
+  SELECT field, value, split, sum(x)::BIGINT AS n, round(sum(x) * ratio, 6) AS target, round(4 * sqrt(ratio * (1 - ratio) * sum(x * x)) + 2 * max(x), 6) AS bound, true AS within
+  FROM g, (VALUES ('train', 0.8::DOUBLE), ('val', 0.1::DOUBLE), ('test', 0.1::DOUBLE)) r(split, ratio) GROUP BY field, value, split, ratio""")
+def q_class_split_errors(spark, sf_dir):
+    """Sizes and labels of the splits are within the stated bound of their shares."""
+    one = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(c, F.lit("")).alias("value")) for n, c in {"rows": F.lit(""), "kind": F.col("kind"), "side": F.expr(S_SIDE)}.items()])
+    sums = _class_split(spark, sf_dir).select("user_id", "split", F.explode(one).alias("e")).groupBy("user_id", "split", "e.field", "e.value").agg(F.count("*").alias("x"))
+    held = [F.sum(F.when(F.col("split") == s, F.col("x")).otherwise(0)).alias(s) for s in SPLITS]
+    by_label = sums.groupBy("field", "value").agg(F.sum("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("squares"), F.max("x").alias("most"), *held)
+    sides = F.array(*[F.struct(F.lit(s).alias("split"), F.lit(r).alias("ratio"), F.col(s).alias("held")) for s, r in zip(SPLITS, split.DEFAULT_RATIOS, strict=True)])
+    out = by_label.select("field", "value", "n", "squares", "most", F.inline(sides))
+    target, bound = F.col("n") * F.col("ratio"), 4 * F.sqrt(F.col("ratio") * (1 - F.col("ratio")) * F.col("squares")) + 2 * F.col("most")
+    return out.select("field", "value", "split", "n", F.round(target, 6).alias("target"), F.round(bound, 6).alias("bound"), (F.abs(F.col("held") - target) < bound).alias("within"))
+
+
 S_PROPS = "CASE event_id % 5 WHEN 0 THEN '{\"a\":{\"g\":\" \"}}' WHEN 1 THEN '{\"a\":{\"g\":null}}' WHEN 2 THEN '{\"a\":{}}' ELSE '{\"a\":{\"g\":\"x' || event_type || '\"}}' END"
 
 

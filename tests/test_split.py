@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stratagrade.operators import chat, split
+from stratagrade.operators import chat, dealing, split
 
 
 @pytest.mark.parametrize("total, ratios, want", [
@@ -104,10 +104,83 @@ def test_bad_ratios():
 
 def test_hash_split_hot_stratum(spark):
     df = spark.range(6000).select(F.col("id"), F.when(F.col("id") < 4500, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 9)).alias("k"))
-    got = split.split_by_hash(df, ["k"], "id").groupBy("k", "split").count().collect()
+    got = dealing.split_by_hash(df, ["k"], "id").groupBy("k", "split").count().collect()
     sizes = Counter({(r["k"], r["split"]): r["count"] for r in got})
     for k, total in Counter(r["k"] for r in df.select("k").collect()).items():
-        assert [sizes[k, s] for s in ("train", "val", "test")] == split.allocate_counts(total, (0.8, 0.1, 0.1))
+        assert all(abs(sizes[k, s] - total * r) <= 2 for s, r in zip(("train", "val", "test"), (0.8, 0.1, 0.1), strict=True))
+    assert [sum(n for (_, s), n in sizes.items() if s == x) for x in ("train", "val", "test")] == split.allocate_counts(6000, (0.8, 0.1, 0.1))
+
+
+@pytest.mark.parametrize("ratios", [(0.8, 0.1, 0.1), (0.6, 0.4, 0), (1, 0, 0), (0.34, 0.33, 0.33), (0.05, 0.15, 0.8)])
+def test_quotas_of_small_strata(spark, ratios):
+    """Strata of one row to thousands, nulls among their keys."""
+    import random
+
+    rng = random.Random(3)
+    sizes = [*([1] * 300), *([4] * 300), *(rng.randint(2, 40) for _ in range(100)), 7000]
+    df = spark.createDataFrame([(None if i == 5 else f"k{i}", i % 3 if i % 7 else None, n) for i, n in enumerate(sizes)], "k string, g long, total long")
+    rows = dealing.stratum_quotas(df, ["k", "g"], ratios).join(df.withColumnsRenamed({"k": "a", "g": "b"}), F.expr("k <=> a AND g <=> b")).collect()
+    assert len(rows) == len(sizes)
+    for r in rows:
+        got = [r["n_train"], r["n_val"], r["n_test"]]
+        assert sum(got) == r["total"] and all(n >= 0 and abs(n - r["total"] * x) <= 2 for n, x in zip(got, ratios, strict=True)) and abs(got[0] - r["total"] * ratios[0]) <= 1.5
+    assert [sum(r[c] for r in rows) for c in ("n_train", "n_val", "n_test")] == split.allocate_counts(sum(sizes), ratios)
+    assert dealing.stratum_quotas(df.limit(0), ["k", "g"], ratios).count() == 0
+
+
+def grouped_rows(spark, n_groups=400):
+    """Groups from one row to a third of all, with labels that lean by group."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(n_groups):
+        lean = rng.choice("abcdefg")
+        rows += [(None if g == 7 else g, lean if rng.random() < 0.8 else rng.choice("abcdefg"), f"rare{g}" if rng.random() < 0.02 else None) for _ in range(1500 if g == 3 else rng.choice((1, 2, 5, 12)))]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, g long, x string, y string")
+
+
+@pytest.mark.parametrize("most", [128, 2])
+def test_groups_by_class(spark, most):
+    df = grouped_rows(spark)
+    out = dealing.split_groups_by_class(df, F.col("g"), {"x": F.col("x"), "y": F.col("y")}, most=most).collect()
+    assert sorted(r["id"] for r in out) == list(range(df.count()))
+    by_group: dict = {}
+    for r in out:
+        by_group.setdefault(r["g"], Counter())[r["split"]] += 1
+    assert all(len(c) == 1 for c in by_group.values())
+    held = {("rows", ""): Counter(), **{("x", x): Counter() for x in "abcdefg"}}
+    for r in out:
+        held["rows", ""][r["g"], r["split"]] += 1
+        held["x", r["x"]][r["g"], r["split"]] += 1
+    for counts in held.values():
+        total, squares = sum(counts.values()), sum(n * n for n in counts.values())
+        for s, r in zip(("train", "val", "test"), (0.8, 0.1, 0.1), strict=True):
+            n = sum(n for (_, x), n in counts.items() if x == s)
+            assert abs(n - total * r) < 4 * (r * (1 - r) * squares) ** 0.5 + 2 * max(counts.values())
+    again = dealing.split_groups_by_class(df.repartition(5), F.col("g"), {"x": F.col("x"), "y": F.col("y")}, most=most)
+    assert {(r["id"], r["split"]) for r in again.collect()} == {(r["id"], r["split"]) for r in out}
+
+
+def test_groups_by_class_edges(spark):
+    df = grouped_rows(spark, 5)
+    few = df.where("g IN (0, 1, 2)")
+    out = dealing.split_groups_by_class(few, F.col("g"), {})
+    assert {r["split"] for r in out.collect()} == {"train", "val", "test"}  # no split stays empty
+    with pytest.raises(ValueError, match="Only 2 groups"):
+        dealing.split_groups_by_class(df.where("g IN (0, 1)"), F.col("g"), {"x": F.col("x")})
+    assert dealing.split_groups_by_class(df.limit(0), F.col("g"), {"x": F.col("x")}).count() == 0
+    two = dealing.split_groups_by_class(df, F.col("g"), {"x": F.col("x")}, ratios=(0.5, 0.5, 0))
+    assert {r["split"] for r in two.collect()} == {"train", "val"}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 50), st.integers(1, 30)), min_size=3, max_size=12))
+def test_class_plan(found):
+    classes = [(m, m * size, {("f", size % 3): m * size}) for m, size in found]
+    plan = dealing.plan_classes(classes, (0.8, 0.1, 0.1))
+    assert [sum(d) for d in plan] == [m for m, _, _ in classes] and all(n >= 0 for d in plan for n in d)
+    assert all(sum(d[i] for d in plan) for i in range(3))
 
 
 def test_nulls_lose_no_row(spark):
@@ -115,9 +188,9 @@ def test_nulls_lose_no_row(spark):
 
     df = spark.createDataFrame([(i, None if i % 3 == 0 else f"k{i % 2}", None if i % 5 == 0 else i % 4) for i in range(30)], "id long, k string, g long")
     for keys in (["k"], ["k", "g"]):
-        out = split.split_by_hash(df, keys, "id")
+        out = dealing.split_by_hash(df, keys, "id")
         assert sorted(r["id"] for r in out.collect()) == list(range(30)) and out.where("split IS NULL").isEmpty()
-    hashed = split.split_by_hash(df.select(F.when(F.col("id") > 9, F.col("id")).alias("id"), "k"), ["k"], "id")
+    hashed = dealing.split_by_hash(df.select(F.when(F.col("id") > 9, F.col("id")).alias("id"), "k"), ["k"], "id")
     assert hashed.count() == 30
     grouped = split.split_grouped(df, F.col("g"), {"k": F.coalesce("k", F.lit(""))}, "id")
     assert sorted(r["id"] for r in grouped.collect()) == list(range(30)) and grouped.where("g IS NULL").select("split").distinct().count() == 1
