@@ -11,6 +11,7 @@ from .operators import chat, corpus, records, split, standards
 from .schemas import GUIDE_CONTENT, GUIDE_LABEL
 from .session import session
 from .sources import mapping as places
+from .sources.places import Place
 
 
 def _name(value: str) -> str:
@@ -32,7 +33,7 @@ def _ratio(value: str) -> float:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="stratagrade", description=__doc__)
-    top.add_argument("--root", type=Path, default=Path.cwd(), help="folder that holds data/raw and data/processed")
+    top.add_argument("--root", type=Place, default=Place(Path.cwd()), help="folder that holds data/raw and data/processed")
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str, *options) -> None:
@@ -40,9 +41,9 @@ def parser() -> argparse.ArgumentParser:
         for flags, kw in options:
             p.add_argument(*flags.split(), **kw)
 
-    path, needed = {"type": Path}, {"type": Path, "required": True}
+    path, needed = {"type": Place}, {"type": Place, "required": True}
     policy = lambda default, *choices: {"choices": choices or ("error", "skip"), "default": default}
-    folder = ("--mappings", {"type": Path, "help": "folder with further <dataset>.json mappings (mappings/ under the root, if it is there)"})
+    folder = ("--mappings", {"type": Place, "help": "folder with further <dataset>.json mappings (mappings/ under the root, if it is there)"})
     dataset = ("--dataset", {"type": _name, "required": True})
     overwrite = ("--overwrite", {"action": "store_true"})
     ratios = [(f"--{n}-ratio", {"type": _ratio, "default": r}) for n, r in (("train", 0.8), ("val", 0.1), ("test", 0.1))] + [("--seed", {"type": int, "default": 42})]
@@ -67,7 +68,7 @@ def parser() -> argparse.ArgumentParser:
         ("--leaf-column", {"required": True}), *optional, ("--reference-standard", {"default": ""}), ("--missing-policy", policy("skip")), overwrite,
     )
     command("normalize", "clean a flat corpus", ("--dataset", {"required": True}), ("--input", needed), ("--output", needed), overwrite)
-    command("export", "splits to chat lines", ("--input-dir", {"type": Path, "default": Path("data/processed/education")}), ("--output-dir", {"type": Path, "default": Path("data/rft/education")}))
+    command("export", "splits to chat lines", ("--input-dir", {"type": Place, "default": Place("data/processed/education")}), ("--output-dir", {"type": Place, "default": Place("data/rft/education")}))
     command("standards", "catalogue sheet to dictionary", ("--input", needed), ("--output", needed))
     return top
 
@@ -115,7 +116,7 @@ def _run(a: argparse.Namespace) -> None:
             missing_policy=a.missing_policy, overwrite=a.overwrite, project_root=a.root,
         )
         say({"input_rows": report["input_rows"], "exported_documents": report["exported_documents"], "unique_level_4": report["corpus_statistics"]["unique_level_4"], "processed_label_overlap": report["processed_label_coverage"]["overlap"]})
-        print(f"Corpus saved to: {Path(out).resolve()}")
+        print(f"Corpus saved to: {Place(out)}")
     elif a.command == "standard":
         say(corpus.build_standard_corpus(
             spark, a.dataset, a.input, a.output, processed_file=a.processed, content_column=a.content_column, leaf_column=a.leaf_column, root_column=a.root_column, branch_column=a.branch_column,

@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW = "_row"
 
 
-def with_ordinal(df: DataFrame, name: str = ROW) -> DataFrame:
-    """Numbers rows from 0 in the order of partitions and of rows within them.
+def in_file_order(df: DataFrame, file: str, block: str, name: str = ROW) -> DataFrame:
+    """Numbers the rows of a scan from 0 in the order of files by name, then of their
+    blocks, then of rows within a block; drops the columns `file` (path) and `block` (start
+    of a part of the file).
 
-    Only one count for each partition goes to the driver.  The input must give its
-    rows in the same order each time, as files do.
+    Spark packs blocks into tasks by size, so the order of partitions is none of the
+    files.  A block's rows stand together in one task, though: a row's place in its block
+    is that in the task, less that of the block's first row.  There is a line for each
+    block; blocks are as large as tasks, so the lines fit in one.
     """
-    shift = 33
     marked = df.withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("__at", shift)
-    counts = sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    base, total = [], 0
-    for p, n in counts:
-        base.append((p, total))
-        total += n
-    if len(base) <= 1:
-        return marked.withColumn(name, F.col("__at").bitwiseAND((1 << shift) - 1)).drop("__at")
-    bases = F.broadcast(df.sparkSession.createDataFrame(base, "__p long, __base long"))  # a row for each partition
-    return marked.join(bases, part == F.col("__p")).withColumn(name, F.col("__base") + F.col("__at").bitwiseAND((1 << shift) - 1)).drop("__at", "__p", "__base")
+    blocks = marked.groupBy(F.col(file).alias("__f"), F.col(block).alias("__b")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    base = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__f", "__b")) - F.col("__n")
+    starts = F.broadcast(blocks.select("__f", "__b", (base - F.col("__first")).alias("__shift")))  # a row for each block
+    placed = marked.join(starts, (F.col(file) == F.col("__f")) & (F.col(block) == F.col("__b")))
+    return placed.withColumn(name, F.col("__at") + F.col("__shift")).drop(file, block, "__at", "__f", "__b", "__shift")

@@ -21,6 +21,7 @@ MAPPING_TARGETS = "Unsupported mapping targets: {names}"
 MAPPING_SAME_TARGET = "Multiple source columns map to: {names}"
 MAPPING_SOURCES = "Mapped source columns not found: {names}"
 MAPPING_CLASH = "Mapped columns already exist: {names}"
+OTHER_HEADER = "The header of {path} is not that of {first}"
 DUPLICATE_COLUMNS = "Duplicate source columns: {names}"
 MAPPING_NEEDED = "either --dataset or --mapping is required"
 MAPPING_UNKNOWN = "Mapping for dataset '{name}' not found. Pass --mapping."

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from .. import messages as say
 from ..functions import text as tx
 from ..schemas import DEVELOPER_PROMPT, GRADE, LEVELS, METADATA, SPLITS
 from ..sources.json_arrays import has_key, is_object, json_kind
+from ..sources.places import Place
 
 
 def is_labeled(levels: list[Column]) -> Column:
@@ -105,6 +104,6 @@ def export_dataset(spark: SparkSession, input_dir, output_dir) -> dict:
     """train, val and test.json to JSON lines, and export_report.json."""
     from ..sinks.files import write_json
 
-    report = {"format": "openai_rft_jsonl", "splits": {s: export_split(spark, Path(input_dir) / f"{s}.json", Path(output_dir) / f"{s}.jsonl") for s in SPLITS}}
-    write_json(report, Path(output_dir) / "export_report.json", indent=4, newline=False)
+    report = {"format": "openai_rft_jsonl", "splits": {s: export_split(spark, Place(input_dir) / f"{s}.json", Place(output_dir) / f"{s}.jsonl") for s in SPLITS}}
+    write_json(report, Place(output_dir) / "export_report.json", indent=4, newline=False)
     return report

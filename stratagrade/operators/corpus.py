@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import warnings
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from .. import messages as say
 from ..functions import text as tx
 from ..functions.order import ROW
 from ..schemas import FLAT_CORPUS, GRADE, GUIDE_CONTENT, GUIDE_LABEL, HIERARCHY, LEVELS
+from ..sources.places import Place
 from .joins import join_same
 
 
@@ -89,10 +89,10 @@ def label_gap(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "label", "left_anti").distinct()
 
 
-def _table(spark: SparkSession, path) -> tuple[Path, DataFrame]:
+def _table(spark: SparkSession, path) -> tuple[Place, DataFrame]:
     from ..sources.tables import read_table
 
-    source = Path(path).expanduser().resolve()
+    source = Place(path)
     if not source.is_file():
         raise FileNotFoundError(say.CORPUS_NOT_FOUND.format(path=source))
     if source.suffix.lower() not in (".xlsx", ".csv"):
@@ -125,8 +125,8 @@ def _cell(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def display_path(path: Path, root: Path | None) -> str:
-    return path.relative_to(root).as_posix() if root and path.is_relative_to(root) else path.name
+def display_path(path: Place, root: Place | None) -> str:
+    return root and path.below(root) or path.name
 
 
 def build_corpus(
@@ -137,12 +137,12 @@ def build_corpus(
     from ..sinks.files import Bundle, refuse_existing, write_json, write_json_array
 
     _missing_policy(missing_policy)
-    out = Path(output_dir).expanduser().resolve()
+    out = Place(output_dir)
     refuse_existing([out / "corpus.json", out / "build_report.json"], overwrite)
     source, table = _table(spark, input_file)
     label_column, content_column = label_column.strip(), content_column.strip()
     _lacking([c for c in (label_column, content_column) if c not in table.columns])
-    root = Path(project_root).expanduser().resolve() if project_root else None
+    root = Place(project_root) if project_root else None
     rows = guide_rows(table.select(ROW, _cell(label_column).alias("l"), _cell(content_column).alias("c")), F.col("l"), F.col("c")).persist()
     names = {"label": label_column, "content": content_column}
     lacking = [{"source_row": r["source_row"], "missing_columns": [names[x] for x in r["missing"].split(",")]} for r in rows.where("missing <> ''").orderBy("source_row").collect()]
@@ -160,7 +160,7 @@ def build_corpus(
     renamed = [r[0] for r in whole.where("label <> raw_label").orderBy("source_row").select("source_row").collect()]
     stats = corpus_statistics(docs.select(F.col("metadata.level_4").alias("label"), F.col("text").alias("content"))).first()
     used = docs.select(F.col("metadata.level_4").alias("label")).distinct()
-    processed = Path(processed_file).expanduser().resolve() if processed_file else None
+    processed = Place(processed_file) if processed_file else None
     known = _processed(spark, processed) if processed else spark.createDataFrame([], "item string")
     known = known.select(tx.clean_text(F.get_json_object("item", "$.classification.category_leaf_level")).alias("label")).where("label <> ''").distinct()
     listed = lambda df: [r["label"] for r in df.orderBy("label").collect()]
@@ -218,7 +218,7 @@ def build_standard_corpus(
     from ..sinks.files import refuse_existing, write_json_array
 
     _missing_policy(missing_policy)
-    out = Path(output_file).expanduser().resolve()
+    out = Place(output_file)
     refuse_existing([out], overwrite)
     source, table = _table(spark, input_file)
     columns = {
@@ -231,7 +231,7 @@ def build_standard_corpus(
     if skipped and missing_policy == "error":
         raise ValueError(say.FLAT_MISSING.format(row=skipped[0]))
     whole = rows.where("missing = ''")
-    processed = Path(processed_file).expanduser().resolve() if processed_file else None
+    processed = Place(processed_file) if processed_file else None
     known = _processed(spark, processed) if processed else spark.createDataFrame([], "item string")
     at = lambda p: F.get_json_object("item", "$." + p)
     values = {f: at(f"classification.{f}") for f in LEVELS[:3]} | {GRADE: at(f"grading.{GRADE}")}
@@ -263,7 +263,7 @@ def normalize_standard_corpus(spark: SparkSession, input_file, output_file, *, d
     from ..sinks.files import refuse_existing, write_json_array
     from ..sources.json_arrays import read_array
 
-    source, out = (Path(p).expanduser().resolve() for p in (input_file, output_file))
+    source, out = Place(input_file), Place(output_file)
     rows = read_array(spark, source, "Corpus", empty_ok=True)
     absent = F.array_except(F.array(*map(F.lit, FLAT_CORPUS)), F.json_object_keys("item"))
     if bad := rows.select("pos", absent.alias("absent")).where("size(absent) > 0").orderBy("pos").first():

@@ -14,7 +14,6 @@ import warnings
 from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -283,6 +282,7 @@ def split_dataset(
 
     from ..sinks.files import Bundle, refuse_existing, write_json, write_json_array
     from ..sources.json_arrays import read_array
+    from ..sources.places import Place
 
     ratios = (train_ratio, val_ratio, test_ratio)
     check_ratios(ratios)
@@ -292,7 +292,7 @@ def split_dataset(
         raise ValueError(say.BAD_POLICY.format(name="split_type", choices="'random' or 'group'"))
     if split_type == "group" and not group_key:
         raise ValueError(say.GROUP_KEY_NEEDED)
-    out = Path(output_dir).expanduser().resolve()
+    out = Place(output_dir)
     paths = [out / f"{s}.json" for s in SPLITS] + [out / "split_report.json"]
     refuse_existing(paths, overwrite)
     cached = rows = with_labels(read_array(spark, input_file)).persist()

@@ -1,18 +1,15 @@
 """Queries that go through files: tables are written as CSV, XLSX or JSON files in a
-scratch folder, run through the commands' functions, and read back.
-
-The files are small ones for the driver's own disk, as the commands' are.
+scratch folder that executors see, run through the commands' functions, and read back.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import json
-import tempfile
 import warnings
 import zipfile
 from collections.abc import Iterable
-from pathlib import Path
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,23 +19,27 @@ from ..functions.order import ROW
 from ..operators import chat, corpus, records, split, standards
 from ..schemas import GUIDE_CONTENT, GUIDE_LABEL
 from ..sources.json_arrays import check_array, read_array
-from ..sources.tables import read_table
+from ..sources.places import Place, scratch_folder
+from ..sources.tables import read_csv, read_table
 from .catalogue import MAPPING, query, raw, s_clean, s_document_id, s_expanded, s_first, s_identity, s_label, s_quota, s_text, s_uuid5, table
 
 
-def scratch() -> Path:
-    return Path(tempfile.mkdtemp(prefix="spark-stratagrade-"))
+def scratch() -> Place:
+    return scratch_folder("queries")
+
 
+def write_csv(place: Place, header: Iterable[str], rows: Iterable) -> Place:
+    def lines():
+        for row in (header, *rows):
+            line = io.StringIO(newline="")
+            csv.writer(line).writerow(row)
+            yield line.getvalue()
 
-def write_csv(path: Path, header: Iterable[str], rows: Iterable) -> Path:
-    with path.open("w", encoding="utf-8", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(header)
-        out.writerows(rows)
-    return path
+    place.write(lines())
+    return place
 
 
-def write_xlsx(path: Path, rows: Iterable[Iterable]) -> Path:
+def write_xlsx(place: Place, rows: Iterable[Iterable]) -> Place:
     """Texts, numbers and (as ("date", serial)) dates.  The first sheet of the workbook is
     not the one with the lowest number."""
     main, links = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -50,13 +51,15 @@ def write_xlsx(path: Path, rows: Iterable[Iterable]) -> Path:
 
     body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
     relations = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2))
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets><sheet name="a" sheetId="2" r:id="r2"/><sheet name="b" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{relations}</Relationships>')
         z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c><v>1</v></c></row></sheetData></worksheet>')
         z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-    return path
+    place.write_bytes(made.getvalue())
+    return place
 
 
 def ordered(df: DataFrame, by: str) -> Iterable[tuple]:
@@ -90,11 +93,25 @@ def q_xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, write_xlsx(scratch() / "t.xlsx", [["code", " cell ", "number", "day"], *cells]))
 
 
+#: Shares of the rows in files whose names go another way than their sizes.
+S_FILE = "CASE WHEN p_partkey % 100 < 3 THEN 'a' WHEN p_partkey % 100 < 90 THEN 'b' WHEN p_partkey % 100 < 91 THEN 'c' ELSE 'd' END"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {S_FILE}, p_partkey) - 1 AS _row, p_partkey::VARCHAR AS code, {S_FILE} AS file FROM part")
+def q_csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder's rows are numbered in the order of its files' names, whatever their sizes."""
+    folder = scratch()
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(S_FILE).alias("file"))
+    for name in "dbac":
+        write_csv(folder / f"{name}.csv", ["code", "file"], ((k, f) for k, f in ordered(rows.where(F.col("file") == name).select(F.col("p_partkey").alias("at"), "p_partkey", "file"), "at")))
+    return read_csv(spark, folder.uri)
+
+
 @query("SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::INTEGER AS pos, p_partkey::VARCHAR AS id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_type END AS kind FROM part")
 def q_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("id"), "p_name", F.expr("CASE WHEN p_size % 2 = 0 THEN p_type END"))
     path = scratch() / "a.json"
-    path.write_text("﻿" + json.dumps([{"id": i, "in": {"name": n, "kind": k}} for i, n, k in ordered(rows, "p_partkey")], ensure_ascii=False, indent=1), "utf-8")
+    path.write(["﻿", json.dumps([{"id": i, "in": {"name": n, "kind": k}} for i, n, k in ordered(rows, "p_partkey")], ensure_ascii=False, indent=1)])
     assert check_array(path)
     at = lambda p: F.get_json_object("item", p)
     return read_array(spark, path).select("pos", at("$.id").alias("id"), at("$.in.name").alias("name"), at("$.in.kind").alias("kind"))
@@ -106,18 +123,18 @@ S_KEPT = s_expanded(s_first("database_name, table_name, field_name, category_lea
 S_MADE = f"SELECT row_number() OVER (ORDER BY _row, _pos) - 1 AS pos, *, {s_uuid5(s_identity('catalogue.csv'))} AS id FROM ({S_KEPT})"
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> Path:
+def prepared(spark: SparkSession, sf_dir: str) -> Place:
     """all.json of the derived catalogue, through a CSV table and a mapping file."""
     folder = scratch()
     source = raw(spark, sf_dir)
     names = [c for c in source.columns if c != ROW]
     write_csv(folder / "catalogue.csv", names, ordered(source.select(ROW, *[F.col(f"`{c}`") for c in names]), ROW))
-    (folder / "mapping.json").write_text(json.dumps(MAPPING), "utf-8")
+    (folder / "mapping.json").write([json.dumps(MAPPING)])
     quiet(records.preprocess, spark, folder / "catalogue.csv", folder / "mapping.json", folder / "all.json", missing_field_policy="skip", conflicting_label_policy="keep", domain="Parts")
     return folder
 
 
-def parsed(spark: SparkSession, path: Path) -> DataFrame:
+def parsed(spark: SparkSession, path: Place) -> DataFrame:
     return chat.parsed_records(read_array(spark, path))
 
 
@@ -127,7 +144,7 @@ def q_preprocess_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("pos", "id", *[f"metadata.{f}" for f in ("database_name", "table_name", "field_name")], "classification.category_leaf_level", "grading.sensitivity_level")
 
 
-def split_files(spark: SparkSession, folder: Path, **options) -> DataFrame:
+def split_files(spark: SparkSession, folder: Place, **options) -> DataFrame:
     quiet(split.split_dataset, spark, folder / "all.json", folder / "out", **options)
     parts = [parsed(spark, folder / "out" / f"{s}.json").withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
     return parts[0].union(parts[1]).union(parts[2])
@@ -160,7 +177,7 @@ def q_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = prepared(spark, sf_dir)
     quiet(split.split_dataset, spark, folder / "all.json", folder / "out")
     chat.export_dataset(spark, folder / "out", folder / "lines")
-    lines = spark.read.text([(folder / "lines" / f"{s}.jsonl").as_uri() for s in ("train", "val", "test")])
+    lines = spark.read.text([(folder / "lines" / f"{s}.jsonl").uri for s in ("train", "val", "test")])
     at = lambda p: F.get_json_object("value", "$." + p)
     answer = F.get_json_object(at("reference_answer_json"), "$.classification.category_leaf_level")
     return lines.groupBy(at("source_id").alias("source_id"), answer.alias("category_leaf_level"), at("reference_answer.grading.sensitivity_level").alias("sensitivity_level")).agg(F.count("*").alias("n"))
@@ -174,13 +191,13 @@ S_GUIDE = f"""SELECT *, {s_clean("raw_label")} AS clean_label, {s_label("raw_lab
 S_PAIRS = f"SELECT * FROM ({S_GUIDE}) WHERE label <> '' AND content <> '' QUALIFY row_number() OVER (PARTITION BY label, content ORDER BY source_row) = 1"
 
 
-def guide_file(spark: SparkSession, sf_dir: str) -> Path:
+def guide_file(spark: SparkSession, sf_dir: str) -> Place:
     folder = scratch()
     label, content = "CASE WHEN p_size % 11 = 0 THEN '' ELSE p_type || '（A' || (p_size % 3) || '）' END", "CASE WHEN p_size % 13 = 0 THEN '' ELSE p_brand || '  ' || (p_size % 5) END"
     write_csv(folder / "guide.csv", [GUIDE_LABEL, GUIDE_CONTENT], ordered(table(spark, sf_dir, "part").select("p_partkey", F.expr(label), F.expr(content)), "p_partkey"))
     known = table(spark, sf_dir, "part").where("p_size < 40").groupBy("p_type").agg(F.min("p_brand").alias("root"), F.min("p_name").alias("grade")).collect()
     items = [{"classification": {"category_leaf_level": f"{r['p_type']} (B2)", "category_root_level": r["root"]}, "grading": {"sensitivity_level": r["grade"]}} for r in known]
-    (folder / "all.json").write_text(json.dumps(items, ensure_ascii=False), "utf-8")
+    (folder / "all.json").write([json.dumps(items, ensure_ascii=False)])
     return folder
 
 
@@ -204,7 +221,7 @@ def q_corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers of the build report."""
     folder = guide_file(spark, sf_dir)
     r = quiet(corpus.build_corpus, spark, "guide", folder / "guide.csv", folder / "out", processed_file=folder / "all.json")
-    r = json.loads((folder / "out" / "build_report.json").read_text("utf-8"))
+    r = json.loads((folder / "out" / "build_report.json").read_text())
     cover = r["processed_label_coverage"]
     row = (r["input_rows"], r["exported_documents"], r["skipped_missing"]["count"], r["skipped_exact_duplicates"]["count"], r["normalized_labels"]["count"], cover["processed_unique_level_4"], cover["overlap"])
     row += (r["corpus_statistics"]["unique_level_4"], float(r["corpus_statistics"]["content_length"]["average"]))
@@ -216,13 +233,13 @@ S_FLAT = f"""SELECT {s_document_id(s_text('guide'), 'label', 'content')} AS id,
   FROM ({S_PAIRS}) LEFT JOIN (SELECT p_type, min(p_brand) AS root, min(p_name) AS grade FROM part WHERE p_size < 40 GROUP BY p_type) ON label = p_type"""
 
 
-def flat_file(spark: SparkSession, sf_dir: str) -> Path:
+def flat_file(spark: SparkSession, sf_dir: str) -> Place:
     folder = guide_file(spark, sf_dir)
     corpus.build_standard_corpus(spark, "Guide", folder / "guide.csv", folder / "flat.json", processed_file=folder / "all.json", content_column=GUIDE_CONTENT, leaf_column=GUIDE_LABEL, reference_standard="ref")
     return folder
 
 
-def flat_read(spark: SparkSession, path: Path) -> DataFrame:
+def flat_read(spark: SparkSession, path: Place) -> DataFrame:
     fields = ("id", "data_description_and_example", "dataset", "category_leaf_level", "category_root_level", "sensitivity_level", "reference_standard")
     return read_array(spark, path).select(*[F.get_json_object("item", "$." + f).alias(f) for f in fields])
 
@@ -247,7 +264,7 @@ def q_standards_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("——"), "p_type", F.expr("CASE WHEN p_size % 7 = 0 THEN '——' ELSE replace(p_name, ' ', '\\n') END"), "p_brand")
     write_xlsx(folder / "s.xlsx", [["title"], ["定义说明4", "定义说明3", "四级分类", "三级分类"], *ordered(rows, "p_partkey")])
     standards.write_standards(spark, folder / "s.xlsx", folder / "s.json")
-    return standards.read_dictionary(spark, (folder / "s.json").as_uri()).select("description", "category")
+    return standards.read_dictionary(spark, (folder / "s.json").uri).select("description", "category")
 
 
 @query("SELECT DISTINCT p_type AS description, p_brand AS category, p_name AS class, 'r' AS ref FROM part QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) = 1")
@@ -257,8 +274,8 @@ def q_dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     found: dict = {}
     for kind, brand, container in ordered(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_name"), "p_partkey"):
         found.setdefault(kind, {"category": brand, "class": container, "ref": "r"})
-    path.write_text(json.dumps(found, ensure_ascii=False), "utf-8")
-    return standards.read_dictionary(spark, path.as_uri())
+    path.write([json.dumps(found, ensure_ascii=False)])
+    return standards.read_dictionary(spark, path.uri)
 
 
 @query("SELECT level, path, CASE WHEN n = 0 THEN 'None' WHEN n = 1 THEN 'True' WHEN n = 2 THEN '7' ELSE 'x' || event_id END AS value FROM (SELECT event_id % 4 AS n, event_id, 'a' AS path, 1 AS level FROM events)")

@@ -4,18 +4,16 @@ JSON lines."""
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from .. import messages as say
+from ..sources.places import Place
 
 
-def refuse_existing(paths: list[Path], overwrite: bool) -> None:
-    existing = [str(p) for p in paths if Path(p).expanduser().exists()]
+def refuse_existing(paths: list, overwrite: bool) -> None:
+    existing = [str(p) for p in map(Place, paths) if p.exists()]
     if existing and not overwrite:
         raise FileExistsError(say.OUTPUT_EXISTS.format(paths=", ".join(existing)))
 
@@ -27,15 +25,12 @@ class Bundle:
     """
 
     def __init__(self) -> None:
-        self.staged: list[tuple[Path, Path]] = []
+        self.staged: list[tuple[Place, Place]] = []
 
     def add(self, path, chunks: Iterable[str]) -> None:
-        path = Path(path).expanduser().resolve()
-        path.parent.mkdir(parents=True, exist_ok=True)
-        handle, temporary = tempfile.mkstemp(prefix=f".{path.name}.", suffix=".tmp", dir=path.parent)
-        self.staged.append((Path(temporary), path))
-        with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as f:
-            f.writelines(chunks)
+        place = Place(path)
+        self.staged.append((place.beside(), place))
+        self.staged[-1][0].write(chunks)
 
     def __enter__(self) -> Bundle:
         return self
@@ -43,11 +38,12 @@ class Bundle:
     def __exit__(self, kind, *_) -> None:
         try:
             while kind is None and self.staged:
-                os.replace(*self.staged[0])
+                temporary, place = self.staged[0]
+                temporary.replace(place)
                 self.staged.pop(0)
         finally:
             for temporary, _ in self.staged:
-                temporary.unlink(missing_ok=True)
+                temporary.delete()
 
 
 def _write(path, chunks: Iterable[str], bundle: Bundle | None) -> None:

@@ -56,8 +56,8 @@ def read_array(spark: SparkSession, path, what: str = "Input", empty_ok: bool =
     source = existing_file(path, f"{what} file")
     text = F.regexp_replace("value", "^﻿", "")
     items, maps = F.from_json(text, "array<string>"), F.from_json(text, "array<map<string,string>>")  # a string that looks like an object is no map
-    whole = spark.read.text(source.as_uri(), wholetext=True)
+    whole = spark.read.text(source.uri, wholetext=True)
     seen = whole.select(F.coalesce(F.size(items), F.lit(-1)).alias("n"), text.rlike(r"^\s*\[").alias("list"), F.coalesce(F.forall(maps, lambda x: x.isNotNull()), F.lit(False)).alias("objects")).first()
     if seen and seen["list"] and seen["objects"] and (seen["n"] > 0 or empty_ok and seen["n"] == 0):
-        return read_raw(spark, source.as_uri())
+        return read_raw(spark, source.uri)
     return from_objects(spark, check_array(source, what, empty_ok))

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import re
-from pathlib import Path
 
 from .. import messages as say
 from ..operators.records import check_mapping
 from ..schemas import MAPPINGS
+from .places import Place
 
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*")
 
 
-def existing_file(path, what: str) -> Path:
-    found = Path(path).expanduser().resolve()
+def existing_file(path, what: str) -> Place:
+    found = Place(path)
     if not found.is_file():
         raise FileNotFoundError(say.NOT_FOUND.format(what=what, path=found))
     return found
@@ -23,7 +23,7 @@ def existing_file(path, what: str) -> Path:
 def load_json(path, what: str = "Input"):
     path = existing_file(path, f"{what} file")
     try:
-        return json.loads(path.read_text("utf-8-sig"))
+        return json.loads(path.read_text())
     except json.JSONDecodeError as e:
         raise ValueError(say.INVALID_JSON.format(what=what.lower(), path=path, reason=e)) from e
 
@@ -42,7 +42,7 @@ def dataset_name(value: str) -> str:
 
 def discover_datasets(folder=None) -> tuple[str, ...]:
     """Known datasets, and those with a mapping file in `folder`."""
-    own = [p.stem for p in Path(folder).glob("*.json") if NAME.fullmatch(p.stem)] if folder else []
+    own = [p.stem for p in Place(folder).files() if p.suffix == ".json" and NAME.fullmatch(p.stem)] if folder else []
     return tuple(sorted({*MAPPINGS, *own}))
 
 
@@ -53,14 +53,14 @@ def resolve_mapping(dataset: str | None, mapping=None, folder=None) -> dict[str,
     if dataset is None:
         raise ValueError(say.MAPPING_NEEDED)
     name = dataset_name(dataset)
-    if folder and (path := Path(folder) / f"{name}.json").is_file():
+    if folder and (path := Place(folder) / f"{name}.json").is_file():
         return load_mapping(path)
     if name not in MAPPINGS:
         raise FileNotFoundError(say.MAPPING_UNKNOWN.format(name=name))
     return load_mapping(MAPPINGS[name])
 
 
-def only_existing(candidates: list[Path], what: str) -> Path:
+def only_existing(candidates: list[Place], what: str) -> Place:
     """The one candidate that exists; none and several are errors."""
     found = [p for p in candidates if p.is_file()]
     if len(found) > 1:
@@ -70,10 +70,10 @@ def only_existing(candidates: list[Path], what: str) -> Path:
     return found[0]
 
 
-def default_input(dataset: str, root) -> Path:
+def default_input(dataset: str, root) -> Place:
     name = dataset_name(dataset)
-    return only_existing([Path(root) / "data" / "raw" / f"{stem}{suffix}" for stem in (name, f"{name}s") for suffix in (".xlsx", ".csv")], f"raw '{name}'")
+    return only_existing([Place(root) / "data" / "raw" / f"{stem}{suffix}" for stem in (name, f"{name}s") for suffix in (".xlsx", ".csv")], f"raw '{name}'")
 
 
-def default_guide(dataset: str, root) -> Path:
-    return only_existing([Path(root) / "data" / "raw" / f"{dataset}-content{suffix}" for suffix in (".xlsx", ".csv")], "corpus source")
+def default_guide(dataset: str, root) -> Place:
+    return only_existing([Place(root) / "data" / "raw" / f"{dataset}-content{suffix}" for suffix in (".xlsx", ".csv")], "corpus source")

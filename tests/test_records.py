@@ -6,7 +6,8 @@ import pytest
 
 from stratagrade.operators import records
 from stratagrade.sources import mapping as places
-from stratagrade.sources.tables import column_names, read_table
+from stratagrade.sources.places import Place
+from stratagrade.sources.tables import column_names, read_csv, read_table
 
 MAPPING = {"db": "database_name", "tb": "table_name", "f": "field_name", "leaf": "level_4", "grade": "data_level"}
 HEADER = "db,tb,f,leaf,grade,augmented_column_name1,augmented_column_name2\n"
@@ -176,3 +177,89 @@ def test_partition_count_does_not_matter(spark):
     df = df.withColumns({f: F.lit("") for f in ("category_root_level", "category_branch_level", "category_subbranch_level")})
     for n in (1, 2, 8):
         assert sorted(r["_row"] for r in records.first_per_identity(df.repartition(n)).collect()) == list(range(7))
+
+
+def test_folder_ordinals_follow_names(spark, tmp_path):
+    """A small file before a large one, which Spark reads first; and a file in several blocks."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text("k,v\n" + "".join(f"a{i},x\n" for i in range(3)), "utf-8")
+    (folder / "b c.csv").write_text("k,v\n" + "".join(f"b{i},x\n" for i in range(3000)), "utf-8")
+    (folder / "d.csv").write_text('"k",v\n' + "".join(f"d{i},\n" for i in range(2)), "utf-8")
+    (folder / "e.csv").write_text("", "utf-8")
+    want = [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(3000)] + ["d0", "d1"]
+    for size in ("4096", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = read_csv(spark, folder.as_uri()).orderBy("_row").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r["k"], r["_row"]) for r in rows] == [(k, i) for i, k in enumerate(want)]
+    (folder / "c.csv").write_text("k,w\nx,y\n", "utf-8")
+    with pytest.raises(ValueError, match=r"header of .*c\.csv is not that of .*a\.csv"):
+        read_csv(spark, folder.as_uri())
+
+
+def test_folder_with_line_breaks_in_cells(spark, tmp_path):
+    (tmp_path / "z.csv").write_text('"k\nk",v\n1,"two\nlines"\n', "utf-8")
+    (tmp_path / "y.csv").write_text('"k\nk",v\n2,\n3,w\n', "utf-8")
+    rows = read_csv(spark, tmp_path.as_uri()).orderBy("_row")
+    assert rows.columns == ["k\nk", "v", "_row"] and [tuple(r) for r in rows.collect()] == [("2", "", 0), ("3", "w", 1), ("1", "two\nlines", 2)]
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    """The same folder under another scheme, which only Hadoop's file systems reach."""
+    (tmp_path / "store").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.places.link./in", (tmp_path / "store").as_uri())
+    spark._jvm.org.apache.hadoop.fs.FileSystem.closeAll()
+    return "viewfs://places/in"
+
+
+@pytest.fixture(params=["local", "viewfs"])
+def anywhere(request, tmp_path, store):
+    return Place(store) if request.param == "viewfs" else Place((tmp_path / "store").as_uri())
+
+
+def test_files_on_any_file_system(spark, anywhere):
+    assert str(Place("s3a://bucket/a/../b.csv")) == "s3a://bucket/b.csv" and Place("hdfs:/x").uri == "hdfs:///x" and Place("file:///a/b").local is not None
+    raw = anywhere / "data" / "raw"
+    with pytest.raises(FileNotFoundError, match="No raw 'infra' file"):
+        places.default_input("infra", anywhere)
+    (raw / "infras.csv").write(["db,tb,f,leaf,grade\n", "d,t,ü,A（A1）,L1\n", "d,t,g,B,L2\n"])
+    assert places.default_input(" INFRA", anywhere) == raw / "infras.csv"
+    (raw / "infra.xlsx").write_bytes(b"x")
+    with pytest.raises(ValueError, match="Multiple"):
+        places.default_input("infra", anywhere)
+    (anywhere / "mappings" / "own.json").write(["﻿", json.dumps(MAPPING)])
+    (anywhere / "mappings" / "no name!.json").write(["{}"])
+    assert "own" in places.discover_datasets(anywhere / "mappings") and len(places.discover_datasets(anywhere / "mappings")) == 6
+    mapping = places.resolve_mapping("own", folder=anywhere / "mappings")
+    records.preprocess(spark, raw / "infras.csv", mapping, anywhere / "out" / "all.json")
+    made = json.loads((anywhere / "out" / "all.json").read_text())
+    assert [r["metadata"]["field_name"] for r in made] == ["ü", "g"] and (anywhere / "out" / "all.json").read_bytes().endswith(b"\n]\n")
+    with pytest.raises(FileExistsError, match="Refusing to overwrite"):
+        records.preprocess(spark, raw / "infras.csv", mapping, anywhere / "out" / "all.json")
+    records.preprocess(spark, raw / "infras.csv", mapping, anywhere / "out" / "all.json", overwrite=True, domain="x")
+    assert json.loads((anywhere / "out" / "all.json").read_text())[0]["domain"] == "x"
+    assert [p.name for p in (anywhere / "out").files() if not p.name.endswith(".crc")] == ["all.json"]  # nothing staged is left
+    with pytest.raises(FileNotFoundError, match="Input file not found"):
+        read_table(spark, raw / "nothing.csv")
+    (anywhere / "out").delete()
+    assert not (anywhere / "out").exists() and (anywhere / "out").files() == []
+
+
+def test_tables_and_splits_elsewhere(spark, anywhere):
+    from stratagrade.operators import chat, corpus, split
+    from stratagrade.plans.files import write_xlsx
+
+    write_xlsx(anywhere / "g.xlsx", [["四级子类", "内容"], ["A（A1）", "x  y"], ["B", "z"]])
+    corpus.build_corpus(spark, "d", anywhere / "g.xlsx", anywhere / "corpus", project_root=anywhere)
+    assert json.loads((anywhere / "corpus" / "build_report.json").read_text())["source"] == "g.xlsx"
+    levels = {f"category_{x}_level": "" for x in ("root", "branch", "subbranch")} | {"category_leaf_level": "A"}
+    names = ("database_name", "database_description", "table_name", "table_description", "field_name", "field_description", "field_type", "value")
+    items = [{"id": f"r{i}", "metadata": dict.fromkeys(names, "m"), "classification": levels, "grading": {"sensitivity_level": "L1"}} for i in range(20)]
+    (anywhere / "all.json").write([json.dumps(items)])
+    assert split.split_dataset(spark, anywhere / "all.json", anywhere / "splits")["sizes"] == {"train": 16, "val": 2, "test": 2}
+    assert chat.export_dataset(spark, anywhere / "splits", anywhere / "lines")["splits"]["train"]["exported_records"] == 16
+    assert len((anywhere / "lines" / "train.jsonl").read_text().splitlines()) == 16
