@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.order import ROW
-from ..operators import chat, corpus, dealing, records, split, standards
+from ..operators import chat, codes, corpus, dealing, records, split, standards
 from ..schemas import CANONICAL, DEVELOPER_PROMPT, DOMAINS, EMPTY_LABEL, GENERIC_DOMAIN, METADATA, NA_TOKENS, PROMPT_HEAD, PROMPT_LABELS, SPLITS, TYPE_OF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -575,6 +575,32 @@ def q_expansion_join(spark, sf_dir):
     return standards.expanded_standards(parts.select(F.col("p_name").alias("expanded"), F.col("p_type").alias("description")), known).select("expanded", "description", "category")
 
 
+#: Leaves with codes of one to three numbers, some in full-width digits or without a code; a dictionary with codes of every depth.
+S_LEAF_CODE = "CASE p_size % 6 WHEN 0 THEN 'A' || (p_size % 4) WHEN 1 THEN 'a' || (p_size % 4) || '-' || (p_partkey % 5) WHEN 2 THEN 'B１-' || (p_partkey % 5) || '-' || p_size WHEN 3 THEN 'C' || p_size ELSE 'A' || (p_size % 4) || '-' || (p_partkey % 7) || '-' || p_size END"
+S_LEAF_LABEL = f"CASE WHEN p_partkey % 10 = 0 THEN p_name || ' (VIN)' ELSE p_name || '（' || {S_LEAF_CODE} || '） ' END"
+S_STANDARD = "CASE WHEN p_size % 3 = 0 THEN 'A' || (p_size % 4) || '：' WHEN p_size % 3 = 1 THEN 'A' || (p_size % 4) || '-' || (p_partkey % 4) || ':' WHEN p_size % 5 = 0 THEN 'B1 :' WHEN p_size % 5 = 1 THEN 'no code ' ELSE 'B1-' || (p_partkey % 3) || ':' END || p_brand"
+
+
+@query(f"""WITH d AS (SELECT code, min(category) AS category FROM (SELECT regexp_extract({S_STANDARD}, '^([A-Z]+[0-9]+(-[0-9]+)*) ?[:：]', 1) AS code, {S_STANDARD} AS category FROM part WHERE p_partkey % 3 = 0) WHERE code <> '' GROUP BY code),
+  l AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE upper(replace({S_LEAF_CODE}, '１', '1')) END AS code FROM part),
+  m AS (SELECT p_partkey, d.code AS linked_code, d.category, l.code = d.code AS exact FROM l JOIN d ON l.code = d.code OR starts_with(l.code, d.code || '-') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(d.code) DESC) = 1)
+  SELECT p_partkey, linked_code, category, coalesce(exact, false) AS exact, (SELECT count(*) FROM d WHERE l.code <> '' AND starts_with(d.code, l.code || '-')) AS below FROM l LEFT JOIN m USING (p_partkey)""")
+def q_code_prefix_join(spark, sf_dir):
+    """Leaves linked to the longest code of a dictionary on their code's path."""
+    parts = table(spark, sf_dir, "part")
+    standard = parts.where("p_partkey % 3 = 0").select(F.expr(S_STANDARD).alias("category"))
+    trie = codes.code_trie(standard, codes.leading_code(F.col("category")), ("category",))
+    return codes.link_codes(parts.select("p_partkey", F.expr(S_LEAF_LABEL).alias("leaf")), codes.trailing_code(F.col("leaf")), trie).drop("leaf")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT regexp_extract({S_STANDARD}, '^([A-Z]+[0-9]+(-[0-9]+)*) ?[:：]', 1) AS code FROM part WHERE p_partkey % 3 = 0),
+  p AS (SELECT code, unnest([regexp_extract(code, '^[A-Z]+'), split_part(code, '-', 1), code]) AS prefix FROM d WHERE code <> '')
+  SELECT prefix, count(DISTINCT code) AS codes, bool_or(prefix = code) AS is_code FROM p GROUP BY prefix""")
+def q_code_trie(spark, sf_dir):
+    standard = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.expr(S_STANDARD).alias("category"))
+    return codes.code_trie(standard, codes.leading_code(F.col("category")), ("category",)).select("prefix", "codes", F.col("entry").isNotNull().alias("is_code"))
+
+
 S_NATION = "CASE n_nationkey % 5 WHEN 0 THEN ' Finance ' WHEN 1 THEN 'INFRA' WHEN 2 THEN 'education' ELSE n_name END"
 
 
