@@ -13,6 +13,7 @@ from ..schemas import DOMAINS, GENERIC_DOMAIN, LABELS, IDENTITY, METADATA, NA_TO
 #: Everything that str.strip() and \s take for white space in Python, which is more
 #: than either does in Java.
 SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_SPACE = SPACES.replace("[", "[^", 1)
 UNIT = "\x1f"
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"  # RFC 9562
 
@@ -22,6 +23,12 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), SPACES + "+", " "))
 
 
+def is_blank(c: Column) -> Column:
+    """Whether clean_text() would leave nothing, without cleaning: null, or no character
+    that isn't white space."""
+    return ~F.coalesce(c.cast("string"), F.lit("")).rlike(NOT_SPACE)
+
+
 def missing_to_empty(c: Column) -> Column:
     """The cell texts that table readers take for missing become empty."""
     return F.when(c.isNull() | c.isin(*NA_TOKENS), F.lit("")).otherwise(c)
@@ -72,8 +79,10 @@ def prompt(metadata: dict[str, Column]) -> Column:
     """The user message: a head line, and a line for each field that isn't blank."""
     lines = []
     for field in METADATA:
-        value = F.regexp_replace(F.coalesce(metadata[field].cast("string"), F.lit("None")), rf"^{SPACES}+|{SPACES}+\z", "")
-        lines.append(F.when(value != "", F.concat(F.lit(PROMPT_LABELS[field] + "："), value)))
+        said = F.coalesce(metadata[field].cast("string"), F.lit("None"))
+        ends = said.rlike(rf"^{SPACES}|{SPACES}\z")  # few values have blanks to cut off
+        value = F.when(ends, F.regexp_replace(said, rf"^{SPACES}+|{SPACES}+\z", "")).otherwise(said)
+        lines.append(F.when(~is_blank(said), F.concat(F.lit(PROMPT_LABELS[field] + "："), value)))
     return F.concat_ws("\n", F.lit(PROMPT_HEAD), *lines)
 
 

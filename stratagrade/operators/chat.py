@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import messages as say
 from ..functions import text as tx
 from ..schemas import DEVELOPER_PROMPT, GRADE, LEVELS, METADATA, SPLITS
-from ..sources.json_arrays import has_key, is_object, json_kind
+from ..sources.json_arrays import has_key, is_object
 from ..sources.places import Place
 
 
 def is_labeled(levels: list[Column]) -> Column:
     """Whether any level isn't blank; a JSON null counts as a label."""
-    return F.exists(F.array(*[F.coalesce(c.cast("string"), F.lit("None")) for c in levels]), lambda x: F.regexp_replace(x, tx.SPACES, "") != "")
+    return reduce(lambda a, b: a | b, [c.isNull() | ~tx.is_blank(c) for c in levels])
 
 
 def reference_answer(levels: list[Column], grade: Column) -> Column:
@@ -72,17 +74,30 @@ def export_counts(records: DataFrame, levels: list[Column]) -> DataFrame:
     return records.agg(F.count("*").alias("input_records"), F.count_if(labeled).alias("exported_records"), F.count_if(~labeled).alias("skipped_unlabeled"))
 
 
+def said(value: Column, path: str) -> Column:
+    """The scalar at a path of a VARIANT as Python writes it, `True` or `False` or its text;
+    null if there is a null or nothing."""
+    text = F.try_variant_get(value, "$." + path, "string")
+    is_boolean = F.schema_of_variant(F.try_variant_get(value, "$." + path, "variant")) == "BOOLEAN"
+    return F.when(text.isin("true", "false") & is_boolean, F.initcap(text)).otherwise(text)
+
+
 def scalar(item: Column, path: str) -> Column:
-    """The value at a path as Python writes it: `None`, `True`, `False`, or its text."""
-    text = F.get_json_object(item, "$." + path)
-    return F.coalesce(F.when(text.isin("true", "false") & (json_kind(item, "$." + path) == "BOOLEAN"), F.initcap(text)), text, F.lit("None"))
+    """The value at a path of a JSON text as Python writes it; `None` without one."""
+    return F.coalesce(said(F.try_parse_json(item), path), F.lit("None"))
 
 
 def parsed_records(items: DataFrame) -> DataFrame:
-    """items(pos, item) -> pos, id (an absent one is empty), metadata, classification, grading."""
-    there = F.array_contains(F.json_object_keys("item"), "id")
-    parts = [F.struct(*[scalar(F.col("item"), f"{part}.{f}").alias(f) for f in fields]).alias(part) for part, fields in PARTS.items()]
-    return items.select("pos", F.when(there, scalar(F.col("item"), "id")).otherwise("").alias("id"), *parts)
+    """items(pos, item) -> pos, id (an absent one is empty), metadata, classification, grading.
+
+    Each item is parsed once, to a VARIANT that is then read by path; an item that is no JSON
+    object, or has a key twice, has no values.
+    """
+    v = F.col("__v")
+    none = F.lit("None")
+    parts = [F.struct(*[F.coalesce(said(v, f"{part}.{f}"), none).alias(f) for f in fields]).alias(part) for part, fields in PARTS.items()]
+    there = F.try_variant_get(v, "$.id", "variant").isNotNull()  # a null that is there is a VARIANT too
+    return items.withColumn("__v", F.try_parse_json("item")).select("pos", F.when(there, F.coalesce(said(v, "id"), none)).otherwise("").alias("id"), *parts)
 
 
 def export_split(spark: SparkSession, input_path, output_path) -> dict:

@@ -19,10 +19,11 @@ def guide_rows(df: DataFrame, label: Column, content: Column, *, by_normalized:
     """Adds raw_label, label, content, source_row and `missing`: what the row lacks.
 
     The label counts as missing by its cleaned text, or with `by_normalized` by what
-    is left without its code."""
+    is left without its code.  Whether something is there is asked of the texts as they come, so
+    that a filter on `missing` cleans nothing."""
     raw, body = tx.clean_text(label), tx.clean_text(content)
     short = tx.normalize_label(label)
-    lacks = F.concat_ws(",", F.when((short if by_normalized else raw) == "", "label"), F.when(body == "", "content"))
+    lacks = F.concat_ws(",", F.when(short == "" if by_normalized else tx.is_blank(label), "label"), F.when(tx.is_blank(content), "content"))
     return df.select("*", raw.alias("raw_label"), short.alias("label"), body.alias("content"), (F.col(ROW) + 2).alias("source_row"), lacks.alias("missing"))
 
 
@@ -33,16 +34,25 @@ def duplicate_of(rows: DataFrame, *key: str, order: str = "source_row") -> DataF
     return join_same(rows, first, list(key))
 
 
-def first_rows(rows: DataFrame, *key: str, order: str = "source_row") -> DataFrame:
-    """The first row of each key; nulls are alike."""
-    return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("__rank = 1").drop("__rank")
+def pair_digest(label: str, content: str) -> Column:
+    """32 bytes that stand for a (label, content); nulls are values of their own."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    return F.unhex(F.sha2(F.concat_ws(tx.UNIT, F.sha2(part(label), 256), part(content)), 256))
+
+
+def repeated_pairs(rows: DataFrame, label: str, content: str, order: str = "source_row") -> DataFrame:
+    """order, first_row: the rows whose (label, content) an earlier row has.  Only digests and
+    orders are moved, never texts."""
+    slim = rows.select(order, pair_digest(label, content).alias("__digest"))
+    first = slim.groupBy("__digest").agg(F.min(order).alias("first_row"), F.count("*").alias("__n")).where("__n > 1")
+    return join_same(slim, first, ["__digest"]).where(F.col("first_row") < F.col(order)).select(order, "first_row")
 
 
 def first_pairs(rows: DataFrame, label: str, content: str, order: str = "source_row") -> DataFrame:
-    """The first row of each (label, content).  Contents are compared and sorted by their
-    digest, 32 bytes each, never as texts; rows are read and moved once."""
-    digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), F.col(content)), F.lit("")), 256))
-    return first_rows(rows.withColumn("__digest", digest), label, "__digest", order=order).drop("__digest")
+    """The first row of each (label, content), compared by digests of 32 bytes.  Spark
+    limits each pair's rows to the first before they are moved."""
+    ranked = rows.withColumn("__digest", pair_digest(label, content))
+    return ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("__digest").orderBy(order))).where("__rank = 1").drop("__rank", "__digest")
 
 
 def documents(rows: DataFrame, dataset: str, source: str) -> DataFrame:
@@ -156,7 +166,7 @@ def build_corpus(
         raise ValueError(say.NO_DOCUMENTS)
     if docs.groupBy("id").count().where("count > 1").limit(1).count():
         raise RuntimeError(say.ID_COLLISION)
-    repeats = duplicate_of(whole, "label", "content").where("first_row < source_row").orderBy("source_row").select("source_row", "first_row").collect()
+    repeats = repeated_pairs(whole, "label", "content").orderBy("source_row").collect()
     renamed = [r[0] for r in whole.where("label <> raw_label").orderBy("source_row").select("source_row").collect()]
     stats = corpus_statistics(docs.select(F.col("metadata.level_4").alias("label"), F.col("text").alias("content"))).first()
     used = docs.select(F.col("metadata.level_4").alias("label")).distinct()
@@ -238,7 +248,7 @@ def build_standard_corpus(
     filled = fill_hierarchy(first_pairs(whole, "leaf", "content"), leaf_index(known, at("classification.category_leaf_level"), values)).persist()
     if filled.isEmpty():
         raise ValueError(say.NO_DOCUMENTS)
-    repeats = duplicate_of(whole, "leaf", "content").where("first_row < source_row").orderBy("source_row").select("source_row", "first_row").collect()
+    repeats = repeated_pairs(whole, "leaf", "content").orderBy("source_row").collect()
     unclear = filled.orderBy("source_row").select("source_row", F.inline("ambiguous")).collect()
     write_json_array(flat_records(filled, dataset, reference_standard).orderBy("source_row").drop("source_row"), out)
     report = {

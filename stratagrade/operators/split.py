@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import messages as say
-from ..functions.text import SPACES
+from ..functions.text import is_blank
 from ..schemas import EMPTY_LABEL, LABEL_PATHS, SPLITS
 from ..sources.json_arrays import json_kind
 from .joins import join_same, rank_within
@@ -270,7 +270,13 @@ def group_kind(item: Column, path: str) -> tuple[Column, Column]:
 
 
 def has_group(text: Column) -> Column:
-    return text.isNotNull() & (F.regexp_replace(text, SPACES, "") != "")
+    return ~is_blank(text)
+
+
+def group_value(kind: Column, text: Column) -> Column:
+    """What tells groups apart: a text by itself, numbers and booleans by their value."""
+    number = F.when(kind == "BOOLEAN", text.try_cast("boolean").cast("int").cast("double")).when(kind != "STRING", text.try_cast("double"))
+    return F.concat(F.when(kind == "STRING", "s:").otherwise("n:"), F.coalesce(number.cast("string"), text))
 
 
 def split_dataset(
@@ -314,9 +320,7 @@ def split_dataset(
                 raise ValueError(say.NO_RECORDS_LEFT.format(key=group_key))
         if bad := rows.where(F.col("kind").rlike("^(OBJECT|ARRAY)")).orderBy("pos").first():
             raise ValueError(say.GROUP_SCALAR.format(key=group_key, item=bad["pos"]))
-        number = F.when(F.col("kind") == "BOOLEAN", F.col("key").try_cast("boolean").cast("int").cast("double")).when(F.col("kind") != "STRING", F.col("key").try_cast("double"))
-        group = F.concat(F.when(F.col("kind") == "STRING", "s:").otherwise("n:"), F.coalesce(number.cast("string"), F.col("key")))
-        done = split_grouped(rows, group, fields, "pos", ratios, random_seed)
+        done = split_grouped(rows, group_value(F.col("kind"), F.col("key")), fields, "pos", ratios, random_seed)
     done = done.persist()
     report = build_report(done, fields) | {
         "input_size": size,

@@ -267,7 +267,7 @@ def q_corpus_documents(spark, sf_dir):
 
 @query(f"SELECT source_row, min(source_row) OVER (PARTITION BY label, content) AS first_row FROM ({s_guide('raw_label')}) QUALIFY first_row < source_row")
 def q_corpus_duplicates(spark, sf_dir):
-    return corpus.duplicate_of(guide(spark, sf_dir).where("missing = ''"), "label", "content").where("first_row < source_row").select("source_row", "first_row")
+    return corpus.repeated_pairs(guide(spark, sf_dir).where("missing = ''"), "label", "content")
 
 
 @query(f"""WITH d AS (SELECT DISTINCT label, content FROM ({s_guide("raw_label")})), l AS (SELECT label, count(*) AS n FROM d GROUP BY label)

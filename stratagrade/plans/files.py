@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import ROW
-from ..operators import chat, corpus, records, split, standards
+from ..operators import chat, corpus, folders, records, split, standards
 from ..schemas import GUIDE_CONTENT, GUIDE_LABEL
+from ..sinks.bundles import read_part, read_report
 from ..sources.json_arrays import check_array, read_array
 from ..sources.places import Place, scratch_folder
 from ..sources.tables import read_csv, read_table
@@ -183,6 +184,42 @@ def q_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(at("source_id").alias("source_id"), answer.alias("category_leaf_level"), at("reference_answer.grading.sensitivity_level").alias("sensitivity_level")).agg(F.count("*").alias("n"))
 
 
+# Bundles ------------------------------------------------------------------------------
+
+
+def split_bundle(spark: SparkSession, sf_dir: str, **options) -> Place:
+    folder = prepared(spark, sf_dir)
+    quiet(folders.split_folder, spark, folders.read_items(spark, folder / "all.json"), folder / "bundle", **options)
+    return folder / "bundle"
+
+
+def bundle_records(spark: SparkSession, folder: Place) -> DataFrame:
+    parts = [chat.parsed_records(read_part(spark, folder, s).select(F.lit(0).alias("pos"), F.col("value").alias("item"))).withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"SELECT id, count(*) AS n FROM ({S_MADE}) GROUP BY id")
+def q_split_bundle_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all parts of a split bundle."""
+    return bundle_records(spark, split_bundle(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT unnest(['train', 'val', 'test']) AS split, unnest([n_train, n_val, n_test]) AS n, unnest([n_train, n_val, n_test]) AS told FROM ({s_quota(f'SELECT 1 AS one, count(*) AS total FROM ({S_KEPT})', 'one')})")
+def q_split_bundle_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the parts, counted and as the report tells them: the quotas of all records,
+    though nearly every stratum is small."""
+    folder = split_bundle(spark, sf_dir)
+    told = spark.createDataFrame([(s, n) for s, n in read_report(folder, "report")["sizes"].items()], "split string, told long")
+    return split.split_sizes(bundle_records(spark, folder)).join(told, "split")
+
+
+@query(f"SELECT table_name, count(*) AS n, 1::BIGINT AS splits FROM ({S_KEPT}) GROUP BY table_name")
+def q_group_split_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group is whole and in one part, without a line for it on the driver."""
+    folder = split_bundle(spark, sf_dir, split_type="group", group_key="metadata.table_name")
+    return bundle_records(spark, folder).groupBy("metadata.table_name").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+
+
 # Corpora and standards ---------------------------------------------------------------
 
 S_GUIDE = f"""SELECT *, {s_clean("raw_label")} AS clean_label, {s_label("raw_label")} AS label, {s_clean("raw_content")} AS content FROM (
@@ -210,6 +247,23 @@ def q_corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(at("id").alias("id"), at("text").alias("text"), *[at(f"metadata.{f}").alias(f) for f in ("level_4", "source_level_4", "source_row", "source")])
 
 
+def corpus_bundle(spark: SparkSession, sf_dir: str) -> Place:
+    folder = guide_file(spark, sf_dir)
+    folders.corpus_folder(spark, read_csv(spark, (folder / "guide.csv").uri), "guide", "guide.csv", folder / "bundle")
+    return folder / "bundle"
+
+
+@query(f"SELECT {s_document_id(s_text('guide'), 'label', 'content')} AS id, content AS text, label AS level_4, clean_label AS source_level_4, source_row, 'guide.csv' AS source FROM ({S_PAIRS})")
+def q_corpus_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = read_part(spark, corpus_bundle(spark, sf_dir), "documents")
+    return made.select("id", "text", *[f"metadata.{f}" for f in ("level_4", "source_level_4", "source_row", "source")])
+
+
+@query(f"""SELECT source_row, first_row FROM (SELECT source_row, min(source_row) OVER (PARTITION BY label, content) AS first_row FROM ({S_GUIDE}) WHERE clean_label <> '' AND content <> '') WHERE first_row < source_row""")
+def q_corpus_bundle_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_part(spark, corpus_bundle(spark, sf_dir), "duplicates")
+
+
 S_KNOWN = f"SELECT DISTINCT {s_clean(chr(34) + 'p_type' + chr(34))} || ' (B2)' AS label FROM part WHERE p_size < 40"
 
 
