@@ -43,9 +43,14 @@ def pair_digest(label: str, content: str) -> Column:
 def repeated_pairs(rows: DataFrame, label: str, content: str, order: str = "source_row") -> DataFrame:
     """order, first_row: the rows whose (label, content) an earlier row has.  Only digests and
     orders are moved, never texts."""
-    slim = rows.select(order, pair_digest(label, content).alias("__digest"))
-    first = slim.groupBy("__digest").agg(F.min(order).alias("first_row"), F.count("*").alias("__n")).where("__n > 1")
-    return join_same(slim, first, ["__digest"]).where(F.col("first_row") < F.col(order)).select(order, "first_row")
+    return repeated_digests(rows.select(order, pair_digest(label, content).alias("digest")), order)
+
+
+def repeated_digests(rows: DataFrame, order: str = "source_row") -> DataFrame:
+    """rows(order, digest) -> order, first_row: those whose digest an earlier row has."""
+    slim = rows.select(order, "digest")
+    first = slim.groupBy("digest").agg(F.min(order).alias("first_row"), F.count("*").alias("__n")).where("__n > 1")
+    return join_same(slim, first, ["digest"]).where(F.col("first_row") < F.col(order)).select(order, "first_row")
 
 
 def first_pairs(rows: DataFrame, label: str, content: str, order: str = "source_row") -> DataFrame:
@@ -57,7 +62,11 @@ def first_pairs(rows: DataFrame, label: str, content: str, order: str = "source_
 
 def documents(rows: DataFrame, dataset: str, source: str) -> DataFrame:
     """Corpus documents of guide rows that lack nothing, first of each pair."""
-    kept = first_pairs(rows.where("missing = ''"), "label", "content")
+    return document_rows(first_pairs(rows.where("missing = ''"), "label", "content"), dataset, source)
+
+
+def document_rows(kept: DataFrame, dataset: str, source: str) -> DataFrame:
+    """A document of each row."""
     meta = F.struct(
         F.lit(dataset).alias("dataset"), F.col("label").alias("level_4"), F.lit(source).alias("source"), F.col("source_row"),
         F.when(F.col("label") != F.col("raw_label"), F.col("raw_label")).alias("source_level_4"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import messages as say
@@ -18,7 +18,7 @@ from ..schemas import GUIDE_CONTENT, GUIDE_LABEL, LABEL_PATHS, LEVELS, SPLITS
 from ..sinks.bundles import MANIFEST, BundleFolder, read_part
 from ..sources.json_arrays import read_array
 from ..sources.places import Place
-from . import chat, corpus, dealing, split
+from . import chat, corpus, dealing, records, split
 
 
 def read_items(spark: SparkSession, path, part: str | None = None) -> DataFrame:
@@ -80,30 +80,69 @@ def split_folder(
     return report
 
 
+def preprocess_folder(
+    spark: SparkSession, table: DataFrame, mapping: dict[str, str], output_dir, *, source_name: str, domain: str = "", missing_field_policy: str = "error", conflicting_label_policy: str = "error", overwrite: bool = False
+) -> dict:
+    """A table (with `_row`) -> a bundle with the part records (one JSON record a line) and a
+    report of counts: input_rows, missing_field_names, conflicts, records.
+
+    One pass reads, cleans, counts, finds conflicts, deduplicates, expands and writes; the
+    policies are applied to what the write has counted, before anything is published.
+    Only an error or a warning that names rows reads them again.
+    """
+    records.check_policies(missing_field_policy, conflicting_label_policy)
+    seen, told = Observation(), Observation()
+    cleaned = records.clean_columns(records.convert_schema(table, records.check_mapping(mapping)))
+    blank = F.col("field_name") == ""
+    watched = cleaned.observe(seen, F.count("*").alias("input_rows"), F.count_if(blank).alias("missing"))
+    first = records.first_with_conflicts(records.normalize_columns(watched.where(~blank)), with_labels=conflicting_label_policy == "keep")
+    first = first.observe(told, F.count_if("conflicting").alias("conflicts")).drop("conflicting")
+    with BundleFolder(output_dir, overwrite) as bundle:
+        made = bundle.write("records", records.to_records(records.expand_augmented(first), source_name, domain).drop(ROW, "_pos"))
+        n, missing, conflicts = seen.get["input_rows"], seen.get["missing"], told.get["conflicts"]
+        if not n:
+            raise ValueError(say.EMPTY_INPUT)
+        if missing:
+            records.drop_missing(cleaned, missing_field_policy)  # words the error or the warning
+        if conflicts:
+            records.report_conflicts(records.normalize_columns(cleaned.where(~blank)), conflicting_label_policy)
+        report = {"input_rows": n, "missing_field_names": missing, "conflicts": conflicts, "records": made}
+        bundle.write_json("report", report)
+    return report
+
+
 def corpus_folder(
     spark: SparkSession, table: DataFrame, dataset: str, source: str, output_dir, *, label_column: str = GUIDE_LABEL, content_column: str = GUIDE_CONTENT, missing_policy: str = "skip", overwrite: bool = False,
 ) -> dict:
     """A guide table (with `_row`) -> a bundle with the parts documents, skipped (source_row,
-    missing), duplicates (source_row, first_row), normalized (source_row) and report."""
+    missing), duplicates (source_row, first_row), normalized (source_row) and report.
+
+    The table is read and cleaned once, into an intermediate table that also counts it;
+    duplicates are looked for in its column of digests."""
     named = {"label": label_column, "content": content_column}
     if absent := [c for c in named.values() if c not in table.columns]:
         raise ValueError(say.CORPUS_COLUMNS.format(names=", ".join(absent)))
     cell = lambda c: F.col("`" + c.replace("`", "``") + "`")
     rows = corpus.guide_rows(table.select(ROW, cell(label_column).alias("l"), cell(content_column).alias("c")), F.col("l"), F.col("c"))
-    whole = rows.where("missing = ''")
+    lacks, other = F.col("missing") != "", F.col("label") != F.col("raw_label")
+    columns = [F.col("source_row"), *(F.when(~lacks, F.col(c)).alias(c) for c in ("raw_label", "label", "content")), F.col("missing")]
     with BundleFolder(output_dir, overwrite) as bundle:
-        skipped = bundle.write("skipped", rows.where("missing <> ''").select("source_row", "missing"))
-        if skipped and missing_policy == "error":
-            raise ValueError(say.SKIPPING_CORPUS.format(count=skipped))
-        made = bundle.write("documents", corpus.documents(rows, dataset, source).drop("source_row"))
-        if not made:
+        counts = {"input_rows": F.count("*"), "skipped": F.count_if(lacks), "normalized": F.count_if(~lacks & other)}
+        kept, seen = bundle.keep("rows", rows.select(*columns, F.when(~lacks, corpus.pair_digest("label", "content")).alias("digest")), **counts)
+        if seen["skipped"] and missing_policy == "error":
+            raise ValueError(say.SKIPPING_CORPUS.format(count=seen["skipped"]))
+        if seen["skipped"] == seen["input_rows"]:
             raise ValueError(say.NO_DOCUMENTS)
-        repeats = bundle.write("duplicates", corpus.repeated_pairs(whole, "label", "content"))
-        renamed = bundle.write("normalized", whole.where("label <> raw_label").select("source_row"))
+        repeats, found = bundle.keep("repeats", corpus.repeated_digests(kept.where("digest IS NOT NULL")), n=F.count("*"))
+        bundle.write("skipped", kept.where("missing <> ''").select("source_row", "missing"))
+        bundle.write("duplicates", repeats)
+        bundle.write("normalized", kept.where("label <> raw_label").select("source_row"))
+        first = kept.where("missing = ''").join(repeats.select("source_row"), "source_row", "left_anti")
+        made = bundle.write("documents", corpus.document_rows(first, dataset, source).drop("source_row"))
         staged = spark.read.schema("text string, metadata struct<level_4: string>").json((bundle.stage / "documents").uri)
         stats = corpus.corpus_statistics(staged.select(F.col("metadata.level_4").alias("label"), F.col("text").alias("content"))).first()
         report = {
-            "dataset": dataset, "source": source, "input_rows": skipped + made + repeats, "exported_documents": made, "skipped_missing": skipped, "skipped_exact_duplicates": repeats, "normalized_labels": renamed,
+            "dataset": dataset, "source": source, "input_rows": seen["input_rows"], "exported_documents": made, "skipped_missing": seen["skipped"], "skipped_exact_duplicates": found["n"], "normalized_labels": seen["normalized"],
             "corpus_statistics": {
                 "unique_level_4": stats["unique_labels"], "labels_with_multiple_documents": stats["labels_with_multiple"],
                 "content_length": {"min": stats["min_length"], "max": stats["max_length"], "average": round(stats["total_length"] / stats["documents"], 2)},
@@ -119,7 +158,7 @@ def export_folder(spark: SparkSession, split_dir, output_dir, *, overwrite: bool
         splits = {}
         for name in SPLITS:
             read = chat.parsed_records(read_items(spark, split_dir, name).select(F.lit(0).alias("pos"), "item"))
-            labeled: Column = chat.is_labeled([F.col(f"classification.{f}") for f in LEVELS])
+            labeled = chat.is_labeled([F.col(f"classification.{f}") for f in LEVELS])
             rows = bundle.write(name, chat.chat_records(read.where(labeled)).drop("pos"))
             total = read_items(spark, split_dir, name).count()
             splits[name] = {"input_records": total, "exported_records": rows, "skipped_unlabeled": total - rows}

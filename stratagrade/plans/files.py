@@ -22,7 +22,7 @@ from ..sinks.bundles import read_part, read_report
 from ..sources.json_arrays import check_array, read_array
 from ..sources.places import Place, scratch_folder
 from ..sources.tables import read_csv, read_table
-from .catalogue import MAPPING, query, raw, s_clean, s_document_id, s_expanded, s_first, s_identity, s_label, s_quota, s_text, s_uuid5, table
+from .catalogue import MAPPING, S_CATALOGUE, S_RAW, query, raw, s_clean, s_document_id, s_expanded, s_first, s_identity, s_label, s_quota, s_text, s_uuid5, table
 
 
 def scratch() -> Place:
@@ -264,6 +264,23 @@ def q_corpus_bundle_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_part(spark, corpus_bundle(spark, sf_dir), "duplicates")
 
 
+@query(f"SELECT id, database_name, table_name, field_name, category_leaf_level, sensitivity_level FROM ({S_MADE})")
+def q_preprocess_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the one pass that reads, checks and writes."""
+    folder = scratch() / "bundle"
+    quiet(folders.preprocess_folder, spark, raw(spark, sf_dir), MAPPING, folder, source_name="catalogue.csv", missing_field_policy="skip", conflicting_label_policy="keep")
+    return read_part(spark, folder, "records").select("id", *[f"metadata.{f}" for f in ("database_name", "table_name", "field_name")], "classification.category_leaf_level", "grading.sensitivity_level")
+
+
+@query(f"""SELECT (SELECT count(*) FROM ({S_RAW})) AS input_rows, (SELECT count(*) FROM ({S_RAW}) WHERE {s_clean("field_name")} = '') AS missing_field_names,
+  (SELECT count(*) FROM (SELECT 1 FROM ({S_CATALOGUE}) GROUP BY database_name, table_name, field_name HAVING count(DISTINCT category_leaf_level || chr(31) || sensitivity_level) > 1)) AS conflicts, (SELECT count(*) FROM ({S_MADE})) AS records""")
+def q_preprocess_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the write itself has counted."""
+    folder = scratch() / "bundle"
+    r = quiet(folders.preprocess_folder, spark, raw(spark, sf_dir), MAPPING, folder, source_name="catalogue.csv", missing_field_policy="skip", conflicting_label_policy="keep")
+    return spark.createDataFrame([tuple(r.values())], ", ".join(f"{k} long" for k in r))
+
+
 S_KNOWN = f"SELECT DISTINCT {s_clean(chr(34) + 'p_type' + chr(34))} || ' (B2)' AS label FROM part WHERE p_size < 40"
 
 

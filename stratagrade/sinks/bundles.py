@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,14 @@ class BundleFolder:
             self.parts[n] = {"path": f"{self.version}/{at}" + (f"/{column}={n}" if column else ""), "rows": found[n], "schema": json.loads(T.StructType(body).json()) if not lines else schema}
         return {n: found[n] for n in wanted}
 
+    def keep(self, name: str, rows: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+        """An intermediate table, gone when the bundle is published: `rows` as they are read
+        back, and what the write has counted on its way."""
+        seen = Observation()
+        path = (self.stage / "work" / name).uri
+        (rows.observe(seen, *[c.alias(n) for n, c in counts.items()]) if counts else rows).write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path), seen.get if counts else {}
+
     def write_json(self, name: str, data) -> None:
         """A small report, kept beside the parts."""
         (self.stage / f"{name}.json").write([json.dumps(data, ensure_ascii=False, indent=2), "\n"])
@@ -73,6 +81,7 @@ class BundleFolder:
         if kind is not None:
             self.stage.delete()
             return
+        (self.stage / "work").delete()
         old = _manifest(self.folder)
         manifest = {"version": self.version, "previous": old and old["version"], "parts": self.parts}
         place = self.folder / MANIFEST

@@ -141,3 +141,74 @@ def test_export_and_corpus_folders(spark, lines, tmp_path):
     with pytest.raises(ValueError, match="Skipping 1"):
         folders.corpus_folder(spark, guide, "d", "g.csv", tmp_path / "corpus", label_column="l", content_column="c", missing_policy="error", overwrite=True)
     assert read_report(tmp_path / "corpus", "report") == made  # the old version is as it was
+
+
+def counting(spark, df):
+    """The same rows, and a count of how many were read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(through, df.schema), read
+
+
+def jobs_of(spark, run):
+    group = f"group-{id(run)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+MAPPING = {"db": "database_name", "tb": "table_name", "f": "field_name", "leaf": "level_4", "grade": "data_level"}
+COLUMNS = "_row long, db string, tb string, f string, leaf string, grade string, augmented_column_name1 string, augmented_column_name2 string"
+#: As in the tests of single files.
+MINI = [(0, "d", "t", "f", "A（A1）", "L2", "f1", ""), (1, "d", "t", "f", "A", "L2", "f9", ""), (2, "d", "t", " ", "B", "L1", "", ""), (3, "d", "t", "g", "B", "L1", "g1", "g1"), (4, "d", "t", "g", "C", "L1", "", "")]
+
+
+def test_preprocess_reads_its_input_once(spark, tmp_path):
+    clean = [(i, "d", f"t{i % 7}", f"f{i % 50}", f"A{i % 50} (X1)", "L1", "extra", " ") for i in range(3000)]
+    table, read = counting(spark, spark.createDataFrame(clean, COLUMNS))
+    jobs = jobs_of(spark, lambda: folders.preprocess_folder(spark, table, MAPPING, tmp_path / "p", source_name="s.csv", domain="x"))
+    assert read.value == 3000 and jobs <= 3
+    assert read_report(tmp_path / "p", "report") == {"input_rows": 3000, "missing_field_names": 0, "conflicts": 0, "records": 700}
+    made = read_part(spark, tmp_path / "p", "records")
+    assert made.count() == 700 and made.select("id").distinct().count() == 700 and made.groupBy("label_status").count().collect()[0]["count"] == 350
+
+
+def test_preprocess_policies(spark, tmp_path):
+    from stratagrade.operators import records as single
+
+    df = spark.createDataFrame(MINI, COLUMNS)
+    run = lambda **o: folders.preprocess_folder(spark, df, MAPPING, tmp_path / "q", source_name="mini.csv", **o)
+    with pytest.raises(ValueError, match="field_name is empty at source rows: 4"):
+        run()
+    with pytest.raises(ValueError, match="Conflicting labels found for the same field: d/t/g"), pytest.warns(UserWarning):
+        run(missing_field_policy="skip")
+    assert not (tmp_path / "q" / MANIFEST).exists()
+    with pytest.warns(UserWarning):
+        report = run(missing_field_policy="skip", conflicting_label_policy="keep")
+    assert report == {"input_rows": 5, "missing_field_names": 1, "conflicts": 1, "records": 6}
+    with pytest.warns(UserWarning):
+        want = single.build_records(df, MAPPING, source_name="mini.csv", missing_field_policy="skip", conflicting_label_policy="keep")
+    got = read_part(spark, tmp_path / "q", "records")
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
+    with pytest.raises(ValueError, match="empty"):
+        folders.preprocess_folder(spark, df.limit(0), MAPPING, tmp_path / "r", source_name="x")
+    with pytest.raises(ValueError, match="missing_field_policy"):
+        run(missing_field_policy="no")
+
+
+def test_corpus_reads_its_input_once(spark, tmp_path):
+    rows = [(i, f"L{i % 9}（A1）" if i % 11 else "", f"text  {i % 400}" if i % 13 else " ") for i in range(2000)]
+    table, read = counting(spark, spark.createDataFrame(rows, "_row long, l string, c string"))
+    report = folders.corpus_folder(spark, table, "d", "g", tmp_path / "c", label_column="l", content_column="c")
+    assert read.value == 2000 and not (tmp_path / "c" / read_manifest(tmp_path / "c")["version"] / "work").exists()
+    kept = [(label, text) for _, label, text in rows if label and text.strip()]
+    assert (report["input_rows"], report["exported_documents"], report["skipped_missing"]) == (2000, len(set(kept)), 2000 - len(kept))
+    assert report["skipped_exact_duplicates"] == len(kept) - len(set(kept)) and report["normalized_labels"] == len(kept)
