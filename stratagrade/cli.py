@@ -7,11 +7,12 @@ import json
 import sys
 from pathlib import Path
 
-from .operators import chat, corpus, records, split, standards
+from .operators import chat, corpus, folders, records, split, standards
 from .schemas import GUIDE_CONTENT, GUIDE_LABEL
 from .session import session
 from .sources import mapping as places
 from .sources.places import Place
+from .sources.tables import read_csv, read_table
 
 
 def _name(value: str) -> str:
@@ -46,21 +47,22 @@ def parser() -> argparse.ArgumentParser:
     folder = ("--mappings", {"type": Place, "help": "folder with further <dataset>.json mappings (mappings/ under the root, if it is there)"})
     dataset = ("--dataset", {"type": _name, "required": True})
     overwrite = ("--overwrite", {"action": "store_true"})
+    bundle = ("--bundle", {"action": "store_true", "help": "read folders too, and write a folder of JSON lines by tasks in place of single files"})
     ratios = [(f"--{n}-ratio", {"type": _ratio, "default": r}) for n, r in (("train", 0.8), ("val", 0.1), ("test", 0.1))] + [("--seed", {"type": int, "default": 42})]
     conflict = ("--conflicting-label-policy", policy("error", "error", "keep"))
     command("list-datasets", "datasets with a known mapping", folder)
-    command("preprocess", "table to records", ("--input", needed), ("--dataset", {"type": _name}), ("--mapping", path), ("--output", needed), ("--missing-field-policy", policy("error")), conflict, folder, overwrite)
+    command("preprocess", "table to records", ("--input", needed), ("--dataset", {"type": _name}), ("--mapping", path), ("--output", needed), ("--missing-field-policy", policy("error")), conflict, folder, overwrite, bundle)
     command(
         "prepare", "table to records to splits", dataset, ("--input", path), ("--mapping", path), ("--output-dir", path), ("--split-type", policy("group", "random", "group")),
         ("--group-key", {"default": "metadata.table_name"}), ("--missing-group-policy", policy("skip")), *ratios, ("--missing-field-policy", policy("skip")), conflict, folder, overwrite,
     )
     command(
         "split", "records to splits", ("--input", needed), ("--output-dir", needed), ("--type", {**policy("random", "random", "group"), "dest": "split_type"}), *ratios,
-        ("--group-key", {}), ("--missing-group-policy", policy("error")), overwrite,
+        ("--group-key", {}), ("--missing-group-policy", policy("error")), overwrite, bundle,
     )
     command(
         "build", "guide table to corpus and report", dataset, ("--input", path), ("--processed", path), ("--output-dir", path), ("--label-column", {"default": GUIDE_LABEL}),
-        ("--content-column", {"default": GUIDE_CONTENT}), ("--missing-policy", policy("skip")), overwrite,
+        ("--content-column", {"default": GUIDE_CONTENT}), ("--missing-policy", policy("skip")), overwrite, bundle,
     )
     optional = [(f"--{n}-column", {}) for n in ("root", "branch", "subbranch", "sensitivity")]
     command(
@@ -68,11 +70,31 @@ def parser() -> argparse.ArgumentParser:
         ("--leaf-column", {"required": True}), *optional, ("--reference-standard", {"default": ""}), ("--missing-policy", policy("skip")), overwrite,
     )
     command("normalize", "clean a flat corpus", ("--dataset", {"required": True}), ("--input", needed), ("--output", needed), overwrite)
-    command("export", "splits to chat lines", ("--input-dir", {"type": Place, "default": Place("data/processed/education")}), ("--output-dir", {"type": Place, "default": Place("data/rft/education")}))
+    command("export", "splits to chat lines", ("--input-dir", {"type": Place, "default": Place("data/processed/education")}), ("--output-dir", {"type": Place, "default": Place("data/rft/education")}), overwrite, bundle)
     command("standards", "catalogue sheet to dictionary", ("--input", needed), ("--output", needed))
     return top
 
 
+def _run_bundle(spark, a: argparse.Namespace, own) -> dict:
+    """The commands that tasks can do by themselves; returns the report."""
+    if a.command == "export":
+        return folders.export_folder(spark, a.input_dir, a.output_dir, overwrite=a.overwrite)
+    if a.command == "split":
+        return folders.split_folder(
+            spark, folders.read_items(spark, a.input), a.output_dir, split_type=a.split_type, ratios=(a.train_ratio, a.val_ratio, a.test_ratio), random_seed=a.seed,
+            group_key=a.group_key, missing_group_policy=a.missing_group_policy, overwrite=a.overwrite,
+        )
+    source = a.input or places.default_guide(a.dataset, a.root)
+    table = read_csv(spark, source.uri) if source.is_dir() else read_table(spark, source)
+    if a.command == "build":
+        out = a.output_dir or a.root / "data" / "corpus" / a.dataset
+        return folders.corpus_folder(spark, table, a.dataset, source.name, out, label_column=a.label_column.strip(), content_column=a.content_column.strip(), missing_policy=a.missing_policy, overwrite=a.overwrite)
+    return folders.preprocess_folder(
+        spark, table, places.resolve_mapping(a.dataset, a.mapping, own), a.output, source_name=source.name, domain=a.dataset or source.stem, missing_field_policy=a.missing_field_policy,
+        conflicting_label_policy=a.conflicting_label_policy, overwrite=a.overwrite,
+    )
+
+
 def _run(a: argparse.Namespace) -> None:
     say = lambda x: print(json.dumps(x, ensure_ascii=False))
     own = getattr(a, "mappings", None) or (a.root / "mappings" if (a.root / "mappings").is_dir() else None)
@@ -80,6 +102,9 @@ def _run(a: argparse.Namespace) -> None:
         print("\n".join(places.discover_datasets(own)))
         return
     spark = session()
+    if getattr(a, "bundle", False):
+        say(_run_bundle(spark, a, own))
+        return
     if a.command == "preprocess":
         if (a.dataset is None) == (a.mapping is None):
             raise ValueError("one of --dataset and --mapping is required")

@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from .. import messages as say
 from ..functions.order import ROW
 from ..schemas import GUIDE_CONTENT, GUIDE_LABEL, LABEL_PATHS, LEVELS, SPLITS
-from ..sinks.bundles import MANIFEST, BundleFolder, read_part
+from ..sinks.bundles import MANIFEST, BundleFolder, read_lines, read_manifest
 from ..sources.json_arrays import read_array
 from ..sources.places import Place
 from . import chat, corpus, dealing, records, split
 
 
 def read_items(spark: SparkSession, path, part: str | None = None) -> DataFrame:
-    """item, the text of each record: of a bundle's part, of a JSON array in a .json file, or
+    """item, the text of each record: of a bundle's part (its first by default), of a JSON array in a .json file, or
     of JSON lines in any other file or a folder."""
     place = Place(path)
     if (place / MANIFEST).exists():
-        return read_part(spark, place, part or SPLITS[0]).select(F.col("value").alias("item"))
+        return read_lines(spark, place, part or next(iter(read_manifest(place)["parts"]))).select(F.col("value").alias("item"))
     if place.suffix.lower() == ".json" and place.is_file():
         return read_array(spark, place).select("item")
     if not place.exists():

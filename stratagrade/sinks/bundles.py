@@ -115,5 +115,11 @@ def read_part(spark: SparkSession, folder, name: str) -> DataFrame:
     return spark.read.text(uri) if isinstance(schema, str) else spark.read.schema(schema).json(uri)
 
 
+def read_lines(spark: SparkSession, folder, name: str) -> DataFrame:
+    """The lines of a part as `value`, JSON or any other text."""
+    part = read_manifest(folder)["parts"][name]
+    return spark.read.text((Place(folder) / part["path"]).uri) if part["rows"] else spark.createDataFrame([], "value string")
+
+
 def read_report(folder, name: str):
     return json.loads((Place(folder) / read_manifest(folder)["parts"][name]["path"]).read_text())

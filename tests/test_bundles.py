@@ -212,3 +212,19 @@ def test_corpus_reads_its_input_once(spark, tmp_path):
     kept = [(label, text) for _, label, text in rows if label and text.strip()]
     assert (report["input_rows"], report["exported_documents"], report["skipped_missing"]) == (2000, len(set(kept)), 2000 - len(kept))
     assert report["skipped_exact_duplicates"] == len(kept) - len(set(kept)) and report["normalized_labels"] == len(kept)
+
+
+def test_commands_with_bundles(spark, tmp_path, capsys):
+    """From a folder of tables to chat lines, by tasks all the way."""
+    from stratagrade import cli
+
+    (tmp_path / "raw").mkdir()
+    for k in range(3):
+        (tmp_path / "raw" / f"{k}.csv").write_text("db,tb,f,leaf,grade\n" + "".join(f"d,t{i % 8},f{k}_{i},A（A{i % 3}）,L1\n" for i in range(40)), "utf-8")
+    (tmp_path / "m.json").write_text(json.dumps(MAPPING), "utf-8")
+    say = lambda *args: cli.main(["--root", str(tmp_path), *map(str, args), "--bundle"]) or json.loads(capsys.readouterr().out)
+    assert say("preprocess", "--input", tmp_path / "raw", "--mapping", tmp_path / "m.json", "--output", tmp_path / "all")["records"] == 120
+    assert say("split", "--input", tmp_path / "all", "--output-dir", tmp_path / "splits", "--type", "group", "--group-key", "metadata.table_name")["included_size"] == 120
+    assert sum(s["exported_records"] for s in say("export", "--input-dir", tmp_path / "splits", "--output-dir", tmp_path / "chat")["splits"].values()) == 120
+    (tmp_path / "g.csv").write_text("四级子类,内容\nA（A1）,x\n", "utf-8")
+    assert say("build", "--dataset", "d", "--input", tmp_path / "g.csv", "--output-dir", tmp_path / "corpus")["exported_documents"] == 1
