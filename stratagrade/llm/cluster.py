@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -60,15 +58,6 @@ def partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results are stored, which it does
-    when the driver collects its garbage; that may otherwise be a long time off."""
-    for _ in range(2):  # the first lets go of what Python held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def ship(spark: SparkSession) -> None:
     """Put this package at hand in the Python workers."""
     context = spark.sparkContext

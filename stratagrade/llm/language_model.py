@@ -1,19 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Documents are cut into blocks.  Each block sends its distinct n-grams of every order,
-with how often its training documents hold them, to segments of the n-grams' hash, and
-each segment is one task: it sums the counts of all blocks, quantises a count c to
-1 + floor(log2 c) levels, puts the keys (n-gram, 1) to (n-gram, level) into its part of
-a Bloom filter, and answers every block with the levels that repeated probes find.  The
-parts together are the model: they hold every n-gram at `bits_per_key`, however many
-there are, and stay where they are.  A block is scored from its answers.
+Training: documents are cut into blocks; each sends its distinct training n-grams of every
+order, with their numbers, to segments of the n-grams' hash.  A segment sums them, quantises a
+count c to 1 + floor(log2 c) levels, and puts the keys (n-gram, 1) to (n-gram, level)
+into its part of one Bloom filter.  The parts are stored: they are the model, at
+`bits_per_key` for each level, however many n-grams there are.
+
+Scoring knows the filter alone.  A filter of up to `broadcast_mb` is broadcast, and every worker
+probes it for its blocks; the parts of a larger one meet the blocks' n-grams by segment,
+and what their probes find goes back to the blocks.  The bits are the same, and so
+are the scores.
 
 P_1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 P_n(w | h) = (c(h w) + m P_(n-1)(w | h')) / (c(h) + m),  h' being h without its first word,
 with quantised counts; a text's first word follows a start mark, and no n-gram reaches
 beyond it.  The score is that of the highest order.
 
-The base score needs exact counts of words; they come with the answers.
+The base score is defined by exact counts of words; parts for words hold them as well.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import map_arrow, materialize, release, ship
+from .cluster import map_arrow, materialize, ship
 from .textvec import LOWER, chunks, hashed, mix
 
 _U = np.uint64
@@ -34,7 +37,7 @@ _MASK = _U(0xFFFFFFFFFFFF0000)
 END, START = mix(np.array([0x454E44, 0x53544152], np.uint64), 9) & _MASK
 WORD = 1
 #: Tokens of a block of documents that is scored at once, and of a segment's blocks.
-BLOCK, SEGMENT = 2_000_000, 1_500_000
+BLOCK, SEGMENT = 2_000_000, 3_000_000
 LEVELS = 48
 #: What a level stands for: the middle of its counts on a log scale.
 VALUE = np.concatenate(([0.0, 1.0], 2.0 ** np.arange(1, LEVELS) * 1.4))
@@ -76,8 +79,8 @@ def ngrams(token: np.ndarray, at: np.ndarray, most: int):
 
 def width(kind: int, bits: int) -> int:
     """Bits of a key besides its segment's: words must not be mistaken for others; of
-    longer n-grams some that are new may look known, fewer than the filter lets pass."""
-    return min(48 if kind == WORD else 28, 64 - bits)
+    longer n-grams one in 1400 of a full segment may be, fewer than the filter lets pass."""
+    return min(48 if kind == WORD else 32, 64 - bits)
 
 
 def shorten(keys: np.ndarray, bits: int, kind: int) -> np.ndarray:
@@ -158,12 +161,19 @@ def _read_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return words[_from_planes(row["codes"], int(at[-1]), 4).astype(np.int64)], at
 
 
-_ASKED = "block long, kind int, segment int, n int, keys binary, counts binary"
+def _by_segment(keys: np.ndarray, wide: int) -> list[tuple[int, slice, np.ndarray]]:
+    """Sorted keys by segment: which, where, and what remains of them."""
+    segment = keys >> _U(wide)
+    rest = keys & _U((1 << wide) - 1)
+    cut = np.append(np.flatnonzero(np.diff(segment, prepend=segment[:1] + _U(1))), len(keys))
+    return [(int(segment[a]), slice(a, b), rest[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _asked(bits: int, most: int):
-    """The distinct n-grams of each block by segment, in order, with their counts in
-    the block's training documents."""
+_COUNTED = "kind int, segment int, n int, keys binary, counts binary"
+
+
+def _counted(bits: int, most: int):
+    """The distinct training n-grams of each block by segment, in order, with their numbers."""
 
     def run(batches):
         for batch in batches:
@@ -171,17 +181,35 @@ def _asked(bits: int, most: int):
                 token, at = _read_block(row)
                 trains = np.repeat(~np.array(row["held_out"], bool), np.diff(at))
                 for kind, (gram, ok) in enumerate(ngrams(token, at, most), 1):
-                    keys, code = np.unique(shorten(gram[ok], bits, kind), return_inverse=True)
-                    counts = np.bincount(code, trains[ok], len(keys)).astype(np.uint64)
+                    keys, counts = np.unique(shorten(gram[ok & trains], bits, kind), return_counts=True)
+                    wide = width(kind, bits)
+                    parts = _by_segment(keys, wide)
+                    n = len(parts)
+                    columns = [
+                        pa.array([kind] * n, pa.int32()), pa.array([i for i, _, _ in parts], pa.int32()), pa.array([len(rest) for _, _, rest in parts], pa.int32()),
+                        pa.array([_pack(rest, wide) for _, _, rest in parts], pa.binary()), pa.array([_planes(counts[s], 4) for _, s, _ in parts], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _COUNTED.split(", ")])
+
+    return run
+
+
+_ASKED = "block long, kind int, segment int, n int, keys binary"
+
+
+def _asked(bits: int, most: int):
+    """The distinct n-grams of each block by segment, in order."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                for kind, (gram, ok) in enumerate(ngrams(*_read_block(row), most), 1):
                     wide = width(kind, bits)
-                    segment = keys >> _U(wide)
-                    cut = np.append(np.flatnonzero(np.diff(segment, prepend=segment[:1] + _U(1))), len(keys))  # where segments begin
-                    rest = keys & _U((1 << wide) - 1)
-                    parts = [(int(segment[a]), slice(a, b)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                    parts = _by_segment(np.unique(shorten(gram[ok], bits, kind)), wide)
                     n = len(parts)
                     columns = [
-                        pa.array([row["block"]] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([s.stop - s.start for _, s in parts], pa.int32()),
-                        pa.array([_pack(rest[s], wide) for _, s in parts], pa.binary()), pa.array([_planes(counts[s], 4) for _, s in parts], pa.binary()),
+                        pa.array([row["block"]] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([i for i, _, _ in parts], pa.int32()),
+                        pa.array([len(rest) for _, _, rest in parts], pa.int32()), pa.array([_pack(rest, wide) for _, _, rest in parts], pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ASKED.split(", ")])
 
@@ -210,6 +238,13 @@ class Filter:
             word, mask = _places(keys[level >= j], j, len(self.words))
             np.bitwise_or.at(self.words, word, mask)
 
+    @classmethod
+    def of(cls, words: np.ndarray) -> Filter:
+        """A part as it was stored."""
+        out = cls.__new__(cls)
+        out.words = words
+        return out
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts: the number of levels present, by repeated probes."""
         out = np.zeros(len(keys), np.int64)
@@ -223,33 +258,60 @@ class Filter:
         return out
 
 
-_ANSWERS = "block long, kind int, segment int, n int, levels binary, counts binary, distinct long, total long"
+class Part:
+    """A segment as scoring knows it: its bits, and for words their exact counts."""
+
+    def __init__(self, bits: bytes, keys: bytes, counts: bytes):
+        self.filter = Filter.of(np.frombuffer(bits, np.uint64))
+        self.keys, self.counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+
+    def exact(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
 
+_PARTS = "kind int, segment int, bits binary, keys binary, counts binary, distinct long, total long"
 
-def _answered(bits: int, bits_per_key: float):
-    """Levels, and for words exact counts, of what blocks ask of one segment; and a row
-    (of no block) with the segment's distinct training n-grams and all of them."""
+
+def _built(bits: int, bits_per_key: float):
+    """A segment's part of the filter, from the counts of all blocks."""
 
     def run(key, table):
         kind, segment = key[0].as_py(), key[1].as_py()
-        sizes = table.column("n").to_pylist()
-        blobs = zip(table.column("keys"), table.column("counts"), sizes, strict=True)
+        blobs = zip(table.column("keys"), table.column("counts"), table.column("n").to_pylist(), strict=True)
         keys, counts = (np.concatenate(x) for x in zip(*((_unpack(k.as_py(), n, width(kind, bits)), _from_planes(c.as_py(), n, 4)) for k, c, n in blobs), strict=True))
         distinct, code = np.unique(keys, return_inverse=True)
         total = np.bincount(code, counts, len(distinct)).astype(np.int64)
-        level = Filter(distinct, total, bits_per_key).levels(distinct)[code].astype(np.uint64)
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        cut = [slice(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        exact = total[code].astype(np.uint64)
-        n = len(cut)
-        return pa.table(
-            [
-                pa.array([*table.column("block").to_pylist(), None], pa.int64()), pa.array([kind] * (n + 1), pa.int32()), pa.array([segment] * (n + 1), pa.int32()), pa.array([*sizes, 0], pa.int32()),
-                pa.array([*(_planes(level[s], 1) for s in cut), None], pa.binary()), pa.array([*(_planes(exact[s], 8) if kind == WORD else b"" for s in cut), None], pa.binary()),
-                pa.array([None] * n + [int((total > 0).sum())], pa.int64()), pa.array([None] * n + [int(total.sum())], pa.int64()),
-            ],
-            [c.split()[0] for c in _ANSWERS.split(", ")],
-        )
+        exact = (distinct.tobytes(), total.tobytes()) if kind == WORD else (b"", b"")
+        values = [kind, segment, Filter(distinct, total, bits_per_key).words.tobytes(), *exact, len(distinct), int(total.sum())]
+        names = [c.split() for c in _PARTS.split(", ")]
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        return pa.table([pa.array([v], kinds[k]) for v, (_, k) in zip(values, names, strict=True)], [n for n, _ in names])
+
+    return run
+
+
+_ANSWERS = "block long, kind int, segment int, n int, levels binary, counts binary"
+
+
+def _probed(bits: int):
+    """What one part's probes find for all blocks: levels, and for words exact counts."""
+
+    def run(key, asked, parts):
+        kind, segment = key[0].as_py(), key[1].as_py()
+        held = [Part(*(r[c] for c in ("bits", "keys", "counts"))) for r in parts.select(["bits", "keys", "counts"]).to_pylist()]
+        out: dict[str, list] = {c.split()[0]: [] for c in _ANSWERS.split(", ")}
+        for block, n, blob in zip(asked.column("block").to_pylist(), asked.column("n").to_pylist(), asked.column("keys"), strict=True):
+            keys = _unpack(blob.as_py(), n, width(kind, bits))
+            level = held[0].filter.levels(keys) if held else np.zeros(n, np.int64)  # a segment without training n-grams has no part
+            exact = (held[0].exact(keys) if held else np.zeros(n, np.int64)) if kind == WORD else None
+            found = (block, kind, segment, n, _planes(level, 1), b"" if exact is None else _planes(exact, 8))
+            for column, value in zip(out.values(), found, strict=True):
+                column.append(value)
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        return pa.table([pa.array(out[n], kinds[k]) for n, k in (c.split() for c in _ANSWERS.split(", "))], [c.split()[0] for c in _ANSWERS.split(", ")])
 
     return run
 
@@ -260,56 +322,90 @@ def _answered(bits: int, bits_per_key: float):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(bits: int, most: int, total: int, distinct: int, texts: int, smoothing: float):
-    """One row for each document of a block, from the block and its answers."""
+def _block_scores(row: dict, found, bits: int, most: int, total: int, distinct: int, texts: int, smoothing: float) -> pa.RecordBatch:
+    """One row for each document of a block; found(kind, keys) gives the levels of distinct
+    sorted keys, and for words their exact counts."""
+    token, at = _read_block(row)
+    divisor = total + 0.5 * (distinct + 1)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    chance = context = base = known = None
+    for kind, (gram, ok) in enumerate(ngrams(token, at, most), 1):
+        keys, code = np.unique(shorten(gram[ok], bits, kind), return_inverse=True)
+        level, exact = found(kind, keys)
+        count = np.zeros(len(token))
+        count[ok] = VALUE[level][code]
+        if kind == WORD:
+            exact = exact[code]
+            base = np.bincount(owner, np.log10((exact + 0.5) / divisor), len(at) - 1)
+            known = np.bincount(owner, exact > 0, len(at) - 1).astype(np.int64)
+            chance = (count + 0.5) / divisor
+        else:
+            prior = np.empty(len(token))
+            prior[1:] = context[:-1]
+            if kind == 2:
+                prior[at[:-1]] = texts
+            better = (count + smoothing * chance) / (np.maximum(prior, count) + smoothing)
+            chance = np.where(ok, better, chance)
+        context = count
+    score = np.bincount(owner, np.log10(np.minimum(chance, 1.0)), len(at) - 1)
+    columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(score)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SCORED.split(", ")])
+
+
+def _by_answers(bits: int, *options):
+    """Blocks with the answers of the parts."""
 
     def run(_, left, right):
-        row = left.to_pylist()[0]
-        token, at = _read_block(row)
         answers = right.sort_by("segment").to_pylist()  # what was asked is sorted, so answers by segment are in its order
-        divisor = total + 0.5 * (distinct + 1)
-        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        chance = context = base = known = None
-        for kind, (gram, ok) in enumerate(ngrams(token, at, most), 1):
-            keys, code = np.unique(shorten(gram[ok], bits, kind), return_inverse=True)
+
+        def found(kind: int, keys: np.ndarray):
             own = [a for a in answers if a["kind"] == kind]
             level = np.concatenate([np.zeros(0, np.uint64), *(_from_planes(a["levels"], a["n"], 1) for a in own)]).astype(np.int64)
             if len(level) != len(keys):
                 raise ValueError(f"{len(keys)} n-grams asked, {len(level)} answered")
-            count = np.zeros(len(token))
-            count[ok] = VALUE[level][code]
-            if kind == WORD:
-                exact = np.concatenate([np.zeros(0, np.uint64), *(_from_planes(a["counts"], a["n"], 8) for a in own)]).astype(np.int64)[code]
-                base = np.bincount(owner, np.log10((exact + 0.5) / divisor), len(at) - 1)
-                known = np.bincount(owner, exact > 0, len(at) - 1).astype(np.int64)
-                chance = (count + 0.5) / divisor
-            else:
-                prior = np.empty(len(token))
-                prior[1:] = context[:-1]
-                if kind == 2:
-                    prior[at[:-1]] = texts
-                better = (count + smoothing * chance) / (np.maximum(prior, count) + smoothing)
-                chance = np.where(ok, better, chance)
-            context = count
-        score = np.bincount(owner, np.log10(np.minimum(chance, 1.0)), len(at) - 1)
-        return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(score)], [c.split()[0] for c in _SCORED.split(", ")])
+            return level, np.concatenate([np.zeros(0, np.uint64), *(_from_planes(a["counts"], a["n"], 8) for a in own)]).astype(np.int64) if kind == WORD else None
+
+        return pa.Table.from_batches([_block_scores(left.to_pylist()[0], found, bits, *options)])
+
+    return run
+
+
+def _by_broadcast(parts, bits: int, *options):
+    """Blocks in which the whole filter is probed."""
+
+    def run(batches):
+        held = {(r["kind"], r["segment"]): Part(r["bits"], r["keys"], r["counts"]) for r in parts.value}
+
+        def found(kind: int, keys: np.ndarray):
+            level, exact = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            for segment, s, rest in _by_segment(keys, width(kind, bits)):
+                if part := held.get((kind, segment)):
+                    level[s] = part.filter.levels(rest)
+                    exact[s] = part.exact(rest)
+            return level, exact
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _block_scores(row, found, bits, *options)
 
     return run
 
 
-def score(docs: DataFrame, *, held_out_of: int = 5, order: int = 5, bits_per_key: float = 10.0, smoothing: float = 2.0) -> DataFrame:
+def score(docs: DataFrame, *, held_out_of: int = 5, order: int = 3, bits_per_key: float = 10.0, smoothing: float = 2.0, broadcast_mb: float = 16.0) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score: one row for each row of `docs`; ids whose crc32 leaves 1 by
     `held_out_of` are held out of training.
 
     `score` uses n-grams of up to `order` words; counts stand for their power of two
     (within a factor of 1.43), and a filter of 10 bits a level takes about one n-gram
-    in a hundred for one more frequent, which raises scores by a few percent.
+    in a hundred for one more frequent, which raises scores by a few percent.  Training
+    texts are scored with their own counts, so they score higher than held-out ones.
 
     Nulls: a null text is empty (its end is its one token); a null id is not held
     out.  Repeated rows count each in training and score alike.  An empty table gives
-    an empty result; without training texts every score is finite all the same.
-    Other columns are ignored, whatever their names.
+    an empty result; without training texts every score is finite all the same.  A block ends
+    with the text that fills it: a very long text is a block by itself, and needs some 100
+    bytes of a worker's memory a word.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out_of == 1, F.lit(False))
@@ -318,12 +414,16 @@ def score(docs: DataFrame, *, held_out_of: int = 5, order: int = 5, bits_per_key
     blocks = materialize(map_arrow(rows, _blocks, _BLOCKS), "lm-blocks")
     counted = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.size(F.filter("held_out", lambda h: ~h))), F.lit(0)).alias("texts")).first()
     bits = (int(counted["tokens"]) // SEGMENT).bit_length()  # segments grow with the input
-    asked = map_arrow(blocks, _asked(bits, order), _ASKED).groupBy("kind", "segment").applyInArrow(_answered(bits, bits_per_key), _ANSWERS)
-    answers = materialize(asked, "lm-answers")
-    del asked
-    release(spark)
-    sums = answers.where(f"block IS NULL AND kind = {WORD}").agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
-    answers = answers.where("block IS NOT NULL").select("block", "kind", "segment", "n", "levels", "counts")
-    run = _scored(bits, order, int(sums["n"]), int(sums["v"]), int(counted["texts"]), smoothing)
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORED)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums["n"])).cast("long").alias("train_tokens"), "base_score", "score")
+    model = materialize(map_arrow(blocks, _counted(bits, order), _COUNTED).groupBy("kind", "segment").applyInArrow(_built(bits, bits_per_key), _PARTS), "lm-filter")
+    size = F.sum(F.length("bits") + F.length("keys") + F.length("counts"))
+    words = [F.coalesce(F.sum(F.when(F.col("kind") == WORD, F.col(c))), F.lit(0)).alias(c) for c in ("distinct", "total")]
+    known = model.agg(F.coalesce(size, F.lit(0)).alias("size"), *words).first()
+    options = (bits, order, int(known["total"]), int(known["distinct"]), int(counted["texts"]), smoothing)
+    if known["size"] <= broadcast_mb * 1e6:
+        parts = spark.sparkContext.broadcast([r.asDict() for r in model.select("kind", "segment", "bits", "keys", "counts").collect()])  # at most `broadcast_mb`
+        scored = map_arrow(blocks, _by_broadcast(parts, *options), _SCORED)
+    else:
+        asked = map_arrow(blocks, _asked(bits, order), _ASKED)
+        answers = asked.groupBy("kind", "segment").cogroup(model.groupBy("kind", "segment")).applyInArrow(_probed(bits), _ANSWERS)
+        scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_by_answers(*options), _SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(known["total"])).cast("long").alias("train_tokens"), "base_score", "score")

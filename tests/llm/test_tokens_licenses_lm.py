@@ -256,6 +256,27 @@ def test_keys_come_back():
                 assert (language_model._unpack(language_model._pack(keys, wide), len(keys), wide) == keys).all()
 
 
+def test_parts_and_broadcast_score_alike(docs, monkeypatch):
+    """The same bits, whether a worker holds all of them or they meet the blocks by segment."""
+    rows = lambda **o: sorted(((r["doc_id"] or -1, r["n_known"], r["base_score"], r["score"]) for r in language_model.score(docs.repartition(5), **o).collect()))
+    for segment in (language_model.SEGMENT, 3000):
+        monkeypatch.setattr(language_model, "SEGMENT", segment)
+        assert rows(broadcast_mb=0) == rows()
+
+
+def test_parts_hold_no_counts_of_ngrams(docs):
+    """What scoring is given of orders above 1: bits alone."""
+    import pyarrow as pa
+
+    keys = np.arange(1000, dtype=np.uint64)
+    table = pa.table({"n": [1000], "keys": [language_model._pack(keys, 32)], "counts": [language_model._planes(keys + np.uint64(1), 4)]})
+    for kind in (1, 2, 3):
+        row = language_model._built(0, 10.0)((pa.scalar(kind), pa.scalar(0)), table if kind > 1 else table.set_column(1, "keys", [[language_model._pack(keys, 48)]])).to_pylist()[0]
+        assert (len(row["keys"]), len(row["counts"])) == ((8000, 8000) if kind == 1 else (0, 0)) and row["distinct"] == 1000
+        part = language_model.Part(row["bits"], row["keys"], row["counts"])
+        assert (part.filter.levels(keys) >= 1 + np.floor(np.log2(keys.astype(float) + 1))).all()
+
+
 def test_scores_by_hand(docs, rows, monkeypatch):
     """Quantised counts in the formula, over several blocks and segments and with nearly no false positives."""
     token, train = base_by_hand(rows)
