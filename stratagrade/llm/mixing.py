@@ -166,7 +166,8 @@ def mix(docs: DataFrame, *, seed: int = 11, weight: Column | None = None, **opti
 
     Nulls: a null text has no words and takes none; null sources are one source;
     a null id only changes the key.  Repeated rows have one key and share the edge
-    evenly.  An empty table gives an empty result.  Columns besides the three are
+    evenly.  Texts are whole, however long: only their sizes and keys move.  An empty table
+    gives an empty result.  Columns besides the three are
     ignored, whatever their names.
     """
     sources = plan(docs, seed=seed, weight=weight, **options)
@@ -188,6 +189,10 @@ def mixed_rows(docs: DataFrame, *, seed: int = 11, weight: Column | None = None,
     each epoch, and once more if the fractional selection takes it whole or at least
     half of it (documents are not cut here).  Rows without words stand once for each
     epoch and at least once, as they take nothing of any budget.
+
+    Null texts have no words, null sources are one source, null ids only change keys;
+    repeated rows stand alike; very long texts count whole and are repeated as they are; an
+    empty table stays empty.
     """
     sources = plan(docs, seed=seed, weight=weight, **options)
     names = docs.columns

@@ -42,6 +42,7 @@ def write_orc(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, stripe
     doc_id order; `before` counts the ids that stand before the document in its file.
 
     Nulls: a null text is empty and has the end id alone; null ids come first.
+    A very long text is one row, of 4 bytes an id.
     Repeated ids are kept, ordered by a hash of the text.  An empty table gives
     files without rows.  Other columns are ignored.
     """

@@ -172,7 +172,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, **opt
     (0 to 1, higher: label 1 likelier), predicted: one row for each row of `docs`.
 
     Nulls: a null text is scored as an empty one (by the bias alone); a null id is
-    never held out and never trained on.  Repeated rows score alike.  Without usable
+    never held out and never trained on.  Repeated rows score alike.  A very long text is scored
+    whole, in one block of its task; as a sampled row it sends the driver its distinct buckets only,
+    1 MB at most.  Without usable
     labels every score is 0.5.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession

@@ -96,6 +96,7 @@ def measure(docs: DataFrame, *, most_lost: int = 50, least_words: int = 20, most
     n_dup_lines, n_repeat_words, words_lost, base_failed, kept, clean_text (the lines
     that pass).  Limits are percentages of words.
 
+    A very long text is judged whole, in arrays of some 100 bytes a word.
     A null or empty text has no words and fails; repeated rows are judged alike; an
     empty table stays empty; columns of any other names pass through untouched.
     """

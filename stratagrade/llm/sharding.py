@@ -6,8 +6,9 @@ size are alike to the heap, so it is given sizes with their numbers of groups; m
 groups of one size are dealt in one step, to the same effect.  Of the groups of a size,
 those that come first by the text's md5 go to the lower shards.
 
-Documents of T bytes have at most sqrt(2 T) sizes of groups (14 million at 100 TB), which
-is all that the driver holds.  Everything about groups and rows is joined and ordered in
+Documents of T bytes have at most sqrt(2 T) sizes of groups (14 million at 100 TB).  The
+driver reads them in descending order, 16 bytes each, holds the heap, and writes what
+each shard gets of them block by block; nothing else of the groups comes there.  Everything about groups and rows is joined and ordered in
 cells: a size with many groups, a shard, and a group with very many rows are cut by a
 hash, so that no task orders more than a part of it.
 """
@@ -15,23 +16,24 @@ hash, so that no task orders more than a part of it.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import materialize
+from .cluster import materialize, new_path
 
 #: Values of a hash's first three hexadecimal digits.
 CELLS = 4096
 
 
-def longest_first(classes: list[tuple[int, int]], shards: int) -> list[list[int]]:
-    """[(size, groups)] of descending sizes -> for each how many groups each shard gets;
+def longest_first(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[list[int]]:
+    """(size, groups) of descending sizes -> for each how many groups each shard gets;
     ties go to the lower shard."""
     heap = [(0, s) for s in range(shards)]
-    out = []
     for size, left in classes:
         given = [0] * shards
         if left > 2 * shards:
@@ -49,28 +51,49 @@ def longest_first(classes: list[tuple[int, int]], shards: int) -> list[list[int]
             load, shard = heap[0]
             given[shard] += 1
             heapq.heapreplace(heap, (load + size, shard))
-        out.append(given)
-    return out
+        yield given
 
 
 def _prefix(hexadecimal: str) -> Column:
     return F.conv(F.substring(hexadecimal, 1, 3), 16, 10).cast("int")
 
 
+#: Sizes of groups that the driver plans at once.
+PLAN_BLOCK = 500_000
+_PLAN = "_bytes long, _large boolean, _shards array<int>, _upto array<long>"
+
+
+def _plans(sizes: pa.Table, shards: int, class_groups: int) -> Iterator[pa.Table]:
+    """For each size, in blocks: the shards that get groups of it, and how many groups they
+    and those before get."""
+    batches = sizes.to_batches(max_chunksize=PLAN_BLOCK)
+    classes = (c for b in batches for c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    dealt = longest_first(classes, shards)
+    for batch in batches:
+        at, shard, upto = array("i", [0]), array("i"), array("q")
+        for _ in range(batch.num_rows):
+            so_far = 0
+            for s, k in enumerate(next(dealt)):
+                if k:
+                    so_far += k
+                    shard.append(s)
+                    upto.append(so_far)
+            at.append(len(shard))
+        flat = [pa.array(np.frombuffer(x, kind)) for x, kind in ((shard, np.int32), (upto, np.int64))]
+        lists = [pa.ListArray.from_arrays(pa.array(np.frombuffer(at, np.int32)), f) for f in flat]
+        yield pa.table([batch.column(0).cast(pa.int64()), pa.array(np.asarray(batch.column(1)) > class_groups), *lists], [c.split()[0] for c in _PLAN.split(", ")])
+
+
 def _placed(rows: DataFrame, shards: int, class_groups: int, broadcast_sizes: int) -> DataFrame:
     """rows(_group, size) -> _group, _rows, shard: one row for each group."""
     spark = rows.sparkSession
     groups = materialize(rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")), "shard-groups")
     sizes = groups.groupBy("_bytes").agg(F.count("*").alias("n")).toArrow().sort_by([("_bytes", "descending")])
-    size, n = (sizes.column(c).to_pylist() for c in ("_bytes", "n"))
-    dealt = longest_first(list(zip(size, n, strict=True)), shards)
-    runs = [[(s, k) for s, k in enumerate(given) if k] for given in dealt]
-    plan = pa.table({
-        "_bytes": pa.array(size, pa.int64()), "_large": pa.array([x > class_groups for x in n], pa.bool_()),
-        "_shards": pa.array([[s for s, _ in run] for run in runs], pa.list_(pa.int32())), "_upto": pa.array([np.cumsum([k for _, k in run]).tolist() for run in runs], pa.list_(pa.int64())),
-    })
-    plan = spark.createDataFrame(plan)
-    held = groups.join(F.broadcast(plan) if len(size) <= broadcast_sizes else plan, "_bytes").withColumn("_cell", F.when(F.col("_large"), _prefix("_group")).otherwise(0))
+    path = new_path(spark, "shard-plan")
+    for block in _plans(sizes, shards, class_groups):
+        spark.createDataFrame(block, _PLAN).write.mode("append").parquet(path)
+    plan = spark.read.schema(_PLAN).parquet(path) if sizes.num_rows else spark.createDataFrame([], _PLAN)
+    held = groups.join(F.broadcast(plan) if sizes.num_rows <= broadcast_sizes else plan, "_bytes").withColumn("_cell", F.when(F.col("_large"), _prefix("_group")).otherwise(0))
     by_cell = held.where("_large").groupBy("_bytes", "_cell").agg(F.count("*").alias("_n"))
     base = by_cell.select("_bytes", "_cell", (F.sum("_n").over(Window.partitionBy("_bytes").orderBy("_cell")) - F.col("_n")).alias("_base"))
     rank = F.row_number().over(Window.partitionBy("_bytes", "_cell").orderBy("_group")) - 1
@@ -92,6 +115,7 @@ def assign(docs: DataFrame, *, shards: int = 24, class_groups: int = 100_000, gr
     by a hash of the id into parts of about that many, `group_parts` at most.  More than `class_groups` groups of one size are ranked in
     parts.  Neither changes which shard a group gets.
 
+    Texts are whole, however long; only their sizes and digests move.
     Nulls: a null text is grouped with empty ones and has size 8.  Repeated rows stay in
     one shard with slots of their own; they are alike, so whichever gets which slot the
     result is the same.  An empty table gives an empty result.  Other columns are
@@ -115,7 +139,7 @@ def assign(docs: DataFrame, *, shards: int = 24, class_groups: int = 100_000, gr
 
 def with_shard(docs: DataFrame, *, shards: int = 24, class_groups: int = 100_000, broadcast_sizes: int = 100_000) -> DataFrame:
     """`docs` with a further column `shard` (replacing one of that name), the same as
-    assign()'s."""
+    assign()'s; its rules for nulls, repeats, very long texts and empty tables hold."""
     marked = docs.select(F.md5(_text().cast("binary")).alias("_group"), (F.octet_length(_text()) + 8).cast("long").alias("size"))
     placed = _placed(materialize(marked, "shard-marked"), shards, class_groups, broadcast_sizes).select(F.col("_group").alias("__group"), F.col("shard").alias("__shard"))
     names = [c for c in docs.columns if c != "shard"]

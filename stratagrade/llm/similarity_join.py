@@ -260,13 +260,14 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-least")  # stored, so that a hub's rows in the join can be split
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        large = materialize(large, "edges-large")
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
+        small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = materialize(small, "edges")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(edges)
+        discard(edges, least, large, lower)
         edges = after
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -293,7 +294,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
 
     # centres
     key = F.struct((F.col("pos") - F.col("i")).alias("lone"), F.xxhash64("fp").alias("h"), "fp", "n", "k", "pos", "i")
-    centre = postings.groupBy("token").agg(F.min(key).alias("c")).select("token", "c.*")
+    centre = materialize(postings.groupBy("token").agg(F.min(key).alias("c")).select("token", "c.*"), "join-centre")  # stored, so that a hot shingle's postings can be split
     near = postings.alias("p").join(centre.alias("c"), "token").where((F.col("p.fp") != F.col("c.fp")) & _bounds("p", "c", num, den))
     near = near.groupBy(F.col("p.fp").alias("a"), F.col("c.fp").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("p.k", "c.k")).alias("k"))
     best = near.where("n >= k").groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
@@ -320,7 +321,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     )
     pairs = materialize(pairs.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-pairs")
     rest = _verified(text, pairs, n, num, den, "join-rest")
-    discard(postings, placed, several, pairs, best)
+    discard(postings, placed, several, pairs, best, centre)
     return profile.where("chunk IS NULL").select("doc_id", "n_shingles", "fp"), components(starred.union(rest))
 
 
@@ -332,6 +333,7 @@ def link(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (80,
     component_id: the smallest doc_id that links reach.  Nulls: a null text has no
     shingles and, as a text without words, links with nothing and is its own
     component; a null id takes part, and names a component of null ids only.
+    A very long text is one set in one task, some 30 bytes a word there.
     Repeated rows have one component; an empty table gives an empty result; other
     columns are ignored.
     """

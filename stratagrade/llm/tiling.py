@@ -254,7 +254,7 @@ def _indexes(benchmark: DataFrame, min_match: int, short_items: bool, block_item
     yield Index(held, min_match, short_items)
 
 
-def covered(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, short_items: bool = False, threshold: float = 0.5, block_items: int = 200_000, block_words: int = 8_000_000) -> DataFrame:
+def covered(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, short_items: bool = True, threshold: float = 0.5, block_items: int = 200_000, block_words: int = 8_000_000) -> DataFrame:
     """`docs` as a struct column `row`, with its text and with `found`: id, words under
     tiles and all words of each test item that it covers to the threshold or covers
     best (of those that share a seed).
@@ -265,6 +265,8 @@ def covered(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 5, short_
     items of their own.  Up to `block_items` items of `block_words` words in all make
     one index (at most 24 bytes a word); a larger item is one by itself.
 
+    A very long text is searched whole, in one task; what shares no seed with any item is
+    left out before tiles are looked for.
     A null text is empty and shares nothing; repeated rows are tiled alike; an empty
     table of either kind finds nothing; columns of `docs` pass through unread.
     """

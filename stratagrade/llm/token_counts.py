@@ -36,6 +36,7 @@ def _histogram(tokenizer: str):
 def length_histogram(docs: DataFrame, *, tokenizer: str) -> DataFrame:
     """docs(text, ...) -> length, docs: one row for each encoded length that occurs.
 
+    Texts are whole, however long: a very long one is a block by itself in its task.
     A null text is empty and has length 0; repeated rows count each; an empty table
     gives an empty histogram; other columns are ignored.
     """

@@ -1,4 +1,7 @@
+import hashlib
+import math
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -8,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from test_mixing_sharding import WORD, fill, shards_by_hand
 from stratagrade.llm import rules, similarity_join, tiling
 from stratagrade.llm.queries import oracle_sql, queries
 
@@ -265,6 +269,58 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, out.collect()))
 
 
+def mixed_by_hand(rows):
+    """How often each row stands in the mix, source by source in the order of keys."""
+    size = lambda t: len(WORD.findall(t))
+    by_source = defaultdict(list)
+    for i, t, s in rows:
+        chance = (int(hashlib.md5(f"11|{i}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        by_source[s].append((-math.log(chance) / max(0.05, 1 - len(re.findall(r"[#*$%&|<>]", t)) / size(t)), i, size(t)))
+    out = Counter()
+    targets = fill({s: sum(n for _, _, n in found) for s, found in by_source.items()})
+    for s, found in by_source.items():
+        whole = sum(n for _, _, n in found)
+        epochs = int(targets[s] // whole + 1e-12)
+        left = math.floor(targets[s] - epochs * whole)
+        for _, i, n in sorted(found):
+            out[i] += epochs + (n <= left or 2 * max(left, 0) >= n)
+            left -= n
+    return +out
+
+
+def test_pipeline_against_naive_steps(spark, tmp_path):
+    """Every stage's rows by hand, with test items that do remove documents."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(800)]
+    prose = lambda n: rng.choices(vocabulary, k=n)
+    items = [prose(n) for n in (30, 44, 60)]
+    texts = [prose(rng.randint(24, 110)) for _ in range(100)]
+    texts += [prose(20) + items[0] + prose(15), items[1][22:] + prose(10) + items[1][:22], prose(30) + items[2][:20] + prose(9), items[2], prose(25) + items[2][5:50]]
+    near = list(texts[0])
+    near[5] = "changed"
+    texts += [near, texts[1], texts[2] + ["more"], prose(8), ["#", "*"] * 30]
+    rows = [(100 + i, " ".join(t) + ".", "en", rng.choice(("a", "b", "c", None)), 1) for i, t in enumerate(texts)]
+    rows += [(900, None, "en", "a", 0), (901, "click here\n" * 12 + "some words that are prose and stay here for good.", "en", "b", 1), (902, " ".join(prose(40)) + ".\nhome\nnext", "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{i}"))
+        seen.append([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    short = {100 + i for i, t in enumerate(texts) if len(t) < 20}
+    assert {i for i, _, _ in seen[0]} == {r[0] for r in rows} - short - {900, 901, 100 + len(texts) - 1}
+    assert next(t for i, t, _ in seen[0] if i == 902).count("\n") == 0  # menu lines are gone
+    component = by_hand([(i, t) for i, t, _ in seen[0]], 5, 80, 100)[0]
+    assert Counter(i for i, _, _ in seen[1]) == Counter({c for _, _, c in component}) and len(seen[0]) - len(seen[1]) == 3
+    words = lambda t: re.findall("[0-9a-z]+", t.lower())
+    leaks = {i for i, t, _ in seen[1] if any(2 * covered_by_hand(words(t), x, 5) >= len(x) for x in items)}
+    assert len(leaks) == 4 and Counter(i for i, _, _ in seen[2]) == Counter(i for i, _, _ in seen[1] if i not in leaks)
+    assert Counter(i for i, _, _ in seen[3]) == mixed_by_hand(seen[2])
+    shards = shards_by_hand([t for _, t, _ in seen[3]], 24)
+    assert {(r["doc_id"], r["shard"]) for r in docs.collect()} == {(i, shards[t]) for i, t, _ in seen[3]}
+
+
 def test_pipeline_on_edges(spark, docs, tmp_path):
     """No document, only such as the rules reject, repeated rows, and no test items."""
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -295,5 +351,5 @@ def test_registry():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
