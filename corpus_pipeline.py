@@ -4,7 +4,8 @@ The whole run: an empty table, or one of which the rules reject every document,
 rows and the same columns.  Null and empty texts have no words and go with the rules.
 Repeated rows are one document from the second stage on; the mix then repeats rows by its
 targets.  Null ids and sources are values like others.  Further columns of `documents`
-pass through, whatever their names, except `shard`, which the last stage sets.
+pass through, whatever their names, except `shard`, which the last stage sets.  Very long
+texts are judged, compared, searched and mixed whole.
 """
 
 from __future__ import annotations
