@@ -157,14 +157,14 @@ def test_tiling_against_all_places(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (None, "a b c d e f")], "item_id long, text string")
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()] + [(8, None)], "doc_id long, text string")
     for block in (2, 1000):
-        got = {r["doc_id"]: r for r in tiling.coverage(df, bench, block_items=block).collect()}
+        got = {r["doc_id"]: r for r in tiling.coverage(df, bench, block_items=block, short_items=False).collect()}
         for i, words in docs.items():
             plain = [w.lower().strip(",") for w in words]
             share = {j: covered_by_hand(plain, x, 5) / len(x) for j, x in enumerate(items) if len(x) >= 5}
             assert abs(got[i]["coverage"] - max(share.values())) < 1e-9
             assert got[i]["items"] == sorted(j for j, s in share.items() if s >= 0.5)
         assert [i for i, r in sorted(got.items()) if r["contaminated"]] == [1, 2, 4, 7]
-    kept = tiling.clean_rows(df, bench).collect()
+    kept = tiling.clean_rows(df, bench, short_items=False).collect()
     assert sorted(r["doc_id"] for r in kept) == [0, 3, 5, 6, 8]
 
 
