@@ -238,7 +238,8 @@ def test_short_items_and_items_without_ids(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"] for r in __spark_entry__.queries()["op10_decontaminate"](spark, str(tmp_path)).where("contaminated").collect()} == {1, 3, 4, 5, 7}
     assert {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, df, str(tmp_path)).collect()} == {2, 6, 8, 9}
-    assert {r["doc_id"] for r in tiling.clean_rows(df, bench).collect()} == {1, 2, 3, 5, 6, 8, 9}
+    assert {r["doc_id"] for r in tiling.clean_rows(df, bench).collect()} == {2, 6, 8, 9}
+    assert {r["doc_id"] for r in tiling.clean_rows(df, bench, short_items=False).collect()} == {1, 2, 3, 5, 6, 8, 9}
 
 
 def test_pipeline_stage_by_stage(spark, docs, tmp_path):
