@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import messages as say
 from ..functions import text as tx
 from ..schemas import DEVELOPER_PROMPT, GRADE, LEVELS, METADATA, SPLITS
-from ..sources.json_arrays import has_key, is_object
+from ..sources.json_arrays import has_key, is_object, said
 from ..sources.places import Place
 
 
@@ -74,14 +74,6 @@ def export_counts(records: DataFrame, levels: list[Column]) -> DataFrame:
     return records.agg(F.count("*").alias("input_records"), F.count_if(labeled).alias("exported_records"), F.count_if(~labeled).alias("skipped_unlabeled"))
 
 
-def said(value: Column, path: str) -> Column:
-    """The scalar at a path of a VARIANT as Python writes it, `True` or `False` or its text;
-    null if there is a null or nothing."""
-    text = F.try_variant_get(value, "$." + path, "string")
-    is_boolean = F.schema_of_variant(F.try_variant_get(value, "$." + path, "variant")) == "BOOLEAN"
-    return F.when(text.isin("true", "false") & is_boolean, F.initcap(text)).otherwise(text)
-
-
 def scalar(item: Column, path: str) -> Column:
     """The value at a path of a JSON text as Python writes it; `None` without one."""
     return F.coalesce(said(F.try_parse_json(item), path), F.lit("None"))

@@ -50,7 +50,8 @@ def split_folder(
     rows, skipped = items.select("item"), 0
     with BundleFolder(output_dir, overwrite) as bundle:
         paths = {p: f"__l{i}" for i, p in enumerate(LABEL_PATHS)}
-        labeled = rows.withColumns({name: split.label_value(F.col("item"), p) for p, name in paths.items()})
+        at = lambda df: split.with_labels(df).withColumns({n: F.element_at("labels", i + 1) for i, n in enumerate(paths.values())}).drop("labels")
+        labeled = at(rows)
         if split_type == "random":
             done = dealing.split_by_hash(labeled, [*paths.values()], "item", ratios, random_seed)
         else:
@@ -70,8 +71,7 @@ def split_folder(
             done = dealing.split_groups_by_class(keyed.where(~lacking), split.group_value(F.col("__kind"), F.col("__key")), {p: F.col(n) for p, n in paths.items()}, ratios, random_seed)
         sizes = bundle.write_by("split", done.select("split", "item"), SPLITS)
         staged = spark.read.text((bundle.stage / "by-split").uri, pathGlobFilter="*.txt")  # with the split from the folders' names
-        fields = {p: split.label_value(F.col("value"), p) for p in LABEL_PATHS}
-        counts = split.label_counts(staged.select("split", *[c.alias(paths[p]) for p, c in fields.items()]), {p: F.col(n) for p, n in paths.items()})
+        counts = split.label_counts(at(staged.withColumnRenamed("value", "item")), {p: F.col(n) for p, n in paths.items()})
         bundle.write("distributions", counts)
         told = spark.read.schema(counts.schema).json((bundle.stage / "distributions").uri)
         bundle.write("warnings", split.label_gaps(told))

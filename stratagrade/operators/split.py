@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import messages as say
 from ..functions.text import is_blank
 from ..schemas import EMPTY_LABEL, LABEL_PATHS, SPLITS
-from ..sources.json_arrays import json_kind
+from ..sources.json_arrays import json_kind, said
 from .joins import join_same, rank_within
 
 DEFAULT_RATIOS = (0.8, 0.1, 0.1)
@@ -160,9 +160,7 @@ def plan_grouped(groups: list[tuple[int, dict]], ratios, seed: int) -> list[tupl
 def label_value(item: Column, path: str) -> Column:
     """The text at a dotted path of a JSON object; absent and null are empty, and true
     and false are written `True` and `False`.  Objects and lists keep their JSON text."""
-    text = F.get_json_object(item, "$." + path)
-    said = F.when(text.isin("true", "false") & (json_kind(item, "$." + path) == "BOOLEAN"), F.initcap(text))
-    return F.coalesce(said, text, F.lit(""))
+    return F.coalesce(said(F.try_parse_json(item), path), F.lit(""))
 
 
 def strata(rows: DataFrame, stratum: list[Column], order: str) -> DataFrame:
@@ -184,8 +182,9 @@ def split_sizes(rows: DataFrame) -> DataFrame:
 
 
 def with_labels(raw: DataFrame, paths: Iterable[str] = LABEL_PATHS) -> DataFrame:
-    """raw(pos, item) with `labels`, the values at the label paths."""
-    return raw.withColumn("labels", F.array(*[label_value(F.col("item"), p) for p in paths]))
+    """raw(item, ...) with `labels`, the values at the label paths; each item is parsed once."""
+    values = F.array(*[F.coalesce(said(F.col("__v"), p), F.lit("")) for p in paths])
+    return raw.withColumn("__v", F.try_parse_json("item")).withColumn("labels", values).drop("__v")
 
 
 def split_stratified(rows: DataFrame, stratum: list[Column], order: str, ratios=DEFAULT_RATIOS, seed: int = 42) -> DataFrame:

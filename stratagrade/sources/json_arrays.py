@@ -23,6 +23,14 @@ def json_kind(item: Column, path: str = "$") -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), path, "variant"))
 
 
+def said(value: Column, path: str) -> Column:
+    """The scalar at a path of a VARIANT as Python writes it, `True` or `False` or its text;
+    null if there is a null or nothing.  Objects and lists keep their JSON text."""
+    text = F.try_variant_get(value, "$." + path, "string")
+    is_boolean = F.schema_of_variant(F.try_variant_get(value, "$." + path, "variant")) == "BOOLEAN"
+    return F.when(text.isin("true", "false") & is_boolean, F.initcap(text)).otherwise(text)
+
+
 def is_object(item: Column, path: str = "$") -> Column:
     return F.coalesce(json_kind(item, path).startswith("OBJECT"), F.lit(False))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagrade.functions import text as tx
-from stratagrade.operators import chat, corpus
+from stratagrade.operators import chat, corpus, split
 from stratagrade.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -19,8 +19,8 @@ def plan(df, kind="optimizedPlan"):
 
 def test_items_are_parsed_once(spark):
     items = spark.createDataFrame([(0, "{}")], "pos int, item string")
-    text = plan(chat.parsed_records(items))
-    assert len(re.findall("parse_?json", text, re.I)) == 1 and "get_json_object" not in text
+    for df in (chat.parsed_records(items), split.with_labels(items)):
+        assert len(re.findall("parse_?json", plan(df), re.I)) == 1 and "get_json_object" not in plan(df)
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
