@@ -8,7 +8,7 @@ import sys
 from pathlib import Path
 
 from .operators import chat, corpus, folders, records, split, standards
-from .schemas import GUIDE_CONTENT, GUIDE_LABEL
+from .schemas import GRADE, GUIDE_CONTENT, GUIDE_LABEL
 from .session import session
 from .sources import mapping as places
 from .sources.places import Place
@@ -67,9 +67,9 @@ def parser() -> argparse.ArgumentParser:
     optional = [(f"--{n}-column", {}) for n in ("root", "branch", "subbranch", "sensitivity")]
     command(
         "standard", "guide table to flat corpus", ("--dataset", {"required": True}), ("--input", needed), ("--processed", path), ("--output", needed), ("--content-column", {"required": True}),
-        ("--leaf-column", {"required": True}), *optional, ("--reference-standard", {"default": ""}), ("--missing-policy", policy("skip")), overwrite,
+        ("--leaf-column", {"required": True}), *optional, ("--reference-standard", {"default": ""}), ("--missing-policy", policy("skip")), overwrite, bundle,
     )
-    command("normalize", "clean a flat corpus", ("--dataset", {"required": True}), ("--input", needed), ("--output", needed), overwrite)
+    command("normalize", "clean a flat corpus", ("--dataset", {"required": True}), ("--input", needed), ("--output", needed), overwrite, bundle)
     command("export", "splits to chat lines", ("--input-dir", {"type": Place, "default": Place("data/processed/education")}), ("--output-dir", {"type": Place, "default": Place("data/rft/education")}), overwrite, bundle)
     command("standards", "catalogue sheet to dictionary", ("--input", needed), ("--output", needed))
     return top
@@ -84,11 +84,20 @@ def _run_bundle(spark, a: argparse.Namespace, own) -> dict:
             spark, folders.read_items(spark, a.input), a.output_dir, split_type=a.split_type, ratios=(a.train_ratio, a.val_ratio, a.test_ratio), random_seed=a.seed,
             group_key=a.group_key, missing_group_policy=a.missing_group_policy, overwrite=a.overwrite,
         )
+    if a.command == "normalize":
+        return folders.normalize_folder(spark, folders.read_items(spark, a.input), a.dataset, a.output, overwrite=a.overwrite)
     source = a.input or places.default_guide(a.dataset, a.root)
     table = read_csv(spark, source.uri) if source.is_dir() else read_table(spark, source)
     if a.command == "build":
         out = a.output_dir or a.root / "data" / "corpus" / a.dataset
         return folders.corpus_folder(spark, table, a.dataset, source.name, out, label_column=a.label_column.strip(), content_column=a.content_column.strip(), missing_policy=a.missing_policy, overwrite=a.overwrite)
+    if a.command == "standard":
+        columns = {
+            "data_description_and_example": a.content_column, "category_leaf_level": a.leaf_column, "category_root_level": a.root_column, "category_branch_level": a.branch_column,
+            "category_subbranch_level": a.subbranch_column, GRADE: a.sensitivity_column,
+        }
+        known = folders.read_items(spark, a.processed) if a.processed else None
+        return folders.standard_folder(spark, table, a.dataset, a.output, columns=columns, processed=known, reference_standard=a.reference_standard, missing_policy=a.missing_policy, overwrite=a.overwrite)
     return folders.preprocess_folder(
         spark, table, places.resolve_mapping(a.dataset, a.mapping, own), a.output, source_name=source.name, domain=a.dataset or source.stem, missing_field_policy=a.missing_field_policy,
         conflicting_label_policy=a.conflicting_label_policy, overwrite=a.overwrite,

@@ -11,6 +11,7 @@ from .. import messages as say
 from ..functions import text as tx
 from ..functions.order import ROW
 from ..schemas import FLAT_CORPUS, GRADE, GUIDE_CONTENT, GUIDE_LABEL, HIERARCHY, LEVELS
+from ..sources.json_arrays import said
 from ..sources.places import Place
 from .joins import join_same
 
@@ -89,6 +90,14 @@ def leaf_index(records: DataFrame, leaf: Column, values: dict[str, Column]) -> D
     return cleaned.where("leaf <> ''").groupBy("leaf").agg(*[F.sort_array(F.collect_set(f)).alias(f) for f in values])
 
 
+def index_of_items(items: DataFrame) -> DataFrame:
+    """leaf_index() of processed records, given as JSON texts; each is parsed once."""
+    parsed = items.select(F.try_parse_json("item").alias("v"))
+    at = lambda p: said(F.col("v"), p)
+    values = {f: at(f"classification.{f}") for f in LEVELS[:3]} | {GRADE: at(f"grading.{GRADE}")}
+    return leaf_index(parsed, at("classification.category_leaf_level"), values)
+
+
 def fill_hierarchy(rows: DataFrame, index: DataFrame, fields: tuple[str, ...] = HIERARCHY) -> DataFrame:
     """rows(leaf, fields...): blank fields take the leaf's value if it has just one;
     `ambiguous` lists (field, values) where it has several."""
@@ -252,9 +261,7 @@ def build_standard_corpus(
     whole = rows.where("missing = ''")
     processed = Place(processed_file) if processed_file else None
     known = _processed(spark, processed) if processed else spark.createDataFrame([], "item string")
-    at = lambda p: F.get_json_object("item", "$." + p)
-    values = {f: at(f"classification.{f}") for f in LEVELS[:3]} | {GRADE: at(f"grading.{GRADE}")}
-    filled = fill_hierarchy(first_pairs(whole, "leaf", "content"), leaf_index(known, at("classification.category_leaf_level"), values)).persist()
+    filled = fill_hierarchy(first_pairs(whole, "leaf", "content"), index_of_items(known)).persist()
     if filled.isEmpty():
         raise ValueError(say.NO_DOCUMENTS)
     repeats = repeated_pairs(whole, "leaf", "content").orderBy("source_row").collect()

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import messages as say
+from ..functions import text as tx
 from ..functions.order import ROW
-from ..schemas import GUIDE_CONTENT, GUIDE_LABEL, LABEL_PATHS, LEVELS, SPLITS
+from ..schemas import FLAT_CORPUS, GUIDE_CONTENT, GUIDE_LABEL, LABEL_PATHS, LEVELS, SPLITS
 from ..sinks.bundles import MANIFEST, BundleFolder, read_lines, read_manifest
 from ..sources.json_arrays import read_array
 from ..sources.places import Place
@@ -152,6 +153,56 @@ def corpus_folder(
     return report
 
 
+def standard_folder(
+    spark: SparkSession, table: DataFrame, dataset: str, output_dir, *, columns: dict[str, str | None], processed: DataFrame | None = None, reference_standard: str = "", missing_policy: str = "skip", overwrite: bool = False
+) -> dict:
+    """A guide table (with `_row`) -> a bundle with the parts documents (flat records), skipped
+    (source_row), duplicates (source_row, first_row), ambiguous (source_row, field, values)
+    and report.
+
+    `columns`: the table's names for the fields of a flat record (content and leaf at least).
+    Blanks are filled from `processed`(item), the processed records, where they agree.
+    """
+    named = {f: c for f, c in columns.items() if c is not None}
+    if absent := sorted({c for c in named.values() if c not in table.columns}):
+        raise ValueError(say.CORPUS_COLUMNS.format(names=", ".join(absent)))
+    rows = corpus.flat_rows(table, columns)
+    lacks = F.col("missing") != ""
+    with BundleFolder(output_dir, overwrite) as bundle:
+        digest = F.when(~lacks, corpus.pair_digest("leaf", "content")).alias("digest")
+        kept, seen = bundle.keep("rows", rows.select("*", digest), input_rows=F.count("*"), skipped=F.count_if(lacks))
+        if seen["skipped"] and missing_policy == "error":
+            raise ValueError(say.SKIPPING_CORPUS.format(count=seen["skipped"]))
+        if seen["skipped"] == seen["input_rows"]:
+            raise ValueError(say.NO_DOCUMENTS)
+        repeats, found = bundle.keep("repeats", corpus.repeated_digests(kept.where("digest IS NOT NULL")), n=F.count("*"))
+        bundle.write("skipped", kept.where(lacks).select("source_row"))
+        bundle.write("duplicates", repeats)
+        first = kept.where("missing = ''").drop("missing", "digest").join(repeats.select("source_row"), "source_row", "left_anti")
+        filled, _ = bundle.keep("filled", corpus.fill_hierarchy(first, corpus.index_of_items(spark.createDataFrame([], "item string") if processed is None else processed)))
+        unclear = bundle.write("ambiguous", filled.select("source_row", F.inline("ambiguous")))
+        made = bundle.write("documents", corpus.flat_records(filled, dataset, reference_standard).drop("source_row"))
+        report = {"dataset": dataset, "input_rows": seen["input_rows"], "exported_documents": made, "skipped_rows": seen["skipped"], "duplicate_rows": found["n"], "ambiguous_processed_fields": unclear}
+        bundle.write_json("report", report)
+    return report
+
+
+def normalize_folder(spark: SparkSession, items: DataFrame, dataset: str, output_dir, *, overwrite: bool = False) -> dict:
+    """Flat records (item) -> a bundle with the part documents, cleaned and under another
+    dataset's name, and report.  The bundle that is read may be the one that is written."""
+    absent = F.array_except(F.array(*map(F.lit, FLAT_CORPUS)), F.json_object_keys("item"))
+    cleaned = [F.lit(dataset).alias(f) if f == "dataset" else tx.clean_text(F.get_json_object("item", "$." + f)).alias(f) for f in FLAT_CORPUS]
+    with BundleFolder(output_dir, overwrite) as bundle:
+        made, seen = bundle.keep("rows", items.select(*cleaned, F.coalesce(F.array_join(absent, ", "), F.lit("?")).alias("absent")), n=F.count("*"), bad=F.count_if(F.col("absent") != ""))
+        if seen["bad"]:
+            names = made.where("absent <> ''").agg(F.min("absent")).first()[0]
+            raise ValueError(say.FLAT_FIELDS.format(item=f"({seen['bad']} of them)", names=names))
+        bundle.write("documents", made.drop("absent"))
+        report = {"input_rows": seen["n"], "exported_documents": seen["n"]}
+        bundle.write_json("report", report)
+    return report
+
+
 def export_folder(spark: SparkSession, split_dir, output_dir, *, overwrite: bool = False) -> dict:
     """A bundle of splits -> a bundle of chat lines, with the same parts and a report."""
     with BundleFolder(output_dir, overwrite) as bundle:

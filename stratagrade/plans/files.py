@@ -320,6 +320,14 @@ def q_flat_corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_read(spark, flat_file(spark, sf_dir) / "flat.json")
 
 
+@query(S_FLAT.replace("DATASET", "Guide"))
+def q_flat_corpus_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = guide_file(spark, sf_dir)
+    columns = {"data_description_and_example": GUIDE_CONTENT, "category_leaf_level": GUIDE_LABEL}
+    folders.standard_folder(spark, read_csv(spark, (folder / "guide.csv").uri), "Guide", folder / "flat", columns=columns, processed=folders.read_items(spark, folder / "all.json"), reference_standard="ref")
+    return read_part(spark, folder / "flat", "documents").drop("category_subbranch_level", "category_branch_level")
+
+
 @query(S_FLAT.replace("DATASET", "other"))
 def q_normalized_corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat corpus rewritten in its own place."""

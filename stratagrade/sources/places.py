@@ -113,6 +113,18 @@ class Place:
         finally:
             stream.close()
 
+    def read_head(self, n: int) -> bytes:
+        """The first n bytes, or all if there are fewer."""
+        if self.local:
+            with self.local.open("rb") as f:
+                return f.read(n)
+        fs, path, jvm = self._hadoop()
+        stream = fs.open(path)
+        try:
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, fs.getFileStatus(path).getLen())))
+        finally:
+            stream.close()
+
     def read_text(self) -> str:
         """As UTF-8, without a byte order mark."""
         return self.read_bytes().decode("utf-8-sig")

@@ -228,3 +228,25 @@ def test_commands_with_bundles(spark, tmp_path, capsys):
     assert sum(s["exported_records"] for s in say("export", "--input-dir", tmp_path / "splits", "--output-dir", tmp_path / "chat")["splits"].values()) == 120
     (tmp_path / "g.csv").write_text("四级子类,内容\nA（A1）,x\n", "utf-8")
     assert say("build", "--dataset", "d", "--input", tmp_path / "g.csv", "--output-dir", tmp_path / "corpus")["exported_documents"] == 1
+    assert say("standard", "--dataset", "D", "--input", tmp_path / "g.csv", "--output", tmp_path / "flat", "--content-column", "内容", "--leaf-column", "四级子类", "--processed", tmp_path / "all")["exported_documents"] == 1
+    assert say("normalize", "--dataset", "E", "--input", tmp_path / "flat", "--output", tmp_path / "flat", "--overwrite")["exported_documents"] == 1
+
+
+def test_flat_corpus_folders(spark, tmp_path):
+    guide = spark.createDataFrame([(0, "A（A1）", "x  y", ""), (1, "A", "x y", "R9"), (2, "(A3)", "z", ""), (3, "B", "q", "own")], "_row long, l string, c string, r string")
+    known = [{"classification": {"category_leaf_level": "A", "category_root_level": "R1", "category_branch_level": b}, "grading": {"sensitivity_level": "L1"}} for b in ("B1", "B2")]
+    items = spark.createDataFrame([(json.dumps(x),) for x in known], "item string")
+    columns = {"data_description_and_example": "c", "category_leaf_level": "l", "category_root_level": "r"}
+    report = folders.standard_folder(spark, guide, "Edu", tmp_path / "flat", columns=columns, processed=items, reference_standard="S")
+    assert report == {"dataset": "Edu", "input_rows": 4, "exported_documents": 2, "skipped_rows": 1, "duplicate_rows": 1, "ambiguous_processed_fields": 1}
+    rows = {r["category_leaf_level"]: r for r in read_part(spark, tmp_path / "flat", "documents").collect()}
+    assert (rows["A"]["category_root_level"], rows["A"]["category_branch_level"], rows["A"]["sensitivity_level"], rows["B"]["category_root_level"]) == ("R1", "", "L1", "own")
+    assert [tuple(r) for r in read_part(spark, tmp_path / "flat", "ambiguous").collect()] == [(2, "category_branch_level", ["B1", "B2"])]
+    with pytest.raises(ValueError, match="missing column"):
+        folders.standard_folder(spark, guide, "Edu", tmp_path / "none", columns=columns | {"sensitivity_level": "zz"})
+    again = folders.normalize_folder(spark, folders.read_items(spark, tmp_path / "flat", "documents"), "other", tmp_path / "flat", overwrite=True)  # in its own place
+    assert again == {"input_rows": 2, "exported_documents": 2}
+    renamed = {r["category_leaf_level"]: r for r in read_part(spark, tmp_path / "flat", "documents").collect()}
+    assert {r["dataset"] for r in renamed.values()} == {"other"} and {k: r["id"] for k, r in renamed.items()} == {k: r["id"] for k, r in rows.items()}
+    with pytest.raises(ValueError, match="is missing: .*dataset"):
+        folders.normalize_folder(spark, spark.createDataFrame([("{}",)], "item string"), "x", tmp_path / "bad")

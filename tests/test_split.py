@@ -229,6 +229,37 @@ def test_json_arrays(spark, tmp_path):
             read(text)
 
 
+def test_arrays_are_cut_into_blocks(spark, tmp_path):
+    """As the writers lay them out: the same rows as from one task, from many."""
+    from stratagrade.sources import json_arrays
+    from stratagrade.sources.places import Place
+
+    path = tmp_path / "laid.json"
+    tricky = [{"s": "},\n  {\n", "n": {"a": [{"x": 1}, {"y": {"z": []}}], "e": {}}}, {"b": [[1.5, None, True], "[\n  {\n"], "ü": "日本 \u2028"}, {"s": "\n  }\n]"}]
+    items = [{"id": i, "pad": "x" * (i % 90), **tricky[i % 3]} for i in range(700)]
+
+    def read(text):
+        path.write_text(text, "utf-8")
+        found = json_arrays.read_laid_out(spark, Place(path))
+        return found and (found, [(r["pos"], r["item"]) for r in found.orderBy("pos").collect()])
+
+    whole = lambda data: [(r["pos"], r["item"]) for r in json_arrays.read_raw(spark, path.as_uri()).orderBy("pos").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        for data, mark in ((items, ""), (items, "\ufeff"), (items[:1], ""), (items[:2], "")):
+            df, rows = read(mark + json.dumps(data, ensure_ascii=False, indent=2) + "\n")
+            assert [json.loads(x) for _, x in rows] == data and rows == whole(data)
+            assert len(data) < 10 or df.select("item").rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for other in ([], [{}, {"a": 1}], [{"a": 1}, {}], [{"a": 1}, 5], {"a": 1}):
+        assert read(json.dumps(other, indent=2)) is None
+    for text in (json.dumps(items), json.dumps(items, indent=4), json.dumps(items[:2], indent=2)[:-2], json.dumps(items[:2], indent=2).replace('"id": 1', '"id": 1 1'), json.dumps(items[:2], indent=2) * 2):
+        assert read(text) is None
+    path.write_text(json.dumps([{"a": 1}, {}], indent=2), "utf-8")
+    assert json_arrays.read_array(spark, path).count() == 2
+
+
 def test_json_scalars_as_python_writes_them(spark):
     item = {"metadata": {"table_name": None}, "classification": {"category_leaf_level": True}, "id": None}
     df = spark.createDataFrame([(0, json.dumps(item)), (1, "{}")], "pos int, item string")
