@@ -85,7 +85,7 @@ def _run_bundle(spark, a: argparse.Namespace, own) -> dict:
             group_key=a.group_key, missing_group_policy=a.missing_group_policy, overwrite=a.overwrite,
         )
     if a.command == "normalize":
-        return folders.normalize_folder(spark, folders.read_items(spark, a.input), a.dataset, a.output, overwrite=a.overwrite)
+        return folders.normalize_folder(spark, folders.read_items(spark, a.input, "documents"), a.dataset, a.output, overwrite=a.overwrite)
     source = a.input or places.default_guide(a.dataset, a.root)
     table = read_csv(spark, source.uri) if source.is_dir() else read_table(spark, source)
     if a.command == "build":
