@@ -161,6 +161,12 @@ def _read_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return words[_from_planes(row["codes"], int(at[-1]), 4).astype(np.int64)], at
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys, by sorting alone."""
+    keys = np.sort(keys)
+    return keys[np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1]))]
+
+
 def _by_segment(keys: np.ndarray, wide: int) -> list[tuple[int, slice, np.ndarray]]:
     """Sorted keys by segment: which, where, and what remains of them."""
     segment = keys >> _U(wide)
@@ -205,7 +211,7 @@ def _asked(bits: int, most: int):
             for row in batch.to_pylist():
                 for kind, (gram, ok) in enumerate(ngrams(*_read_block(row), most), 1):
                     wide = width(kind, bits)
-                    parts = _by_segment(np.unique(shorten(gram[ok], bits, kind)), wide)
+                    parts = _by_segment(_distinct(shorten(gram[ok], bits, kind)), wide)
                     n = len(parts)
                     columns = [
                         pa.array([row["block"]] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([i for i, _, _ in parts], pa.int32()),
