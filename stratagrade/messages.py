@@ -58,3 +58,5 @@ FLAT_FIELDS = "Corpus item {item} is missing: {names}"
 EXPORT_PART = "Item {item} in {path} has invalid {part}"
 EXPORT_FIELDS = "Item {item} in {path} is missing {part} fields: {names}"
 NOTHING_LABELED = "No labeled records available in {path}"
+BAD_ARCHIVE = "{name} of the workbook is damaged, encrypted or packed by a method that workbooks do not use"
+SHEET_ELEMENTS = "A cut of the workbook has {found} elements {tag}, not {n}"

@@ -10,6 +10,7 @@ import json
 import warnings
 import zipfile
 from collections.abc import Iterable
+from itertools import chain
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,16 +51,17 @@ def write_xlsx(place: Place, rows: Iterable[Iterable]) -> Place:
             return f'<c s="1"><v>{x[1]}</v></c>'
         return f"<c><v>{x}</v></c>" if isinstance(x, int | float) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(x or "")}</t></is></c>'
 
-    body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
     relations = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2))
-    made = io.BytesIO()
-    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+    with Place(place).writer() as made, zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets><sheet name="a" sheetId="2" r:id="r2"/><sheet name="b" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{relations}</Relationships>')
         z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c><v>1</v></c></row></sheetData></worksheet>')
-        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-    place.write_bytes(made.getvalue())
+        with z.open("xl/worksheets/sheet2.xml", "w", force_zip64=True) as opened, io.BufferedWriter(opened, 1 << 20) as sheet:  # rows as they come
+            sheet.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+            for r in rows:
+                sheet.write(("<row>" + "".join(map(cell, r)) + "</row>").encode())
+            sheet.write(b"</sheetData></worksheet>")
     return place
 
 
@@ -91,7 +93,7 @@ def q_xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The workbook's first sheet, with dates."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("'00' || p_partkey"), F.expr(S_CELL.replace("chr(10)", "' '")), "p_size")
     cells = ((code, cell, size, ("date", 45000.5 + size)) for code, cell, size in ordered(rows, "p_partkey"))
-    return read_table(spark, write_xlsx(scratch() / "t.xlsx", [["code", " cell ", "number", "day"], *cells]))
+    return read_table(spark, write_xlsx(scratch() / "t.xlsx", chain([["code", " cell ", "number", "day"]], cells)))
 
 
 #: Shares of the rows in files whose names go another way than their sizes.
@@ -341,7 +343,7 @@ def q_standards_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue sheet under a title line to a dictionary file, and that file read."""
     folder = scratch()
     rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("——"), "p_type", F.expr("CASE WHEN p_size % 7 = 0 THEN '——' ELSE replace(p_name, ' ', '\\n') END"), "p_brand")
-    write_xlsx(folder / "s.xlsx", [["title"], ["定义说明4", "定义说明3", "四级分类", "三级分类"], *ordered(rows, "p_partkey")])
+    write_xlsx(folder / "s.xlsx", chain([["title"], ["定义说明4", "定义说明3", "四级分类", "三级分类"]], ordered(rows, "p_partkey")))
     standards.write_standards(spark, folder / "s.xlsx", folder / "s.json")
     return standards.read_dictionary(spark, (folder / "s.json").uri).select("description", "category")
 

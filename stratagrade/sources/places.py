@@ -7,11 +7,13 @@ own readers and writers do.
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import closing
 from pathlib import Path, PurePosixPath
 from urllib.parse import unquote
 
@@ -21,6 +23,61 @@ _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]+):(?://([^/]*))?(?=/|$)")
 _PART = 1 << 20
 
 
+class _Stored(io.RawIOBase):
+    """A file of a Hadoop file system for reading, from any position."""
+
+    def __init__(self, place: Place):
+        fs, path, self._jvm = place._hadoop()
+        self._stream, self._size, self._at = fs.open(path), fs.getFileStatus(path).getLen(), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self._at = max(0, offset + {io.SEEK_SET: 0, io.SEEK_CUR: self._at, io.SEEK_END: self._size}[whence])
+        return self._at
+
+    def readinto(self, into) -> int:
+        n = min(len(into), self._size - self._at)
+        if n <= 0:
+            return 0
+        self._stream.seek(self._at)
+        into[:n] = bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(self._stream, n))
+        self._at += n
+        return n
+
+    def close(self) -> None:
+        if not self.closed:
+            self._stream.close()
+        super().close()
+
+
+class _Storing(io.RawIOBase):
+    """A new file of a Hadoop file system, written from its start."""
+
+    def __init__(self, place: Place):
+        fs, path, _ = place._hadoop()
+        self._stream = fs.create(path, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._stream.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._stream.close()
+        super().close()
+
+
 class Place:
     """Where a file or folder is, be it there or not."""
 
@@ -125,6 +182,23 @@ class Place:
         finally:
             stream.close()
 
+    def reader(self) -> io.BufferedIOBase:
+        """The file's bytes from any position."""
+        return self.local.open("rb") if self.local else io.BufferedReader(_Stored(self), _PART)
+
+    def writer(self) -> io.BufferedIOBase:
+        """A new file to be written piece by piece; folders above are made."""
+        if self.local:
+            self.local.parent.mkdir(parents=True, exist_ok=True)
+            return self.local.open("wb")
+        return io.BufferedWriter(_Storing(self), _PART)
+
+    def copy_to(self, target: Place) -> None:
+        """The same bytes at another place, a part at a time."""
+        with closing(self.reader()) as source, closing(target.writer()) as copy:
+            while part := source.read(_PART):
+                copy.write(part)
+
     def read_text(self) -> str:
         """As UTF-8, without a byte order mark."""
         return self.read_bytes().decode("utf-8-sig")

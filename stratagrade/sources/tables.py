@@ -2,17 +2,12 @@
 
 Cells keep their text (`007`, `1.50` and `true` stay as written); texts that count
 as missing become empty; XLSX cells with a date format are written as dates and times.
-XLSX files are read with the standard library alone.
+XLSX files are read by `workbooks`.
 """
 
 from __future__ import annotations
 
 import csv
-import datetime as dt
-import io
-import re
-import zipfile
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +17,7 @@ from .. import messages as say
 from ..functions.order import ROW, in_file_order
 from ..functions.text import missing_to_empty
 from .mapping import existing_file
-from .places import Place
+from .workbooks import read_first_sheet
 
 
 def column_names(header: list[str]) -> list[str]:
@@ -40,89 +35,10 @@ def column_names(header: list[str]) -> list[str]:
     return out
 
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-#: The format numbers that the file format itself gives to dates and times.
-_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
-
-
-class _Workbook:
-    """The parts of an XLSX file that cells refer to."""
-
-    def __init__(self, z: zipfile.ZipFile):
-        self.z, self.names = z, set(z.namelist())
-        self.shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in self.part("xl/sharedStrings.xml").iter(f"{_MAIN}si")]
-        styles = self.part("xl/styles.xml")
-        own = {f.get("numFmtId"): f.get("formatCode", "") for f in styles.iter(f"{_MAIN}numFmt")}
-        formats = [x.get("numFmtId", "0") for cells in styles.iter(f"{_MAIN}cellXfs") for x in cells]
-        self.is_date = [int(n) in _DATE_FORMATS or bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", own.get(n, "")), re.I)) for n in formats]
-        book = self.part("xl/workbook.xml")
-        self.epoch = dt.datetime(1904, 1, 1) if any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_MAIN}workbookPr")) else dt.datetime(1899, 12, 30)
-        self.book = book
-
-    def part(self, name: str) -> ElementTree.Element:
-        return ElementTree.parse(io.BytesIO(self.z.read(name))).getroot() if name in self.names else ElementTree.Element("none")
-
-    def first_sheet(self) -> ElementTree.Element:
-        """The first in the workbook's own order; without such a list the lowest number."""
-        target = {r.get("Id"): r.get("Target", "") for r in self.part("xl/_rels/workbook.xml.rels")}
-        for sheet in self.book.iter(f"{_MAIN}sheet"):
-            path = target.get(sheet.get(_LINK), "")
-            name = path.lstrip("/") if path.startswith("/") else f"xl/{path}"
-            if name in self.names:
-                return self.part(name)
-        numbered = [n for n in self.names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-        return self.part(min(numbered, key=lambda n: int(re.findall(r"\d+", n)[-1])))
-
-    def date(self, serial: float) -> str:
-        """A time of day below one day; else a date with its time."""
-        at = self.epoch + dt.timedelta(seconds=round(serial * 86400, 3))
-        return str(at.time() if 0 <= serial < 1 else at)
-
-    def text(self, c: ElementTree.Element) -> str:
-        kind, value = c.get("t"), c.find(f"{_MAIN}v")
-        if kind == "inlineStr":
-            return "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-        if value is None or not value.text:
-            return ""
-        if kind == "s":
-            return self.shared[int(value.text)]
-        if kind == "b":
-            return {"1": "True", "0": "False"}.get(value.text, value.text)
-        style = int(c.get("s", -1))
-        if kind in (None, "n") and 0 <= style < len(self.is_date) and self.is_date[style]:
-            return self.date(float(value.text))
-        return value.text.replace("T", " ") if kind == "d" else value.text
-
-
-def _cells(place: Place) -> list[list[str]]:
-    """The first sheet's rows."""
-    with zipfile.ZipFile(io.BytesIO(place.read_bytes())) as z:
-        book, rows = _Workbook(z), []
-        for row in book.first_sheet().iter(f"{_MAIN}row"):
-            line: list[str] = []
-            for c in row.iter(f"{_MAIN}c"):
-                at = len(line)
-                if letters := re.match("[A-Z]+", c.get("r", "") or ""):
-                    at = 0
-                    for ch in letters[0]:
-                        at = at * 26 + ord(ch) - 64
-                    at -= 1
-                line += [""] * (at + 1 - len(line))
-                line[at] = book.text(c)
-            rows.append(line)
-    return rows
-
-
 def read_xlsx(spark: SparkSession, path, header_row: int = 0) -> DataFrame:
-    rows = _cells(existing_file(path, "Input file"))[header_row:]
-    if not rows:
-        raise ValueError(f"No header row in {path}")
-    names = column_names(rows[0])
-    body = [[*(r + [""] * len(names))[: len(names)], i] for i, r in enumerate(rows[1:])]
-    schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(names))), T.StructField("row", T.LongType())])
-    df = spark.createDataFrame(body, schema)
-    return df.select(*[missing_to_empty(F.col(f"c{i}")) for i in range(len(names))], "row").toDF(*names, ROW)
+    header, rows = read_first_sheet(spark, existing_file(path, "Input file"), header_row)
+    names = column_names(header)
+    return rows.select(*[missing_to_empty(F.get("text", F.lit(i))) for i in range(len(names))], "at").toDF(*names, ROW)
 
 
 def _head(lines: DataFrame, file: str, head_lines: int) -> list[str]:
