@@ -44,9 +44,8 @@ def standards_from_table(table: DataFrame) -> DataFrame:
 
 
 def write_standards(spark: SparkSession, table_path, output_path) -> int:
-    from ..sinks.files import write_json
+    from ..sinks.files import write_json_object
     from ..sources.tables import read_table
 
-    entries = {r["description"]: {"category": r["category"]} for r in standards_from_table(read_table(spark, table_path, header_row=1)).toLocalIterator()}
-    write_json(entries, output_path, indent=4, newline=False)
-    return len(entries)
+    rows = standards_from_table(read_table(spark, table_path, header_row=1))
+    return write_json_object(((r["description"], {"category": r["category"]}) for r in rows.toLocalIterator()), output_path)

@@ -77,6 +77,23 @@ def write_json(data, path, indent: int = 2, newline: bool = True, bundle: Bundle
     _write(path, [json.dumps(data, ensure_ascii=False, indent=indent) + "\n" * newline], bundle)
 
 
+def write_json_object(entries: Iterable[tuple[str, object]], path, indent: int = 4) -> int:
+    """Keys, each once, and their values as one JSON object, entry by entry; returns how many
+    there are.  There is no line feed at the end."""
+    n = 0
+
+    def chunks():
+        nonlocal n
+        for key, value in entries:
+            body = json.dumps({key: value}, ensure_ascii=False, indent=indent)
+            yield ("{" if n == 0 else ",") + body[1:-2]
+            n += 1
+        yield "\n}" if n else "{}"
+
+    _write(path, chunks(), None)
+    return n
+
+
 def write_jsonl(rows, path, bundle: Bundle | None = None) -> None:
     items = _objects(rows) if isinstance(rows, DataFrame) else rows
     _write(path, (json.dumps(x, ensure_ascii=False, separators=(",", ":")) + "\n" for x in items), bundle)

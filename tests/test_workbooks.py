@@ -1,10 +1,12 @@
 """Workbooks in cuts: what the driver holds, shared strings, and odd XML."""
 
+import json
 import tracemalloc
 import zipfile
 
 import pytest
 
+from stratagrade.operators import standards
 from stratagrade.plans.files import write_xlsx
 from stratagrade.sources import workbooks
 from stratagrade.sources.tables import read_table
@@ -33,6 +35,16 @@ def test_driver_holds_no_sheet(spark, tmp_path):
     assert peak < 12_000_000  # the sheet has 8 MB of XML, its tree ten times that
 
 
+def test_standards_hold_no_dictionary(spark, tmp_path):
+    head = [["title"], ["定义说明4", "定义说明3", "四级分类", "三级分类"]]
+    write_xlsx(tmp_path / "s.xlsx", [*head, ["d\"1", "", "a\nb", ""], ["——", "d2", "——", "c"], ["d\"1", "", "last", ""]])
+    assert standards.write_standards(spark, tmp_path / "s.xlsx", tmp_path / "s.json") == 2
+    want = {'d"1': {"category": "last"}, "d2": {"category": "c"}}
+    assert (tmp_path / "s.json").read_text("utf-8") == json.dumps(want, ensure_ascii=False, indent=4)
+    write_xlsx(tmp_path / "none.xlsx", head)
+    assert standards.write_standards(spark, tmp_path / "none.xlsx", tmp_path / "none.json") == 0 and (tmp_path / "none.json").read_text() == "{}"
+
+
 @pytest.mark.parametrize("kind", [zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED])
 def test_shared_strings_over_cuts(spark, tmp_path, kind):
     n = 9000
