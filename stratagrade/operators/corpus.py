@@ -214,9 +214,9 @@ def build_corpus(
             "corpus_labels_unused_by_processed": listed(label_gap(used, known)),
         },
     }
-    bodies = (r.asDict(recursive=True) for r in docs.orderBy("source_row").drop("source_row").toLocalIterator())
+    bodies = docs.orderBy("source_row").drop("source_row")
     with Bundle() as bundle:
-        write_json_array(({**d, "metadata": {k: v for k, v in d["metadata"].items() if v is not None}} for d in bodies), out / "corpus.json", bundle=bundle)
+        write_json_array(bodies, out / "corpus.json", bundle=bundle, of=lambda d: {**d, "metadata": {k: v for k, v in d["metadata"].items() if v is not None}})
         write_json(report, out / "build_report.json", bundle=bundle)
     docs.unpersist()
     rows.unpersist()

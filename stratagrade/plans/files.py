@@ -20,6 +20,7 @@ from ..functions.order import ROW
 from ..operators import chat, corpus, folders, records, split, standards
 from ..schemas import GUIDE_CONTENT, GUIDE_LABEL
 from ..sinks.bundles import read_part, read_report
+from ..sinks.files import Bundle, texts
 from ..sources.json_arrays import check_array, read_array
 from ..sources.places import Place, scratch_folder
 from ..sources.tables import read_csv, read_table
@@ -30,14 +31,17 @@ def scratch() -> Place:
     return scratch_folder("queries")
 
 
-def write_csv(place: Place, header: Iterable[str], rows: Iterable) -> Place:
-    def lines():
-        for row in (header, *rows):
-            line = io.StringIO(newline="")
-            csv.writer(line).writerow(row)
-            yield line.getvalue()
+def csv_line(row: Iterable) -> str:
+    line = io.StringIO(newline="")
+    csv.writer(line).writerow(row)
+    return line.getvalue()
 
-    place.write(lines())
+
+def write_csv(place: Place, header: Iterable[str], rows: DataFrame, by: str) -> Place:
+    """A table's rows in the order of a column, which isn't written."""
+    lines = texts(rows.orderBy(by).drop(by).toDF(*map(str, range(len(rows.columns) - 1))), lambda row: csv_line(row.values()).removesuffix("\r\n"))
+    with Bundle() as files:
+        files.add_lines(place, lines, "\r\n", head=csv_line(header), empty=csv_line(header))
     return place
 
 
@@ -85,7 +89,7 @@ S_CELLS = f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS _row, '00' || p
 def q_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes, line breaks and commas in cells, texts that mean a missing cell, leading zeros."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("'00' || p_partkey"), F.expr(S_CELL.replace("chr(10)", "'\\n'")), "p_size")
-    return read_table(spark, write_csv(scratch() / "t.csv", ["code", " cell ", "number"], ordered(rows, "p_partkey")))
+    return read_table(spark, write_csv(scratch() / "t.csv", ["code", " cell ", "number"], rows, "p_partkey"))
 
 
 @query(f"{S_CELLS.replace('chr(10)', repr(' '))}, (TIMESTAMP '2023-03-15 12:00:00' + to_days(p_size::INTEGER))::VARCHAR AS day FROM part")
@@ -106,7 +110,7 @@ def q_csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch()
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(S_FILE).alias("file"))
     for name in "dbac":
-        write_csv(folder / f"{name}.csv", ["code", "file"], ((k, f) for k, f in ordered(rows.where(F.col("file") == name).select(F.col("p_partkey").alias("at"), "p_partkey", "file"), "at")))
+        write_csv(folder / f"{name}.csv", ["code", "file"], rows.where(F.col("file") == name).select(F.col("p_partkey").alias("at"), "p_partkey", "file"), "at")
     return read_csv(spark, folder.uri)
 
 
@@ -131,7 +135,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> Place:
     folder = scratch()
     source = raw(spark, sf_dir)
     names = [c for c in source.columns if c != ROW]
-    write_csv(folder / "catalogue.csv", names, ordered(source.select(ROW, *[F.col(f"`{c}`") for c in names]), ROW))
+    write_csv(folder / "catalogue.csv", names, source.select(ROW, *[F.col(f"`{c}`") for c in names]), ROW)
     (folder / "mapping.json").write([json.dumps(MAPPING)])
     quiet(records.preprocess, spark, folder / "catalogue.csv", folder / "mapping.json", folder / "all.json", missing_field_policy="skip", conflicting_label_policy="keep", domain="Parts")
     return folder
@@ -233,7 +237,7 @@ S_PAIRS = f"SELECT * FROM ({S_GUIDE}) WHERE label <> '' AND content <> '' QUALIF
 def guide_file(spark: SparkSession, sf_dir: str) -> Place:
     folder = scratch()
     label, content = "CASE WHEN p_size % 11 = 0 THEN '' ELSE p_type || '（A' || (p_size % 3) || '）' END", "CASE WHEN p_size % 13 = 0 THEN '' ELSE p_brand || '  ' || (p_size % 5) END"
-    write_csv(folder / "guide.csv", [GUIDE_LABEL, GUIDE_CONTENT], ordered(table(spark, sf_dir, "part").select("p_partkey", F.expr(label), F.expr(content)), "p_partkey"))
+    write_csv(folder / "guide.csv", [GUIDE_LABEL, GUIDE_CONTENT], table(spark, sf_dir, "part").select("p_partkey", F.expr(label), F.expr(content)), "p_partkey")
     known = table(spark, sf_dir, "part").where("p_size < 40").groupBy("p_type").agg(F.min("p_brand").alias("root"), F.min("p_name").alias("grade")).collect()
     items = [{"classification": {"category_leaf_level": f"{r['p_type']} (B2)", "category_root_level": r["root"]}, "grading": {"sensitivity_level": r["grade"]}} for r in known]
     (folder / "all.json").write([json.dumps(items, ensure_ascii=False)])

@@ -4,12 +4,13 @@ JSON lines."""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import messages as say
-from ..sources.places import Place
+from ..sources.places import Place, scratch_folder
 
 
 def refuse_existing(paths: list, overwrite: bool) -> None:
@@ -32,6 +33,23 @@ class Bundle:
         self.staged.append((place.beside(), place))
         self.staged[-1][0].write(chunks)
 
+    def add_lines(self, path, lines: DataFrame, between: str, head: str = "", tail: str = "", empty: str = "") -> None:
+        """A file of the texts in the one column of `lines`, in their order: tasks write parts
+        of it, which are then put together byte by byte.  `between` also ends the last text
+        unless there is a `tail`; without any text the file is `empty`."""
+        place = Place(path)
+        self.staged.append((place.beside(), place))
+        stage = _stage(place)
+        try:
+            lines.write.options(lineSep=between, compression="none").text(stage.uri)
+            parts = [p for p in stage.files() if p.name.startswith("part-") and p.size()]
+            if parts:
+                self.staged[-1][0].write_joined(head, parts, tail, len(between.encode()) if tail else 0)
+            else:
+                self.staged[-1][0].write([empty])
+        finally:
+            stage.delete()
+
     def __enter__(self) -> Bundle:
         return self
 
@@ -46,6 +64,14 @@ class Bundle:
                 temporary.delete()
 
 
+def _stage(place: Place) -> Place:
+    """A folder for tasks' parts of a file: where executors share one, else beside the file."""
+    try:
+        return scratch_folder("parts")
+    except ValueError:
+        return place.beside()
+
+
 def _write(path, chunks: Iterable[str], bundle: Bundle | None) -> None:
     if bundle is not None:
         bundle.add(path, chunks)
@@ -54,23 +80,45 @@ def _write(path, chunks: Iterable[str], bundle: Bundle | None) -> None:
         alone.add(path, chunks)
 
 
-def _objects(df: DataFrame) -> Iterable[dict]:
-    for row in df.toLocalIterator():
-        yield row.asDict(recursive=True)
+def _write_lines(path, lines: DataFrame, bundle: Bundle | None, **ends: str) -> None:
+    if bundle is not None:
+        bundle.add_lines(path, lines, **ends)
+        return
+    with Bundle() as alone:
+        alone.add_lines(path, lines, **ends)
+
+
+def texts(df: DataFrame, form: Callable[[dict], str]) -> DataFrame:
+    """value: each row's text, made by tasks."""
+
+    def made(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                yield pa.record_batch([pa.array([form(row) for row in b.slice(i, 500).to_pylist()], pa.string())], names=["value"])
+
+    return df.mapInArrow(made, "value string")
+
+
+def _item(item, indent: int) -> str:
+    body = item if isinstance(item, str) else json.dumps(item, ensure_ascii=False, indent=indent)
+    return "\n".join(" " * indent + line for line in body.split("\n"))
 
 
 def _array(items: Iterable, indent: int) -> Iterable[str]:
     first = True
     for item in items:
-        body = item if isinstance(item, str) else json.dumps(item, ensure_ascii=False, indent=indent)
-        yield ("[\n" if first else ",\n") + "\n".join(" " * indent + line for line in body.split("\n"))
+        yield ("[\n" if first else ",\n") + _item(item, indent)
         first = False
     yield "[]\n" if first else "\n]\n"
 
 
-def write_json_array(rows, path, indent: int = 2, bundle: Bundle | None = None) -> None:
-    """A DataFrame (row by row, in its order) or any iterable as one JSON array."""
-    _write(path, _array(_objects(rows) if isinstance(rows, DataFrame) else rows, indent), bundle)
+def write_json_array(rows, path, indent: int = 2, bundle: Bundle | None = None, of: Callable[[dict], dict] | None = None) -> None:
+    """A DataFrame (written by tasks, in its order; `of` makes the object of a row) or any
+    iterable as one JSON array."""
+    if isinstance(rows, DataFrame):
+        _write_lines(path, texts(rows, lambda row: _item(of(row) if of else row, indent)), bundle, between=",\n", head="[\n", tail="\n]\n", empty="[]\n")
+    else:
+        _write(path, _array(rows, indent), bundle)
 
 
 def write_json(data, path, indent: int = 2, newline: bool = True, bundle: Bundle | None = None) -> None:
@@ -95,8 +143,11 @@ def write_json_object(entries: Iterable[tuple[str, object]], path, indent: int =
 
 
 def write_jsonl(rows, path, bundle: Bundle | None = None) -> None:
-    items = _objects(rows) if isinstance(rows, DataFrame) else rows
-    _write(path, (json.dumps(x, ensure_ascii=False, separators=(",", ":")) + "\n" for x in items), bundle)
+    line = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    if isinstance(rows, DataFrame):
+        _write_lines(path, texts(rows, line), bundle, between="\n")
+    else:
+        _write(path, (line(x) + "\n" for x in rows), bundle)
 
 
 def write_split_folders(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -193,6 +193,39 @@ class Place:
             return self.local.open("wb")
         return io.BufferedWriter(_Storing(self), _PART)
 
+    def size(self) -> int:
+        return self.local.stat().st_size if self.local else self._status().getLen()
+
+    def write_joined(self, head: str, parts: list[Place], tail: str, less: int = 0) -> None:
+        """`head`, the bytes of the parts but the last `less` ones, and `tail`; bytes between
+        places that are not local stay in the JVM."""
+        sizes = [p.size() for p in parts]
+        sizes[-1] -= less
+        if self.local:
+            with closing(self.writer()) as out:
+                out.write(head.encode())
+                for part, left in zip(parts, sizes, strict=True):
+                    with closing(part.reader()) as source:
+                        while left and (data := source.read(min(left, _PART))):
+                            out.write(data)
+                            left -= len(data)
+                out.write(tail.encode())
+            return
+        fs, path, jvm = self._hadoop()
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(head.encode()))
+            for part, size in zip(parts, sizes, strict=True):
+                there, at = jvm.org.apache.hadoop.fs.Path(part.uri), SparkSession.active()._jsc.hadoopConfiguration()
+                source = there.getFileSystem(at).open(there)
+                try:
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size)
+                finally:
+                    source.close()
+            out.write(bytearray(tail.encode()))
+        finally:
+            out.close()
+
     def copy_to(self, target: Place) -> None:
         """The same bytes at another place, a part at a time."""
         with closing(self.reader()) as source, closing(target.writer()) as copy:
